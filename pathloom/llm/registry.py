@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that hold a QUERIES and an ORACLES dictionary.
-MODULES = ["simhash", "bpe", "tokens", "mixing", "secrets"]
+MODULES = ["simhash", "bpe", "tokens", "mixing", "secrets", "sharding"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
