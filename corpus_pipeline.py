@@ -1,8 +1,59 @@
-"""The corpus pipeline; filled in below once its operators exist."""
+"""The corpus pipeline: language ID, near-duplicates, secrets, mixing, BPE coding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+All but the last return the columns of documents:
+ language  drops documents without a language (no letters, or a posterior under one half);
+ dedup     keeps one document of each SimHash group, the smallest doc_id;
+ secrets   replaces each secret by a mark;
+ mix       keeps each document as often as the mix of sources takes it;
+ coding    encodes and decodes each text: tokens, hash of the ids, hash of the decoded text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pathloom.llm import bpe, language, mixing, secrets, simhash
+from pathloom.session import written
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.spoken(docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redacted(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def coding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language_stage),
+    ("dedup", dedup_stage),
+    ("secrets", secrets_stage),
+    ("mix", mix_stage),
+    ("coding", coding_stage),
+]
+
+#: SQL expresses neither SimHash groups nor BPE; tests compare with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -64,22 +64,21 @@ def water_level(sources: DataFrame, budget: float, epochs: float) -> float:
         level, clamped = (budget - float(epochs) * held) / free, n
 
 
-def mix(
+def _mix(
     docs: DataFrame,
     size: Column,
-    keep: list[str],
     weights: tuple[int, ...] = WEIGHTS,
     share: float = SHARE,
     epochs: int = EPOCHS,
     seed: str = SEED,
 ) -> DataFrame:
-    """The columns `keep` of docs, and size, source_size, target, taken and repeats (long, long, double, long, int).
+    """(row, size, source_size, target, taken, repeats): row is the struct of the columns of docs.
 
     docs needs doc_id and source; weights repeat over the sources by code point; the
     targets share `share` times all sizes; no document is taken more than `epochs` times.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    base = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.struct(*keep).alias("row"))
+    base = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.struct(*docs.columns).alias("row"))
     total, rows = base.agg(F.sum("size"), F.count("*")).first()
     digits = min(MOST_DIGITS, max(1, math.ceil(math.log(max(1, rows / ROWS), 16))))
     base = base.withColumn("bucket", F.substring("key", 1, digits))
@@ -108,15 +107,22 @@ def mix(
     return (
         base.join(bounds, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
         .withColumn("repeats", F.col("whole") + F.when((F.col("size") > 0) & (middle < F.col("rest")), 1).otherwise(0))
-        .select("row.*", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+        .select("row", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+    )
+
+
+def mix(docs: DataFrame, size: Column, keep: list[str], **settings) -> DataFrame:
+    """The columns `keep` of docs, and size, source_size, target, taken and repeats (long, long, double, long, int)."""
+    slim = docs.select(*dict.fromkeys(["doc_id", "source", *keep]), size.alias("_size"))
+    return _mix(slim, F.col("_size"), **settings).select(
+        *[F.col("row")[c].alias(c) for c in keep], "size", "source_size", "target", "taken", "repeats"
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as the mix takes it, with its columns."""
-    out = mix(docs, words(F.col("text")), docs.columns)
-    again = F.explode(F.array_repeat(F.lit(0), F.col("repeats")))
-    return out.select(*[F.col(c) for c in docs.columns], again.alias("_again")).select(*docs.columns)
+    out = _mix(docs, words(F.col("text")))
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select("row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

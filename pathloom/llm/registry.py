@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that hold a QUERIES and an ORACLES dictionary.
-MODULES = ["simhash", "bpe", "tokens", "mixing", "secrets", "sharding", "topk", "metricjoin"]
+MODULES = ["mixing", "bpe", "secrets", "simhash", "quality", "language", "sharding", "metricjoin", "tokens", "topk"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
