@@ -1,6 +1,509 @@
-"""All queries of the engine with their SQL twins, by name."""
+"""All queries of the engine over the driver's tables, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pathloom.functions import names
+from pathloom.functions.names import path_key
+from pathloom.functions.query import entry_predicate, parse
+from pathloom.operators import index, inventory, journal, namespace
+from pathloom.plans import search
+from pathloom.sources import fixtures, listing
+from pathloom.sources.fixtures import DOC_PATHS, FLAT_PATHS, INV_NEW, INV_OLD, JOURNAL, NS_BROKEN, NS_ENTRIES, NS_LINKS, NS_NOW
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, oracle: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = fixtures.sql(oracle)
+        return f
+
+    return add
+
+
+def tree(entries: str) -> str:
+    """SQL of entries e, directories d (object, path, depth) and paths p (entry columns, path, parent_path)."""
+    return f"""
+WITH RECURSIVE e AS ({entries}),
+d(object, path, depth) AS (
+  SELECT CAST(5 AS BIGINT), 'd:/', 0
+  UNION ALL
+  SELECT e.object, CASE WHEN d.depth = 0 THEN d.path || e.name ELSE d.path || '/' || e.name END, d.depth + 1 FROM e JOIN d ON e.parent = d.object
+  WHERE e.attributes & 1040 = 16 AND d.depth < 1024),
+p AS (
+  SELECT e.*, CASE WHEN d.depth = 0 THEN d.path || e.name ELSE d.path || '/' || e.name END AS path, lower(d.path) AS pf, lower(e.name) AS nf,
+    e.attributes & 16 <> 0 AS is_directory, d.path AS parent_path
+  FROM e JOIN d ON e.parent = d.object)
+"""
+
+
+NS = tree(NS_ENTRIES)
+PAGE = "SELECT source, slot, object, path, name, is_directory FROM p WHERE "
+
+
+def entries(spark, d) -> DataFrame:
+    return fixtures.view(spark, d, NS_ENTRIES)
+
+
+def flat(spark, d) -> DataFrame:
+    return fixtures.view(spark, d, FLAT_PATHS)
+
+
+def notes(spark, d) -> DataFrame:
+    return fixtures.view(spark, d, JOURNAL)
+
+
+# paths
+
+
+@query("path_resolve", NS + "SELECT source, object, parent, name, path, is_directory FROM p")
+def path_resolve(spark, d):
+    return namespace.paths(entries(spark, d)).select("source", "object", "parent", "name", "path", "is_directory")
+
+
+@query("hardlink_paths", tree(NS_LINKS) + "SELECT object, path FROM p")
+def hardlink_paths(spark, d):
+    return namespace.paths(fixtures.view(spark, d, NS_LINKS)).select("object", "path")
+
+
+@query("alias_parents", f"SELECT source, object, list_sort(list(DISTINCT parent)) AS parents FROM ({NS_LINKS}) GROUP BY source, object")
+def alias_parents(spark, d):
+    return namespace.alias_parents(fixtures.view(spark, d, NS_LINKS))
+
+
+@query("directory_depths", NS + "SELECT depth, count(*) AS n, max(length(path)) AS longest FROM d GROUP BY depth")
+def directory_depths(spark, d):
+    return namespace.directories(entries(spark, d)).groupBy("depth").agg(F.count("*").alias("n"), F.max(F.length("path")).cast("long").alias("longest"))
+
+
+# searches over a namespace (dialect B)
+
+
+def found(name: str, raw: str, where: str, kind: str = "all"):
+    @query(name, NS + PAGE + where)
+    def run(spark, d):
+        return search.matches(entries(spark, d), raw, kind)
+
+
+def has(word: str) -> str:
+    joined = f" OR contains(pf || '/' || nf, '{word}')" if "/" in word else ""
+    return f"(contains(nf, '{word}') OR contains(pf, '{word}'){joined})"
+
+
+found("search_and_tokens", "asia customer ext:pdf", f"{has('asia')} AND {has('customer')} AND nf LIKE '%.pdf'")
+found("search_ext", "ext:PDF ext:docx", "nf LIKE '%.docx'")
+found("search_path_token", "china/customer#00000", has("china/customer#00000"))
+found("search_backslash", r"ASIA\china 12", f"{has('asia/china')} AND {has('12')}")
+found("search_empty", " 　 ", "TRUE")
+found("search_absent", "no such name anywhere", f"{has('no')} AND {has('such')} AND {has('name')} AND {has('anywhere')}")
+found("search_category_images", "9", f"NOT is_directory AND nf LIKE '%.png' AND {has('9')}", "images")
+found("search_category_documents", "europe", f"NOT is_directory AND (nf LIKE '%.pdf' OR nf LIKE '%.docx') AND {has('europe')}", "documents")
+found("search_category_archives", "", "NOT is_directory AND (nf LIKE '%.zip' OR nf LIKE '%.gz')", "archives")
+found("search_category_folders", "america", f"is_directory AND {has('america')}", "folders")
+found("search_category_files", "customer#000000001", f"NOT is_directory AND {has('customer#000000001')}", "files")
+found("root_double_slash", "d://as", has("d://as"))
+found("root_single_slash", "d:/asia", has("d:/asia"))
+
+
+@query("slot_page_lower_bound", NS + f", m AS (SELECT * FROM p WHERE {has('asia')} ORDER BY slot LIMIT 26) SELECT slot, path, count(*) OVER () AS total, FALSE AS total_exact FROM (SELECT *, row_number() OVER (ORDER BY slot) AS i FROM m) QUALIFY i <= 25")
+def slot_page_lower_bound(spark, d):
+    found_page = search.page(entries(spark, d), "asia", 25)
+    return found_page.rows.select("slot", "path", F.lit(found_page.total).cast("long").alias("total"), F.lit(found_page.exact).alias("total_exact"))
+
+
+@query("limit_zero", NS + f"SELECT CAST(least(count(*), 1) AS BIGINT) AS total, count(*) = 0 AS total_exact FROM p WHERE {has('asia')}")
+def limit_zero(spark, d):
+    p = search.page(entries(spark, d), "asia", 0)
+    return spark.createDataFrame([(p.total, p.exact)], "total long, total_exact boolean")
+
+
+@query("multi_source_merge", tree(NS_ENTRIES) + f""", q AS (SELECT source, slot, path FROM p WHERE {has('00001')} ORDER BY slot LIMIT 40),
+r AS (SELECT 'e:' AS source, slot, 'e:' || substr(path, 3) AS path FROM p WHERE {has('00001')} ORDER BY slot LIMIT 40)
+SELECT * FROM (SELECT * FROM q UNION ALL SELECT * FROM r) ORDER BY lower(path), source, slot LIMIT 50""")
+def multi_source_merge(spark, d):
+    one = entries(spark, d)
+    two = one.withColumn("source", F.lit("e:"))
+    return search.merged([search.page(x, "00001", 40) for x in (one, two)], 50).rows.select("source", "slot", "path")
+
+
+@query("records_per_source", f"SELECT source, count(*) AS records, count(*) FILTER (attributes & 16 <> 0) AS directories FROM (SELECT * FROM ({NS_ENTRIES}) AS a UNION ALL SELECT 'e:', object, parent, name, attributes, slot FROM ({NS_LINKS}) AS b) AS c GROUP BY source")
+def records_per_source(spark, d):
+    both = entries(spark, d).unionByName(fixtures.view(spark, d, NS_LINKS).withColumn("source", F.lit("e:")))
+    return both.groupBy("source").agg(F.count("*").alias("records"), F.count_if(names.is_directory(F.col("attributes"))).alias("directories"))
+
+
+# searches over whole paths (dialects A and C)
+
+FLAT = f"WITH f AS (SELECT id, path, lower(CASE WHEN contains(path, '/') THEN path ELSE '/' || path END) AS low FROM ({FLAT_PATHS}) AS a)"
+DOCS = f"WITH f AS (SELECT id, path FROM ({DOC_PATHS}) AS a)"
+
+
+@query("search_flat", FLAT + "SELECT id, path FROM f WHERE contains(low, 'e') AND contains(low, '/a') AND low LIKE '%.html'")
+def search_flat(spark, d):
+    return search.path_matches(flat(spark, d), "E /a ext:html")
+
+
+@query("search_literal_case", FLAT + "SELECT id, path FROM f WHERE contains(path, '.com/')")
+def search_literal_case(spark, d):
+    return search.path_matches(flat(spark, d), ".com/", "C")
+
+
+@query("topk_component_order", DOCS + "SELECT id, path FROM f WHERE contains(path, 'src1') ORDER BY string_split(path, '/') LIMIT 50")
+def topk_component_order(spark, d):
+    return search.first_in_order(fixtures.view(spark, d, DOC_PATHS), "src1").select("id", "path")
+
+
+@query("match_checksum", DOCS + "SELECT count(*) AS matches, CAST(sum(id + 1) AS BIGINT) AS checksum, TRUE AS complete FROM f WHERE contains(path, 'src2')")
+def match_checksum(spark, d):
+    return search.summary(fixtures.view(spark, d, DOC_PATHS), "src2")
+
+
+@query("first50_vs_complete", DOCS + """SELECT 'first50' AS mode, count(*) AS matches, CAST(sum(id + 1) AS BIGINT) AS checksum, count(*) < 50 AS complete FROM (SELECT * FROM f WHERE contains(path, 'en/') ORDER BY id LIMIT 50)
+UNION ALL SELECT 'complete', count(*), CAST(sum(id + 1) AS BIGINT), TRUE FROM f WHERE contains(path, 'en/')""")
+def first50_vs_complete(spark, d):
+    rows = fixtures.view(spark, d, DOC_PATHS)
+    first, whole = search.summary(rows, "en/", 50), search.summary(rows, "en/")
+    return first.withColumn("mode", F.lit("first50")).unionByName(whole.withColumn("mode", F.lit("complete")))
+
+
+@query("keyset_page_2", None)
+def keyset_page_2(spark, d):
+    rows = fixtures.view(spark, d, DOC_PATHS)
+    last = search.next_page(rows, "doc", None, 100).orderBy(F.desc("shard"), F.desc("path")).first()
+    return search.next_page(rows, "doc", (last.shard, last.path), 100)
+
+
+@query("keyset_pages_by_path", DOCS + "SELECT path, id FROM f WHERE contains(path, 'doc') ORDER BY path, id LIMIT 100 OFFSET 100")
+def keyset_pages_by_path(spark, d):
+    rows = fixtures.view(spark, d, DOC_PATHS)
+    first = search.next_page(rows, "doc", None, 100, shards=1)
+    last = first.orderBy(F.desc("path")).first()
+    return search.next_page(rows, "doc", (last.shard, last.path), 100, shards=1).select("path", "id")
+
+
+# rules of a namespace
+
+BROKEN = f"WITH e AS ({NS_BROKEN})"
+
+
+def broken(spark, d) -> DataFrame:
+    return fixtures.view(spark, d, NS_BROKEN)
+
+
+@query("validate_dup_parent_name", BROKEN + "SELECT source, parent, name, count(*) AS n FROM e GROUP BY ALL HAVING count(*) > 1")
+def validate_dup_parent_name(spark, d):
+    return namespace.repeated_names(broken(spark, d))
+
+
+@query("validate_multi_dir", BROKEN + "SELECT source, object, count(*) AS n FROM e WHERE attributes & 1040 = 16 GROUP BY ALL HAVING count(*) > 1")
+def validate_multi_dir(spark, d):
+    return namespace.directories_with_names(broken(spark, d))
+
+
+@query("validate_orphans", tree(NS_BROKEN) + "SELECT source, object, parent, name FROM e WHERE parent NOT IN (SELECT object FROM d)")
+def validate_orphans(spark, d):
+    return namespace.unreachable(broken(spark, d)).select("source", "object", "parent", "name")
+
+
+@query("reachable_entries", tree(NS_BROKEN) + "SELECT source, object, parent, name FROM e WHERE parent IN (SELECT object FROM d)")
+def reachable_entries(spark, d):
+    return namespace.reachable(broken(spark, d)).select("source", "object", "parent", "name")
+
+
+@query("validate_attr_conflict", BROKEN + "SELECT source, object, count(DISTINCT attributes) AS n FROM e GROUP BY ALL HAVING count(DISTINCT attributes) > 1")
+def validate_attr_conflict(spark, d):
+    return namespace.differing_attributes(broken(spark, d))
+
+
+@query("validate_rows", BROKEN + """SELECT source, object, name FROM (SELECT source, object, parent, CASE object % 97 WHEN 1 THEN '' WHEN 2 THEN '..' WHEN 3 THEN name || ':x' WHEN 4 THEN repeat('é', 256) ELSE name END AS name FROM e)
+WHERE length(name) NOT BETWEEN 1 AND 255 OR name IN ('.', '..') OR contains(name, ':') OR object = 0 OR parent = 0 OR object = 5""")
+def validate_rows(spark, d):
+    k = F.col("object") % 97
+    odd = F.when(k == 1, "").when(k == 2, "..").when(k == 3, F.concat("name", F.lit(":x"))).when(k == 4, F.repeat(F.lit("é"), 256)).otherwise(F.col("name"))
+    return namespace.bad_rows(broken(spark, d).withColumn("name", odd)).select("source", "object", "name")
+
+
+@query("internal_filter", f"SELECT object & 31 AS object, count(*) AS n FROM (SELECT object & 31 AS object, 5 AS parent FROM ({NS_ENTRIES}) AS a) AS b WHERE object >= 24 OR object = 5 GROUP BY ALL")
+def internal_filter(spark, d):
+    low = entries(spark, d).withColumn("object", F.col("object").bitwiseAND(F.lit(31))).withColumn("parent", F.lit(5))
+    return namespace.ordinary(low).groupBy("object").agg(F.count("*").alias("n"))
+
+
+BELOW = "b(object) AS (SELECT CAST({top} AS BIGINT) UNION SELECT e.object FROM e JOIN b ON e.parent = b.object WHERE e.attributes & 1040 = 16)"
+
+
+@query("exclude_subtree", f"WITH RECURSIVE e AS ({NS_ENTRIES}), {BELOW.format(top=1002)} SELECT source, object, parent, name FROM e WHERE object <> 1002 AND parent NOT IN (SELECT object FROM b)")
+def exclude_subtree(spark, d):
+    return namespace.without_subtree(entries(spark, d), 1002).select("source", "object", "parent", "name")
+
+
+@query("subtree_distances", f"WITH RECURSIVE e AS ({NS_ENTRIES}), b(object, distance) AS (SELECT CAST(1002 AS BIGINT), 0 UNION ALL SELECT e.object, b.distance + 1 FROM e JOIN b ON e.parent = b.object WHERE e.attributes & 1040 = 16) SELECT object, distance FROM b")
+def subtree_distances(spark, d):
+    tops = spark.createDataFrame([("d:", 1002)], "source string, object long")
+    return namespace.descendants(entries(spark, d), tops).select("object", "distance")
+
+
+@query("prune_removed", f"WITH RECURSIVE e AS ({NS_ENTRIES}), r AS (SELECT object FROM e WHERE object BETWEEN 2001 AND 2004), b(object) AS (SELECT object FROM r UNION SELECT e.object FROM e JOIN b ON e.parent = b.object WHERE e.attributes & 1040 = 16) SELECT object, parent, name FROM e WHERE parent NOT IN (SELECT object FROM b) AND object NOT IN (SELECT object FROM r)")
+def prune_removed(spark, d):
+    all_ = entries(spark, d)
+    return namespace.pruned(all_, all_.where("object between 2001 and 2004")).select("object", "parent", "name")
+
+
+@query("scoped_semi_join", f"WITH e AS ({NS_ENTRIES}) SELECT source, object, parent, name FROM e WHERE parent IN (SELECT object FROM e WHERE object % 10 = 3 AND object < 10000000) OR object IN (SELECT object FROM e WHERE object % 10 = 3 AND object < 10000000)")
+def scoped_semi_join(spark, d):
+    all_ = entries(spark, d)
+    return listing.projected(all_, all_.where("object % 10 = 3 and object < 10000000"), objects=True).select("source", "object", "parent", "name")
+
+
+# journals and maintenance
+
+J = f"j AS ({JOURNAL})"
+TOLD = "t AS (SELECT * FROM j WHERE usn >= 100 AND usn < 400)"
+
+
+def told(spark, d) -> DataFrame:
+    return journal.window(notes(spark, d), 100, 400)
+
+
+@query("replay_window", f"WITH {J} SELECT source, usn, object, parent, reason, name FROM j WHERE usn >= 100 AND usn < 400")
+def replay_window(spark, d):
+    return journal.replay(notes(spark, d), 100, 400).select("source", "usn", "object", "parent", "reason", "name")
+
+
+@query("journal_bounds", f"WITH {J} SELECT source, min(usn) AS first, max(usn) + 1 AS next, count(*) AS n FROM j GROUP BY source")
+def journal_bounds(spark, d):
+    return journal.bounds(notes(spark, d))
+
+
+@query("retained_cursor", f"WITH {J}, b AS (SELECT min(usn) + 10 AS first, max(usn) + 1 AS next FROM j) SELECT usn, usn % 2 = 0 AND usn >= first AND usn <= next AS kept FROM j, b")
+def retained_cursor(spark, d):
+    all_ = notes(spark, d)
+    b = all_.agg(F.min("usn").alias("first"), F.max("usn").alias("last")).first()
+    probes = all_.select("usn", F.lit(0).alias("journal"), (F.col("usn") % 2).cast("int").alias("asked"))
+    kept = names.retained("journal", F.lit(b["first"] + 10), F.lit(b["first"]), F.lit(b["last"] + 1), "asked", F.col("usn"))
+    return probes.select("usn", kept.alias("kept"))
+
+
+@query("reason_mask_or", f"WITH {J} SELECT source, count(*) AS records, count(*) FILTER (reason & 256 <> 0) AS creations, count(*) FILTER (reason & 512 <> 0) AS deletions, bit_or(reason) AS reasons FROM j GROUP BY source")
+def reason_mask_or(spark, d):
+    return journal.statistics(notes(spark, d))
+
+
+@query("latest_dir_record", f"WITH {J} SELECT source, object, usn, parent, name, attributes FROM j WHERE attributes & 1040 = 16 AND reason & 8448 <> 0 QUALIFY row_number() OVER (PARTITION BY source, object ORDER BY usn DESC) = 1")
+def latest_dir_record(spark, d):
+    return journal.latest_directories(notes(spark, d))
+
+
+@query("dirty_parents", f"WITH e AS ({NS_ENTRIES}), {J}, {TOLD} SELECT DISTINCT source, parent FROM t UNION SELECT DISTINCT e.source, e.parent FROM e JOIN t ON e.object = t.object")
+def dirty_parents(spark, d):
+    return journal.dirty_parents(entries(spark, d), told(spark, d))
+
+
+DIRTY = f"WITH e AS ({NS_ENTRIES}), l AS ({NS_NOW}), {J}, {TOLD}, dirty AS (SELECT DISTINCT parent FROM t UNION SELECT DISTINCT e.parent FROM e JOIN t ON e.object = t.object)"
+
+
+@query("replace_children", DIRTY + "SELECT source, object, parent, name FROM e WHERE parent NOT IN (SELECT parent FROM dirty) UNION ALL SELECT source, object, parent, name FROM l WHERE parent IN (SELECT parent FROM dirty)")
+def replace_children(spark, d):
+    old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
+    return journal.replaced(old, journal.dirty_parents(old, told(spark, d)), now).select("source", "object", "parent", "name")
+
+
+CHANGED = ", a AS (SELECT source, parent, name, object, attributes FROM e WHERE parent IN (SELECT parent FROM dirty)), b AS (SELECT source, parent, name, object, attributes FROM l WHERE parent IN (SELECT parent FROM dirty)), c AS (SELECT source, parent FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION SELECT source, parent FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))"
+
+
+@query("unchanged_parents", DIRTY + CHANGED + "SELECT 'd:' AS source, parent FROM dirty WHERE parent NOT IN (SELECT parent FROM c)")
+def unchanged_parents(spark, d):
+    old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
+    dirty = journal.dirty_parents(old, told(spark, d))
+    return dirty.join(journal.changed_parents(old, now, dirty), ["source", "parent"], "left_anti")
+
+
+@query("discover_closure", f"WITH RECURSIVE l AS ({NS_ENTRIES}), b(object) AS (SELECT object FROM l WHERE object IN (1001, 2010) UNION SELECT l.object FROM l JOIN b ON l.parent = b.object WHERE l.attributes & 1040 = 16) SELECT object, parent, name FROM l WHERE parent IN (SELECT object FROM b)")
+def discover_closure(spark, d):
+    all_ = entries(spark, d)
+    starts = all_.where("object in (1001, 2010)").select("source", "object")
+    return journal.discovered(all_, all_.limit(0).select("source", "object"), starts).select("object", "parent", "name")
+
+
+@query("apply_journal", DIRTY + """, w AS (SELECT * FROM e WHERE object NOT IN (SELECT object FROM t WHERE attributes & 1040 = 16 AND reason & 8448 <> 0))
+SELECT source, object, parent, name, attributes FROM e WHERE parent NOT IN (SELECT parent FROM dirty)
+UNION ALL SELECT source, object, parent, name, attributes FROM l WHERE parent IN (SELECT parent FROM dirty)""")
+def apply_journal(spark, d):
+    old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
+    return journal.applied(old, told(spark, d), now).select("source", "object", "parent", "name", "attributes")
+
+
+@query("expected_actions", f"WITH {J}, x AS (SELECT object, parent, name, CASE WHEN usn % 3 = 0 THEN reason ELSE reason | 1 END AS mask FROM j WHERE usn % 5 = 0) SELECT x.*, EXISTS (SELECT 1 FROM j WHERE j.object = x.object AND j.parent = x.parent AND j.name = x.name AND j.reason & x.mask = x.mask) AS seen FROM x")
+def expected_actions(spark, d):
+    all_ = notes(spark, d)
+    mask = F.when(F.col("usn") % 3 == 0, F.col("reason")).otherwise(F.col("reason").bitwiseOR(F.lit(1)))
+    return journal.expected_actions(all_, all_.where("usn % 5 = 0").select("object", "parent", "name", mask.alias("mask")))
+
+
+@query("link_changes", f"WITH e AS ({NS_LINKS}) SELECT DISTINCT source, parent FROM e WHERE object IN (SELECT 4000000 + user_id FROM events WHERE event_type = 'purchase')")
+def link_changes(spark, d):
+    told_ = notes(spark, d).select(
+        "source", (F.col("object") + 3000000).alias("object"), F.when(F.col("reason") == 8192, 65536).otherwise(0).cast("long").alias("reason")
+    )
+    return journal.link_changes(told_, fixtures.view(spark, d, NS_LINKS))
+
+
+NOTICES = f"""n AS (SELECT 'u' || CAST(user_id % 10 AS STRING) AS source, event_id AS seq, CAST(event_id * 37 % 1000 + event_id * 60 AS BIGINT) AS at_ms,
+  CASE event_type WHEN 'click' THEN 'old' WHEN 'purchase' THEN 'new' WHEN 'error' THEN 'removed' ELSE 'modified' END AS action, 'p_' || CAST(event_id AS STRING) AS path FROM {{events}})"""
+
+
+@query("rename_pairs", f"WITH {NOTICES}, w AS (SELECT *, lead(action) OVER o AS na, lag(action) OVER o AS pa, lead(at_ms) OVER o - at_ms AS gap, at_ms - lag(at_ms) OVER o AS back, lag(path) OVER o AS pp FROM n WINDOW o AS (PARTITION BY source ORDER BY seq))" + """
+SELECT source, seq, CASE WHEN action = 'new' AND coalesce(pa = 'old' AND back < 1500, FALSE) THEN 'rename' WHEN action = 'removed' THEN 'remove' WHEN action IN ('old', 'new') THEN 'loss' ELSE 'refresh' END AS kind, path,
+  CASE WHEN action = 'new' AND coalesce(pa = 'old' AND back < 1500, FALSE) THEN pp END AS source_path,
+  action IN ('old', 'new') AND NOT (action = 'new' AND coalesce(pa = 'old' AND back < 1500, FALSE)) AS loss
+FROM w WHERE NOT (action = 'old' AND coalesce(na = 'new' AND gap < 1500, FALSE))""")
+def rename_pairs(spark, d):
+    notices = fixtures.view(spark, d, f"WITH {NOTICES} SELECT * FROM n")
+    return journal.rename_pairs(notices, 1500)
+
+
+@query("undo_first_value", "SELECT user_id AS key, arg_min(event_type, event_id) AS old FROM events GROUP BY user_id")
+def undo_first_value(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return journal.first_values(events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("old")))
+
+
+@query("adjacent_duplicates", f"WITH e AS ({NS_BROKEN}) SELECT source, parent, name, object FROM e QUALIFY lag(name) OVER (PARTITION BY source, parent ORDER BY name, object) = name")
+def adjacent_duplicates(spark, d):
+    from pyspark.sql import Window
+
+    before = F.lag("name").over(Window.partitionBy("source", "parent").orderBy("name", "object"))
+    return broken(spark, d).withColumn("before", before).where("before = name").select("source", "parent", "name", "object")
+
+
+# inventories
+
+
+def old_inventory(spark, d) -> DataFrame:
+    return fixtures.view(spark, d, INV_OLD)
+
+
+INV = f"WITH a AS ({INV_OLD}), b AS ({INV_NEW})"
+
+
+@query("inventory_diff", INV + "SELECT coalesce(a.path, b.path) AS path, a.kind AS old_kind, b.kind AS new_kind FROM a FULL JOIN b ON a.path = b.path WHERE a.kind IS DISTINCT FROM b.kind")
+def inventory_diff(spark, d):
+    return inventory.diff(old_inventory(spark, d), fixtures.view(spark, d, INV_NEW))
+
+
+@query("changed_path_count", INV + "SELECT count(*) AS changed FROM a FULL JOIN b ON a.path = b.path WHERE a.kind IS DISTINCT FROM b.kind")
+def changed_path_count(spark, d):
+    return inventory.diff(old_inventory(spark, d), fixtures.view(spark, d, INV_NEW)).agg(F.count("*").alias("changed"))
+
+
+@query("missing_extra", INV + "SELECT path, kind, 'missing' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT path, kind, 'extra' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def missing_extra(spark, d):
+    return inventory.differences(old_inventory(spark, d), fixtures.view(spark, d, INV_NEW))
+
+
+@query("overlay_merge", DOCS + ", o AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE path || '.new' END AS path FROM f WHERE id % 3 = 0) SELECT id, path FROM f WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT id, path FROM o WHERE path IS NOT NULL")
+def overlay_merge(spark, d):
+    base = fixtures.view(spark, d, DOC_PATHS)
+    overlay = base.where("id % 3 = 0").select("id", F.when(F.col("id") % 4 != 0, F.concat("path", F.lit(".new"))).alias("path"))
+    return inventory.overlaid(base, overlay)
+
+
+@query("prefix_remove", f"WITH a AS ({INV_OLD}) SELECT path, kind FROM a WHERE path <> 'en/src3' AND NOT starts_with(path, 'en/src3/')")
+def prefix_remove(spark, d):
+    return inventory.removed(old_inventory(spark, d), "en/src3")
+
+
+@query("prefix_rename", f"WITH a AS ({INV_OLD}) SELECT CASE WHEN starts_with(path, 'en/src3/') THEN 'fr/src4' || substr(path, 8) ELSE path END AS path, kind FROM a WHERE NOT starts_with(path, 'fr/src4/')")
+def prefix_rename(spark, d):
+    return inventory.renamed(old_inventory(spark, d), "en/src3", "fr/src4")
+
+
+@query("ancestor_presence", f"WITH f AS (SELECT path FROM ({DOC_PATHS}) AS a WHERE path IS NOT NULL) SELECT DISTINCT p AS path FROM (SELECT unnest([string_split(path, '/')[1], string_split(path, '/')[1] || '/' || string_split(path, '/')[2]]) AS p FROM f)")
+def ancestor_presence(spark, d):
+    return inventory.missing_ancestors(fixtures.view(spark, d, DOC_PATHS).select("path", F.lit("file").alias("kind")))
+
+
+@query("directory_count", f"WITH a AS ({INV_OLD}) SELECT count(*) AS entries, count(*) FILTER (kind = 'directory') + 1 AS directories, CAST(max(len(string_split(path, '/'))) AS INTEGER) AS deepest, CAST(sum(strlen(path)) AS BIGINT) AS path_bytes FROM a")
+def directory_count(spark, d):
+    return inventory.measures(old_inventory(spark, d))
+
+
+CHANGES = f"""c AS (SELECT id AS seq, CASE id % 3 WHEN 0 THEN 'rename' WHEN 1 THEN 'refresh' ELSE 'remove' END AS kind, CASE WHEN id % 3 <> 0 THEN path END AS path,
+  CASE WHEN id % 3 = 0 THEN lang_dir END AS source, CASE WHEN id % 3 = 0 THEN 'moved/d' || CAST(id % 8 AS STRING) END AS target
+  FROM (SELECT doc_id AS id, lang || '/' || source || '/doc_' || CAST(doc_id AS STRING) AS path, lang || '/' || source AS lang_dir FROM {{documents}} WHERE doc_id < 120 AND lang IS NOT NULL AND source IS NOT NULL) AS x)"""
+
+
+@query("dependent_rename", f"WITH {CHANGES}, t AS (SELECT seq, unnest(CASE WHEN kind = 'rename' THEN [source, target] ELSE [path] END) AS p FROM c) SELECT DISTINCT c.seq FROM c JOIN t ON t.seq < c.seq AND (t.p = c.source OR starts_with(t.p, c.source || '/') OR starts_with(c.source, t.p || '/')) WHERE c.kind = 'rename' AND c.target IN ('moved/d0', 'moved/d3', 'moved/d5')")
+def dependent_rename(spark, d):
+    changes = fixtures.view(spark, d, f"WITH {CHANGES} SELECT * FROM c")
+    live = spark.createDataFrame([("moved/d0", "directory"), ("moved/d3", "directory"), ("moved/d5", "directory"), ("moved/d1", "file")], "path string, kind string")
+    return inventory.dependent_renames(changes, live)
+
+
+@query("unsafe_changes", f"WITH {CHANGES}, x AS (SELECT seq, kind, CASE seq % 7 WHEN 1 THEN '/' || path WHEN 2 THEN path || '/..' WHEN 3 THEN path || ':s' ELSE path END AS path, source, target FROM c) SELECT seq, kind FROM x WHERE kind <> 'rename' AND seq % 7 IN (1, 2, 3)")
+def unsafe_changes(spark, d):
+    k = F.col("seq") % 7
+    odd = F.when(k == 1, F.concat(F.lit("/"), "path")).when(k == 2, F.concat("path", F.lit("/.."))).when(k == 3, F.concat("path", F.lit(":s"))).otherwise(F.col("path"))
+    changes = fixtures.view(spark, d, f"WITH {CHANGES} SELECT * FROM c").withColumn("path", odd)
+    return inventory.bad_changes(changes).select("seq", "kind")
+
+
+# the index
+
+GRAMS = FLAT + ", g AS (SELECT DISTINCT id // 64 AS block, unnest(list_transform(range(1, length(low) - 1), lambda i: substr(low, i, 3))) AS gram FROM f WHERE length(low) >= 3)"
+
+
+@query("trigram_postings", GRAMS + "SELECT gram, count(*) AS blocks, CAST(min(block) AS BIGINT) AS first, CAST(max(block) AS BIGINT) AS last FROM g GROUP BY gram")
+def trigram_postings(spark, d):
+    return index.postings(flat(spark, d)).groupBy("gram").agg(F.count("*").alias("blocks"), F.min("block").alias("first"), F.max("block").alias("last"))
+
+
+@query("indexed_search", FLAT + "SELECT id, path FROM f WHERE contains(low, 'example') AND contains(low, '1') AND contains(low, '/a')")
+def indexed_search(spark, d):
+    rows = flat(spark, d)
+    return index.indexed_search(rows, index.postings(rows), index.signatures(rows), "example 1 /a")
+
+
+@query("block_ids", DOCS + "SELECT id // 64 AS block, count(*) AS n, min(path) AS first FROM f GROUP BY block")
+def block_ids(spark, d):
+    rows = fixtures.view(spark, d, DOC_PATHS)
+    return rows.groupBy(index.block_of(F.col("id")).alias("block")).agg(F.count("*").alias("n"), F.min("path").alias("first"))
+
+
+# the rest
+
+
+@query("percentile_nearest_rank", "WITH v AS (SELECT event_type, list_sort(list(value)) AS s FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, s[CAST(ceil((len(s) - 1) * 0.5) AS INTEGER) + 1] AS p50, s[CAST(ceil((len(s) - 1) * 0.95) AS INTEGER) + 1] AS p95 FROM v")
+def percentile_nearest_rank(spark, d):
+    v = spark.read.parquet(f"{d}/events.parquet").where("value is not null")
+    return v.groupBy("event_type").agg(names.nearest_rank(F.col("value"), 0.5).alias("p50"), names.nearest_rank(F.col("value"), 0.95).alias("p95"))
+
+
+@query("synthetic_corpus", """SELECT id, 'C:/corpus/项目/workspace_' || printf('%03d', id // 4096 % 64) || '/src/module_' || printf('%03d', id // 64 % 64) || '/' ||
+  replace(['report_%.pdf', '报告_%.docx', 'image_%.png', 'source_%.rs', 'invoice_%.txt', 'ab_notes_%.md', 'backup_%.zip', '日志_%.log', 'video_%.mp4', 'readme_%.md'][id % 10 + 1], '%', printf('%08d', id)) AS path FROM range(20000) AS r(id)""")
+def synthetic_corpus(spark, d):
+    return listing.synthetic(spark, 20_000)
+
+
+@query("extensions", FLAT + "SELECT path, CASE WHEN contains(string_split(path, '/')[-1], '.') THEN string_split(string_split(path, '/')[-1], '.')[-1] END AS ext, string_split(path, '/')[-1] AS base FROM f")
+def extensions(spark, d):
+    base = names.basename(F.col("path"))
+    return flat(spark, d).select("path", names.extension(base).alias("ext"), base.alias("base"))
+
+
+@query("scan_exclusions", DOCS + ", p AS (SELECT id, CASE id % 4 WHEN 0 THEN 'target/' || path WHEN 1 THEN 'a/.git/' || path WHEN 2 THEN path || '/work' ELSE path END AS path FROM f) SELECT id, path FROM p WHERE id % 4 >= 2")
+def scan_exclusions(spark, d):
+    k = F.col("id") % 4
+    odd = F.when(k == 0, F.concat(F.lit("target/"), "path")).when(k == 1, F.concat(F.lit("a/.git/"), "path")).when(k == 2, F.concat("path", F.lit("/work"))).otherwise(F.col("path"))
+    return listing.kept(fixtures.view(spark, d, DOC_PATHS).withColumn("path", odd))
+
+
+@query("path_inventory", DOCS + "SELECT path, 'file' AS kind FROM f UNION ALL SELECT DISTINCT p, 'directory' FROM (SELECT unnest([string_split(path, '/')[1], string_split(path, '/')[1] || '/' || string_split(path, '/')[2]]) AS p FROM f)")
+def path_inventory(spark, d):
+    return listing.inventory(fixtures.view(spark, d, DOC_PATHS))
