@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,26 @@ def dropped(df: DataFrame) -> None:
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(conf).delete(path, True)
+
+
+#: Bytes of an Arrow batch on its way to a Python worker; long texts would else fill 64 MB each.
+BATCH_BYTES = 4 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Prepares Python workers: small Arrow batches, and this package sent to them, once in a session's life."""
+    sc, limit = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
+    if getattr(sc, "_pathloom_sent", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.realpath(os.path.join(tempfile.mkdtemp(prefix="pathloom-"), "pathloom.zip"))
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("pathloom", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._pathloom_sent = True
