@@ -18,7 +18,6 @@ repeated rows are kept; an empty table gives no rows; further columns are ignore
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -29,11 +28,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.memo import Memo, once
+from pathloom.llm.memo import once
 from pathloom.llm.rows import small
-from pathloom.session import written
+from pathloom.session import ship, written
 
-TRAIN, WORDS, GRAMS, ORDER, FOLDS, HELD = 20_000, 100_000, 60_000, 5, 5, 0
+TRAIN, WORDS, GRAMS, ORDER, FOLDS, HELD = 20_000, 50_000, 30_000, 5, 5, 0
+#: Words whose scores a worker remembers; words longer than LONGEST are never known, only their n-grams.
+MEMORY, LONGEST = 100_000, 64
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -46,55 +47,71 @@ def grams(word: str, n: int) -> list[str]:
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts (lang, n, key, times) of words (n = 0) and n-grams."""
-    for batch in batches:
+    for batch in small(batches, "text", 4 << 20):
         by_lang: dict[str, Counter] = defaultdict(Counter)
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
             by_lang[lang].update(_LETTERS.findall((text or "").lower()))
-        out = []
+        langs, orders, keys, times_ = [], [], [], []
         for lang, words in by_lang.items():
-            found: Counter = Counter()
+            tables = [Counter({w: c for w, c in words.items() if len(w) <= LONGEST}), *[Counter() for _ in range(ORDER)]]
             for word, times in words.items():
-                if len(word) <= 64:
-                    found[0, word] += times
                 for n in range(1, ORDER + 1):
                     for g in grams(word, n):
-                        found[n, g] += times
-            out += [(lang, n, key, times) for (n, key), times in found.items()]
-        cols = list(zip(*out)) or [[]] * 4
+                        tables[n][g] += times
+            for n, table in enumerate(tables):
+                langs += [lang] * len(table)
+                orders += [n] * len(table)
+                keys += table.keys()
+                times_ += table.values()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())],
+            [pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(keys, pa.string()), pa.array(times_, pa.int64())],
             ["lang", "n", "key", "times"],
         )
 
 
 class Model:
-    """Log frequencies by language: words and n-grams to arrays."""
+    """Log frequencies by language. Scores of words met are kept in a matrix of MEMORY rows, then met anew."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]], floors: list[np.ndarray], memory: int = 200_000):
-        self.langs, self.tables, self.floors = langs, tables, floors
-        self.memo = Memo(self.word, memory)
+    def __init__(self, langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]]):
+        self.langs, self.tables = langs, tables
+        self.place: dict[str, int] = {}
+        self.scores = np.zeros((MEMORY, len(langs)))
 
     def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
+        places, values = self.tables[0]
+        if (at := places.get(word)) is not None:
+            return values[at]
         for n in range(ORDER, 0, -1):
-            found = [x for g in grams(word, n) if (x := self.tables[n].get(g)) is not None]
+            places, values = self.tables[n]
+            found = [at for g in grams(word, n) if (at := places.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return values[found].mean(0)
         return np.zeros(len(self.langs))
 
+    def _at(self, word: str) -> int:
+        at = self.place.get(word)
+        if at is None:
+            at = self.place[word] = len(self.place)
+            self.scores[at] = self.word(word)
+        return at
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(_LETTERS.findall((text or "").lower()))
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        total = np.fromiter(words.values(), float, len(words)) @ np.array(list(map(self.memo.__getitem__, words)))
+        total, keys = np.zeros(len(self.langs)), list(words)
+        for at in range(0, len(keys), MEMORY // 4):
+            part = keys[at : at + MEMORY // 4]
+            if len(self.place) + len(part) > MEMORY:
+                self.place.clear()
+            total += np.fromiter(map(words.__getitem__, part), float, len(part)) @ self.scores[list(map(self._at, part))]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
-def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[dict], list]:
+def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[tuple[dict[str, int], np.ndarray]]]:
     """The parts of a Model from docs (doc_id, text, lang) of the folds that may be learned from."""
+    ship(docs.sparkSession)
     may = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD)
     ).select("doc_id", "lang", "text")
@@ -107,8 +124,7 @@ def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[dict], list]:
     totals = {(r["lang"], r["n"]): r["times"] for r in counted.groupBy("lang", "n").agg(F.sum("times").alias("times")).collect()}
     langs = sorted({lang for lang, _ in totals})
     place = {lang: k for k, lang in enumerate(langs)}
-    tables: list[dict] = []
-    floors: list = []
+    tables = []
     for n, most in [(0, WORDS), *[(k, GRAMS // ORDER) for k in range(1, ORDER + 1)]]:
         by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "times")))
         top = (
@@ -118,15 +134,12 @@ def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[dict], list]:
         total = np.array([totals.get((lang, n), 0) for lang in langs], float)
         spread = 0.1 if n == 0 else 0.5
         under = np.log(total + spread * (len(top) + 1))
-        table = {}
-        for r in top:
-            times = np.full(len(langs), spread)
+        values = np.full((len(top), len(langs)), spread)
+        for k, r in enumerate(top):
             for lang, c in r["by"].items():
-                times[place[lang]] += c
-            table[r["key"]] = np.log(times) - under
-        tables.append(table)
-        floors.append(math.log(spread) - under)
-    return langs, tables, floors
+                values[k, place[lang]] += c
+        tables.append(({r["key"]: k for k, r in enumerate(top)}, np.log(values) - under))
+    return langs, tables
 
 
 def identified(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
@@ -135,7 +148,7 @@ def identified(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     key = uuid.uuid4().hex
 
     def predicted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = once(("language", key), lambda: Model(*shared.value))
+        model = once("language", key, lambda: Model(*shared.value))
         for batch in small(batches, "text"):
             found = [model.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -160,7 +173,7 @@ def spoken(docs: DataFrame, least: float = 0.5) -> DataFrame:
     key = uuid.uuid4().hex
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = once(("language", key), lambda: Model(*shared.value))
+        model = once("language", key, lambda: Model(*shared.value))
         for batch in small(batches, "text"):
             found = [model.predict(t) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))

@@ -33,8 +33,8 @@ class Memo(dict):
 _LOADED: dict = {}
 
 
-def once(key, load: Callable):
-    """load(), once in each Python worker for a key; a worker serves many tasks."""
-    if key not in _LOADED:
-        _LOADED[key] = load()
-    return _LOADED[key]
+def once(kind: str, key, load: Callable):
+    """load(), once in each Python worker for a key; a worker serves many tasks, and keeps one key of a kind."""
+    if _LOADED.get(kind, (None,))[0] != key:
+        _LOADED[kind] = (key, load())
+    return _LOADED[kind][1]
