@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.vectors import matrix, sound
 from pathloom.operators.components import components
-from pathloom.session import written
+from pathloom.session import ship, written
 
 COSINE, CELL, PIVOTS, BLOCK, SEED = 0.93, 4096, 8192, 2048, 11
 SLACK = 1e-7
@@ -126,7 +126,7 @@ def _joined(cosine: float):
 
 def near_duplicates(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of table (vec_id, embedding, label)."""
-    spark = table.sparkSession
+    ship(table.sparkSession)
     rows = table.select("vec_id", "label", "embedding")
     takes = (
         F.col("label").isNotNull()

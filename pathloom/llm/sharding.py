@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.session import written
+from pathloom.session import ship, written
 
 SHARDS, PIECES, ROWS, SAMPLE, SEED, WHOLE = 24, 64, 500_000, 40_000, 7, 4
 
@@ -49,6 +49,7 @@ def assigned(sizes: list[int], shards: int) -> list[int]:
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
+    ship(spark)
     text = F.col("text")
     keyed = written(
         docs.select(

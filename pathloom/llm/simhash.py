@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.rows import runs, small, texts
 from pathloom.operators.components import components
-from pathloom.session import written
+from pathloom.session import ship, written
 
 RING, WIDTH, MOST = 8, 8, 3
 #: The largest number of classes under one key that one task compares.
@@ -128,6 +128,7 @@ def near_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     Enough links to connect all that the full set connects. Keys that more than `block`
     classes share are dealt out over pairs of blocks, so no task gets a whole hot key.
     """
+    ship(classes.sparkSession)
     filed = classes.select(
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m, _ in masks()])).alias("pos", "v")
     )
@@ -157,6 +158,7 @@ def near_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "classes")
     reached = components(near_links(classes.select("fp"))).withColumnRenamed("node", "fp")

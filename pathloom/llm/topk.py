@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.vectors import matrix, sound
-from pathloom.session import written
+from pathloom.session import ship, written
 
 K, EVERY, SCALE = 20, 20, 64
 SEEDS, QUERIES_A_BLOCK, BUCKET, COSINE, FOCUS = 4096, 1024, 512, 0.6, 4
@@ -104,6 +104,7 @@ def block_best(q: np.ndarray, q_ids: np.ndarray, thresholds: np.ndarray, v: np.n
 
 def top_k(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best for each row whose vec_id is divisible by `every`."""
+    ship(table.sparkSession)
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int"))
     v = written(table.select("vec_id", "embedding").where(sound(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", whole.alias("v")), "vectors")
     n, distinct = v.agg(F.count("*"), F.count_distinct("vec_id")).first()
