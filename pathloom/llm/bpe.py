@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm.memo import Memo, once
 from pathloom.llm.rows import small
+from pathloom.session import ship
 
 #: Fixed value: the White_Space characters of Unicode.
 BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -97,6 +98,7 @@ class Transducer:
         self.surface = [s.encode() for s in self.names]
         self.bytes = [self._undone(s, back) for s in self.names]
         self.memo = Memo(self._word, memory)
+        self.parts = Memo(self._part, memory // 2)
 
     def _undone(self, name: str, back: dict[str, int]) -> bytes:
         if name in self.added:
@@ -109,22 +111,18 @@ class Transducer:
 
     def merged(self, symbols: list[int]) -> list[int]:
         """All rules applied to symbols that fit into the window."""
-        rules = self.rules
-        if len(symbols) > 48:
+        if len(symbols) > 200:
             return self._merged_long(symbols)
-        while len(symbols) > 1:
-            best = min([rules.get((a << 17) | b, 1 << 60) for a, b in zip(symbols, symbols[1:])])
-            if best == 1 << 60:
-                break
-            new, out, k, n = best & 0x1FFFF, [], 0, len(symbols)
-            while k < n:
-                if k + 1 < n and rules.get((symbols[k] << 17) | symbols[k + 1]) == best:
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(symbols[k])
-                    k += 1
-            symbols = out
+        get, none = self.rules.get, 1 << 60
+        known = [get((a << 17) | b, none) for a, b in zip(symbols, symbols[1:])]
+        while known and (best := min(known)) != none:
+            k = known.index(best)
+            symbols[k : k + 2] = [best & 0x1FFFF]
+            del known[k]
+            if k < len(known):
+                known[k] = get((symbols[k] << 17) | symbols[k + 1], none)
+            if k:
+                known[k - 1] = get((symbols[k - 1] << 17) | symbols[k], none)
         return symbols
 
     def _merged_long(self, symbols: list[int]) -> list[int]:
@@ -153,7 +151,7 @@ class Transducer:
             kept.append(symbol)
             if len(kept) >= self.window:
                 at, stable = 0, len(kept) - self.lookahead
-                for token in self.merged(kept):
+                for token in self.merged(list(kept)):
                     if at + self.length[token] > stable:
                         break
                     at += self.length[token]
@@ -166,9 +164,16 @@ class Transducer:
         symbols = [self.plain[b] for b in data[:-1]] + [self.last[data[-1]]]
         return self.merged(symbols) if len(symbols) < self.window else self.stream(symbols)
 
+    def _part(self, part: str) -> tuple[bytes, int, bytes]:
+        ids = self.pre_token(part)
+        ids = ids if isinstance(ids, list) else list(ids)
+        return b" ".join([b"%d" % i for i in ids]), len(ids), b" ".join([self.surface[i] for i in ids])
+
     def _word(self, word: str) -> tuple[bytes, int, bytes]:
-        ids = [i for part in self.split.findall(word) for i in self.pre_token(part)]
-        return b" ".join(b"%d" % i for i in ids), len(ids), b" ".join(self.surface[i] for i in ids)
+        if len(parts := self.split.findall(word)) == 1:
+            return self._part(parts[0])
+        found = [self.parts[p] for p in parts]
+        return b" ".join([x[0] for x in found]), sum([x[1] for x in found]), b" ".join([x[2] for x in found])
 
     def normal(self, text: str) -> str:
         if text.isascii():
@@ -238,11 +243,12 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     path: a tokenizer file; the driver reads it and broadcasts it, a few megabytes.
     """
+    ship(docs.sparkSession)
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = once(("bpe", path), lambda: Transducer(shared.value))
+        coder = once("bpe", path, lambda: Transducer(shared.value))
         for batch in small(batches, "text"):
             found = [coder.digests(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
