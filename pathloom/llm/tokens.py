@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm.memo import Memo, once
 from pathloom.llm.rows import small
+from pathloom.session import ship
 
 SPACE = "\u2581"
 LIMIT = 4096
@@ -56,19 +57,23 @@ class Counter:
             raise ValueError("a piece has a blank inside: pre-tokens would not stand alone")
         self.pairs = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
         self.whole = frozenset(p for p in self.rank if len(self._merged(p)) == 1)
+        #: The tokens of a line feed, if it merges with nothing.
+        self.newline = 0 if any("\n" in p for p in self.pairs) else 1
         self.memo = Memo(self._counted, memory)
+        self.parts = Memo(self._part, memory // 2)
 
     def _merged(self, text: str) -> list[str]:
         """The pieces of a short text."""
-        rank, parts = self.rank, list(text)
-        while len(parts) > 1:
-            joined = list(map("".join, zip(parts, parts[1:])))
-            known = [rank.get(j, 3e38) for j in joined]
-            best = min(known)
-            if best == 3e38:
-                break
+        get, none, parts = self.rank.get, 3e38, list(text)
+        known = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while known and (best := min(known)) != none:
             k = known.index(best)
-            parts[k : k + 2] = [joined[k]]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del known[k]
+            if k < len(known):
+                known[k] = get(parts[k] + parts[k + 1], none)
+            if k:
+                known[k - 1] = get(parts[k - 1] + parts[k], none)
         return parts
 
     def _merged_long(self, text: str) -> list[str]:
@@ -89,17 +94,19 @@ class Counter:
                     heapq.heappush(heap, (r, a, s[a] + s[right[a]]))
         return [x for x in s if x]
 
+    def _part(self, part: str) -> int:
+        pieces = self._merged(part) if len(part) <= 200 else self._merged_long(part)
+        return sum([1 if p in self.rank else len(p.encode("utf-8", "surrogatepass")) for p in pieces])
+
     def _counted(self, word: str) -> int:
         """The tokens of one pre-token."""
         if word in self.whole:
             return 1
-        n, at = 0, 0
-        for k in range(1, len(word) + 1):
-            if k == len(word) or word[k - 1 : k + 1] not in self.pairs:
-                part, at = word[at:k], k
-                pieces = [part] if len(part) == 1 else self._merged(part) if len(part) <= 48 else self._merged_long(part)
-                n += sum(1 if p in self.rank else len(p.encode("utf-8", "surrogatepass")) for p in pieces)
-        return n
+        pairs = self.pairs
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs]
+        if not cuts:
+            return self._part(word)
+        return sum([self.parts[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)])])
 
     def count(self, text: str | None) -> int:
         """The tokens of a whole text, slice by slice (cut before a blank)."""
@@ -110,15 +117,16 @@ class Counter:
             stop = size
             if size - at > SLICE and (cut := _START.search(text, at + SLICE)):
                 stop = cut.end() - 1
-            piece = text[at:stop]
-            if at and piece[0] == " ":
-                piece = piece[1:]
-            words = piece.split(" ")
-            if "" in words or SPACE in piece:
-                words = _PRE.findall(SPACE + piece.replace(" ", SPACE))
-                n += sum(map(seen, words))
-            else:
-                n += sum(map(seen, [SPACE + w for w in words]))
+            lines = [text[at:stop] if at else " " + text[:stop]]
+            if self.newline:
+                lines = lines[0].split("\n")
+                n += self.newline * (len(lines) - 1)
+            for line in lines:
+                first, *words = line.split(" ")
+                if "" in words or SPACE in line:
+                    n += sum(map(seen, _PRE.findall(line.replace(" ", SPACE))))
+                else:
+                    n += (seen(first) if first else 0) + sum(map(seen, [SPACE + w for w in words]))
             at = stop
         return n
 
@@ -133,11 +141,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     path: a model file; the driver reads it and broadcasts it, under a megabyte.
     """
+    ship(docs.sparkSession)
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = once(("tokens", path), lambda: Counter(shared.value))
+        counter = once("tokens", path, lambda: Counter(shared.value))
         for batch in small(batches, "text"):
             values = batch.column("text").to_pylist()
             tokens = np.array([counter.count(t) for t in values], np.int64)
