@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.names import under, valid_change_path
+from pathloom.session import written
+
+
+class CorrectionNeeded(RuntimeError):
+    """A batch of changes can't be applied; the inventory must be listed anew."""
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -111,3 +116,44 @@ def refreshed(inventory: DataFrame, listing: DataFrame, tops: DataFrame) -> Data
         return hit.select("path").distinct()
 
     return inventory.join(below(inventory), "path", "left_anti").unionByName(listing.join(below(listing), "path", "left_semi").select(*inventory.columns))
+
+
+QUEUE = 256
+
+
+def applied(inventory: DataFrame, changes: DataFrame, listing: DataFrame) -> DataFrame:
+    """inventory after an ordered batch of changes (seq, kind, path, source, target), at most QUEUE.
+
+    Refreshes and rename targets look at the listing, the state at the end of the batch.
+    CorrectionNeeded for unusable paths, dependent renames, or a rename that changes a kind.
+    """
+    rows = changes.orderBy("seq").limit(QUEUE + 1).collect()
+    if len(rows) > QUEUE or bad_changes(changes).head(1) or dependent_renames(changes, listing).head(1):
+        raise CorrectionNeeded("too many, unusable or dependent changes")
+
+    def kind_of(table: DataFrame, path: str) -> str | None:
+        found = table.where(F.col("path") == path).head(1)
+        return found[0].kind if found else None
+
+    def refresh(now: DataFrame, path: str) -> DataFrame:
+        return removed(now, path).unionByName(listing.where(under(F.col("path"), F.lit(path))).select(*now.columns))
+
+    now = inventory
+    for k, c in enumerate(rows):
+        if c.kind == "remove":
+            now = removed(now, c.path)
+        elif c.kind == "refresh":
+            now = refresh(now, c.path)
+        elif c.source != c.target:
+            target, old = kind_of(listing, c.target), kind_of(now, c.source)
+            if target is None:
+                now = removed(now, c.source)
+            elif old is None:
+                now = refresh(now, c.target)
+            elif old != target:
+                raise CorrectionNeeded("a rename changes a kind")
+            else:
+                now = renamed(now, c.source, c.target)
+        if k % 16 == 15:
+            now = written(now, "inventory")
+    return now

@@ -27,9 +27,10 @@ def bounds(journal: DataFrame) -> DataFrame:
     return journal.groupBy("source").agg(F.min("usn").alias("first"), (F.max("usn") + 1).alias("next"), F.count("*").alias("n"))
 
 
-def window(journal: DataFrame, cursor: int, cutoff: int) -> DataFrame:
-    """The records from cursor up to, but without, cutoff. A range on usn reaches the scan."""
-    return journal.where((F.col("usn") >= cursor) & (F.col("usn") < cutoff))
+def window(journal: DataFrame, cursor: int, cutoff: int, mask: int | None = None) -> DataFrame:
+    """The records from cursor up to, but without, cutoff, with a bit of the mask. A range on usn reaches the scan."""
+    found = journal.where((F.col("usn") >= cursor) & (F.col("usn") < cutoff))
+    return found if mask is None else found.where(any_bit(F.col("reason"), mask))
 
 
 def record_bytes(name: Column) -> Column:

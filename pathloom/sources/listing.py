@@ -55,3 +55,19 @@ def projected(records: DataFrame, parents: DataFrame, objects: bool = False) ->
         return by_parent
     own = records.join(parents.select("source", "object").distinct(), ["source", "object"], "left_semi")
     return by_parent.select(*records.columns).unionByName(own.select(*records.columns)).distinct()
+
+
+def repeated_objects(records: DataFrame) -> DataFrame:
+    """(source, object, parent, name, n) of rows that a scan of a scope has told more than once."""
+    return records.groupBy("source", "object", "parent", "name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def sources(entries: DataFrame) -> DataFrame:
+    """(source): the volumes there are."""
+    return entries.select("source").distinct()
+
+
+def names_of(entries: DataFrame, most: int = 1024) -> DataFrame:
+    """(source, object, names, excess): all names of each object, and whether they are more than allowed."""
+    named = entries.groupBy("source", "object").agg(F.sort_array(F.collect_set(F.struct("parent", "name"))).alias("names"))
+    return named.withColumn("excess", F.size("names") > most)

@@ -10,7 +10,10 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathloom.session import ship
 
 MOST_BYTES, MOST_RECORDS, MOST_UNITS = 64 * 1024, 2048, 255
 #: By major version, header size and offsets of usn, reason, attributes and name fields; size of an id.
@@ -91,9 +94,30 @@ def records(batches: DataFrame, majors: tuple[int, ...] = (2,)) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
+    ship(batches.sparkSession)
     return batches.select("batch_id", "data").mapInArrow(decoded, SCHEMA)
 
 
+def files(spark: SparkSession, path: str, stream: bool = False, majors: tuple[int, ...] = (2,)) -> DataFrame:
+    """The records of a folder of batch files, read once or as a stream of new files."""
+    reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
+    found = reader.format("binaryFile").load(path)
+    return records(found.select(F.xxhash64("path").alias("batch_id"), F.col("content").alias("data")), majors)
+
+
+def journal_rows(decoded: DataFrame, source: str) -> DataFrame:
+    """Decoded records as journal rows; ids wider than 64 bits are refused when they are read."""
+    def narrow(c: str):
+        wide = F.hex(F.substring(c, 1, 8)) != "0" * 16
+        low = F.conv(F.hex(F.substring(c, 9, 8)), 16, -10).cast("long")
+        return F.when(wide, F.raise_error(F.lit("an id is wider than 64 bits")).cast("long")).otherwise(low)
+
+    return decoded.select(
+        F.lit(source).alias("source"), "usn", F.lit(None).cast("timestamp").alias("ts"), narrow("object").alias("object"),
+        narrow("parent").alias("parent"), "reason", F.col("attributes").cast("int").alias("attributes"), "name",
+    )
+
+
 def decode_notices(data: bytes) -> list[tuple[int, str | None]]:
     """(action, name) of a buffer of change notices: next offset, action, size of the name, name."""
     out, at = [], 0

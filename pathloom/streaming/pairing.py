@@ -40,10 +40,13 @@ def paired(rows: list[tuple], waiting: tuple | None, most_ms: int = MOST_MS) ->
     return out, waiting
 
 
-def rename_stream(notices: DataFrame, most_ms: int = MOST_MS, wait: str = "2 seconds") -> DataFrame:
-    """The changes in a stream of notices; a source's state is one waiting name."""
+def rename_stream(notices: DataFrame, most_ms: int = MOST_MS, wait_ms: int | None = 2000) -> DataFrame:
+    """The changes in a stream of notices; a source's state is one waiting name.
+
+    A name that waits longer than wait_ms is a loss. None: it waits for the next notice, for
+    streams that end when their input does (a stream with timeouts has always more to do).
+    """
     ship(notices.sparkSession)
-    timeout = int(wait.split()[0]) * 1000
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         waiting = state.get if state.exists else None
@@ -58,10 +61,11 @@ def rename_stream(notices: DataFrame, most_ms: int = MOST_MS, wait: str = "2 sec
                     state.remove()
             else:
                 state.update((int(waiting[0]), int(waiting[1]), waiting[2]))
-                state.setTimeoutDuration(timeout)
+                if wait_ms is not None:
+                    state.setTimeoutDuration(wait_ms)
         yield pd.DataFrame([(key[0], *r) for r in out], columns=[c.split()[0] for c in CHANGES.split(", ")])
 
-    return notices.groupBy("source").applyInPandasWithState(advance, CHANGES, STATE, "append", "ProcessingTimeTimeout")
+    return notices.groupBy("source").applyInPandasWithState(advance, CHANGES, STATE, "append", "NoTimeout" if wait_ms is None else "ProcessingTimeTimeout")
 
 
 def batch_verdict(changes: DataFrame, most: int = 256) -> dict:

@@ -125,6 +125,16 @@ class Store:
         self._error = None
         return m
 
+    def compact(self, files: int) -> Manifest:
+        """The newest version again in so many files, with the same cursor."""
+        m = self.manifest()
+        return self.publish(self.read().repartition(files), self.ticket(), m.source, m.journal, m.cursor)
+
+    def sparse(self, row_bytes: int = 64, file_bytes: int = 32 << 20) -> bool:
+        """Whether the newest version has more than twice the files that its rows need."""
+        m, files = self.manifest(), len(self.read().inputFiles())
+        return files > 2 * max(1, m.records * row_bytes // file_bytes)
+
     # readers
 
     def lease(self, version: int | None = None) -> str:

@@ -103,7 +103,7 @@ def test_rename_pairing_stream_equals_batch(spark, tmp_path):
         df.where((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(pairing.NOTICES).option("maxFilesPerTrigger", 1).parquet(folder)
     spark.conf.set("spark.sql.shuffle.partitions", "2")
-    out = pairing.rename_stream(stream, 250, "600 seconds").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o"))
+    out = pairing.rename_stream(stream, 250, None).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o"))
     out.trigger(availableNow=True).start().awaitTermination(180)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     got = {tuple(r) for r in spark.read.schema(pairing.CHANGES).parquet(str(tmp_path / "o")).select("source", "seq", "kind", "path", "source_path", "loss").collect()}
@@ -168,3 +168,81 @@ def test_responses_fit_their_frame(spark):
     assert got["files"] == [{"path": "d:/a/f.txt", "name": "f.txt", "is_directory": False}] and got["total"] == 1 and got["version"] == 7
     assert service.described(got) == "1 results"
     assert service.lines(["a\nb", "c"]) == "a\\nb\nc\n" and service.lines(["a\nb"], True) == "a\nb\0"
+
+
+def test_journal_files_to_rows(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/1.bin").write_bytes(record())
+    (tmp_path / "b/2.bin").write_bytes(usn.encode([((1 << 63) + 7, 70, 13, 0x2000, 16, "x".encode("utf-16-le"))]))
+    rows = usn.journal_rows(usn.files(spark, str(tmp_path / "b")), "d:").orderBy("usn").collect()
+    assert [(r.object, r.parent, r.usn, r.name) for r in rows] == [(70, 5, 12, "näme"), (7 - (1 << 63), 70, 13, "x")]
+    wide = usn.encode([(1 << 80, 5, 1, 0, 0, b"x\0")], 3)
+    df = usn.records(spark.createDataFrame([(1, bytearray(wide))], "batch_id long, data binary"), (3,))
+    with pytest.raises(Exception, match="wider"):
+        usn.journal_rows(df, "d:").collect()
+
+
+def test_notices_and_listings_decode():
+    name = "a".encode("utf-16-le")
+    one = struct.pack("<III", 16, 4, 2) + name + b"\0\0" + struct.pack("<III", 0, 5, 2) + name
+    assert usn.decode_notices(one) == [(4, "a"), (5, "a")]
+    with pytest.raises(usn.RecordError):
+        usn.decode_notices(one[:-1])
+    entry = bytearray(112)
+    struct.pack_into("<II", entry, 56, 16, 2)
+    struct.pack_into("<Q", entry, 96, 77)
+    entry[104:106] = name
+    dot = bytearray(entry)
+    dot[104:106] = b".\0"
+    struct.pack_into("<I", dot, 0, 112)
+    assert usn.decode_listing(bytes(dot) + bytes(entry), 5) == [(77, 5, 16, name)]
+
+
+def test_batches_of_changes(spark):
+    from pathloom.operators import inventory
+
+    inv = spark.createDataFrame([("a", "directory"), ("a/x", "file"), ("c", "file")], "path string, kind string")
+    now = spark.createDataFrame([("b", "directory"), ("b/x", "file"), ("d", "file")], "path string, kind string")
+    form = "seq int, kind string, path string, source string, target string"
+    changes = spark.createDataFrame([(1, "rename", None, "a", "b"), (2, "remove", "c", None, None), (3, "refresh", "d", None, None)], form)
+    assert {tuple(r) for r in inventory.applied(inv, changes, now).collect()} == {tuple(r) for r in now.collect()}
+    for bad in ([(1, "refresh", "../a", None, None)], [(1, "rename", None, "c", "b")], [(1, "remove", "a/x", None, None), (2, "rename", None, "a", "b")]):
+        with pytest.raises(inventory.CorrectionNeeded):
+            inventory.applied(inv, spark.createDataFrame(bad, form), now)
+
+
+def test_frames_rpc_and_dispatch():
+    import io
+
+    pipe = io.BytesIO()
+    service.write_frame(pipe, {"op": "status"})
+    pipe.seek(0)
+    assert service.dispatch(service.read_frame(pipe), lambda q: {}, lambda: {"error": None, "files": [], "ready": True})["ready"]
+    assert "invalid" in service.dispatch(b'{"op":"x"}', lambda q: {}, lambda: {})["error"]
+    for bad in (b"\0\0\0\0", b"\xff\xff\xff\x7f", b"\x05\0\0\0ab"):
+        with pytest.raises(ValueError):
+            service.read_frame(io.BytesIO(bad))
+    answer = lambda q, o: {"files": [{"name": q, "path": f"d:/{q}"}]}
+    assert service.rpc({"id": 1, "method": "plugin/query", "params": {"query": "x"}}, answer)["result"]["items"][0]["title"] == "x"
+    assert "error" in service.rpc({"id": 1, "method": "plugin/nothing"}, answer) and service.rpc({"method": "plugin/dispose"}, answer) is None
+    assert [service.backoff_ms(n) for n in (0, 1, 3, 9)] == [250, 500, 2000, 2000]
+
+
+def test_command_line_and_background_count(spark, tmp_path, capsys):
+    from pathloom import cli
+    from pathloom.plans.jobs import CountJob
+
+    path = str(tmp_path / "s")
+    assert cli.main(["--store", path, "query", "x"], spark) == 1
+    store = Store(spark, path)
+    maintain.bootstrap(store, table(spark, [(100, 5, "a", D), (200, 100, "f.txt", F_)]), "d:", "j", 3)
+    assert cli.main(["--store", path, "query", "--type", "files", "--limit", "5", "F"], spark) == 0
+    assert capsys.readouterr().out.endswith("d:/a/f.txt\n")
+    assert cli.main(["--store", path, "query", "--limit", "0", "f"], spark) == 2 and cli.main(["--store", path, "query"], spark) == 2
+    assert store.sparse() is False and store.compact(1).cursor == 3 and store.read().count() == 2
+    job = CountJob(store.read())
+    assert job.wait(60) == 2 and job.state == "complete" and job.progress() == 1.0
+    slow = CountJob(spark.range(4_000_000_000).selectExpr("sha2(cast(id as string), 512) as x").where("x like '%zz%'"))
+    slow.cancel()
+    slow.wait(60)
+    assert slow.count is None or slow.state == "complete"
