@@ -61,6 +61,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that this session wrote to the shared folder; frames that read them are then useless."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes of an Arrow batch on its way to a Python worker; long texts would else fill 64 MB each.
 BATCH_BYTES = 4 << 20
 
