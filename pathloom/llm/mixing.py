@@ -77,7 +77,9 @@ def _mix(
     docs needs doc_id and source; weights repeat over the sources by code point; the
     targets share `share` times all sizes; no document is taken more than `epochs` times.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    # rows without a doc_id are told apart by their other columns, so that they don't meet in one bucket
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row:"), F.xxhash64(*docs.columns).cast("string")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     base = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.struct(*docs.columns).alias("row"))
     total, rows = base.agg(F.sum("size"), F.count("*")).first()
     digits = min(MOST_DIGITS, max(1, math.ceil(math.log(max(1, rows / ROWS), 16))))

@@ -144,12 +144,11 @@ def scan(docs: DataFrame, versions: DataFrame, ledger: DataFrame | None = None,
         todo = first.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
         todo = todo.where(F.size("seen") < len(rules))
     todo = written(todo.select(F.col("blob").alias("wanted"), "rep", "seen"), "unscanned")
-    # one text for each blob: versions of a document share its doc_id, so the blob decides as well
+    # one text for each blob: by doc_id and blob, as versions of a document share a doc_id and ids may be null
     texts = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(todo, F.col("doc_id").eqNullSafe(F.col("rep")))
         .withColumn("blob", blob(F.col("text")))
-        .where("blob = wanted")
+        .join(todo, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("wanted")))
     )
     none = F.lit(None).cast(f"array<{SPAN}>")
     found = F.array(

@@ -14,7 +14,8 @@ Defined results:
  * equal fingerprints form one class, whatever their number: classes, not documents,
    are compared, so copies never multiply;
  * repeated rows appear as often as they do in the input;
- * a null doc_id takes part but never names a component; a component of nulls has a null id;
+ * a null doc_id takes part but never names a component; a component of nulls has a null id
+   (deduplication then keeps one row of it);
  * an empty table gives no rows; further columns are ignored.
 """
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.llm.rows import runs, small, texts
 from pathloom.operators.components import components
@@ -157,31 +159,39 @@ def near_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs (doc_id, text)."""
+    """(doc_id, fp, component_id, root) for each row of docs (doc_id, text); root is a fingerprint of the component."""
     ship(docs.sparkSession)
     prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "classes")
     reached = components(near_links(classes.select("fp"))).withColumnRenamed("node", "fp")
     linked = written(classes.join(reached, "fp"), "linked")
     heads = linked.groupBy("root").agg(F.min("head").alias("joint"))
-    named = (
-        classes.join(linked.join(heads, "root").select("fp", "joint"), "fp", "left")
-        .select(F.col("fp").alias("class_fp"), F.coalesce("joint", "head").alias("component_id"))
+    named = classes.join(linked.join(heads, "root").select("fp", "root", "joint"), "fp", "left").select(
+        F.col("fp").alias("class_fp"), F.coalesce("joint", "head").alias("component_id"), F.coalesce("root", "fp").alias("root")
     )
-    return prints.join(named, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    return prints.join(named, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component: one document of each group.
-
-    Rows without a doc_id stay only where their whole group has none (one of them).
-    """
-    found = near_duplicates(docs)
+    """One row of docs for each component: the one whose doc_id names it; of a component without ids, any one."""
+    found = written(near_duplicates(docs), "components")
     keep = written(
-        found.where("component_id <=> doc_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_n")), "kept"
+        found.where("doc_id is not null and component_id = doc_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_n")), "kept"
     )
-    out = docs.join(keep.select("kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if keep.where("kept_n > 1").head(1) else out
+    out = docs.join(keep.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    out = out.dropDuplicates(["doc_id"]) if keep.where("kept_n > 1").head(1) else out
+    if not found.where("doc_id is null and component_id is null").head(1):
+        return out
+    chosen = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias("_chosen")).select("_chosen")
+
+    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, "text"):
+            fp = np.fromiter((fingerprint(t) for t in texts(batch.column("text"))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "_fp"])
+
+    nameless = docs.where("doc_id is null").mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    rest = nameless.join(chosen, F.col("_fp") == F.col("_chosen"), "left_semi").dropDuplicates(["_fp"])
+    return out.unionByName(rest.drop("_fp"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

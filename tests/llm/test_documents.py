@@ -215,6 +215,18 @@ def test_fingerprints_and_copies(docs, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 6, 7, 8, 9, 10]
 
 
+def test_rows_without_ids(spark):
+    named = [(1, "one two three four", "en", "a"), (None, "one two three four", "en", "a")]
+    nameless = [(None, f"text number {k} of {k} many", "en", "a") for k in range(40)] * 2
+    df = spark.createDataFrame(named + nameless, SCHEMA)
+    kept = simhash.one_of_each(df).collect()
+    assert Counter(r.text for r in kept) == Counter({t for _, t, _, _ in named + nameless})
+    assert [r.doc_id for r in kept if r.text.startswith("one")] == [1]
+    assert rows(secrets.report(df)) == sorted(map(plain_report, named + nameless), key=repr)
+    got = mixing.mix(df, mixing.words(F.col("text")), ["doc_id", "text"]).collect()
+    assert len(got) == 82 and abs(sum(r.taken for r in got) - got[0].target) <= 3
+
+
 @pytest.mark.parametrize("block", [2048, 5])
 def test_pigeonring_loses_no_link(spark, block):
     rng = np.random.default_rng(4)
