@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 All but the last return the columns of documents:
- language  drops documents without a language (no letters, or a posterior under one half);
+ language  drops documents without a language (`und`: no text or no letter);
  dedup     keeps one document of each SimHash group, the smallest doc_id;
  secrets   replaces each secret by a mark;
  mix       keeps each document as often as the mix of sources takes it;

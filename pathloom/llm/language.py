@@ -28,13 +28,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.memo import once
+from pathloom.llm.memo import Memo, once
 from pathloom.llm.rows import small
 from pathloom.session import ship, written
 
-TRAIN, WORDS, GRAMS, ORDER, FOLDS, HELD = 20_000, 50_000, 30_000, 5, 5, 0
-#: Words whose scores a worker remembers; words longer than LONGEST are never known, only their n-grams.
-MEMORY, LONGEST = 100_000, 64
+TRAIN, WORDS, GRAMS, ORDER, FOLDS, HELD = 10_000, 50_000, 30_000, 5, 5, 0
+#: Words whose rows a worker remembers, young and old; words longer than LONGEST are never known, only their n-grams.
+MEMORY, LONGEST = 80_000, 64
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -70,46 +70,43 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language. Scores of words met are kept in a matrix of MEMORY rows, then met anew."""
+    """Log frequencies by language: places of words and n-grams, by length, in one table of rows."""
 
-    def __init__(self, langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]]):
-        self.langs, self.tables = langs, tables
-        self.place: dict[str, int] = {}
-        self.scores = np.zeros((MEMORY, len(langs)))
+    def __init__(self, langs: list[str], places: list[dict[str, int]], values: np.ndarray):
+        self.langs, self.places, self.values = langs, places, values
+        self.memo = Memo(self.rows, MEMORY, LONGEST)
 
-    def word(self, word: str) -> np.ndarray:
-        places, values = self.tables[0]
-        if (at := places.get(word)) is not None:
-            return values[at]
+    def rows(self, word: str) -> tuple[int, ...]:
+        """The rows whose mean scores a word: its own, or those of its longest known n-grams."""
+        if (at := self.places[0].get(word)) is not None:
+            return (at,)
         for n in range(ORDER, 0, -1):
-            places, values = self.tables[n]
-            found = [at for g in grams(word, n) if (at := places.get(g)) is not None]
-            if found:
-                return values[found].mean(0)
-        return np.zeros(len(self.langs))
-
-    def _at(self, word: str) -> int:
-        at = self.place.get(word)
-        if at is None:
-            at = self.place[word] = len(self.place)
-            self.scores[at] = self.word(word)
-        return at
+            known = self.places[n]
+            if found := [known[g] for g in grams(word, n) if g in known]:
+                return tuple(found)
+        return ()
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(_LETTERS.findall((text or "").lower()))
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        total, keys = np.zeros(len(self.langs)), list(words)
-        for at in range(0, len(keys), MEMORY // 4):
-            part = keys[at : at + MEMORY // 4]
-            if len(self.place) + len(part) > MEMORY:
-                self.place.clear()
-            total += np.fromiter(map(words.__getitem__, part), float, len(part)) @ self.scores[list(map(self._at, part))]
+        flat: list[int] = []
+        weights: list[float] = []
+        total = np.zeros(len(self.langs))
+        for word, times in words.items():
+            if rows := self.memo[word]:
+                flat += rows
+                weights += [times / len(rows)] * len(rows)
+                if len(flat) > 100_000:  # constant memory for texts of any length
+                    total += np.array(weights) @ self.values[flat]
+                    flat, weights = [], []
+        if flat:
+            total += np.array(weights) @ self.values[flat]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
-def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[tuple[dict[str, int], np.ndarray]]]:
+def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[dict[str, int]], np.ndarray]:
     """The parts of a Model from docs (doc_id, text, lang) of the folds that may be learned from."""
     ship(docs.sparkSession)
     may = docs.where(
@@ -124,7 +121,7 @@ def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[tuple[dict[st
     totals = {(r["lang"], r["n"]): r["times"] for r in counted.groupBy("lang", "n").agg(F.sum("times").alias("times")).collect()}
     langs = sorted({lang for lang, _ in totals})
     place = {lang: k for k, lang in enumerate(langs)}
-    tables = []
+    places, parts, size = [], [np.zeros((0, len(langs)))], 0
     for n, most in [(0, WORDS), *[(k, GRAMS // ORDER) for k in range(1, ORDER + 1)]]:
         by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "times")))
         top = (
@@ -138,8 +135,10 @@ def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[tuple[dict[st
         for k, r in enumerate(top):
             for lang, c in r["by"].items():
                 values[k, place[lang]] += c
-        tables.append(({r["key"]: k for k, r in enumerate(top)}, np.log(values) - under))
-    return langs, tables
+        places.append({r["key"]: size + k for k, r in enumerate(top)})
+        parts.append(np.log(values) - under)
+        size += len(top)
+    return langs, places, np.concatenate(parts)
 
 
 def identified(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
@@ -167,7 +166,7 @@ def identified(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     )
 
 
-def spoken(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def spoken(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of docs with a language: neither `und` nor scored below `least`."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
     key = uuid.uuid4().hex
