@@ -572,3 +572,28 @@ def stream_apply(spark, d):
     maintain.bootstrap(store, old, "d:", "j", 0)
     maintain.follow(spark, f"{base}/journal", maintain.Maintainer(store, lambda: now), f"{base}/log", files=1000).awaitTermination()
     return store.read().select("source", "object", "parent", "name", "attributes")
+
+
+@query("nearest_known", f"WITH RECURSIVE e AS ({NS_ENTRIES}), k AS (SELECT object FROM e WHERE object IN (1001, 1003, 2002, 2007)), w(parent, at_) AS (SELECT object, object FROM e WHERE object BETWEEN 1000000 AND 1000200 UNION ALL SELECT w.parent, e.parent FROM w JOIN e ON e.object = w.at_ WHERE w.at_ NOT IN (SELECT object FROM k)) SELECT 'd:' AS source, parent, at_ AS known FROM w WHERE at_ IN (SELECT object FROM k)")
+def nearest_known(spark, d):
+    all_ = entries(spark, d)
+    asked = all_.where("object between 1000000 and 1000200").select("source", F.col("object").alias("parent"))
+    return journal.nearest_known(asked, all_, all_.where("object in (1001, 1003, 2002, 2007)").select("source", "object"))
+
+
+RENAMED = f"SELECT source, object, parent, CASE WHEN object IN (2003, 2008) THEN name || '_renamed' ELSE name END AS name, attributes, slot FROM ({NS_ENTRIES}) AS r"
+
+
+@query("refresh_paths", tree(RENAMED) + "SELECT source, object, parent, name, path, is_directory FROM p")
+def refresh_paths(spark, d):
+    old, new = entries(spark, d), fixtures.view(spark, d, RENAMED)
+    changed = old.where("object in (2003, 2008)").select("source", F.col("parent").alias("object"))
+    before = namespace.paths(old).select("source", "object", "parent", "name", "path", "is_directory")
+    return namespace.refreshed_paths(before, old, new, changed)
+
+
+@query("changed_shards", INV + ", c AS (SELECT coalesce(a.path, b.path) AS path FROM a FULL JOIN b ON a.path = b.path WHERE a.kind IS DISTINCT FROM b.kind) SELECT count(*) > 0 AS changed FROM c")
+def changed_shards(spark, d):
+    from pathloom.streaming.store import changed_shards as shards
+
+    return shards(old_inventory(spark, d), fixtures.view(spark, d, INV_NEW)).agg((F.count("*") > 0).alias("changed"))

@@ -81,6 +81,16 @@ def path_predicate(query: Query, path: Column) -> Column:
     return all_of([extension_is(query, base), *[F.contains(whole, F.lit(t)) for t in query.tokens]])
 
 
+def raw_literal(raw: Column, needle: bytes) -> Column:
+    """Dialect C over raw UTF-16 bytes: the needle at a whole unit, never across halves of two."""
+    return F.hex(raw).rlike(f"^(?:[0-9A-F]{{4}})*?{needle.hex().upper()}") if needle else F.lit(True)
+
+
+def unit_order(path: Column) -> Column:
+    """Sorts as UTF-16 units do: characters beyond the basic plane come before U+E000."""
+    return F.encode(path, "UTF-16BE")
+
+
 def folded_bytes(raw: bytes) -> bytes:
     """A raw UTF-16LE name folded for matching: units that are no text become the byte 0xFF.
 

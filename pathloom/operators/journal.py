@@ -111,6 +111,22 @@ def link_changes(records: DataFrame, listing: DataFrame) -> DataFrame:
     return listing.join(told, ["source", "object"], "left_semi").select("source", "parent").distinct()
 
 
+def nearest_known(parents: DataFrame, listing: DataFrame, known: DataFrame, most: int = 1024) -> DataFrame:
+    """(source, parent, known): for each parent the nearest directory at or above it that is known (source, object)."""
+    up = listing.where(ordinary_directory(F.col("attributes"))).select("source", F.col("object").alias("at"), F.col("parent").alias("above")).distinct()
+    have = known.select("source", F.col("object").alias("at")).distinct()
+    state = written(parents.select("source", "parent", F.col("parent").alias("at")).distinct(), "nearest")
+    found = state.join(have, ["source", "at"], "left_semi").select("source", "parent", F.col("at").alias("known"))
+    for _ in range(most):
+        state = written(
+            state.join(have, ["source", "at"], "left_anti").join(up, ["source", "at"]).select("source", "parent", F.col("above").alias("at")), "nearest"
+        )
+        if not state.head(1):
+            break
+        found = found.unionByName(state.join(have, ["source", "at"], "left_semi").select("source", "parent", F.col("at").alias("known")))
+    return found
+
+
 def rename_pairs(notices: DataFrame, most_ms: int = 100) -> DataFrame:
     """notices (source, seq, at_ms, action, path) -> (source, seq, kind, path, source_path, loss).
 

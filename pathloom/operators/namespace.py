@@ -125,6 +125,17 @@ def unreachable(entries: DataFrame, root: int = ROOT, most: int = DEPTH) -> Data
     return entries.join(directories(entries, root, most).select("source", F.col("object").alias("parent")), ["source", "parent"], "left_anti")
 
 
+def refreshed_paths(old_paths: DataFrame, old: DataFrame, new: DataFrame, changed: DataFrame, root: int = ROOT) -> DataFrame:
+    """The paths of `new`, made anew only at and below the changed directories (source, object).
+
+    old_paths are the paths of `old`; the rest of them is kept as it is.
+    """
+    below = descendants(old, changed).unionByName(descendants(new, changed)).select("source", F.col("object").alias("parent")).distinct()
+    kept = old_paths.join(below, ["source", "parent"], "left_anti")
+    fresh = paths(new.join(below, ["source", "parent"], "left_semi"), directories(new, root))
+    return kept.unionByName(fresh.select(*old_paths.columns))
+
+
 def repeated_names(entries: DataFrame) -> DataFrame:
     """(source, parent, name, n) of names that a directory has more than once."""
     return entries.groupBy("source", "parent", "name").agg(F.count("*").alias("n")).where("n > 1")

@@ -88,6 +88,14 @@ def first_in_order(rows: DataFrame, raw: str, limit: int = 50, dialect: str = "A
     return path_matches(rows, raw, dialect).orderBy(path_key(F.col("path"))).limit(limit)
 
 
+def export(rows: DataFrame, raw: str, path: str, nul: bool = False, dialect: str = "A") -> None:
+    """Writes all matching paths as text files, one a line or each ended by NUL; no limit."""
+    found = path_matches(rows, raw, dialect).select("path")
+    if not nul:
+        found = found.select(F.replace(F.replace("path", F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")).alias("path"))
+    found.write.option("lineSep", "\0" if nul else "\n").text(path)
+
+
 def summary(rows: DataFrame, raw: str, limit: int | None = None, dialect: str = "A") -> DataFrame:
     """(matches, checksum, complete): the number of matches and the sum of id + 1; with a limit, of the first by id."""
     found = path_matches(rows, raw, dialect)

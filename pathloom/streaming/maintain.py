@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.names import ROOT
 from pathloom.operators import journal, namespace
+from pathloom.operators.inventory import differences
 from pathloom.streaming.store import NotReady, Store
 
 JOURNAL = "source string, usn long, ts timestamp, object long, parent long, reason long, attributes int, name string"
@@ -60,6 +61,15 @@ class Maintainer:
         except (journal.ReconcileError, journal.ReplayBudgetError):
             self.rebuild(m.source, m.journal, cursor)
 
+    def audit(self) -> bool:
+        """Compares the newest version with the listing; rebuilds and returns True if they differ."""
+        m, columns = self.store.manifest(), ["object", "parent", "name", "attributes"]
+        now = namespace.reachable(namespace.ordinary(self.listing(), self.root), self.root)
+        if not differences(self.store.read().select(columns), now.select(columns)).head(1):
+            return False
+        self.rebuild(m.source, m.journal, m.cursor)
+        return True
+
     def rebuild(self, source: str, journal_id: str, cursor: int) -> None:
         """Publishes the listing; tries again while it is overtaken."""
         for attempt in range(self.attempts):

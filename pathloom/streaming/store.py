@@ -13,6 +13,7 @@ import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EMPTY, PENDING, VALIDATED, FAILED, PINNED, STOPPED = "empty", "pending", "validated", "failed", "readers_pinned", "stopped"
 #: Schema version of manifests; another one means: rebuild.
@@ -30,10 +31,32 @@ class Manifest:
     journal: str
     cursor: int
     records: int
+    checksum: int = 0
     state: str = VALIDATED
     format: int = FORMAT
 
 
+def checksum(rows: DataFrame) -> int:
+    """A sum over the rows that their order doesn't change."""
+    return rows.agg(F.coalesce(F.bit_xor(F.xxhash64(*rows.columns)), F.lit(0))).first()[0]
+
+
+def changed_shards(old: DataFrame, new: DataFrame, key: str = "path", shards: int = 64) -> DataFrame:
+    """(shard): hash shards in which two tables differ."""
+    def sums(rows: DataFrame, name: str) -> DataFrame:
+        shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
+        return rows.groupBy(shard).agg(F.bit_xor(F.xxhash64(*sorted(rows.columns))).alias(name))
+
+    return sums(old, "a").join(sums(new, "b"), "shard", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("shard")
+
+
+def overwrite_shards(new: DataFrame, changed: DataFrame, path: str, key: str = "path", shards: int = 64) -> None:
+    """Writes just the changed shards of a table partitioned by shard; the others' files stay."""
+    sharded = new.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
+    some = sharded.join(changed, "shard", "left_semi")
+    some.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+
+
 class Store:
     """Published versions below a folder."""
 
@@ -85,6 +108,11 @@ class Store:
             raise NotReady("no version")
         return self.spark.read.parquet(f"{self.path}/v={m.version}")
 
+    def verify(self, version: int | None = None) -> bool:
+        """Whether a version's rows are those that were published."""
+        m, rows = self.manifest(version), self.read(version)
+        return rows.count() == m.records and checksum(rows) == m.checksum
+
     def ticket(self) -> tuple[int, int]:
         """What a candidate must present: the signals and the version it was made from."""
         m = self.manifest()
@@ -115,7 +143,7 @@ class Store:
                 check(written)
             if ticket != self.ticket():
                 raise NotReady("overtaken")
-            m = Manifest(version, source, journal, cursor, written.count())
+            m = Manifest(version, source, journal, cursor, written.count(), checksum(written))
             self._put(f"manifests/{version:012d}.json", json.dumps(asdict(m)))
         except Exception as e:
             self._error = str(e)

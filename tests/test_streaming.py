@@ -246,3 +246,43 @@ def test_command_line_and_background_count(spark, tmp_path, capsys):
     slow.cancel()
     slow.wait(60)
     assert slow.count is None or slow.state == "complete"
+
+
+def test_checksums_shards_and_audits(spark, tmp_path):
+    from pathloom.streaming.store import changed_shards, overwrite_shards
+
+    old = table(spark, [(100, 5, "a", D), (200, 100, "f.txt", F_)])
+    new = table(spark, [(100, 5, "a", D), (201, 100, "g.txt", F_)])
+    store = Store(spark, str(tmp_path / "s"))
+    maintain.bootstrap(store, old, "d:", "j", 3)
+    assert store.verify()
+    assert not maintain.Maintainer(store, lambda: old).audit() and store.manifest().version == 1
+    assert maintain.Maintainer(store, lambda: new).audit() and store.manifest().version == 2 and store.verify()
+    store.read().limit(1).write.mode("append").parquet(str(tmp_path / "s/v=2"))
+    assert not store.verify()
+    a = spark.createDataFrame([(f"p{k}", "file") for k in range(300)], "path string, kind string")
+    b = a.where("path <> 'p7'").unionByName(spark.createDataFrame([("q", "file")], a.schema))
+    path, every = str(tmp_path / "shards"), spark.range(64).select(F.col("id").cast("int").alias("shard"))
+    overwrite_shards(a, every, path)
+    changed = changed_shards(a, b)
+    assert 1 <= changed.count() <= 2 and changed_shards(a, a).count() == 0
+    overwrite_shards(b, changed, path)
+    got = spark.read.parquet(path).select("path", "kind")
+    assert got.exceptAll(b).count() == b.exceptAll(got).count() == 0
+
+
+def test_raw_literals_order_and_export(spark, tmp_path):
+    from pathloom.functions.query import raw_literal, unit_order
+
+    names = ["ab", "\u6100b", "a\u0062", "\ue000", "\U00010000"]
+    raw = spark.createDataFrame([(n, bytearray(n.encode("utf-16-le"))) for n in names], "name string, raw binary")
+    got = [r.name for r in raw.where(raw_literal(F.col("raw"), "b".encode("utf-16-le"))).collect()]
+    assert got == ["ab", "\u6100b", "ab"]
+    assert raw.where(raw_literal(F.col("raw"), b"\x61\x62")).count() == 0  # a unit of its own, not two halves
+    assert raw.where(raw_literal(F.col("raw"), b"")).count() == 5
+    assert [r.name for r in raw.orderBy(unit_order(F.col("name"))).collect()][-2:] == ["\U00010000", "\ue000"]
+    rows = spark.createDataFrame([(1, "a/b\nc"), (2, "x")], "id long, path string")
+    search.export(rows, "a/", str(tmp_path / "lines"))
+    search.export(rows, "", str(tmp_path / "nul"), nul=True)
+    assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["a/b\\nc"]
+    assert sum(p.read_bytes().count(b"\0") for p in (tmp_path / "nul").glob("part-*")) == 2
