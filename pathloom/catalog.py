@@ -10,6 +10,7 @@ from pathloom.functions.names import path_key
 from pathloom.functions.query import entry_predicate, parse
 from pathloom.operators import index, inventory, journal, namespace
 from pathloom.plans import search
+from pathloom.session import written
 from pathloom.sources import fixtures, listing
 from pathloom.sources.fixtures import DOC_PATHS, FLAT_PATHS, INV_NEW, INV_OLD, JOURNAL, NS_BROKEN, NS_ENTRIES, NS_LINKS, NS_NOW
 
@@ -320,7 +321,7 @@ CHANGED = ", a AS (SELECT source, parent, name, object, attributes FROM e WHERE
 @query("unchanged_parents", DIRTY + CHANGED + "SELECT 'd:' AS source, parent FROM dirty WHERE parent NOT IN (SELECT parent FROM c WHERE parent % 3 <> 0)")
 def unchanged_parents(spark, d):
     old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
-    dirty = journal.dirty_parents(old, told(spark, d))
+    dirty = written(journal.dirty_parents(old, told(spark, d)), "dirty")
     return dirty.join(journal.changed_parents(old, now, dirty).where("parent % 3 <> 0"), ["source", "parent"], "left_anti")
 
 

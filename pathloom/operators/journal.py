@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.names import CREATED, DELETED, LINKED, RENAMED_TO, ROOT, any_bit, ordinary_directory, ordinary_object
 from pathloom.operators import namespace
+from pathloom.operators.inventory import net
 from pathloom.session import written
 
 
@@ -85,7 +86,7 @@ def changed_parents(entries: DataFrame, listing: DataFrame, dirty: DataFrame) ->
     keys = ["source", "parent"]
     old = entries.join(dirty, keys, "left_semi").select(*keys, *CHILD)
     new = listing.join(dirty, keys, "left_semi").select(*keys, *CHILD)
-    return old.exceptAll(new).unionByName(new.exceptAll(old)).select(*keys).distinct()
+    return net(old, new).select(*keys).distinct()
 
 
 def discovered(listing: DataFrame, known: DataFrame, starts: DataFrame) -> DataFrame:
