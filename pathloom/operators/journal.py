@@ -197,9 +197,9 @@ def applied(entries: DataFrame, records: DataFrame, listing: DataFrame, root: in
     dirty = written(dirty_parents(entries, records, root), "dirty")
     moves = latest_directories(records).select("source", "object", "parent", "name", "attributes", F.lit(None).cast("long").alias("slot"))
     placed = entries.join(moves.select("source", "object"), ["source", "object"], "left_anti").unionByName(moves.select(*entries.columns))
-    known = namespace.directories(placed, root).select("source", F.col("object").alias("parent"))
+    known = placed.where(ordinary_directory(F.col("attributes"))).select("source", F.col("object").alias("parent"))
     gone = records.where(any_bit(F.col("reason"), DELETED)).select("source", F.col("object").alias("parent")).distinct()
-    unknown = dirty.join(known, ["source", "parent"], "left_anti")
+    unknown = written(dirty.where(F.col("parent") != root).join(known, ["source", "parent"], "left_anti"), "unknown")
     if unknown.join(gone, ["source", "parent"], "left_anti").head(1):
         raise ReconcileError("a parent is not in the namespace")
     listable = dirty.join(unknown, ["source", "parent"], "left_anti")
@@ -214,7 +214,7 @@ def applied(entries: DataFrame, records: DataFrame, listing: DataFrame, root: in
     current = written(current.join(below.select("source", "parent").distinct(), ["source", "parent"], "left_anti").unionByName(below.select(*current.columns)).distinct(), "current")
     now = current.where(ordinary_directory(F.col("attributes"))).select("source", "object").distinct()
     lost = old_dirs.join(now, ["source", "object"], "left_anti")
-    result = written(namespace.pruned(current, lost), "applied")
+    result = written(namespace.pruned(current, lost), "applied") if lost.head(1) else current
     broken = [r["check"] for r in namespace.violations(result, root).where("n > 0").collect()]
     if broken:
         raise ReconcileError(f"not a namespace: {', '.join(broken)}")
