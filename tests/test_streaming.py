@@ -242,10 +242,11 @@ def test_command_line_and_background_count(spark, tmp_path, capsys):
     assert store.sparse() is False and store.compact(1).cursor == 3 and store.read().count() == 2
     job = CountJob(store.read())
     assert job.wait(60) == 2 and job.state == "complete" and job.progress() == 1.0
-    slow = CountJob(spark.range(4_000_000_000).selectExpr("sha2(cast(id as string), 512) as x").where("x like '%zz%'"))
-    slow.cancel()
-    slow.wait(60)
-    assert slow.count is None or slow.state == "complete"
+    stopped = CountJob(store.read())
+    stopped.cancel()
+    stopped.wait(60)
+    assert (stopped.state, stopped.count) in (("cancelled", None), ("complete", 2))
+
 
 
 def test_checksums_shards_and_audits(spark, tmp_path):
