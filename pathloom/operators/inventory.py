@@ -98,11 +98,12 @@ def dependent_renames(changes: DataFrame, inventory: DataFrame) -> DataFrame:
 
     Such a batch must be corrected from a listing, not applied. Overlap is joined on
     equality: a path overlaps another if it equals it or one of its ancestors, so each
-    path is exploded into its ancestors; no pair of unrelated changes meets.
+    path is exploded into its ancestors. Of all changes to a path only the first counts,
+    so a directory with many changes and many renames makes no pairs of them.
     """
-    touched = changes.select(
-        F.col("seq").alias("earlier"),
-        F.explode(F.when(F.col("kind") == "rename", F.array("source", "target")).otherwise(F.array("path"))).alias("touched"),
+    touched = (
+        changes.select(F.col("seq").alias("earlier"), F.explode(F.when(F.col("kind") == "rename", F.array("source", "target")).otherwise(F.array("path"))).alias("touched"))
+        .groupBy("touched").agg(F.min("earlier").alias("earlier"))
     )
     renames = changes.where("kind = 'rename'").select("seq", "source", "target")
 
@@ -110,9 +111,10 @@ def dependent_renames(changes: DataFrame, inventory: DataFrame) -> DataFrame:
         parts = F.split(column, "/")
         return df.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))))
 
-    below = ancestors(renames, "source").join(touched.withColumnRenamed("touched", "at"), "at")  # touched at or above the source
-    above = renames.withColumnRenamed("source", "at").join(ancestors(touched, "touched"), "at")  # touched below the source
-    overlapping = below.select("seq", "target", "earlier").unionByName(above.select("seq", "target", "earlier")).where("earlier < seq")
+    at_or_above = ancestors(renames.select("source").distinct(), "source").join(touched.withColumnRenamed("touched", "at"), "at")
+    below = ancestors(touched, "touched").groupBy(F.col("at").alias("source")).agg(F.min("earlier").alias("earlier"))
+    first = at_or_above.select("source", "earlier").unionByName(below).groupBy("source").agg(F.min("earlier").alias("earlier"))
+    overlapping = renames.join(first, "source").where("earlier < seq")
     live = inventory.where("kind = 'directory'").select(F.col("path").alias("target"))
     return overlapping.select("seq", "target").distinct().join(live, "target", "left_semi").select("seq")
 
