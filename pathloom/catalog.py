@@ -527,7 +527,7 @@ def scope_repeats(spark, d):
 
 @query("names_of_object", f"SELECT source, object, list_sort(list(DISTINCT parent || '/' || name)) AS names, FALSE AS excess FROM ({NS_LINKS}) AS a WHERE object % 50 = 7 GROUP BY source, object")
 def names_of_object(spark, d):
-    named = listing.names_of(fixtures.view(spark, d, NS_LINKS).where("object % 50 = 7"))
+    named = listing.names_of(fixtures.view(spark, d, NS_LINKS))
     return named.withColumn("names", F.sort_array(F.transform("names", lambda n: F.concat(n["parent"].cast("string"), F.lit("/"), n["name"]))))
 
 

@@ -54,3 +54,8 @@ def test_dependent_renames_against_pairs(spark):
         if c[1] == "rename" and c[4] in ("m/x", "m/z") and any(e[0] < c[0] and any(meet(c[3], p) for p in e[2:] if p) for e in changes)
     ]
     assert sorted(r.seq for r in inventory.dependent_renames(df, live).collect()) == want and 0 < len(want)
+
+
+def test_names_of_all_objects(spark, tables):
+    got = same_without(spark, tables, "names_of_object", " WHERE object % 50 = 7")
+    assert {r[2] % 50 for r in got} == set(range(50))
