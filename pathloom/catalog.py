@@ -344,7 +344,7 @@ def apply_journal(spark, d):
 def expected_actions(spark, d):
     all_ = notes(spark, d)
     mask = F.when(F.col("usn") % 3 == 0, F.col("reason")).otherwise(F.col("reason").bitwiseOR(F.lit(1)))
-    return journal.expected_actions(all_, all_.where("usn % 5 = 0").select("object", "parent", "name", mask.alias("mask")))
+    return journal.expected_actions(all_, all_.select("object", "parent", "name", mask.alias("mask")))
 
 
 @query("link_changes", f"WITH e AS ({NS_LINKS}) SELECT DISTINCT source, parent FROM e WHERE object IN (SELECT 4000000 + user_id FROM events WHERE event_type = 'purchase')")

@@ -59,3 +59,8 @@ def test_dependent_renames_against_pairs(spark):
 def test_names_of_all_objects(spark, tables):
     got = same_without(spark, tables, "names_of_object", " WHERE object % 50 = 7")
     assert {r[2] % 50 for r in got} == set(range(50))
+
+
+def test_actions_of_the_whole_journal(spark, tables):
+    got = same_without(spark, tables, "expected_actions", " WHERE usn % 5 = 0")
+    assert len(got) == catalog.notes(spark, tables).count() and {r[-1] for r in got} == {True, False}
