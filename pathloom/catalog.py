@@ -582,7 +582,7 @@ def stream_apply(spark, d):
 @query("nearest_known", f"WITH RECURSIVE e AS ({NS_ENTRIES}), k AS (SELECT object FROM e WHERE object IN (1001, 1003, 2002, 2007)), w(parent, at_) AS (SELECT object, object FROM e WHERE object BETWEEN 1000000 AND 1000200 UNION ALL SELECT w.parent, e.parent FROM w JOIN e ON e.object = w.at_ WHERE w.at_ NOT IN (SELECT object FROM k)) SELECT 'd:' AS source, parent, at_ AS known FROM w WHERE at_ IN (SELECT object FROM k)")
 def nearest_known(spark, d):
     all_ = entries(spark, d)
-    asked = all_.where("object between 1000000 and 1000200").select("source", F.col("object").alias("parent"))
+    asked = all_.where(names.is_directory(F.col("attributes")) & (F.col("object") >= 1000000)).select("source", F.col("object").alias("parent"))
     return journal.nearest_known(asked, all_, all_.where("object in (1001, 1003, 2002, 2007)").select("source", "object"))
 
 
