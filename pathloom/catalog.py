@@ -268,10 +268,6 @@ J = f"j AS ({JOURNAL})"
 TOLD = "t AS (SELECT * FROM j WHERE usn >= 100 AND usn < 400)"
 
 
-def told(spark, d) -> DataFrame:
-    return journal.window(notes(spark, d), 100, 400)
-
-
 @query("replay_window", f"WITH {J} SELECT source, usn, object, parent, reason, name FROM j WHERE usn >= 100 AND usn < 400")
 def replay_window(spark, d):
     return journal.replay(notes(spark, d), 100, 400).select("source", "usn", "object", "parent", "reason", "name")
@@ -303,7 +299,7 @@ def latest_dir_record(spark, d):
 
 @query("dirty_parents", f"WITH e AS ({NS_ENTRIES}), {J}, {TOLD} SELECT DISTINCT source, parent FROM t UNION SELECT DISTINCT e.source, e.parent FROM e JOIN t ON e.object = t.object")
 def dirty_parents(spark, d):
-    return journal.dirty_parents(entries(spark, d), told(spark, d))
+    return journal.dirty_parents(entries(spark, d), notes(spark, d))
 
 
 DIRTY = f"WITH e AS ({NS_ENTRIES}), l AS ({NS_NOW}), {J}, {TOLD}, dirty AS (SELECT DISTINCT parent FROM t UNION SELECT DISTINCT e.parent FROM e JOIN t ON e.object = t.object)"
@@ -312,7 +308,7 @@ DIRTY = f"WITH e AS ({NS_ENTRIES}), l AS ({NS_NOW}), {J}, {TOLD}, dirty AS (SELE
 @query("replace_children", DIRTY + "SELECT source, object, parent, name FROM e WHERE parent NOT IN (SELECT parent FROM dirty) UNION ALL SELECT source, object, parent, name FROM l WHERE parent IN (SELECT parent FROM dirty)")
 def replace_children(spark, d):
     old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
-    return journal.replaced(old, journal.dirty_parents(old, told(spark, d)), now).select("source", "object", "parent", "name")
+    return journal.replaced(old, journal.dirty_parents(old, notes(spark, d)), now).select("source", "object", "parent", "name")
 
 
 CHANGED = ", a AS (SELECT source, parent, name, object, attributes FROM e WHERE parent IN (SELECT parent FROM dirty)), b AS (SELECT source, parent, name, object, attributes FROM l WHERE parent IN (SELECT parent FROM dirty)), c AS (SELECT source, parent FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION SELECT source, parent FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))"
@@ -321,7 +317,7 @@ CHANGED = ", a AS (SELECT source, parent, name, object, attributes FROM e WHERE
 @query("unchanged_parents", DIRTY + CHANGED + "SELECT 'd:' AS source, parent FROM dirty WHERE parent NOT IN (SELECT parent FROM c WHERE parent % 3 <> 0)")
 def unchanged_parents(spark, d):
     old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
-    dirty = written(journal.dirty_parents(old, told(spark, d)), "dirty")
+    dirty = written(journal.dirty_parents(old, notes(spark, d)), "dirty")
     return dirty.join(journal.changed_parents(old, now, dirty).where("parent % 3 <> 0"), ["source", "parent"], "left_anti")
 
 
@@ -337,7 +333,7 @@ SELECT source, object, parent, name, attributes FROM e WHERE parent NOT IN (SELE
 UNION ALL SELECT source, object, parent, name, attributes FROM l WHERE parent IN (SELECT parent FROM dirty)""")
 def apply_journal(spark, d):
     old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
-    return journal.applied(old, told(spark, d), now).select("source", "object", "parent", "name", "attributes")
+    return journal.applied(old, notes(spark, d), now).select("source", "object", "parent", "name", "attributes")
 
 
 @query("expected_actions", f"WITH {J}, x AS (SELECT object, parent, name, CASE WHEN usn % 3 = 0 THEN reason ELSE reason | 1 END AS mask FROM j WHERE usn % 5 = 0) SELECT x.*, EXISTS (SELECT 1 FROM j WHERE j.object = x.object AND j.parent = x.parent AND j.name = x.name AND j.reason & x.mask = x.mask) AS seen FROM x")
@@ -572,7 +568,7 @@ def stream_apply(spark, d):
 
     base = f"{shared_dir(spark)}/apply-{uuid.uuid4().hex}"
     old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
-    told(spark, d).write.parquet(f"{base}/journal")
+    notes(spark, d).write.parquet(f"{base}/journal")
     store = Store(spark, f"{base}/store")
     maintain.bootstrap(store, old, "d:", "j", 0)
     maintain.follow(spark, f"{base}/journal", maintain.Maintainer(store, lambda: now), f"{base}/log", files=1000).awaitTermination()

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pytest
 
 from pathloom import catalog
 from test_catalog import plain
@@ -70,3 +71,23 @@ def test_nearest_known_of_all_customers(spark):
     folder = "/root/testdata/sf0.01"  # the smallest tables with more than 201 customers
     got = same_without(spark, folder, "nearest_known", "object BETWEEN 1000000 AND 1000200", "object >= 1000000 AND attributes & 16 <> 0")
     assert max(r[1] for r in got) > 1000200
+
+
+@pytest.fixture(scope="module")
+def late(spark, tables, tmp_path_factory):
+    """The smallest tables with a journal that names users 3 and 4 only from usn 400 on."""
+    folder = tmp_path_factory.mktemp("late")
+    for f in glob.glob(f"{tables}/*.parquet"):
+        if not f.endswith("/events.parquet"):
+            os.symlink(f, folder / os.path.basename(f))
+    duckdb.connect().execute(
+        f"COPY (SELECT * REPLACE (CAST(CASE WHEN event_id < 400 THEN 1 ELSE 3 + event_id % 2 END AS BIGINT) AS user_id) FROM '{tables}/events.parquet') "
+        f"TO '{folder}/events.parquet' (FORMAT parquet)"
+    )
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["dirty_parents", "replace_children", "unchanged_parents", "apply_journal", "stream_apply"])
+def test_records_after_the_window_count(spark, late, name):
+    cut = " WHERE usn >= 100 AND usn < 400"
+    assert same_without(spark, late, name, cut) != rows_of_sql(late, catalog.ORACLES[name])
