@@ -42,10 +42,11 @@ def checksum(rows: DataFrame) -> int:
 
 
 def changed_shards(old: DataFrame, new: DataFrame, key: str = "path", shards: int = 64) -> DataFrame:
-    """(shard): hash shards in which two tables differ."""
+    """(shard): hash shards in which two tables differ; repeated rows count as often as they are there."""
     def sums(rows: DataFrame, name: str) -> DataFrame:
         shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
-        return rows.groupBy(shard).agg(F.bit_xor(F.xxhash64(*sorted(rows.columns))).alias(name))
+        h = F.xxhash64(*sorted(rows.columns))
+        return rows.groupBy(shard).agg(F.struct(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).alias(name))
 
     return sums(old, "a").join(sums(new, "b"), "shard", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("shard")
 

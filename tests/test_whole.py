@@ -91,3 +91,28 @@ def late(spark, tables, tmp_path_factory):
 def test_records_after_the_window_count(spark, late, name):
     cut = " WHERE usn >= 100 AND usn < 400"
     assert same_without(spark, late, name, cut) != rows_of_sql(late, catalog.ORACLES[name])
+
+
+def test_shards_with_repeated_rows(spark, tables):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from pathloom.sources import fixtures
+    from pathloom.streaming.store import changed_shards
+
+    def shards(old, new):
+        a, b = (Counter(tuple(r) for r in x.select("path", "kind", F.pmod(F.xxhash64("path"), F.lit(64))).collect()) for x in (old, new))
+        return {r[2] for r in (a - b) + (b - a)}
+
+    def found(old, new):
+        got = [r.shard for r in changed_shards(old, new).collect()]
+        assert len(got) == len(set(got))
+        return set(got)
+
+    one = spark.createDataFrame([("p", "file"), ("q", "file")], "path string, kind string")
+    two, p = one.unionByName(one), one.where("path = 'p'")
+    assert found(one, one.unionByName(p).unionByName(p)) == shards(one, one.unionByName(p).unionByName(p)) != set()
+    assert found(one.limit(0), two) == found(two, one.limit(0)) == shards(one.limit(0), two) and found(two, two) == set()
+    old, new = fixtures.view(spark, tables, fixtures.INV_OLD), fixtures.view(spark, tables, fixtures.INV_NEW)
+    assert found(old, new) == shards(old, new) != set()
