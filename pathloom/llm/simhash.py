@@ -173,23 +173,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component: the one whose doc_id names it; of a component without ids, any one."""
+    """One row of docs for each component: the one whose doc_id names it; of a component without ids, any one.
+
+    A doc_id may be repeated with other texts, so rows are then chosen by doc_id and fingerprint.
+    """
     found = written(near_duplicates(docs), "components")
     keep = written(
-        found.where("doc_id is not null and component_id = doc_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_n")), "kept"
+        found.where("doc_id is not null").groupBy(F.col("doc_id").alias("kept_id"))
+        .agg(F.count("*").alias("kept_n"), F.count_if(F.col("component_id") == F.col("doc_id")).alias("names")).where("names > 0"), "kept"
     )
-    out = docs.join(keep.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    out = out.dropDuplicates(["doc_id"]) if keep.where("kept_n > 1").head(1) else out
-    if not found.where("doc_id is null and component_id is null").head(1):
-        return out
-    chosen = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias("_chosen")).select("_chosen")
 
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
             fp = np.fromiter((fingerprint(t) for t in texts(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "_fp"])
 
-    nameless = docs.where("doc_id is null").mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    with_fp = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    several = F.col("kept_n") > 1
+
+    def of(kept: DataFrame) -> DataFrame:
+        return docs.join(kept.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+    if keep.where(several).head(1):
+        named = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("_named"), "root").agg(F.min("fp").alias("_chosen"))
+        exact = of(keep.where(several)).mapInArrow(marked, with_fp).join(
+            named.select("_named", "_chosen"), (F.col("doc_id") == F.col("_named")) & (F.col("_fp") == F.col("_chosen")), "left_semi"
+        )
+        out = of(keep.where(~several)).unionByName(exact.dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
+    else:
+        out = of(keep)
+    if not found.where("doc_id is null and component_id is null").head(1):
+        return out
+    chosen = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias("_chosen")).select("_chosen")
+    nameless = docs.where("doc_id is null").mapInArrow(marked, with_fp)
     rest = nameless.join(chosen, F.col("_fp") == F.col("_chosen"), "left_semi").dropDuplicates(["_fp"])
     return out.unionByName(rest.drop("_fp"))
 
