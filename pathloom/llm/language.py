@@ -6,9 +6,10 @@ to one, that are known in any language (with marks for the word's ends), scored
 mean of their log frequencies. A text's score is the sum over its words; the posterior of
 the best language, with equal priors, is the reported score.
 
-The model is learned from at most about TRAIN documents (a seeded share of all that may be
-learned from), and has at most WORDS words and GRAMS n-grams, the most frequent ones;
-counting is distributed, and only these bounded tables reach the driver.
+The model is learned from at most about TRAIN documents of each language (a seeded share of
+all that may be learned from), and has at most WORDS words and GRAMS n-grams of each language,
+its most frequent ones; beyond LANGS languages, they share LANGS times as much. Counting is
+distributed, and only these bounded tables reach the driver.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or when nothing
 could be learned; a text with no known n-gram at all gets the first language with an even
@@ -25,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.memo import Memo, once
@@ -33,6 +34,7 @@ from pathloom.llm.rows import small
 from pathloom.session import ship, written
 
 TRAIN, WORDS, GRAMS, ORDER, FOLDS, HELD = 10_000, 50_000, 30_000, 5, 5, 0
+LANGS = 4
 #: Words whose rows a worker remembers, young and old; words longer than LONGEST are never known, only their n-grams.
 MEMORY, LONGEST = 80_000, 64
 UNKNOWN = "und"
@@ -112,22 +114,28 @@ def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[dict[str, int
     may = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD)
     ).select("doc_id", "lang", "text")
-    n = may.select("lang").count()
-    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53)) < TRAIN / max(1, n)
+    there = may.groupBy("lang").agg(F.count("*").alias("there"))
+    share = LANGS / max(LANGS, there.count())
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53)) < F.lit(TRAIN * share) / F.col("there")
     counted = written(
-        may.where(drawn).mapInArrow(_counts, "lang string, n int, key string, times long").groupBy("lang", "n", "key").agg(F.sum("times").alias("times")),
+        may.join(F.broadcast(there), "lang").where(drawn).select("doc_id", "lang", "text").mapInArrow(_counts, "lang string, n int, key string, times long").groupBy("lang", "n", "key").agg(F.sum("times").alias("times")),
         "language-counts",
     )
     totals = {(r["lang"], r["n"]): r["times"] for r in counted.groupBy("lang", "n").agg(F.sum("times").alias("times")).collect()}
     langs = sorted({lang for lang, _ in totals})
     place = {lang: k for k, lang in enumerate(langs)}
+    ranked = written(
+        counted.withColumn("all", F.sum("times").over(Window.partitionBy("n", "key"))).where(F.col("all") >= 2)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("times"), "key"))),
+        "language-ranks",
+    )
     places, parts, size = [], [np.zeros((0, len(langs)))], 0
     for n, most in [(0, WORDS), *[(k, GRAMS // ORDER) for k in range(1, ORDER + 1)]]:
         by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "times")))
         top = (
-            counted.where(F.col("n") == n).groupBy("key").agg(F.sum("times").alias("all"), by_lang.alias("by"))
-            .where(F.col("all") >= 2).orderBy(F.desc("all"), "key").limit(most).select("key", "by").collect()
-        )  # at most `most` keys
+            ranked.where(F.col("n") == n).groupBy("key").agg(F.first("all").alias("all"), F.min("rank").alias("rank"), by_lang.alias("by"))
+            .where(F.col("rank") <= int(most * share)).orderBy(F.desc("all"), "key").select("key", "by").collect()
+        )  # at most LANGS * most keys
         total = np.array([totals.get((lang, n), 0) for lang in langs], float)
         spread = 0.1 if n == 0 else 0.5
         under = np.log(total + spread * (len(top) + 1))
