@@ -1,11 +1,12 @@
 """Exact top-k search by inner product: norm-bucketed retrieval.
 
-Vectors are integers, so products are exact. The K best scores among the SEEDS longest
-vectors give each query a first threshold. Queries then meet the other vectors in blocks:
-a vector goes to a block of queries only if its length can reach the lowest threshold
-there (score <= |q| * |v|). In a block the vectors are taken in buckets of like length,
-the longest first. With t = threshold / (|q| * longest of the bucket), the local cosine
-threshold, each query and bucket choose their pruning:
+Vectors are integers. The K best scores among the SEEDS longest vectors give each query a
+first threshold. Queries then meet the other vectors in tiles, blocks of at most about BLOCK
+queries against chunks of at most about CHUNK vectors. Queries are blocked by their need, the
+least length with which a vector can enter (threshold / |q|), so a vector goes to a block only if
+its length reaches the least need there (score <= |q| * |v|). In a tile the vectors are taken
+in buckets of like length, the longest first. With t = threshold / (|q| * longest of the
+bucket), the local cosine threshold, each query and bucket choose their pruning:
  * t > 1: nothing in this or a later bucket can enter; the query is done;
  * t >= COSINE: coordinates. A unit vector with cosine t to the unit query has each
    coordinate x with |x - t * q| <= sqrt((1 - t * t) * (1 - q * q)) or closer to q; tested on
@@ -14,10 +15,20 @@ threshold, each query and bucket choose their pruning:
 Products of what is left are computed, and thresholds rise. Bounds have a slack of 1e-9
 relative, far more than their rounding; ties at a threshold are always kept.
 
+Products are exact: in doubles where |q| * |v| * dimension stays below 2^53, else in 64-bit
+integers below 2^62, else in Python's.
+
+Size: a query's row is copied once for each chunk and a vector's once for each block that it
+may enter, so both copies and products grow with the square of the table, as do the scores that
+are asked for; a tile does not grow. What is broadcast is one row a dimension with STEPS
+classes of need at most, and SEEDS vectors.
+
 Defined results: rows with a null vec_id and vectors that are null, empty or hold null or
 non-finite components take no part; only vectors of one dimension are compared; a zero
-query scores 0 with all; rows that repeat a vec_id count once (the least vector); ties
-go to smaller ids; an empty table gives no rows; further columns are ignored.
+query scores 0 with all; each row is a candidate and a query of its own, also where a vec_id
+repeats (a query then has other rows of its own vec_id as candidates, and its ranks come once
+for each of its rows); ties go to smaller ids; components and scores beyond a long are its
+least or largest; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +45,27 @@ from pathloom.llm.vectors import matrix, sound
 from pathloom.session import ship, written
 
 K, EVERY, SCALE = 20, 20, 64
-SEEDS, QUERIES_A_BLOCK, BUCKET, COSINE, FOCUS = 4096, 1024, 512, 0.6, 4
+SEEDS, BLOCK, CHUNK, STEPS, BUCKET, COSINE, FOCUS = 4096, 4096, 16384, 64, 512, 0.6, 4
 SLACK = 1e-9
-LOW = -(1 << 62)
+LOW, LEAST, MOST = -(1 << 62), -(1 << 63), (1 << 63) - 1
+
+
+class Product:
+    """Exact inner products of integer rows, in the cheapest arithmetic that is exact for two tables."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        # in Python's integers: the least long has no absolute value among longs
+        most = [max(abs(int(x.max())), abs(int(x.min()))) if x.size else 0 for x in (a, b)]
+        bound = most[0] * most[1] * max(1, a.shape[1])
+        self.kind = np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 62 else object
+        self.a, self.b = a.astype(self.kind), b.astype(self.kind)
+
+    def __call__(self, rows, columns) -> np.ndarray:
+        """Scores of some rows of a with some rows of b."""
+        found = self.a[rows] @ self.b[columns].T
+        if self.kind is object:
+            found = np.clip(found, LEAST, MOST)
+        return found.astype(np.int64)
 
 
 class Best:
@@ -52,23 +81,25 @@ class Best:
         if not enter.any():
             return
         scores, ids = np.concatenate([self.scores, scores[enter]]), np.concatenate([self.ids, ids[enter]])
-        order = np.lexsort((ids, -scores))[:k]
+        order = np.lexsort((ids, ~scores))[:k]  # ~ turns the order round and knows no overflow
         self.scores, self.ids = scores[order], ids[order]
         if len(order) == k:
             self.threshold = max(self.threshold, int(self.scores[-1]))
 
 
-def block_best(q: np.ndarray, q_ids: np.ndarray, thresholds: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> list[Best]:
-    """The best of the vectors v for each query q, by buckets of falling length."""
+def block_best(q: np.ndarray, q_rows: np.ndarray, thresholds: np.ndarray, v: np.ndarray, v_ids: np.ndarray, v_rows: np.ndarray, k: int) -> list[Best]:
+    """The best of the vectors v for each query q, by buckets of falling length; a row is no candidate of its own."""
     best = [Best(int(t)) for t in thresholds]
-    q_len, v_len = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
+    q_len, v_len = (np.sqrt((x.astype(np.float64) ** 2).sum(1)) for x in (q, v))
     order = np.lexsort((v_ids, -v_len))
-    v, v_ids, v_len = v[order], v_ids[order], v_len[order]
+    v, v_ids, v_rows, v_len = v[order], v_ids[order], v_rows[order], v_len[order]
+    product = Product(q, v)
     q_unit = q / np.maximum(q_len, 1)[:, None]
     focus = np.argsort(-np.abs(q_unit), axis=1)[:, :FOCUS]
     going = np.arange(len(q))
     for at in range(0, len(v), BUCKET):
-        part, ids, length = v[at : at + BUCKET], v_ids[at : at + BUCKET], v_len[at : at + BUCKET]
+        part = slice(at, min(at + BUCKET, len(v)))
+        ids, rows, length = v_ids[part], v_rows[part], v_len[part]
         t = np.array([best[i].threshold for i in going], float)
         reach = q_len[going] * length[0]
         local = np.divide(t, reach, out=np.full(len(going), -1.0), where=(reach > 0) & (t > 0))
@@ -77,108 +108,133 @@ def block_best(q: np.ndarray, q_ids: np.ndarray, thresholds: np.ndarray, v: np.n
         if not len(going):
             break
         by_coordinate = local >= COSINE
-        unit = part / np.maximum(length, 1e-300)[:, None] if by_coordinate.any() else None
+        unit = v[part] / np.maximum(length, 1e-300)[:, None] if by_coordinate.any() else None
         for i, t in zip(going[by_coordinate], local[by_coordinate]):
             # the local threshold of the bucket holds for all: shorter vectors need more
             t = min(t, 1.0) * (1 - SLACK)
-            keep = np.ones(len(part), bool)
+            keep = rows != q_rows[i]
             for f in focus[i]:
                 x = q_unit[i, f]
                 away = math.sqrt(max(0.0, (1 - t * t) * (1 - x * x))) + SLACK
                 low = -1.0 if x <= -t else x * t - away
                 high = 1.0 if x >= t else x * t + away
                 keep &= (unit[:, f] >= low - SLACK) & (unit[:, f] <= high + SLACK)
-            keep &= ids != q_ids[i]
-            best[i].add((part[keep] @ q[i]).astype(np.int64), ids[keep], k)
+            kept = np.flatnonzero(keep)
+            if len(kept):
+                best[i].add(product(slice(i, i + 1), at + kept)[0], ids[kept], k)
         rest = going[~by_coordinate]
-        if len(rest):
-            products = (q[rest] @ part.T).astype(np.int64)
-            for row, i in enumerate(rest):
-                stop = len(part)
+        for some in np.array_split(rest, max(1, -(-len(rest) // 1024))):
+            if not len(some):
+                continue
+            products = product(some, part)
+            for row, i in enumerate(some):
+                stop = len(ids)
                 if q_len[i] > 0 and best[i].threshold > 0:
                     stop = int(np.searchsorted(-length, -(best[i].threshold / q_len[i]) * (1 - SLACK), side="right"))
-                other = ids[:stop] != q_ids[i]
+                other = rows[:stop] != q_rows[i]
                 best[i].add(products[row, :stop][other], ids[:stop][other], k)
     return best
 
 
+def tiles(v: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, placed): queries and vectors dealt to tiles (dim, class, block, chunk).
+
+    v (vec_id, row, dim, length, v); queries (query_id, q_row, dim, v, threshold, need).
+    """
+    # classes of like need in each dimension, and their blocks
+    cuts = queries.groupBy("dim").agg(F.array_distinct(F.percentile_approx("need", [j / STEPS for j in range(1, STEPS)], 1000)).alias("cuts"))
+    classed = queries.join(cuts, "dim").withColumn("class", F.size(F.filter("cuts", lambda c: c < F.col("need")))).drop("cuts", "length")
+    classes = classed.groupBy("dim", "class").agg(F.min("need").alias("need"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    reach = classes.groupBy("dim").agg(F.collect_list(F.struct("need", "class", "blocks")).alias("classes"))  # STEPS at most
+    chunks = v.groupBy("dim").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    blocks = F.flatten(
+        F.transform(
+            F.filter("classes", lambda c: c["need"] <= F.col("length")),
+            lambda c: F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda b: F.struct(c["class"].alias("class"), b.alias("block"))),
+        )
+    )
+    placed = (
+        v.join(reach, "dim").join(chunks, "dim")
+        .withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(1)), F.col("chunks")).cast("int"))
+        .withColumn("met", F.explode(blocks))
+        .select("dim", "met.class", "met.block", "chunk", "vec_id", "row", "v")
+    )
+    asked = (
+        classed.join(classes.select("dim", "class", "blocks"), ["dim", "class"]).join(chunks, "dim")
+        .withColumn("block", F.pmod(F.xxhash64("q_row"), F.col("blocks")).cast("int"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("dim", "class", "block", "chunk", "query_id", "q_row", "v", "threshold")
+    )
+    return asked, placed
+
+
 def top_k(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best for each row whose vec_id is divisible by `every`."""
     ship(table.sparkSession)
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int"))
-    v = written(table.select("vec_id", "embedding").where(sound(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", whole.alias("v")), "vectors")
-    n, distinct = v.agg(F.count("*"), F.count_distinct("vec_id")).first()
-    if n != distinct:
-        v = written(v.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-        n = distinct
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
-    v = v.withColumn("dim", F.size("v")).withColumn("len2", square)
-    seeds = v.orderBy(F.desc("len2"), "vec_id").limit(SEEDS).toArrow()  # SEEDS rows at most
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    v = written(
+        table.select("vec_id", "embedding").where(sound(F.col("embedding")) & F.col("vec_id").isNotNull())
+        .select("vec_id", whole.alias("v"), F.monotonically_increasing_id().alias("row")),
+        "vectors",
+    )
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    v = v.withColumn("dim", F.size("v")).withColumn("length", F.sqrt(square))
+    seeds = v.orderBy(F.desc("length"), "row").limit(SEEDS).toArrow()  # SEEDS rows at most
     by_dim = {
-        d: (matrix((part := seeds.filter(pa.compute.equal(seeds["dim"], d)))["v"]), part["vec_id"].to_numpy())
+        d: (matrix((part := seeds.filter(pa.compute.equal(seeds["dim"], d)))["v"], np.int64), part["row"].to_numpy())
         for d in set(seeds["dim"].to_pylist())
     }
 
     def first_thresholds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.full(batch.num_rows, LOW, np.int64)
-            dims, ids = batch.column("dim").to_numpy(), batch.column("vec_id").to_numpy()
+            dims, rows = batch.column("dim").to_numpy(), batch.column("row").to_numpy()
             for d in set(dims.tolist()) & set(by_dim):
-                rows = np.flatnonzero(dims == d)
-                m, m_ids = by_dim[d]
-                for at in range(0, len(rows), 256):
-                    some = rows[at : at + 256]
-                    s = matrix(batch.column("v").take(pa.array(some))) @ m.T
-                    s[ids[some][:, None] == m_ids] = -np.inf
-                    if s.shape[1] > k:
-                        out[some] = np.partition(s, -k, axis=1)[:, -k].astype(np.int64)
+                own = np.flatnonzero(dims == d)
+                m, m_rows = by_dim[d]
+                if len(m) <= k:
+                    continue
+                for at in range(0, len(own), 256):
+                    some = own[at : at + 256]
+                    s = Product(matrix(batch.column("v").take(pa.array(some)), np.int64), m)(slice(None), slice(None))
+                    s[rows[some][:, None] == m_rows] = LEAST
+                    out[some] = np.partition(s, -k, axis=1)[:, -k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("dim"), batch.column("len2"), batch.column("v"), pa.array(out)],
-                ["query_id", "dim", "len2", "v", "threshold"],
+                [batch.column(c) for c in ("vec_id", "row", "dim", "length", "v")] + [pa.array(out)],
+                ["query_id", "q_row", "dim", "length", "v", "threshold"],
             )
 
-    blocks = max(1, -(-n // (every * QUERIES_A_BLOCK)))
+    need = F.when((F.col("threshold") <= 0) | (F.col("length") == 0), 0.0).otherwise(F.col("threshold") / F.col("length") * (1 - SLACK))
     queries = written(
         v.where(F.col("vec_id") % every == 0)
-        .mapInArrow(first_thresholds, "query_id long, dim int, len2 long, v array<int>, threshold long")
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")),
+        .mapInArrow(first_thresholds, "query_id long, q_row long, dim int, length double, v array<long>, threshold long")
+        .withColumn("need", need),
         "queries",
     )
-    # one row for each block of queries: the least length with which a vector can enter there
-    need = F.when((F.col("threshold") <= 0) | (F.col("len2") == 0), 0.0).otherwise(F.col("threshold") / F.sqrt("len2"))
-    least = {(r["block"], r["dim"]): r["need"] for r in queries.groupBy("block", "dim").agg(F.min(need).alias("need")).collect()}
-    if not least:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    chunks = max(1, math.ceil(n / max(4096, 16 * math.isqrt(n))))
-    chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int")
-    needs = table.sparkSession.createDataFrame([(d, b, float(x) * (1 - SLACK)) for (b, d), x in least.items()], "dim int, block int, need double")
-    per_dim = needs.groupBy("dim").agg(F.collect_list(F.struct("block", "need")).alias("needs"))
-    placed = (
-        v.withColumn("chunk", chunk)
-        .join(F.broadcast(per_dim), "dim")
-        .withColumn("met", F.explode(F.filter("needs", lambda x: F.sqrt(F.col("len2")) >= x["need"])))
-        .select("dim", F.col("met.block").alias("block"), "chunk", "vec_id", "v")
-    )
-    asked = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("dim", "block", "chunk", "query_id", "v", "threshold")
+    asked, placed = tiles(v, queries)
 
     def met(asked: pa.Table, placed: pa.Table) -> pa.Table:
         found: list[Best] = []
-        q_ids = asked["query_id"].to_numpy()
+        q_ids, q_rows = asked["query_id"].to_numpy(), asked["q_row"].to_numpy()
         if len(q_ids) and placed.num_rows:
-            found = block_best(matrix(asked["v"]), q_ids, asked["threshold"].to_numpy(), matrix(placed["v"]), placed["vec_id"].to_numpy(), k)
-        n = [len(b.ids) for b in found]
+            found = block_best(
+                matrix(asked["v"], np.int64), q_rows, asked["threshold"].to_numpy(),
+                matrix(placed["v"], np.int64), placed["vec_id"].to_numpy(), placed["row"].to_numpy(), k,
+            )
+        n = [len(b.ids) for b in found] if found else [0] * len(q_ids)
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table(
             {
-                "query_id": np.repeat(q_ids, n) if found else np.zeros(0, np.int64),
+                "q_row": np.repeat(q_rows, n),
+                "query_id": np.repeat(q_ids, n),
                 "vec_id": join([b.ids for b in found]),
                 "score": join([b.scores for b in found]),
             }
         )
 
-    keys = ["dim", "block", "chunk"]
-    some = asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(met, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    keys = ["dim", "class", "block", "chunk"]
+    some = asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(met, "q_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")).cast("int")
     return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
