@@ -10,18 +10,21 @@ natives of a cell against its natives and copies find all their links. Every lin
 so counted from both its ends, each in the end's home cell.
 
 Equal vectors of a label are one class with a multiplicity, so copies never multiply.
-A cell of many natives is dealt out in blocks of BLOCK natives, each with the cell's
-members. A block reports the number of links of each native and a spanning set of
-links (each linked vector with the least one that its links reach), not all pairs.
-There are at most PIVOTS pivots, whatever the input: the cells grow, the blocks don't.
+A cell is dealt out in tiles: at most about BLOCK of its natives against at most about
+BLOCK of its members (fewer if the vectors are long). A tile reports the number of links
+of each native and a spanning set of links (each linked vector with the least one that
+its links reach), not all pairs. There are at most PIVOTS pivots, whatever the input: the
+cells grow, their tiles get more, and a tile doesn't grow.
 
 In high dimensions vectors far from each other are nearly equally far from every
-pivot, so singles are copied to most cells of their label; tight groups are not.
+pivot, so singles are copied to most cells of their label; tight groups are not. A cell of h
+natives and m members has h * m / BLOCK^2 tiles, so copies grow with h * m / BLOCK.
 
 Defined results: rows with a null label or vec_id and vectors that are null, empty, zero or
 hold null or non-finite components link with nothing (n_links 0, their own component, kept);
-vectors of different dimension do not link; repeated rows are vectors of their own; an empty
-table gives no rows; further columns are ignored.
+vectors of different dimension do not link; repeated rows are vectors of their own; a cosine
+of 0.93 as doubles give it links, ties included; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,12 +41,20 @@ from pathloom.llm.vectors import matrix, sound
 from pathloom.operators.components import components
 from pathloom.session import ship, written
 
-COSINE, CELL, PIVOTS, BLOCK, SEED = 0.93, 4096, 8192, 2048, 11
+COSINE, CELL, PIVOTS, BLOCK, SEED = 0.93, 4096, 8192, 4096, 11
+#: Components that one side of a tile holds at most: a tile of long vectors has fewer of them.
+COMPONENTS = 1 << 22
 SLACK = 1e-7
 
 
-def _units(column) -> np.ndarray:
+def _scaled(column) -> np.ndarray:
+    """The vectors, each by a power of two, which is exact, so that squares neither vanish nor overflow."""
     m = matrix(column)
+    return np.ldexp(m, -np.frexp(np.abs(m).max(1, initial=0))[1][:, None]) if m.size else m
+
+
+def _units(column) -> np.ndarray:
+    m = _scaled(column)
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
@@ -86,19 +97,28 @@ def _cells(pivots: dict, radius: float, radii: dict | None):
 
 
 def _joined(cosine: float):
-    """One block of a cell: a row (cid, n, root) for each native, and (cid, null, root) for linked members."""
+    """One tile of a cell: a row (cid, n, root) for each native, and (cid, null, root) for linked members.
+
+    n counts the tile's members that the native links with; a member that is the native itself counts
+    as all its copies but one, a native that is no member here as none.
+    """
 
     def join(block: pa.Table) -> pa.Table:
-        m, cid, mult = matrix(block["embedding"]), block["cid"].to_numpy(), block["mult"].to_numpy()
-        order = np.argsort(cid)
-        m, cid, mult = m[order], cid[order], mult[order]
-        native = np.flatnonzero(block["native"].to_numpy()[order])
+        # a class may be here as a native, as a member, or as both
+        cid, first, place = np.unique(block["cid"].to_numpy(), return_index=True, return_inverse=True)
+        m, mult = _scaled(block["embedding"].combine_chunks().take(pa.array(first))), block["mult"].to_numpy()[first]
+        asks = block["native"].to_numpy()
+        is_member = np.zeros(len(cid), bool)
+        is_member[place[~asks]] = True
+        native = np.unique(place[asks])
+        mult = np.where(is_member, mult, 0)
         length = np.sqrt((m * m).sum(1))
         counts, root = np.zeros(len(native), np.int64), np.arange(len(cid))
         linked = []
         for at in range(0, len(cid), 4096):
             part = slice(at, min(at + 4096, len(cid)))
             near = (m[native] @ m[part].T) / (length[native][:, None] * length[None, part]) >= cosine
+            near &= is_member[part]
             own = (native >= part.start) & (native < part.stop)
             near[np.flatnonzero(own), native[own] - part.start] = True
             counts += near @ mult[part]
@@ -116,7 +136,7 @@ def _joined(cosine: float):
         return pa.table(
             {
                 "cid": np.concatenate([cid[native], cid[others]]),
-                "n": pa.concat_arrays([pa.array(counts - 1), pa.nulls(len(others), pa.int64())]),
+                "n": pa.concat_arrays([pa.array(counts - is_member[native]), pa.nulls(len(others), pa.int64())]),
                 "root": np.concatenate([cid[root[native]], cid[root[others]]]),
             }
         )
@@ -124,10 +144,31 @@ def _joined(cosine: float):
     return join
 
 
+def tiled(members: DataFrame) -> DataFrame:
+    """members (grp, cell, cid, embedding, mult, native) dealt to tiles: once as natives that ask, once as members."""
+    side = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(COMPONENTS) / F.max(F.size("embedding"))).cast("int")))
+    cells = (
+        members.groupBy("grp", "cell").agg(F.ceil(F.count_if("native") / side).cast("int").alias("blocks"), F.ceil(F.count("*") / side).cast("int").alias("tiles"))
+        .where("blocks > 0")
+    )
+    dealt = (
+        members.join(cells, ["grp", "cell"])
+        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        .withColumn("tile", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("tiles")).cast("int"))
+    )
+    parts = ["grp", "cell", "block", "tile", "cid", "embedding", "mult"]
+    asking = dealt.where("native").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(*parts, F.lit(True).alias("native"))
+    asked = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*parts, F.lit(False).alias("native"))
+    return asking.unionByName(asked)
+
+
 def near_duplicates(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of table (vec_id, embedding, label)."""
     ship(table.sparkSession)
-    rows = table.select("vec_id", "label", "embedding")
+    # floats stay floats, half the bytes; any other number is a double
+    kind = table.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = table.select("vec_id", "label", F.col("embedding").cast(kind).alias("embedding"))
     takes = (
         F.col("label").isNotNull()
         & F.col("vec_id").isNotNull()
@@ -152,25 +193,18 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     pivots = {
         g: _units(sample.filter(pa.compute.equal(sample["grp"], g))["embedding"]) for g in set(sample["grp"].to_pylist())
     }
-    shape = "cid long, grp long, embedding array<float>, mult long, cell int, far double"
-    columns = classes.select("cid", "grp", F.col("embedding").cast("array<float>").alias("embedding"), "mult")
+    shape = f"cid long, grp long, embedding {kind}, mult long, cell int, far double"
+    columns = classes.select("cid", "grp", "embedding", "mult")
     radii: dict = {}
     if pivots:
-        homes = columns.mapInArrow(_cells(pivots, radius, None), shape)
-        held = {(r["grp"], r["cell"]): r["far"] for r in homes.groupBy("grp", "cell").agg(F.max("far").alias("far")).collect()}
+        homes = columns.join(F.broadcast(large.select("grp")), "grp", "left_semi").select(*columns.columns).mapInArrow(_cells(pivots, radius, None), shape)
+        held = {(r["grp"], r["cell"]): r["far"] for r in homes.groupBy("grp", "cell").agg(F.max("far").alias("far")).collect()}  # a row a pivot
         radii = {g: np.array([held.get((g, j), -1e9) for j in range(len(p))]) for g, p in pivots.items()}
     members = written(columns.mapInArrow(_cells(pivots, radius, radii), shape).withColumn("native", F.col("far") == 0), "members")
-    cells = members.groupBy("grp", "cell").agg(F.ceil(F.count_if("native") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
-    dealt = (
-        members.join(cells, ["grp", "cell"])
-        .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", "cell", "block", "cid", "embedding", "mult", (F.col("native") & (F.col("own") == F.col("block"))).alias("native"))
-    )
     found = written(
-        dealt.groupBy("grp", "cell", "block").applyInArrow(_joined(cosine), "cid long, n long, root long"), "found"
+        tiled(members).groupBy("grp", "cell", "block", "tile").applyInArrow(_joined(cosine), "cid long, n long, root long"), "found"
     )
-    counts = found.where("n is not null").select("cid", "n")
+    counts = found.where("n is not null").groupBy("cid").agg(F.sum("n").alias("n"))
     reached = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     heads = classes.select("cid", "head").join(reached.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     joint = heads.groupBy("root").agg(F.min("head").alias("component_id"))
