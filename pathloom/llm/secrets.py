@@ -1,29 +1,36 @@
 """Secret scans with an incremental blob ledger. Built-in functions only.
 
-Every version of a text is a blob, addressed by its SHA-256. The ledger records which
-(blob, rule version) pairs have been scanned and what was found. A scan takes one
-text for each blob with pairs that the ledger lacks, applies just the missing rules,
-appends the pairs, and joins the findings back to all paths (here: doc_ids) of a blob.
-Changing a rule changes its version, so only that rule runs again.
+Every version of a text is a blob, addressed by its SHA-256. The ledger is a folder with two
+Parquet tables: every version ever seen (path, blob), a path being a doc_id, and every
+(blob, rule version) pair ever scanned, with what was found. A scan takes a text of each blob
+with pairs that the ledger lacks, applies just the missing rules and appends the pairs;
+findings are joined back to all paths of a blob, those of this run (report) or of all runs
+(history). Changing a rule changes its version, so only that rule runs again.
+Both tables are sets: what a crashed or repeated run appends twice counts once.
 
 Spans come from built-in functions: the texts between matches (split) and the matches
 (regexp_extract_all) alternate, so running sums of their lengths are the positions.
 
-Defined results: a null text is the empty blob; blanks and empty texts have no spans;
-equal texts share one scan; repeated rows and null doc_ids keep their rows; an empty table
-gives no rows; further columns are ignored (or kept, by redacted()).
+Defined results: a null text is the empty blob; blanks and empty texts have no spans; very long
+texts are scanned whole, by one task; texts that are equal under several doc_ids share one scan
+(rows that repeat both doc_id and text are each scanned, and their pairs merge); spans that
+start together are in the order of the rules; repeated rows and null doc_ids keep their rows;
+an empty table gives no rows; further columns are ignored (or kept, by redacted(), whatever
+their names).
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.session import written
+from pathloom.session import shared_dir, written
 
 
 @dataclass(frozen=True)
@@ -45,6 +52,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+_STRETCH = re.compile(r"\[[^\[\]\\]+\]\+")
 SPAN = "struct<start: bigint, kind: int, stop: bigint>"
 #: Lengths are summed in blocks of this many, so that n matches cost about n * BLOCK steps, not n * n.
 BLOCK = 256
@@ -80,10 +88,9 @@ def _before(lengths: Column) -> Column:
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """The findings of one rule in a text: array of (start, kind, stop), in code points."""
-    # a short match of a rule without a group never hides a long one: its pattern takes whole stretches
-    tight = rule.group == 0 and rule.pattern.endswith("+")
-    least = rule.least - (len("AKIA") if rule.kind == "access" else 0)
-    pattern = f"{rule.pattern[:-1]}{{{least},}}" if tight else rule.pattern
+    # a rule that is one class of characters takes whole stretches, so the short ones need not even match
+    tight = rule.group == 0 and bool(_STRETCH.fullmatch(rule.pattern))
+    pattern = f"{rule.pattern[:-1]}{{{rule.least},}}" if tight else rule.pattern
     none = F.array().cast(f"array<{SPAN}>")
 
     def placed(found: Column) -> Column:
@@ -130,21 +137,44 @@ def blob(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def scan(docs: DataFrame, versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+class Ledger:
+    """The two tables of a ledger below a folder of any store that Spark reaches."""
+
+    VERSIONS, PAIRS = "path {id}, blob binary", f"blob binary, rule string, spans array<{SPAN}>"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        there = at.getFileSystem(conf).exists(at)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def versions(self, id_type: str = "long") -> DataFrame:
+        """(path, blob): every version that a run has seen."""
+        return self._table("versions", self.VERSIONS.format(id=id_type)).distinct()
+
+    def pairs(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """(blob, rule, spans): what has been scanned by these versions of the rules; may repeat pairs."""
+        return self._table("pairs", self.PAIRS).where(F.col("rule").isin([r.version for r in rules]))
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+
+
+def scan(docs: DataFrame, versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The new rows of the ledger, written: (blob, rule, spans) for each pair that the ledger lacks.
 
     docs (doc_id, text); versions (path, blob) of the same rows.
     """
-    first = versions.groupBy("blob").agg(F.min("path").alias("rep"))
-    if ledger is None:
-        todo = first.withColumn("seen", F.array().cast("array<string>"))
-    else:
-        current = ledger.where(F.col("rule").isin([r.version for r in rules]))
-        seen = current.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = first.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-        todo = todo.where(F.size("seen") < len(rules))
+    seen = ledger.pairs(rules).groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # a row has as many as there are rules
+    todo = (
+        versions.groupBy("blob").agg(F.min("path").alias("rep"))
+        .join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>"))).where(F.size("seen") < len(rules))
+    )
     todo = written(todo.select(F.col("blob").alias("wanted"), "rep", "seen"), "unscanned")
-    # one text for each blob: by doc_id and blob, as versions of a document share a doc_id and ids may be null
+    # a text of each blob: by doc_id and blob, as versions of a document share a doc_id and ids may be null
     texts = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("blob", blob(F.col("text")))
@@ -161,35 +191,34 @@ def scan(docs: DataFrame, versions: DataFrame, ledger: DataFrame | None = None,
         ]
     )
     new = texts.select("blob", F.explode(found).alias("pair")).where("pair.spans is not null").select("blob", "pair.*")
-    # a repeated row repeats its pairs with equal spans; pairs without spans are one per row at most
+    # rows that repeat a doc_id and a text repeat its pairs, with equal spans
     return written(new.groupBy("blob", "rule").agg(F.first("spans").alias("spans")), "ledger-rows")
 
 
+def _findings(ledger: Ledger, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) of blobs with findings, ordered."""
+    pairs = ledger.pairs(rules).where(F.size("spans") > 0)
+    return pairs.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))
+
+
 def found_in(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(versions, findings): (path, blob) of every row, and (blob, spans) of blobs with findings, ordered.
 
-    With ledger_path the ledger is a Parquet table there: read first, then appended to.
+    Versions and pairs that the ledger lacks are appended to it. Without a path, the ledger is
+    a new one in the shared folder.
     """
     spark = docs.sparkSession
+    ledger = Ledger(spark, ledger_path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
     versions = written(docs.select(F.col("doc_id").alias("path"), blob(F.col("text")).alias("blob")), "versions")
-    ledger = None
-    if ledger_path:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(ledger_path)
-        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-        ledger = spark.read.schema(f"blob binary, rule string, spans array<{SPAN}>").parquet(ledger_path) if there else None
-    new = scan(docs, versions, ledger, rules)
-    if ledger_path:
-        new.write.mode("append").parquet(ledger_path)
-    pairs = new if ledger is None else ledger.unionByName(new)
-    pairs = pairs.where(F.col("rule").isin([r.version for r in rules]) & (F.size("spans") > 0))
-    findings = pairs.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return versions, findings
+    ledger.add("pairs", scan(docs, versions, ledger, rules))
+    known, v, b = ledger.versions(versions.schema["path"].dataType.simpleString()), F.col("path"), F.col("blob")
+    known = known.select(v.alias("p"), b.alias("k"))
+    ledger.add("versions", versions.distinct().join(known, v.eqNullSafe(F.col("p")) & (b == F.col("k")), "left_anti"))
+    return versions, _findings(ledger, rules)
 
 
-def report(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, n_<kind> for each rule, base_sha256, spans) for each row of docs (doc_id, text)."""
-    versions, findings = found_in(docs, ledger_path, rules)
+def _digest(rules: tuple[Rule, ...]) -> list[Column]:
+    """n_<kind> for each rule, and the list of spans as a string; both from a column spans."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     listed = F.array_join(
         F.transform("spans", lambda s: F.concat(F.get(kinds, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["stop"].cast("string"))), ","
@@ -198,8 +227,19 @@ def report(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, .
     def number(kind: int) -> Column:  # a default argument of a lambda would be taken for the index of its element
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
-    counts = [number(k).alias(f"n_{r.kind}") for k, r in enumerate(rules)]
-    digests = findings.select("blob", *counts, listed.alias("spans"))
+    return [*[number(k).alias(f"n_{r.kind}") for k, r in enumerate(rules)], listed.alias("spans")]
+
+
+def history(spark: SparkSession, ledger_path: str, rules: tuple[Rule, ...] = RULES, id_type: str = "long") -> DataFrame:
+    """(path, blob, n_<kind> for each rule, spans): every recorded version with findings, from the ledger alone."""
+    ledger = Ledger(spark, ledger_path)
+    return ledger.versions(id_type).join(_findings(ledger, rules), "blob").select("path", "blob", *_digest(rules))
+
+
+def report(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, n_<kind> for each rule, base_sha256, spans) for each row of docs (doc_id, text)."""
+    versions, findings = found_in(docs, ledger_path, rules)
+    digests = findings.select("blob", *_digest(rules))
     joined = versions.join(digests, "blob", "left").withColumn("spans", F.coalesce("spans", F.lit("")))
     return joined.select(
         F.col("path").alias("doc_id"),
@@ -224,7 +264,9 @@ def redacted(docs: DataFrame, mark: str = "[REDACTED]", rules: tuple[Rule, ...]
             ),
         ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))),
     )
-    cuts = findings.select(F.col("blob").alias("_blob"), merged.alias("_cuts"))
+    cuts = findings.select("blob", merged.alias("cuts"))
+    # the columns of docs travel as one struct, so their names meet no other
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", blob(F.col("text")).alias("blob")).join(cuts, "blob", "left")
     text = F.col("text")
 
     def rebuilt(cut: Column) -> Column:
@@ -238,12 +280,16 @@ def redacted(docs: DataFrame, mark: str = "[REDACTED]", rules: tuple[Rule, ...]
         last = F.element_at(cut, -1)["stop"]
         return F.concat(F.array_join(kept, mark), F.lit(mark), F.substring(text, (last + 1).cast("int"), F.length(text)))
 
-    new = F.when(F.col("_cuts").isNull(), text).otherwise(let(F.col("_cuts"), rebuilt))
-    out = docs.withColumn("_blob", blob(text)).join(cuts, "_blob", "left").withColumn("_text", new)
-    changed = {"text": F.col("_text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))
-    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    untouched = F.col("cuts").isNull()
+    out = rows.select("row", untouched.alias("untouched"), F.when(untouched, text).otherwise(let(F.col("cuts"), rebuilt)).alias("new"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("new")
+        old = F.col("row")[c]
+        return F.when(F.col("untouched"), old).otherwise(F.length("new").cast("long")) if c == "n_chars" else old
+
+    return out.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
