@@ -13,9 +13,11 @@ The running sum is never made over a whole source: documents fall into buckets b
 first digits of the hash, sums of buckets are accumulated, and only inside a bucket rows
 are ordered. A source that holds a third of all rows is spread over all its buckets.
 
-Defined results: null or blank text has size 0 and takes 0; null is a source of its own,
-the last one; a null doc_id takes part like any other; repeated rows count as rows; an
-empty table gives no rows; a source of size 0 has target 0.
+Defined results: null or blank text has size 0 and takes 0; very long texts count like others,
+and may miss a target by half their size; null is a source of its own, the last one; a null
+doc_id takes part like any other; equal keys are in the order of size and doc_id; repeated rows
+count as rows; an empty table gives no rows; a source of size 0 has target 0; further columns
+are ignored (or kept, by mixed(), whatever their names).
 """
 
 from __future__ import annotations
@@ -67,20 +69,21 @@ def water_level(sources: DataFrame, budget: float, epochs: float) -> float:
 def _mix(
     docs: DataFrame,
     size: Column,
+    keep: list[str],
     weights: tuple[int, ...] = WEIGHTS,
     share: float = SHARE,
     epochs: int = EPOCHS,
     seed: str = SEED,
 ) -> DataFrame:
-    """(row, size, source_size, target, taken, repeats): row is the struct of the columns of docs.
+    """(row, size, source_size, target, taken, repeats): row is the struct of the columns `keep` of docs.
 
     docs needs doc_id and source; weights repeat over the sources by code point; the
     targets share `share` times all sizes; no document is taken more than `epochs` times.
     """
     # rows without a doc_id are told apart by their other columns, so that they don't meet in one bucket
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row:"), F.xxhash64(*docs.columns).cast("string")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row:"), F.xxhash64("source", size, *keep).cast("string")))
     key = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
-    base = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.struct(*docs.columns).alias("row"))
+    base = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.struct(*keep).alias("row"))
     total, rows = base.agg(F.sum("size"), F.count("*")).first()
     digits = min(MOST_DIGITS, max(1, math.ceil(math.log(max(1, rows / ROWS), 16))))
     base = base.withColumn("bucket", F.substring("key", 1, digits))
@@ -115,15 +118,14 @@ def _mix(
 
 def mix(docs: DataFrame, size: Column, keep: list[str], **settings) -> DataFrame:
     """The columns `keep` of docs, and size, source_size, target, taken and repeats (long, long, double, long, int)."""
-    slim = docs.select(*dict.fromkeys(["doc_id", "source", *keep]), size.alias("_size"))
-    return _mix(slim, F.col("_size"), **settings).select(
+    return _mix(docs, size, keep, **settings).select(
         *[F.col("row")[c].alias(c) for c in keep], "size", "source_size", "target", "taken", "repeats"
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as the mix takes it, with its columns."""
-    out = _mix(docs, words(F.col("text")))
+    out = _mix(docs, words(F.col("text")), docs.columns)
     return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select("row.*")
 
 
