@@ -8,15 +8,22 @@ of the next three at most one differs, by one bit. So each fingerprint is filed
 24 keys (8 starts, one of three segments left out): four segments, 32 bits. Pairs that
 share a key are candidates, then pass the chain test, then the full Hamming test.
 
+Size: a fingerprint is filed 24 times, 16 bytes each. A key has 32 bits, so among n different
+fingerprints about 24 * n / 2^32 unrelated ones share a key with each: 56 at 10^10 classes. Each
+costs one comparison inside a task's block.
+
 Defined results:
  * null or blank text: no words, fingerprint zero, linked like any other fingerprint;
  * fewer than three words: the one shingle is the whole sequence;
+ * very long texts are read whole, their shingles in parts of 65,536;
+ * a bit set in exactly half of the shingles is 0;
  * equal fingerprints form one class, whatever their number: classes, not documents,
    are compared, so copies never multiply;
  * repeated rows appear as often as they do in the input;
  * a null doc_id takes part but never names a component; a component of nulls has a null id
    (deduplication then keeps one row of it);
- * an empty table gives no rows; further columns are ignored.
+ * an empty table gives no rows; further columns are ignored (or kept, by one_of_each(),
+   whatever their names).
 """
 
 from __future__ import annotations
@@ -176,38 +183,39 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each component: the one whose doc_id names it; of a component without ids, any one.
 
     A doc_id may be repeated with other texts, so rows are then chosen by doc_id and fingerprint.
+    The columns of docs travel as one struct, so their names meet no other.
     """
     found = written(near_duplicates(docs), "components")
     keep = written(
         found.where("doc_id is not null").groupBy(F.col("doc_id").alias("kept_id"))
-        .agg(F.count("*").alias("kept_n"), F.count_if(F.col("component_id") == F.col("doc_id")).alias("names")).where("names > 0"), "kept"
+        .agg(F.count("*").alias("n"), F.count_if(F.col("component_id") == F.col("doc_id")).alias("names")).where("names > 0"), "kept"
     )
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
 
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
             fp = np.fromiter((fingerprint(t) for t in texts(batch.column("text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"])
 
-    with_fp = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    several = F.col("kept_n") > 1
+    with_fp = T.StructType([rows.schema["doc_id"], rows.schema["row"], T.StructField("fp", T.LongType())])
+    several = F.col("n") > 1
 
     def of(kept: DataFrame) -> DataFrame:
-        return docs.join(kept.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+        return rows.join(kept.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
 
     if keep.where(several).head(1):
-        named = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("_named"), "root").agg(F.min("fp").alias("_chosen"))
+        named = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("named"), "root").agg(F.min("fp").alias("chosen"))
         exact = of(keep.where(several)).mapInArrow(marked, with_fp).join(
-            named.select("_named", "_chosen"), (F.col("doc_id") == F.col("_named")) & (F.col("_fp") == F.col("_chosen")), "left_semi"
+            named.select("named", "chosen"), (F.col("doc_id") == F.col("named")) & (F.col("fp") == F.col("chosen")), "left_semi"
         )
-        out = of(keep.where(~several)).unionByName(exact.dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
+        out = of(keep.where(~several)).select("row").unionByName(exact.dropDuplicates(["doc_id", "fp"]).select("row"))
     else:
-        out = of(keep)
-    if not found.where("doc_id is null and component_id is null").head(1):
-        return out
-    chosen = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias("_chosen")).select("_chosen")
-    nameless = docs.where("doc_id is null").mapInArrow(marked, with_fp)
-    rest = nameless.join(chosen, F.col("_fp") == F.col("_chosen"), "left_semi").dropDuplicates(["_fp"])
-    return out.unionByName(rest.drop("_fp"))
+        out = of(keep).select("row")
+    if found.where("doc_id is null and component_id is null").head(1):
+        chosen = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias("chosen")).select("chosen")
+        nameless = rows.where("doc_id is null").mapInArrow(marked, with_fp)
+        out = out.unionByName(nameless.join(chosen, F.col("fp") == F.col("chosen"), "left_semi").dropDuplicates(["fp"]).select("row"))
+    return out.select("row.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
