@@ -30,7 +30,10 @@ ROWS = [
     (10, "x" * 30_000, "en", "b"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
-CLASHES = ["size", "key", "fp", "row", "bucket", "target", "blob", "spans", "u", "v", "n", "range", "part", "repeats", "_again", "x"]
+#: Names that the operators use inside, and some that they used.
+CLASHES = """size key fp row rows bucket b of target whole rest rank weight before middle taken blob spans rep seen wanted path cuts new untouched u v n a
+range part sub place first repeats kept_id names named chosen root head joint component_id held_out score lang_pred times there word x labelled
+_text _blob _cuts _fp _chosen _named _size _again""".split()
 
 
 @pytest.fixture(scope="module")
@@ -166,15 +169,56 @@ def test_secrets_equal_plain_python(spark, none):
 def test_ledger_scans_only_unseen_pairs(spark, docs, tmp_path):
     ledger = str(tmp_path / "ledger")
     assert rows(secrets.report(docs, ledger)) == sorted(map(plain_report, ROWS), key=repr)
-    pairs = spark.read.parquet(ledger)
+    pairs = spark.read.parquet(f"{ledger}/pairs")
     texts = {r[1] or "" for r in ROWS}
     assert pairs.count() == 3 * len(texts) == pairs.select("blob", "rule").distinct().count()
     again = secrets.report(docs, ledger)
     assert rows(again) == sorted(map(plain_report, ROWS), key=repr)
-    assert spark.read.parquet(ledger).count() == 3 * len(texts)
+    assert spark.read.parquet(f"{ledger}/pairs").count() == 3 * len(texts)
     longer = secrets.RULES[:2] + (secrets.Rule("hex", r"[0-9a-f]+", 0, 40),)
     assert sum(r.n_hex for r in secrets.report(docs, ledger, longer).collect()) == 0
-    assert spark.read.parquet(ledger).count() == 4 * len(texts)
+    assert spark.read.parquet(f"{ledger}/pairs").count() == 4 * len(texts)
+
+
+def test_ledger_keeps_versions_and_their_paths(spark, tmp_path):
+    """A second version of a document: only it is scanned, and findings join the paths of both runs."""
+    ledger, secret = str(tmp_path / "ledger"), "token=abcdef1 x"
+    first = [(1, secret, "en", "s"), (2, "nothing", "en", "s"), (3, secret, "en", "s"), (None, secret, "en", "s")]
+    second = [(1, "clean now", "en", "s"), (2, "nothing", "en", "s"), (4, "key " + "f" * 30, "en", "s")]
+    assert rows(secrets.report(spark.createDataFrame(first, SCHEMA), ledger)) == sorted(map(plain_report, first), key=repr)
+    scanned = spark.read.parquet(f"{ledger}/pairs").count()
+    df = spark.createDataFrame(second, SCHEMA)
+    versions = df.select(F.col("doc_id").alias("path"), secrets.blob(F.col("text")).alias("blob"))
+    todo = secrets.scan(df, versions, secrets.Ledger(spark, ledger))
+    assert todo.select("blob").distinct().count() == 2 and todo.count() == 2 * len(secrets.RULES)
+    assert rows(secrets.report(df, ledger)) == sorted(map(plain_report, second), key=repr)
+    assert spark.read.parquet(f"{ledger}/pairs").count() == scanned + 2 * len(secrets.RULES)
+    assert secrets.scan(df, versions, secrets.Ledger(spark, ledger)).count() == 0
+    got = sorted(((r.path, r.n_assign, r.n_hex) for r in secrets.history(spark, ledger).collect()), key=repr)
+    assert got == sorted([(1, 1, 0), (3, 1, 0), (None, 1, 0), (4, 0, 1)], key=repr)
+    assert secrets.Ledger(spark, ledger).versions().count() == 6
+
+
+def test_rules_with_a_prefix(spark):
+    rules = (secrets.Rule("key", r"ghp_[A-Za-z0-9]+", 0, 40), secrets.Rule("pair", r"[a-f]+[0-9]+", 0, 6))
+    table = [(1, "ghp_" + "a" * 38 + " ghp_short", "en", "s"), (2, "abc123 a1 ghp_" + "b" * 35, "en", "s")]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(table, SCHEMA), None, rules).collect()}
+    assert got == {1: "key:0:42", 2: "pair:0:6"}
+
+
+def test_stages_keep_columns_whatever_their_names(spark, docs):
+    """The columns of docs hold the word clash before and after, and so no column of a helper."""
+    plain = spark.createDataFrame(ROWS, SCHEMA)
+    for stage in (secrets.redacted, simhash.one_of_each, mixing.mixed, language.spoken):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        got = [r.asDict() for r in got.collect()]
+        assert all(r[c] == "clash" for r in got for c in CLASHES)
+        want = Counter((r.doc_id, r.text, r.lang, r.source) for r in stage(plain).collect())
+        assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in got) == want
+    named = docs.withColumn("_size", F.lit("mine"))
+    got = mixing.mix(named, mixing.words(F.col("text")), ["doc_id", "_size", "row", "key"]).collect()
+    assert len(got) == len(ROWS) and {(r["_size"], r["row"], r["key"]) for r in got} == {("mine", "clash", "clash")}
 
 
 def test_redaction(spark, none):

@@ -1,9 +1,12 @@
 """Vector operators against brute force, with hot copies, nulls, zeros and mixed dimensions."""
 
+import math
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.llm import metricjoin, topk
 
@@ -58,22 +61,78 @@ def test_metric_join_equals_brute_force(spark, monkeypatch, cell, block):
 
 
 def plain_top(rows, k=20):
-    found = {}
-    for r in rows:
-        if r[0] is not None and fine(r[1]):
-            found[r[0]] = [int(np.floor(64 * float(x))) for x in r[1]]
-    out = set()
-    for q, x in found.items():
+    """Every row is a candidate and, if its vec_id is divisible by 20, a query; scores in Python's integers."""
+    found = [(r[0], [math.floor(64 * Fraction(x)) for x in r[1]]) for r in rows if r[0] is not None and fine(r[1])]
+    clamp = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    found = [(i, [clamp(x) for x in v]) for i, v in found]
+    out = Counter()
+    for at, (q, x) in enumerate(found):
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in found.items() if i != q and len(x) == len(y))[:k]
-            out |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)}
+            best = sorted((-clamp(sum(a * b for a, b in zip(x, y))), i) for k_, (i, y) in enumerate(found) if k_ != at and len(x) == len(y))[:k]
+            out.update((q, rank + 1, i, -s) for rank, (s, i) in enumerate(best))
     return out
 
 
-@pytest.mark.parametrize("sizes", [(4096, 1024, 512, 0.6), (30, 4, 16, 0.1), (30, 4, 16, 0.99)])
+SIZES = ("SEEDS", "BLOCK", "CHUNK", "STEPS", "BUCKET", "COSINE")
+
+
+@pytest.mark.parametrize("sizes", [(4096, 4096, 16384, 64, 512, 0.6), (30, 4, 50, 3, 16, 0.1), (30, 4, 50, 5, 16, 0.99)])
 def test_top_k_equals_brute_force(spark, monkeypatch, sizes):
-    for name, value in zip(("SEEDS", "QUERIES_A_BLOCK", "BUCKET", "COSINE"), sizes):
+    for name, value in zip(SIZES, sizes):
         monkeypatch.setattr(topk, name, value)
     rows, df = table(spark, 2)
-    assert {tuple(r) for r in topk.top_k(df).collect()} == plain_top(rows)
+    assert Counter(tuple(r) for r in topk.top_k(df).collect()) == plain_top(rows)
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.25, 0.0]), (0, [2.0, 1.0]), (3, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = Counter(tuple(r) for r in topk.top_k(df).collect())
+    assert got == plain_top(rows) and sum(got.values()) == 8
+
+
+@pytest.mark.parametrize("scale", [1e6, 3e7, 1e9, 1e30])
+def test_large_components_have_exact_products(spark, scale):
+    rng = np.random.default_rng(4)
+    rows = [(20 * k, [float(x) for x in rng.normal(size=5) * scale]) for k in range(40)] + [(7, [0.0] * 5), (8, [3.3e38] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter(tuple(r) for r in topk.top_k(df).collect()) == plain_top(rows)
+
+
+def test_tiles_of_queries_stay_small(spark, monkeypatch):
+    """All ids are divisible by 20: no tile gets more than about its share of queries or of vectors."""
+    for name, value in zip(SIZES, (64, 32, 64, 4, 16, 0.6)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    most, plain = [], topk.tiles
+    for n in (400, 1600):
+        rows = [(20 * k, [float(x) for x in rng.normal(size=6).astype(np.float32)]) for k in range(n)]
+        held = []
+
+        def counted(v, queries):
+            asked, placed = plain(v, queries)
+            held.extend(x.groupBy("dim", "class", "block", "chunk").count().agg(F.max("count")).first()[0] for x in (asked, placed))
+            return asked, placed
+
+        monkeypatch.setattr(topk, "tiles", counted)
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+        assert n > 400 or Counter(tuple(r) for r in got.collect()) == plain_top(rows)
+        most.append(held)
+    assert all(b < 1.6 * a and b < 130 for a, b in zip(*most))
+
+
+def test_large_doubles_link_by_their_angle(spark):
+    rows = [(1, [1e39, 1.0], 1), (2, [1e39, 2.0], 1), (3, [1e-300, 1e-300], 1), (4, [3e-300, 3e-300], 1), (5, [0.0, 1e308], 1), (6, [1e39, 1.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in metricjoin.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True)]
+
+
+def test_largest_tile_does_not_grow_with_the_label(spark, monkeypatch):
+    monkeypatch.setattr(metricjoin, "BLOCK", 64)
+    most = []
+    for n in (500, 4000):
+        members = spark.range(n).selectExpr("1L AS grp", "0 AS cell", "id AS cid", "array(1.0D, double(id)) AS embedding", "1L AS mult", "id % 2 = 0 AS native")
+        most.append(metricjoin.tiled(members).groupBy("grp", "cell", "block", "tile").count().agg(F.max("count")).first()[0])
+    assert most[1] < 1.5 * most[0] and most[1] < 4 * 64
