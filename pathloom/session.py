@@ -52,6 +52,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Below so many bytes for each core a table is dealt anew before long work on its rows.
+SPREAD_BYTES = 8 << 20
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a frame's size; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small; its file may have one row group, and one task would do all the work.
+
+    Large tables have more splits than cores and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < SPREAD_BYTES * cores else df
+
+
 def dropped(df: DataFrame) -> None:
     """Removes a table made by written() that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
