@@ -9,13 +9,17 @@ that it lies at CUT.
 Features come from the whole text alone: shares of every ASCII mark, of upper case, digits
 and other bytes, word and line lengths, repetition of words and lines, capital words.
 
-Fitting uses at most about TRAIN labelled rows (a seeded share) and PAIRS pairs drawn from
-them; these reach the driver, a few megabytes. Features of all documents are computed once.
-
-Defined results: null and empty texts have all features 0 and get the score of that; without
-both labels in the training rows all scores are 0.5 and predictions 0; rows with null labels
-are not learned from; documents without a doc_id are scored, never learned from, and count as
-held out; repeated rows are kept; empty tables give no rows; further columns are ignored.
+Fitting uses at most about TRAIN labelled documents (a seeded share of their ids, so the number
+varies by its square root) and PAIRS pairs drawn from them; these reach the driver, a few
+megabytes. Features of all documents are computed once.
+
+Defined results: null and empty texts have all features 0 and get the score of that; very long
+texts are read whole; without both labels in the training rows all scores are 0.5 and
+predictions 0; null labels are not learned from, nor is a doc_id with both labels; a repeated
+label counts once, and a doc_id of several texts is learned from once, by the least of their
+features; of quantiles that part the labels equally well the widest gap wins, then the lowest;
+documents without a doc_id are scored, never learned from, and count as held out; repeated
+rows are kept; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.rows import small, texts
 from pathloom.llm.vectors import matrix
-from pathloom.session import ship, written
+from pathloom.session import ship, spread, written
 
 TRAIN, PAIRS, CUT, FOLDS, HELD, RIDGE = 20_000, 200_000, 0.7, 4, 2, 1e-3
 #: The ASCII marks and blanks that have a share of their own.
@@ -108,13 +112,17 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 3) -> tuple[np.ndarray, flo
 def scored(docs: DataFrame, labels: DataFrame, seed: int = 9) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text); labels (doc_id, quality)."""
     ship(docs.sparkSession)
-    table = written(docs.select("doc_id", "text").mapInArrow(_featured, "doc_id long, x array<float>"), "features")
+    table = written(spread(docs.select("doc_id", "text")).mapInArrow(_featured, "doc_id long, x array<float>"), "features")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    may = labels.where(F.col("quality").isNotNull() & (fold != HELD)).select(F.col("doc_id").alias("labelled"), "quality")
+    one = F.col("least") == F.col("most")
+    may = (
+        labels.where(F.col("quality").isNotNull() & (fold != HELD)).groupBy(F.col("doc_id").alias("labelled"))
+        .agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where(one).select("labelled", F.col("least").alias("quality"))
+    )
     n = may.count()
     drawn = F.shiftrightunsigned(F.xxhash64("labelled", F.lit(seed)), 11) / F.lit(float(1 << 53)) < TRAIN / max(1, n)
-    train = table.join(may.where(drawn), F.col("doc_id") == F.col("labelled")).select("doc_id", "x", "quality").toArrow()
-    train = train.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    wanted = table.join(may.where(drawn), F.col("doc_id") == F.col("labelled"))
+    train = wanted.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("quality").alias("quality")).toArrow().sort_by("doc_id")
     model = fit(matrix(train["x"]), train["quality"].to_numpy() == 1) if train.num_rows else None
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
