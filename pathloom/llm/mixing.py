@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.session import written
+from pathloom.session import spread, written
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 #: At most 16 ** MOST_DIGITS buckets in a source; about ROWS rows in a bucket below that.
@@ -131,7 +131,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = written(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    sized = written(spread(docs.select("doc_id", "source", "text")).select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
     return mix(sized, F.col("size"), ["doc_id"])
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from pathloom.llm.rows import runs, small, texts
 from pathloom.operators.components import components
-from pathloom.session import ship, written
+from pathloom.session import ship, spread, written
 
 RING, WIDTH, MOST = 8, 8, 3
 #: The largest number of classes under one key that one task compares.
@@ -168,7 +168,7 @@ def near_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id, root) for each row of docs (doc_id, text); root is a fingerprint of the component."""
     ship(docs.sparkSession)
-    prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    prints = written(spread(docs.select("doc_id", "text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "classes")
     reached = components(near_links(classes.select("fp"))).withColumnRenamed("node", "fp")
     linked = written(classes.join(reached, "fp"), "linked")
