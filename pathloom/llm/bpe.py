@@ -10,7 +10,11 @@ One pass over the merge list in its order gives all reaches; the largest is the
 sufficient lookahead: a token that ends that many symbols before the end of what has
 been read stands in every continuation. No merge crosses a boundary of the final
 tokens, so after a stable token the transducer starts afresh. A pre-token of any length
-is thus encoded in a window of fixed size.
+is thus encoded in a window of fixed size: every pre-token goes through the transducer, and
+those shorter than a window come out when they end. Words of up to 64 characters are
+remembered with the ids that the transducer gave them; the ids of longer ones are passed on in
+parts as they become stable. The ids of a text are one stream of such parts: it is hashed and
+fed to the decoder part by part, and never held.
 
 Texts are normalised and split as the tokenizer file says (NFC, blanks, lower case by
 character; contractions, letters, single digits, other marks), in slices cut at blanks.
@@ -22,7 +26,9 @@ gives what the library gives for a file without a decoder: token strings joined
 blanks. With surface=False it gives the plain text: byte tokens and word ends undone.
 
 Defined results: null counts as the empty text: no tokens, two hashes of the empty string;
-repeated rows are kept; an empty table gives no rows; further columns are ignored.
+very long texts are coded whole, a slice at a time; of two equal pairs the left one merges first,
+so no ties are left; repeated rows are kept; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm.memo import Memo, once
 from pathloom.llm.rows import small
-from pathloom.session import ship
+from pathloom.session import ship, spread
 
 #: Fixed value: the White_Space characters of Unicode.
 BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -97,8 +104,10 @@ class Transducer:
         back = {s: b for b, s in letters.items()}
         self.surface = [s.encode() for s in self.names]
         self.bytes = [self._undone(s, back) for s in self.names]
+        self.decimal = [b"%d" % i for i in range(len(self.names))]
+        #: Ids of words and of pre-tokens inside words, as the transducer gave them.
         self.memo = Memo(self._word, memory)
-        self.parts = Memo(self._part, memory // 2)
+        self.parts = Memo(self.pre_token, memory // 2)
 
     def _undone(self, name: str, back: dict[str, int]) -> bytes:
         if name in self.added:
@@ -144,36 +153,37 @@ class Transducer:
                 heapq.heappush(heap, (r, left[k]))
         return [x for x in s if x >= 0]
 
-    def stream(self, symbols: Iterable[int]) -> Iterator[int]:
-        """Tokens of one pre-token, each as soon as no continuation can change it."""
-        kept: list[int] = []
-        for symbol in symbols:
-            kept.append(symbol)
-            if len(kept) >= self.window:
-                at, stable = 0, len(kept) - self.lookahead
-                for token in self.merged(list(kept)):
-                    if at + self.length[token] > stable:
-                        break
-                    at += self.length[token]
-                    yield token
-                kept = kept[at:]
-        yield from self.merged(kept)
-
-    def pre_token(self, word: str) -> Iterable[int]:
+    def stream(self, symbols: Iterable[int]) -> Iterator[list[int]]:
+        """The tokens of one pre-token in parts, each as soon as no continuation can change it."""
+        symbols = iter(symbols)
+        kept = list(islice(symbols, self.window))
+        while len(kept) >= self.window:
+            at, stable, out = 0, len(kept) - self.lookahead, []
+            for token in self.merged(list(kept)):
+                if at + self.length[token] > stable:
+                    break
+                at += self.length[token]
+                out.append(token)
+            yield out
+            kept = kept[at:]
+            before = len(kept)
+            kept += islice(symbols, max(1, self.window - before))
+            if len(kept) == before:
+                break
+        yield self.merged(kept)
+
+    def symbols(self, word: str) -> Iterator[int]:
+        """The symbols of one pre-token: its bytes, the last one with the word's end."""
         data = word.encode()
-        symbols = [self.plain[b] for b in data[:-1]] + [self.last[data[-1]]]
-        return self.merged(symbols) if len(symbols) < self.window else self.stream(symbols)
+        return chain(map(self.plain.__getitem__, data[:-1]), (self.last[data[-1]],))
 
-    def _part(self, part: str) -> tuple[bytes, int, bytes]:
-        ids = self.pre_token(part)
-        ids = ids if isinstance(ids, list) else list(ids)
-        return b" ".join([b"%d" % i for i in ids]), len(ids), b" ".join([self.surface[i] for i in ids])
+    def pre_token(self, word: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(self.stream(self.symbols(word))))
 
-    def _word(self, word: str) -> tuple[bytes, int, bytes]:
+    def _word(self, word: str) -> tuple[int, ...]:
         if len(parts := self.split.findall(word)) == 1:
-            return self._part(parts[0])
-        found = [self.parts[p] for p in parts]
-        return b" ".join([x[0] for x in found]), sum([x[1] for x in found]), b" ".join([x[2] for x in found])
+            return self.pre_token(parts[0])
+        return tuple(chain.from_iterable(map(self.parts.__getitem__, parts)))
 
     def normal(self, text: str) -> str:
         if text.isascii():
@@ -195,47 +205,57 @@ class Transducer:
                 yield _NOT_BLANK.findall(piece) if _SEPARATORS.search(piece) else piece.split()
                 at = stop
 
-    def encode(self, text: str | None) -> Iterator[int]:
-        """The ids of a text, one by one."""
+    def coded(self, text: str | None) -> Iterator[list[int]]:
+        """The ids of a text in parts, none larger than a slice."""
+        longest = self.memo.longest
         for part in self.words(text or ""):
             if isinstance(part, str):
-                yield self.added[part]
+                yield [self.added[part]]
+            elif max(map(len, part), default=0) <= longest:
+                yield list(chain.from_iterable(map(self.memo.__getitem__, part)))
             else:
                 for word in part:
-                    for pre in self.split.findall(word):
-                        yield from self.pre_token(pre)
+                    if len(word) <= longest:
+                        yield list(self.memo[word])
+                        continue
+                    for pre in self.split.finditer(word):
+                        yield from self.stream(self.symbols(pre[0]))
+
+    def encode(self, text: str | None) -> Iterator[int]:
+        """The ids of a text, one by one."""
+        return chain.from_iterable(self.coded(text))
 
     # decoding
 
+    def decoded(self, parts: Iterable[list[int]], surface: bool = True) -> Iterator[str]:
+        """Pieces of the text of ids that come in parts; joined they are the whole."""
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        known, gap, before = (self.surface, b" ", b"") if surface else (self.bytes, b"", b"")
+        for ids in parts:
+            if ids:
+                yield machine.decode(before + gap.join(map(known.__getitem__, ids)))
+                before = gap
+        yield machine.decode(b"", True)
+
     def decode(self, ids: Iterable[int], surface: bool = True) -> Iterator[str]:
-        """Pieces of the text of ids, in order; joined they are the whole."""
-        machine, first = codecs.getincrementaldecoder("utf-8")("replace"), True
-        for i in ids:
-            data = (b"" if first or not surface else b" ") + (self.surface if surface else self.bytes)[i]
-            first = False
-            if out := machine.decode(data):
-                yield out
-        if out := machine.decode(b"", True):
-            yield out
+        """Pieces of the text of single ids, in order."""
+        return filter(None, self.decoded(([i] for i in ids), surface))
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
-        """(tokens, hash of the ids, hash of the decoded text), slice by slice."""
-        ids, decoded, n, gap = hashlib.sha256(), hashlib.sha256(), 0, b""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for part in self.words(text or ""):
-            found = (
-                [(b"%d" % self.added[part], 1, self.surface[self.added[part]])]
-                if isinstance(part, str)
-                else list(map(self.memo.__getitem__, part))
-            )
-            if not found:
-                continue
-            ids.update(gap + b" ".join([x[0] for x in found]))
-            decoded.update(machine.decode(gap + b" ".join([x[2] for x in found])).encode())
-            n += sum([x[1] for x in found])
-            gap = b" "
-        decoded.update(machine.decode(b"", True).encode())
-        return n, ids.hexdigest(), decoded.hexdigest()
+        """(tokens, hash of the ids, hash of the text decoded from these ids), part by part."""
+        ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
+
+        def told() -> Iterator[list[int]]:
+            nonlocal n
+            for ids in self.coded(text):
+                if ids:
+                    ids_hash.update(b" " * (n > 0) + b" ".join(map(self.decimal.__getitem__, ids)))
+                    n += len(ids)
+                    yield ids
+
+        for piece in self.decoded(told()):
+            text_hash.update(piece.encode())
+        return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -261,7 +281,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return spread(docs.select("doc_id", "text")).mapInArrow(
         coded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
