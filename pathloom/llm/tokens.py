@@ -4,7 +4,7 @@ The vocabulary is a sentencepiece BPE model with byte fallback: blanks become U+
 is put in front, and neighbouring pieces merge whenever their concatenation is a piece,
 best score first, leftmost first within a score.
 
-Two facts are proved from the vocabulary when it is loaded, before any text is read:
+Two facts are proved from the vocabulary on the driver, once and before any text is read:
  * no piece has U+2581 after another character, so nothing merges across the start of a
    run of blanks, and such runs with what follows are pre-tokens that stand alone;
  * whole: the pieces that, merged from their own characters, end as one token. A pre-token
@@ -14,14 +14,17 @@ and characters that are no piece count their UTF-8 bytes. Their counts are remem
 a bounded memory.
 
 Defined results: null counts as the empty text, 0 tokens and 0 bytes; strings of control
-pieces inside a text are ordinary text; repeated rows are kept; an empty table gives no
-rows; further columns are ignored.
+pieces inside a text are ordinary text; very long texts are counted whole, a slice at a time;
+of two equal pairs the left one merges first, so no ties are left; repeated rows are kept; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm.memo import Memo, once
 from pathloom.llm.rows import small
-from pathloom.session import ship
+from pathloom.session import ship, spread
 
 SPACE = "\u2581"
 LIMIT = 4096
@@ -38,7 +41,7 @@ SLICE = 1 << 16
 
 
 class Counter:
-    """Counts of one model file."""
+    """Counts of one model file; pickled without what it remembers of texts, so proofs are made once and sent."""
 
     def __init__(self, data: bytes, memory: int = 250_000):
         import sentencepiece
@@ -59,8 +62,19 @@ class Counter:
         self.whole = frozenset(p for p in self.rank if len(self._merged(p)) == 1)
         #: The tokens of a line feed, if it merges with nothing.
         self.newline = 0 if any("\n" in p for p in self.pairs) else 1
-        self.memo = Memo(self._counted, memory)
-        self.parts = Memo(self._part, memory // 2)
+        self.memory = memory
+        self._remember()
+
+    def _remember(self) -> None:
+        self.memo = Memo(self._counted, self.memory)
+        self.parts = Memo(self._part, self.memory // 2)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "parts")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._remember()
 
     def _merged(self, text: str) -> list[str]:
         """The pieces of a short text."""
@@ -136,17 +150,23 @@ _START = regex.compile(f"[^ {SPACE}] ")
 _PRE = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+@lru_cache(2)
+def _proved(path: str) -> Counter:
+    with open(path, "rb") as f:
+        return Counter(f.read())
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs (doc_id, text).
 
-    path: a model file; the driver reads it and broadcasts it, under a megabyte.
+    path: a model file; the driver reads it, proves which pieces stand alone and broadcasts that, a
+    few megabytes.
     """
     ship(docs.sparkSession)
-    with open(path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared, key = docs.sparkSession.sparkContext.broadcast(_proved(path)), uuid.uuid4().hex
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = once("tokens", path, lambda: Counter(shared.value))
+        counter = once("tokens", key, lambda: shared.value)
         for batch in small(batches, "text"):
             values = batch.column("text").to_pylist()
             tokens = np.array([counter.count(t) for t in values], np.int64)
@@ -156,7 +176,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return spread(docs.select("doc_id", "text")).mapInArrow(
         counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
 

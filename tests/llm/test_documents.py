@@ -114,6 +114,7 @@ def test_bpe_streams_within_its_window():
             word = "".join(rng.choice(list(letters), size))
             ids = library.encode(word, add_special_tokens=False).ids
             assert list(coder.encode(word)) == ids
+            assert all(len(part) <= coder.window for part in coder.stream(coder.symbols(word)))
             assert "".join(coder.decode(ids)) == library.decode(ids, skip_special_tokens=False)
             assert "".join(coder.decode(ids, surface=False)) == word + " "
     assert "".join(coder.decode(coder.encode("Crème brûlée 漢字"), surface=False)).split() == "crème brûlée 漢字".split()
