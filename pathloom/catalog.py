@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import names
 from pathloom.functions.names import path_key
 from pathloom.functions.query import entry_predicate, parse
-from pathloom.operators import index, inventory, journal, namespace
+from pathloom.operators import index, inventory, journal, namespace, ranks
 from pathloom.plans import search
 from pathloom.session import written
 from pathloom.sources import fixtures, listing
@@ -60,6 +60,23 @@ def notes(spark, d) -> DataFrame:
     return fixtures.view(spark, d, JOURNAL)
 
 
+_LOCATED: dict = {}
+
+
+def located(spark, d) -> DataFrame:
+    """The entries with their parents' paths, from a search state that is stored once in a session."""
+    from pathloom.plans.stored import SearchState
+    from pathloom.session import shared_dir
+    import uuid
+
+    key = spark.sparkContext.applicationId, d
+    if key not in _LOCATED:
+        state = SearchState(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+        state.save(entries(spark, d), 1)
+        _LOCATED[key] = state
+    return _LOCATED[key].read("located")
+
+
 # paths
 
 
@@ -89,7 +106,7 @@ def directory_depths(spark, d):
 def found(name: str, raw: str, where: str, kind: str = "all"):
     @query(name, NS + PAGE + where)
     def run(spark, d):
-        return search.matches(entries(spark, d), raw, kind)
+        return search.matches(located(spark, d), raw, kind)
 
 
 def has(word: str) -> str:
@@ -114,13 +131,13 @@ found("root_single_slash", "d:/asia", has("d:/asia"))
 
 @query("slot_page_lower_bound", NS + f", m AS (SELECT * FROM p WHERE {has('asia')} ORDER BY slot LIMIT 26) SELECT slot, path, count(*) OVER () AS total, FALSE AS total_exact FROM (SELECT *, row_number() OVER (ORDER BY slot) AS i FROM m) QUALIFY i <= 25")
 def slot_page_lower_bound(spark, d):
-    found_page = search.page(entries(spark, d), "asia", 25)
+    found_page = search.page(located(spark, d), "asia", 25)
     return found_page.rows.select("slot", "path", F.lit(found_page.total).cast("long").alias("total"), F.lit(found_page.exact).alias("total_exact"))
 
 
 @query("limit_zero", NS + f"SELECT CAST(least(count(*), 1) AS BIGINT) AS total, count(*) = 0 AS total_exact FROM p WHERE {has('asia')}")
 def limit_zero(spark, d):
-    p = search.page(entries(spark, d), "asia", 0)
+    p = search.page(located(spark, d), "asia", 0)
     return spark.createDataFrame([(p.total, p.exact)], "total long, total_exact boolean")
 
 
@@ -128,8 +145,8 @@ def limit_zero(spark, d):
 r AS (SELECT 'e:' AS source, slot, 'e:' || substr(path, 3) AS path FROM p WHERE {has('00001')} ORDER BY slot LIMIT 40)
 SELECT * FROM (SELECT * FROM q UNION ALL SELECT * FROM r) ORDER BY lower(path), source, slot LIMIT 50""")
 def multi_source_merge(spark, d):
-    one = entries(spark, d)
-    two = one.withColumn("source", F.lit("e:"))
+    one = located(spark, d)
+    two = one.withColumn("source", F.lit("e:")).withColumn("parent_path", F.concat(F.lit("e:"), F.expr("substr(parent_path, 3)")))
     return search.merged([search.page(x, "00001", 40) for x in (one, two)], 50).rows.select("source", "slot", "path")
 
 
@@ -173,19 +190,17 @@ def first50_vs_complete(spark, d):
     return first.withColumn("mode", F.lit("first50")).unionByName(whole.withColumn("mode", F.lit("complete")))
 
 
-@query("keyset_page_2", None)
+@query("keyset_page_2", DOCS + """SELECT * FROM (SELECT CAST(CAST('0x' || substr(md5(path), 1, 8) AS BIGINT) % 64 AS INTEGER) AS shard, path, id FROM f WHERE contains(path, 'doc')) ORDER BY shard, path, id LIMIT 100 OFFSET 100""")
 def keyset_page_2(spark, d):
     rows = fixtures.view(spark, d, DOC_PATHS)
-    last = search.next_page(rows, "doc", None, 100).orderBy(F.desc("shard"), F.desc("path")).first()
-    return search.next_page(rows, "doc", (last.shard, last.path), 100)
+    return search.next_page(rows, "doc", search.cursor_of(search.next_page(rows, "doc", None, 100), "doc"), 100)
 
 
 @query("keyset_pages_by_path", DOCS + "SELECT path, id FROM f WHERE contains(path, 'doc') ORDER BY path, id LIMIT 100 OFFSET 100")
 def keyset_pages_by_path(spark, d):
     rows = fixtures.view(spark, d, DOC_PATHS)
-    first = search.next_page(rows, "doc", None, 100, shards=1)
-    last = first.orderBy(F.desc("path")).first()
-    return search.next_page(rows, "doc", (last.shard, last.path), 100, shards=1).select("path", "id")
+    after = search.cursor_of(search.next_page(rows, "doc", None, 100, shards=1), "doc")
+    return search.next_page(rows, "doc", after, 100, shards=1).select("path", "id")
 
 
 # rules of a namespace
@@ -265,7 +280,7 @@ def scoped_semi_join(spark, d):
 # journals and maintenance
 
 J = f"j AS ({JOURNAL})"
-TOLD = "t AS (SELECT * FROM j WHERE usn >= 100 AND usn < 400)"
+TOLD = "t AS (SELECT * FROM j)"
 
 
 @query("replay_window", f"WITH {J} SELECT source, usn, object, parent, reason, name FROM j WHERE usn >= 100 AND usn < 400")
@@ -336,7 +351,7 @@ def apply_journal(spark, d):
     return journal.applied(old, notes(spark, d), now).select("source", "object", "parent", "name", "attributes")
 
 
-@query("expected_actions", f"WITH {J}, x AS (SELECT object, parent, name, CASE WHEN usn % 3 = 0 THEN reason ELSE reason | 1 END AS mask FROM j WHERE usn % 5 = 0) SELECT x.*, EXISTS (SELECT 1 FROM j WHERE j.object = x.object AND j.parent = x.parent AND j.name = x.name AND j.reason & x.mask = x.mask) AS seen FROM x")
+@query("expected_actions", f"WITH {J}, x AS (SELECT object, parent, name, CASE WHEN usn % 3 = 0 THEN reason ELSE reason | 1 END AS mask FROM j) SELECT x.*, EXISTS (SELECT 1 FROM j WHERE j.object = x.object AND j.parent = x.parent AND j.name = x.name AND j.reason & x.mask = x.mask) AS seen FROM x")
 def expected_actions(spark, d):
     all_ = notes(spark, d)
     mask = F.when(F.col("usn") % 3 == 0, F.col("reason")).otherwise(F.col("reason").bitwiseOR(F.lit(1)))
@@ -355,11 +370,14 @@ NOTICES = f"""n AS (SELECT 'u' || CAST(user_id % 10 AS STRING) AS source, event_
   CASE event_type WHEN 'click' THEN 'old' WHEN 'purchase' THEN 'new' WHEN 'error' THEN 'removed' ELSE 'modified' END AS action, 'p_' || CAST(event_id AS STRING) AS path FROM {{events}})"""
 
 
-@query("rename_pairs", f"WITH {NOTICES}, w AS (SELECT *, lead(action) OVER o AS na, lag(action) OVER o AS pa, lead(at_ms) OVER o - at_ms AS gap, at_ms - lag(at_ms) OVER o AS back, lag(path) OVER o AS pp FROM n WINDOW o AS (PARTITION BY source ORDER BY seq))" + """
+PAIRS = f"WITH {NOTICES}, w AS (SELECT *, lead(action) OVER o AS na, lag(action) OVER o AS pa, lead(at_ms) OVER o - at_ms AS gap, at_ms - lag(at_ms) OVER o AS back, lag(path) OVER o AS pp FROM n WINDOW o AS (PARTITION BY source ORDER BY seq))" + """
 SELECT source, seq, CASE WHEN action = 'new' AND coalesce(pa = 'old' AND back < 1500, FALSE) THEN 'rename' WHEN action = 'removed' THEN 'remove' WHEN action IN ('old', 'new') THEN 'loss' ELSE 'refresh' END AS kind, path,
   CASE WHEN action = 'new' AND coalesce(pa = 'old' AND back < 1500, FALSE) THEN pp END AS source_path,
   action IN ('old', 'new') AND NOT (action = 'new' AND coalesce(pa = 'old' AND back < 1500, FALSE)) AS loss
-FROM w WHERE NOT (action = 'old' AND coalesce(na = 'new' AND gap < 1500, FALSE))""")
+FROM w WHERE NOT (action = 'old' AND coalesce(na = 'new' AND gap < 1500, FALSE))"""
+
+
+@query("rename_pairs", PAIRS)
 def rename_pairs(spark, d):
     notices = fixtures.view(spark, d, f"WITH {NOTICES} SELECT * FROM n")
     return journal.rename_pairs(notices, 1500)
@@ -373,10 +391,7 @@ def undo_first_value(spark, d):
 
 @query("adjacent_duplicates", f"WITH e AS ({NS_BROKEN}) SELECT source, parent, name, object FROM e QUALIFY lag(name) OVER (PARTITION BY source, parent ORDER BY name, object) = name")
 def adjacent_duplicates(spark, d):
-    from pyspark.sql import Window
-
-    before = F.lag("name").over(Window.partitionBy("source", "parent").orderBy("name", "object"))
-    return broken(spark, d).withColumn("before", before).where("before = name").select("source", "parent", "name", "object")
+    return ranks.adjacent_repeats(broken(spark, d), ["source", "parent"], "name", ["object"]).select("source", "parent", "name", "object")
 
 
 ORACLES_APPLY = DIRTY + """
@@ -438,16 +453,12 @@ def directory_count(spark, d):
 
 CHANGES = f"""c AS (SELECT id AS seq, CASE id % 3 WHEN 0 THEN 'rename' WHEN 1 THEN 'refresh' ELSE 'remove' END AS kind, CASE WHEN id % 3 <> 0 THEN path END AS path,
   CASE WHEN id % 3 = 0 THEN lang_dir END AS source, CASE WHEN id % 3 = 0 THEN 'moved/d' || CAST(id % 8 AS STRING) END AS target
-  FROM (SELECT doc_id AS id, lang || '/' || source || '/doc_' || CAST(doc_id AS STRING) AS path, lang || '/' || source AS lang_dir FROM {{documents}} WHERE doc_id < 120 AND lang IS NOT NULL AND source IS NOT NULL) AS x)"""
-
-
-#: The same of all documents: the queries read this, while the text of their twins ends at doc_id 120.
-ALL_CHANGES = CHANGES.replace("doc_id < 120 AND ", "")
+  FROM (SELECT doc_id AS id, lang || '/' || source || '/doc_' || CAST(doc_id AS STRING) AS path, lang || '/' || source AS lang_dir FROM {{documents}} WHERE lang IS NOT NULL AND source IS NOT NULL) AS x)"""
 
 
 @query("dependent_rename", f"WITH {CHANGES}, t AS (SELECT seq, unnest(CASE WHEN kind = 'rename' THEN [source, target] ELSE [path] END) AS p FROM c) SELECT DISTINCT c.seq FROM c JOIN t ON t.seq < c.seq AND (t.p = c.source OR starts_with(t.p, c.source || '/') OR starts_with(c.source, t.p || '/')) WHERE c.kind = 'rename' AND c.target IN ('moved/d0', 'moved/d3', 'moved/d5')")
 def dependent_rename(spark, d):
-    changes = fixtures.view(spark, d, f"WITH {ALL_CHANGES} SELECT * FROM c")
+    changes = fixtures.view(spark, d, f"WITH {CHANGES} SELECT * FROM c")
     live = spark.createDataFrame([("moved/d0", "directory"), ("moved/d3", "directory"), ("moved/d5", "directory"), ("moved/d1", "file")], "path string, kind string")
     return inventory.dependent_renames(changes, live)
 
@@ -456,7 +467,7 @@ def dependent_rename(spark, d):
 def unsafe_changes(spark, d):
     k = F.col("seq") % 7
     odd = F.when(k == 1, F.concat(F.lit("/"), "path")).when(k == 2, F.concat("path", F.lit("/.."))).when(k == 3, F.concat("path", F.lit(":s"))).otherwise(F.col("path"))
-    changes = fixtures.view(spark, d, f"WITH {ALL_CHANGES} SELECT * FROM c").withColumn("path", odd)
+    changes = fixtures.view(spark, d, f"WITH {CHANGES} SELECT * FROM c").withColumn("path", odd)
     return inventory.bad_changes(changes).select("seq", "kind")
 
 
@@ -487,8 +498,7 @@ def block_ids(spark, d):
 
 @query("percentile_nearest_rank", "WITH v AS (SELECT event_type, list_sort(list(value)) AS s FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, s[CAST(ceil((len(s) - 1) * 0.5) AS INTEGER) + 1] AS p50, s[CAST(ceil((len(s) - 1) * 0.95) AS INTEGER) + 1] AS p95 FROM v")
 def percentile_nearest_rank(spark, d):
-    v = spark.read.parquet(f"{d}/events.parquet").where("value is not null")
-    return v.groupBy("event_type").agg(names.nearest_rank(F.col("value"), 0.5).alias("p50"), names.nearest_rank(F.col("value"), 0.95).alias("p95"))
+    return ranks.nearest_ranks(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("synthetic_corpus", """SELECT id, 'C:/corpus/项目/workspace_' || printf('%03d', id // 4096 % 64) || '/src/module_' || printf('%03d', id // 64 % 64) || '/' ||
@@ -521,7 +531,7 @@ def scope_repeats(spark, d):
     return listing.repeated_objects(all_.unionByName(all_.where("object % 5 = 2")))
 
 
-@query("names_of_object", f"SELECT source, object, list_sort(list(DISTINCT parent || '/' || name)) AS names, FALSE AS excess FROM ({NS_LINKS}) AS a WHERE object % 50 = 7 GROUP BY source, object")
+@query("names_of_object", f"SELECT source, object, list_sort(list(DISTINCT parent || '/' || name)) AS names, FALSE AS excess FROM ({NS_LINKS}) AS a GROUP BY source, object")
 def names_of_object(spark, d):
     named = listing.names_of(fixtures.view(spark, d, NS_LINKS))
     return named.withColumn("names", F.sort_array(F.transform("names", lambda n: F.concat(n["parent"].cast("string"), F.lit("/"), n["name"]))))
@@ -541,9 +551,9 @@ def namespace_violations(spark, d):
     return namespace.violations(broken(spark, d), strict=True)
 
 
-@query("stream_rename_state", None)
+@query("stream_rename_state", PAIRS)
 def stream_rename_state(spark, d):
-    """The pairs of a stream of notices; tests hold them against rename_pairs."""
+    """The pairs of a stream of notices, and what still waits in its state when the input has ended."""
     from pathloom.session import shared_dir
     from pathloom.streaming import pairing
     import uuid
@@ -555,7 +565,8 @@ def stream_rename_state(spark, d):
     stream = spark.sql(text, events=events)
     out = pairing.rename_stream(stream, 1500, None).writeStream.option("checkpointLocation", f"{base}/log").option("path", f"{base}/out")
     out.format("parquet").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(pairing.CHANGES).parquet(f"{base}/out")
+    told = spark.read.schema(pairing.CHANGES).parquet(f"{base}/out")
+    return told.unionByName(pairing.still_waiting(spark, f"{base}/log"))
 
 
 @query("stream_apply", ORACLES_APPLY)
@@ -575,7 +586,7 @@ def stream_apply(spark, d):
     return store.read().select("source", "object", "parent", "name", "attributes")
 
 
-@query("nearest_known", f"WITH RECURSIVE e AS ({NS_ENTRIES}), k AS (SELECT object FROM e WHERE object IN (1001, 1003, 2002, 2007)), w(parent, at_) AS (SELECT object, object FROM e WHERE object BETWEEN 1000000 AND 1000200 UNION ALL SELECT w.parent, e.parent FROM w JOIN e ON e.object = w.at_ WHERE w.at_ NOT IN (SELECT object FROM k)) SELECT 'd:' AS source, parent, at_ AS known FROM w WHERE at_ IN (SELECT object FROM k)")
+@query("nearest_known", f"WITH RECURSIVE e AS ({NS_ENTRIES}), k AS (SELECT object FROM e WHERE object IN (1001, 1003, 2002, 2007)), w(parent, at_) AS (SELECT object, object FROM e WHERE object >= 1000000 AND attributes & 16 <> 0 UNION ALL SELECT w.parent, e.parent FROM w JOIN e ON e.object = w.at_ WHERE w.at_ NOT IN (SELECT object FROM k)) SELECT 'd:' AS source, parent, at_ AS known FROM w WHERE at_ IN (SELECT object FROM k)")
 def nearest_known(spark, d):
     all_ = entries(spark, d)
     asked = all_.where(names.is_directory(F.col("attributes")) & (F.col("object") >= 1000000)).select("source", F.col("object").alias("parent"))
@@ -593,8 +604,33 @@ def refresh_paths(spark, d):
     return namespace.refreshed_paths(before, old, new, changed)
 
 
-@query("changed_shards", INV + ", c AS (SELECT coalesce(a.path, b.path) AS path FROM a FULL JOIN b ON a.path = b.path WHERE a.kind IS DISTINCT FROM b.kind) SELECT count(*) > 0 AS changed FROM c")
+SHARD = "CAST(coalesce(CAST('0x' || substr(md5(path), 1, 8) AS BIGINT) % 64, 0) AS INTEGER)"
+
+
+@query("changed_shards", INV + f" SELECT DISTINCT {SHARD} AS shard FROM (SELECT path FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT path FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))")
 def changed_shards(spark, d):
     from pathloom.streaming.store import changed_shards as shards
 
-    return shards(old_inventory(spark, d), fixtures.view(spark, d, INV_NEW)).agg((F.count("*") > 0).alias("changed"))
+    return shards(old_inventory(spark, d), fixtures.view(spark, d, INV_NEW))
+
+
+@query("journal_decode", f"WITH {J} SELECT 'd:' AS source, usn, object, parent, reason, attributes, name FROM j")
+def journal_decode(spark, d):
+    """Records packed into binary batches and decoded again."""
+    from pathloom.sources import usn
+
+    decoded = usn.journal_rows(usn.records(usn.encoded(notes(spark, d))), "d:")
+    return decoded.select("source", "usn", "object", "parent", "reason", "attributes", "name")
+
+
+@query("stored_refresh", tree(RENAMED) + "SELECT source, object, path FROM p")
+def stored_refresh(spark, d):
+    """A stored search state brought from one version to the next, then searched for everything."""
+    from pathloom.plans.stored import SearchState
+    from pathloom.session import shared_dir
+    import uuid
+
+    state = SearchState(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    state.save(entries(spark, d), 1)
+    state.refresh(fixtures.view(spark, d, RENAMED), 2)
+    return state.matches("").select("source", "object", "path")

@@ -107,7 +107,6 @@ def trigrams(text: Column) -> Column:
     )
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The percentile at place ceil((n - 1) * share) of the sorted values; no interpolation."""
-    kept = F.sort_array(F.collect_list(values))
-    return F.get(kept, F.ceil((F.size(kept) - 1) * F.lit(share)).cast("int"))
+def shard_of(key: Column, shards: int) -> Column:
+    """The shard of a string key: the first 32 bits of its MD5, modulo the number of shards; null keys go to 0."""
+    return F.coalesce(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % shards, F.lit(0)).cast("int")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.names import CREATED, DELETED, LINKED, RENAMED_TO, ROOT, any_bit, ordinary_directory, ordinary_object
 from pathloom.operators import namespace
 from pathloom.operators.inventory import net
+from pathloom.operators.ranks import neighbours
 from pathloom.session import written
 
 
@@ -114,18 +115,8 @@ def link_changes(records: DataFrame, listing: DataFrame) -> DataFrame:
 
 def nearest_known(parents: DataFrame, listing: DataFrame, known: DataFrame, most: int = 1024) -> DataFrame:
     """(source, parent, known): for each parent the nearest directory at or above it that is known (source, object)."""
-    up = listing.where(ordinary_directory(F.col("attributes"))).select("source", F.col("object").alias("at"), F.col("parent").alias("above")).distinct()
-    have = known.select("source", F.col("object").alias("at")).distinct()
-    state = written(parents.select("source", "parent", F.col("parent").alias("at")).distinct(), "nearest")
-    found = state.join(have, ["source", "at"], "left_semi").select("source", "parent", F.col("at").alias("known"))
-    for _ in range(most):
-        state = written(
-            state.join(have, ["source", "at"], "left_anti").join(up, ["source", "at"]).select("source", "parent", F.col("above").alias("at")), "nearest"
-        )
-        if not state.head(1):
-            break
-        found = found.unionByName(state.join(have, ["source", "at"], "left_semi").select("source", "parent", F.col("at").alias("known")))
-    return found
+    near = namespace.descendants(listing, known, most).select("source", F.col("object").alias("parent"), F.col("top").alias("known"))
+    return parents.select("source", "parent").distinct().join(near, ["source", "parent"])
 
 
 def rename_pairs(notices: DataFrame, most_ms: int = 100) -> DataFrame:
@@ -135,21 +126,14 @@ def rename_pairs(notices: DataFrame, most_ms: int = 100) -> DataFrame:
     than most_ms later; any other old or new name is a loss. Other notices are refreshes,
     or removes.
     """
-    order = Window.partitionBy("source").orderBy("seq")
-    nxt, prev = F.lead("action").over(order), F.lag("action").over(order)
-    gap, back = F.lead("at_ms").over(order) - F.col("at_ms"), F.col("at_ms") - F.lag("at_ms").over(order)
-    opens = F.coalesce((F.col("action") == "old") & (nxt == "new") & (gap < most_ms), F.lit(False))
-    closes = F.coalesce((F.col("action") == "new") & (prev == "old") & (back < most_ms), F.lit(False))
-    return (
-        notices.withColumn("opens", opens).withColumn("closes", closes).withColumn("from_path", F.lag("path").over(order)).where("not opens")
-        .select(
-            "source", "seq",
-            F.when(F.col("closes"), "rename").when(F.col("action") == "removed", "remove").when(F.col("action").isin("old", "new"), "loss").otherwise("refresh").alias("kind"),
-            "path",
-            F.when(F.col("closes"), F.col("from_path")).alias("source_path"),
-            (F.col("action").isin("old", "new") & ~F.col("closes")).alias("loss"),
-        )
-    )
+    rows = neighbours(notices, "source", "seq", ["at_ms", "action", "path"])
+    action, before, after = F.col("action"), F.col("before"), F.col("after")
+    opens = F.coalesce((action == "old") & (after["action"] == "new") & (after["at_ms"] - F.col("at_ms") < most_ms), F.lit(False))
+    closes = F.coalesce((action == "new") & (before["action"] == "old") & (F.col("at_ms") - before["at_ms"] < most_ms), F.lit(False))
+    kind = F.when(closes, "rename").when(action == "removed", "remove").when(action.isin("old", "new"), "loss").otherwise("refresh")
+    return rows.where(~opens).select(
+        "source", "seq", kind.alias("kind"), "path", F.when(closes, before["path"]).alias("source_path"), (action.isin("old", "new") & ~closes).alias("loss")
+    )
 
 
 def first_values(undo: DataFrame) -> DataFrame:
@@ -186,36 +170,47 @@ def in_scope(records: DataFrame, entries: DataFrame, excluded: int) -> DataFrame
 
 
 def applied(entries: DataFrame, records: DataFrame, listing: DataFrame, root: int = ROOT, excluded: int = 0) -> DataFrame:
-    """The namespace after the records, from the listing; ReconcileError if they don't suffice.
+    """The namespace after the records, from the listing; ReconcileError if they don't suffice."""
+    return changed(entries, records, listing, root, excluded)[0]
+
 
-    Directories named by records move first, so their new place can be listed; dirty parents
-    get their children from the listing; directories new to the namespace are listed to
-    any depth; what was below directories that went is pruned, other names stay.
+def changed(entries: DataFrame, records: DataFrame, listing: DataFrame, root: int = ROOT, excluded: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, touched): the namespace after the records, and the parents (source, parent) whose children may differ.
+
+    touched is None, and rows is entries, if nothing changed. Directories named by records move
+    first, so their new place can be listed; dirty parents get their children from the listing;
+    directories new to the namespace are listed to any depth; what was below directories that
+    went is pruned, other names stay. Only touched parents and the chains above them are
+    checked. ReconcileError if the records don't suffice.
     """
+    directory = ordinary_directory(F.col("attributes"))
     records = namespace.ordinary(records, root)
     listing = namespace.ordinary(listing, root).where(F.col("object") != excluded)
     dirty = written(dirty_parents(entries, records, root), "dirty")
     moves = latest_directories(records).select("source", "object", "parent", "name", "attributes", F.lit(None).cast("long").alias("slot"))
     placed = entries.join(moves.select("source", "object"), ["source", "object"], "left_anti").unionByName(moves.select(*entries.columns))
-    known = placed.where(ordinary_directory(F.col("attributes"))).select("source", F.col("object").alias("parent"))
+    known = placed.where(directory).select("source", F.col("object").alias("parent"))
     gone = records.where(any_bit(F.col("reason"), DELETED)).select("source", F.col("object").alias("parent")).distinct()
     unknown = written(dirty.where(F.col("parent") != root).join(known, ["source", "parent"], "left_anti"), "unknown")
     if unknown.join(gone, ["source", "parent"], "left_anti").head(1):
         raise ReconcileError("a parent is not in the namespace")
     listable = dirty.join(unknown, ["source", "parent"], "left_anti")
     if not changed_parents(entries, listing, dirty).head(1):
-        return entries
+        return entries, None
     current = replaced(placed, dirty, listing.join(listable, ["source", "parent"], "left_semi"))
-    old_dirs = entries.where(ordinary_directory(F.col("attributes"))).select("source", "object").distinct()
-    starts = (
-        listing.join(listable, ["source", "parent"], "left_semi").where(ordinary_directory(F.col("attributes"))).select("source", "object").distinct()
-    )
-    below = discovered(listing, old_dirs, starts)
-    current = written(current.join(below.select("source", "parent").distinct(), ["source", "parent"], "left_anti").unionByName(below.select(*current.columns)).distinct(), "current")
-    now = current.where(ordinary_directory(F.col("attributes"))).select("source", "object").distinct()
-    lost = old_dirs.join(now, ["source", "object"], "left_anti")
-    result = written(namespace.pruned(current, lost), "applied") if lost.head(1) else current
-    broken = [r["check"] for r in namespace.violations(result, root).where("n > 0").collect()]
+    old_dirs = entries.where(directory).select("source", "object").distinct()
+    starts = listing.join(listable, ["source", "parent"], "left_semi").where(directory).select("source", "object").distinct()
+    below = written(discovered(listing, old_dirs, starts), "discovered")
+    found = below.select("source", "parent").distinct()
+    current = written(current.join(found, ["source", "parent"], "left_anti").unionByName(below.select(*current.columns)).distinct(), "current")
+    lost = written(old_dirs.join(current.where(directory).select("source", "object").distinct(), ["source", "object"], "left_anti"), "lost")
+    touched = dirty.unionByName(found).distinct()
+    if lost.head(1):
+        inside = written(namespace.descendants(current, lost).select("source", F.col("object").alias("parent")).distinct(), "inside")
+        current = written(current.join(inside, ["source", "parent"], "left_anti").join(lost, ["source", "object"], "left_anti"), "applied")
+        touched = touched.unionByName(inside).distinct()
+    touched = written(touched, "touched-parents")
+    broken = [r["check"] for r in namespace.violations_at(current, touched, root).where("n > 0").collect()]
     if broken:
         raise ReconcileError(f"not a namespace: {', '.join(broken)}")
-    return result
+    return current, touched

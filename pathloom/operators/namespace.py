@@ -81,24 +81,80 @@ def alias_parents(entries: DataFrame) -> DataFrame:
 def descendants(entries: DataFrame, tops: DataFrame, most: int = DEPTH) -> DataFrame:
     """(source, object, top, distance): directories at or below the directories of tops (source, object).
 
-    Ancestors are found by doubling as well, keeping every ancestor on the way.
+    top is the nearest one. Every directory climbs by doubling until it meets a top: a round
+    joins each open row with the row of the ancestor it has reached, so a depth of n takes
+    log2(n) joins, and an object has one row whatever the number of tops above it.
     """
-    own = entries.where(ordinary_directory(F.col("attributes"))).select("source", "object", "parent").distinct()
-    known = tops.select("source", F.col("object").alias("top")).distinct()
-    reached = written(known.select("source", F.col("top").alias("object"), "top", F.lit(0).alias("distance")), "below")
-    frontier = reached
-    for distance in range(1, most + 1):
-        frontier = written(
-            own.join(frontier.select("source", F.col("object").alias("parent"), "top"), ["source", "parent"])
-            .select("source", "object", "top").distinct()
-            .join(reached.select("source", "object", "top"), ["source", "object", "top"], "left_anti")
-            .withColumn("distance", F.lit(distance)),
-            "below",
+    known = tops.select("source", "object").distinct()
+    own = entries.where(ordinary_directory(F.col("attributes"))).select("source", "object", F.col("parent").alias("up")).distinct()
+    state = written(
+        own.join(known.select("source", F.col("object").alias("up"), F.lit(True).alias("at_up")), ["source", "up"], "left")
+        .join(known, KEY, "left_anti")
+        .select("source", "object", "up", F.when(F.col("at_up"), F.col("up")).alias("top"), F.lit(1).alias("distance")),
+        "below",
+    )
+    for _ in range(math.ceil(math.log2(max(2, most))) + 1):
+        going = state.where("top is null")
+        if not going.head(1):
+            break
+        above = state.select("source", F.col("object").alias("up"), F.col("up").alias("next"), F.col("top").alias("its"), F.col("distance").alias("more"))
+        climbed = (
+            going.join(above, ["source", "up"]).select("source", "object", F.col("next").alias("up"), F.col("its").alias("top"), (F.col("distance") + F.col("more")).alias("distance"))
+            .where(F.col("distance") <= most).distinct()
         )
+        following = written(state.where("top is not null").unionByName(climbed), "below")
+        dropped(state)
+        state = following
+    found = state.where("top is not null").groupBy(*KEY).agg(F.min_by(F.struct("top", "distance"), F.struct("distance", "top")).alias("at"))
+    return known.select("source", "object", F.col("object").alias("top"), F.lit(0).alias("distance")).unionByName(found.select("source", "object", "at.*"))
+
+
+def chains(entries: DataFrame, starts: DataFrame, root: int = ROOT, most: int = DEPTH) -> DataFrame:
+    """The entries of all ordinary directories at or above starts (source, object), level by level.
+
+    For few starts: each level scans the directories once, with what was reached so far beside it.
+    """
+    own = entries.where(ordinary_directory(F.col("attributes")))
+    reached = written(starts.select(*KEY).where(F.col("object") != root).distinct(), "chain")
+    parts, frontier = [reached], reached
+    for _ in range(most):
+        seen = parts[0]
+        for part in parts[1:]:
+            seen = seen.unionByName(part)
+        above = own.join(frontier, KEY, "left_semi").select("source", F.col("parent").alias("object")).where(F.col("object") != root).distinct()
+        frontier = written(above.join(seen, KEY, "left_anti"), "chain")
         if not frontier.head(1):
             break
-        reached = reached.unionByName(frontier)
-    return reached
+        parts.append(frontier)
+    reached = parts[0]
+    for part in parts[1:]:
+        reached = reached.unionByName(part)
+    return own.join(reached, KEY, "left_semi")
+
+
+def violations_at(entries: DataFrame, touched: DataFrame, root: int = ROOT) -> DataFrame:
+    """violations() where only the children of touched parents (source, parent) have changed."""
+    some = written(entries.join(touched.select("source", "parent").distinct(), ["source", "parent"], "left_semi"), "touched")
+    objects = some.where(ordinary_directory(F.col("attributes"))).select(*KEY).distinct()
+    parents = some.select("source", F.col("parent").alias("object")).distinct()
+    above = written(chains(entries, parents.unionByName(objects).distinct(), root), "above")
+    lost = parents.where(F.col("object") != root).join(directories(above, root).select(*KEY), KEY, "left_anti")
+    return _counted(
+        {
+            "bad_row": bad_rows(some, root),
+            "repeated_name": repeated_names(some),
+            "directory_names": directories_with_names(entries.join(objects, KEY, "left_semi")),
+            "unreachable": some.join(lost.select("source", F.col("object").alias("parent")), ["source", "parent"], "left_semi"),
+        }
+    )
+
+
+def _counted(checks: dict[str, DataFrame]) -> DataFrame:
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("check"), "n") for k, df in checks.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def without_subtree(entries: DataFrame, top: int) -> DataFrame:
@@ -125,14 +181,60 @@ def unreachable(entries: DataFrame, root: int = ROOT, most: int = DEPTH) -> Data
     return entries.join(directories(entries, root, most).select("source", F.col("object").alias("parent")), ["source", "parent"], "left_anti")
 
 
-def refreshed_paths(old_paths: DataFrame, old: DataFrame, new: DataFrame, changed: DataFrame, root: int = ROOT) -> DataFrame:
+def refreshed_directories(known: DataFrame, old: DataFrame, new: DataFrame, root: int = ROOT, most: int = DEPTH) -> DataFrame:
+    """The directories() of `new` from those of `old` (known): only what changed, and what lies below it, climbs again.
+
+    A directory changed if its (parent, name) did. What lies below is found by the ancestors of
+    stored paths, and each affected directory climbs until it meets one that is not affected.
+    """
+    form = ["source", "object", "parent", "name"]
+    a, b = (x.where(ordinary_directory(F.col("attributes"))).select(*form) for x in (old, new))
+    changed = written(a.select(*form, F.lit(1).alias("n")).unionByName(b.select(*form, F.lit(-1).alias("n"))).groupBy(*form).agg(F.sum("n").alias("n")).where("n <> 0").select(*KEY).distinct(), "changed")
+    if not changed.head(1):
+        return known
+    tops = known.join(changed, KEY, "left_semi").select("source", F.col("path").alias("at"))
+    ancestors = known.where("depth > 0").select("source", "object", F.explode(above("path")).alias("at"))
+    affected = ancestors.join(tops, ["source", "at"], "left_semi").select(*KEY).unionByName(changed).distinct()
+    affected = written(affected, "affected")
+    kept = written(known.join(affected, KEY, "left_anti"), "kept-directories")
+    moving = b.join(affected, KEY, "left_semi")
+    state = written(moving.select("source", "object", F.col("parent").alias("up"), F.col("name").alias("path"), F.lit(1).alias("depth")), "climb")
+    whole = F.when(F.col("more") == 0, F.concat("head", "path")).otherwise(F.concat("head", F.lit("/"), "path"))
+    placed = kept  # directories whose paths are known, those found on the way included
+    for _ in range(math.ceil(math.log2(max(2, most))) + 1):
+        base = placed.select("source", F.col("object").alias("up"), F.col("path").alias("head"), F.col("depth").alias("more"))
+        done = state.join(base, ["source", "up"]).select("source", "object", whole.alias("path"), (F.col("depth") + F.col("more")).alias("depth"))
+        done = written(done.where(F.col("depth") <= most), "placed")
+        going = state.join(done, KEY, "left_anti")
+        placed = placed.unionByName(done.select(*kept.columns))
+        upper = state.select("source", F.col("object").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("depth").alias("more"))
+        state = written(
+            going.join(done.select("source", F.col("object").alias("up")), ["source", "up"], "left_anti").join(upper, ["source", "up"]).select("source", "object", F.col("next").alias("up"), F.concat("head", F.lit("/"), "path").alias("path"), (F.col("depth") + F.col("more")).alias("depth"))
+            .where(F.col("depth") <= most)
+            .unionByName(going.join(done.select("source", F.col("object").alias("up")), ["source", "up"], "left_semi").select("source", "object", "up", "path", "depth")),
+            "climb",
+        )
+        if not state.head(1):
+            break
+    return placed
+
+
+def above(path: str):
+    """The path itself and the paths of all directories above it; the root's ends in a slash."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def refreshed_paths(old_paths: DataFrame, old: DataFrame, new: DataFrame, changed: DataFrame, root: int = ROOT, dirs: DataFrame | None = None) -> DataFrame:
     """The paths of `new`, made anew only at and below the changed directories (source, object).
 
-    old_paths are the paths of `old`; the rest of them is kept as it is.
+    old_paths are the paths of `old`, dirs its directories if they are stored; the rest of the paths
+    is kept as it is.
     """
     below = descendants(old, changed).unionByName(descendants(new, changed)).select("source", F.col("object").alias("parent")).distinct()
     kept = old_paths.join(below, ["source", "parent"], "left_anti")
-    fresh = paths(new.join(below, ["source", "parent"], "left_semi"), directories(new, root))
+    dirs = directories(new, root) if dirs is None else refreshed_directories(dirs, old, new, root)
+    fresh = paths(new.join(below, ["source", "parent"], "left_semi"), dirs)
     return kept.unionByName(fresh.select(*old_paths.columns))
 
 
@@ -169,11 +271,7 @@ def violations(entries: DataFrame, root: int = ROOT, strict: bool = False) -> Da
     }
     if strict:
         checks["attributes"] = differing_attributes(entries)
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("check"), "n") for k, df in checks.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return _counted(checks)
 
 
 def ordinary(entries: DataFrame, root: int = ROOT) -> DataFrame:

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.names import of_category, path_key
+from pathloom.functions.names import of_category, path_key, shard_of
 from pathloom.functions.query import Query, entry_predicate, extension_is, parse, path_predicate
 from pathloom.operators.namespace import directories, full_path, is_directory, with_parent
+from pathloom.session import written
 
 PAGE = ["source", "slot", "object", "path", "name", "is_directory"]
 
@@ -25,16 +26,16 @@ class Page:
 
 
 def matches(entries: DataFrame, raw: str, kind: str = "all", dirs: DataFrame | None = None) -> DataFrame:
-    """Every entry that a dialect B query matches, with its path. Cheap tests come before the join.
+    """Every entry that a dialect B query matches, with its path.
 
-    Kind, category and extension need no path, so they are below the join with directories. A match whose
-    parent the root doesn't reach fails the search instead of being left out.
+    entries that are located (plans.stored) hold their parents' paths, and the search is one scan. Else
+    kind, category and extension, which need no path, are tested below the join with directories.
+    A match whose parent the root doesn't reach fails the search instead of being left out.
     """
     query = parse(raw, "B")
     folded = F.lower(F.translate("name", "\\", "/"))
     some = entries.where(of_category(kind, F.col("attributes"), folded) & extension_is(query, folded))
-    dirs = directories(entries) if dirs is None else dirs
-    joined = with_parent(some, dirs, "left")
+    joined = some if "parent_path" in entries.columns else with_parent(some, directories(entries) if dirs is None else dirs, "left")
     words = Query("B", query.tokens)
     lost = F.coalesce("parent_path", F.raise_error(F.lit("an entry's parent can't be resolved")).cast("string"))
     by_name = F.lit(True)
@@ -58,15 +59,18 @@ def page(entries: DataFrame, raw: str, limit: int = 20, kind: str = "all", dirs:
     if not 0 <= limit <= 1024:
         raise ValueError("limit")
     found = matches(entries, raw, kind, dirs)
-    usable = F.lit(True) if valid is None else valid
-    rows = found.where(usable).orderBy("slot").limit(limit)
-    last = rows.agg(F.count("*").alias("n"), F.max("slot").alias("last")).first()
-    if last.n < limit:
-        m = found.agg(F.count("*").alias("n"), F.count_if(~usable).alias("skipped")).first()
-        return Page(rows, m.n, True, m.skipped)
-    upto = F.lit(False) if last.last is None else F.col("slot") <= last.last
-    m = found.agg(F.count_if(upto).alias("n"), F.count("*").alias("all"), F.count_if(upto & ~usable).alias("skipped")).first()
-    return Page(rows, m.n + (m["all"] > m.n), m["all"] == m.n, m.skipped)
+    if valid is None:
+        first = written(found.orderBy("slot").limit(limit + 1), "page")
+        n = first.count()
+        return Page(first.orderBy("slot").limit(limit), n, n <= limit, 0)
+    first = written(found.where(valid).orderBy("slot").limit(limit + 1), "page")
+    rows = first.orderBy("slot").limit(limit)
+    upto = rows.agg(F.max("slot")).first()[0]
+    if first.count() <= limit:  # all usable matches are here; the rest are skipped
+        skipped = found.where(~valid).count()
+        return Page(rows, first.count() + skipped, True, skipped)
+    skipped = found.where(~valid & (F.lit(False) if upto is None else F.col("slot") <= upto)).count()
+    return Page(rows, limit + skipped + 1, False, skipped)
 
 
 def merged(pages: list[Page], limit: int) -> Page:
@@ -105,15 +109,36 @@ def summary(rows: DataFrame, raw: str, limit: int | None = None, dialect: str =
     return found.agg(F.count("*").alias("matches"), F.coalesce(F.sum(F.col("id") + 1), F.lit(0)).alias("checksum"), complete.alias("complete"))
 
 
-def next_page(rows: DataFrame, raw: str, after: tuple[int, str] | None, size: int, shards: int = 64, dialect: str = "A") -> DataFrame:
-    """(shard, path, id) of the page after a cursor (shard, path), in storage order.
+@dataclass(frozen=True)
+class Cursor:
+    """Where a page ended: the version and the query that it belongs to, and the key of its last row."""
+
+    version: int
+    query: str
+    dialect: str
+    shard: int
+    path: str
+    id: int
+
 
-    rows must be one version; the cursor is a key, so a page costs the same however far it is.
+def next_page(rows: DataFrame, raw: str, after: Cursor | None, size: int, shards: int = 64, dialect: str = "A", version: int = 0) -> DataFrame:
+    """(shard, path, id) of the page after a cursor, in the order of these three; ids tell equal paths apart.
+
+    rows must be those of `version`; a cursor of another version or query is refused. The cursor is a
+    key, so a page costs the same however far it is.
     """
     if not 1 <= size <= 1024:
         raise ValueError("page size")
-    found = path_matches(rows, raw, dialect).withColumn("shard", F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(shards)).cast("int"))
+    found = path_matches(rows, raw, dialect).withColumn("shard", shard_of(F.col("path"), shards))
     if after is not None:
-        shard, path = after
-        found = found.where((F.col("shard") > shard) | ((F.col("shard") == shard) & (F.col("path") > path)))
+        if (after.version, after.query, after.dialect) != (version, raw, dialect):
+            raise ValueError("the cursor belongs to another version or query")
+        at = F.struct(F.lit(after.shard).alias("shard"), F.lit(after.path).alias("path"), F.lit(after.id).cast("long").alias("id"))
+        found = found.where((F.col("shard") >= after.shard) & (F.struct("shard", "path", F.col("id").cast("long").alias("id")) > at))
     return found.orderBy("shard", "path", "id").limit(size).select("shard", "path", "id")
+
+
+def cursor_of(page: DataFrame, raw: str, dialect: str = "A", version: int = 0) -> Cursor | None:
+    """The cursor after a page of next_page(); None after an empty one."""
+    last = page.orderBy(F.desc("shard"), F.desc("path"), F.desc("id")).first()
+    return None if last is None else Cursor(version, raw, dialect, last.shard, last.path, last.id)

@@ -7,6 +7,7 @@ one place that needs Python on rows; it runs on Arrow batches.
 from __future__ import annotations
 
 import struct
+from collections import namedtuple
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 from pathloom.session import ship
 
 MOST_BYTES, MOST_RECORDS, MOST_UNITS = 64 * 1024, 2048, 255
-#: By major version, header size and offsets of usn, reason, attributes and name fields; size of an id.
-LAYOUT = {2: (60, 24, 40, 52, 56, 8), 3: (76, 40, 56, 68, 72, 16)}
+#: The fields of a record in their order; ids have 8 bytes in version 2 and 16 in version 3.
+FIELDS = "length major minor object parent usn time reason cause security attributes name_bytes name_at"
+FORMS = {2: struct.Struct("<IHH8s8sqqIIIIHH"), 3: struct.Struct("<IHH16s16sqqIIIIHH")}
+Record = namedtuple("Record", FIELDS)
+#: Units that a name must not hold.
+FORBIDDEN = frozenset("\0/\\".encode("utf-16-le")[::2])
 SCHEMA = "batch_id long, object binary, parent binary, usn long, reason long, attributes long, name_raw binary, name string, major int"
 
 
@@ -25,50 +30,50 @@ class RecordError(ValueError):
     """A batch that can't be trusted."""
 
 
+def _record(data: bytes, at: int, majors: tuple[int, ...]) -> tuple[Record, bytes]:
+    """The record at a place, with its raw name; RecordError names every field that is wrong."""
+    room = len(data) - at
+    form = FORMS.get(int.from_bytes(data[at + 4 : at + 6], "little")) if room >= 8 else None
+    if form is None or room < form.size:
+        raise RecordError(f"byte {at}: no record of a known version")
+    r = Record._make(form.unpack_from(data, at))
+    raw = data[at + r.name_at : at + r.name_at + r.name_bytes]
+    units = struct.unpack(f"<{len(raw) // 2}H", raw[: len(raw) // 2 * 2])
+    wrong = {
+        "major": r.major not in majors,
+        "minor": r.minor != 0,
+        "length": r.length % 8 != 0 or not form.size <= r.length <= room,
+        "name_bytes": r.name_bytes % 2 != 0 or not 1 <= len(units) <= MOST_UNITS,
+        "name_at": r.name_at % 2 != 0 or not form.size <= r.name_at <= r.length - r.name_bytes,
+        "name": not FORBIDDEN.isdisjoint(units),
+    }
+    if bad := [field for field, is_wrong in wrong.items() if is_wrong]:
+        raise RecordError(f"byte {at}: {', '.join(bad)}")
+    return r, raw
+
+
 def decode(data: bytes, majors: tuple[int, ...] = (2,)) -> list[tuple]:
     """(object, parent, usn, reason, attributes, raw name, major) of each record; ids as integers."""
     if len(data) > MOST_BYTES:
-        raise RecordError("batch over its budget of bytes")
+        raise RecordError(f"{len(data)} bytes in a batch, {MOST_BYTES} allowed")
     out, at = [], 0
     while at < len(data):
-        if len(out) == MOST_RECORDS:
-            raise RecordError("batch over its budget of records")
-        if len(data) - at < 8:
-            raise RecordError("truncated header")
-        length, major, minor = struct.unpack_from("<IHH", data, at)
-        if major not in majors or major not in LAYOUT or minor:
-            raise RecordError(f"unsupported record version {major}.{minor}")
-        header, usn, reason, attributes, name, wide = LAYOUT[major]
-        if length < header or length > len(data) - at or length % 8:
-            raise RecordError("record length or alignment")
-        size, start = struct.unpack_from("<HH", data, at + name)
-        if not size or size % 2 or size // 2 > MOST_UNITS or start < header or start % 2 or start + size > length:
-            raise RecordError("name length or offset")
-        raw = data[at + start : at + start + size]
-        if set(struct.unpack(f"<{size // 2}H", raw)) & {0, ord("/"), ord("\\")}:
-            raise RecordError("name with a NUL or separator")
-        ids = [int.from_bytes(data[at + 8 + k * wide : at + 8 + (k + 1) * wide], "little") for k in (0, 1)]
-        out.append((*ids, struct.unpack_from("<q", data, at + usn)[0], struct.unpack_from("<I", data, at + reason)[0], struct.unpack_from("<I", data, at + attributes)[0], raw, major))
-        at += length
+        r, raw = _record(data, at, majors)
+        at += r.length
+        out.append((int.from_bytes(r.object, "little"), int.from_bytes(r.parent, "little"), r.usn, r.reason, r.attributes, raw, r.major))
+        if len(out) > MOST_RECORDS:
+            raise RecordError(f"over {MOST_RECORDS} records in a batch")
     return out
 
 
 def encode(records: list[tuple], major: int = 2) -> bytes:
     """A batch of (object, parent, usn, reason, attributes, raw name), for tests and replays."""
-    header, usn, reason, attributes, name, wide = LAYOUT[major]
-    out = b""
-    for obj, parent, at, why, attr, raw in records:
-        length = -(-(header + len(raw)) // 8) * 8
-        r = bytearray(length)
-        struct.pack_into("<IHH", r, 0, length, major, 0)
-        r[8 : 8 + wide], r[8 + wide : 8 + 2 * wide] = obj.to_bytes(wide, "little"), parent.to_bytes(wide, "little")
-        struct.pack_into("<q", r, usn, at)
-        struct.pack_into("<I", r, reason, why)
-        struct.pack_into("<I", r, attributes, attr)
-        struct.pack_into("<HH", r, name, len(raw), header)
-        r[header : header + len(raw)] = raw
-        out += bytes(r)
-    return out
+    form, wide, out = FORMS[major], 8 * (major - 1), []
+    for obj, parent, at, why, attributes, raw in records:
+        length = -(-(form.size + len(raw)) // 8) * 8
+        r = Record(length, major, 0, obj.to_bytes(wide, "little"), parent.to_bytes(wide, "little"), at, 0, why, 0, 0, attributes, len(raw), form.size)
+        out.append((form.pack(*r) + raw).ljust(length, b"\0"))
+    return b"".join(out)
 
 
 def text(raw: bytes) -> str | None:
@@ -156,3 +161,50 @@ def decode_listing(data: bytes, parent: int) -> list[tuple]:
         if at >= len(data):
             raise RecordError("entry offset")
     return out
+
+
+def encoded(journal: DataFrame, each: int = 256) -> DataFrame:
+    """(batch_id, data): journal rows (usn, object, parent, reason, attributes, name) as batches of version 2 records."""
+
+    def packed(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            data = [encode([(r["object"], r["parent"], r["usn"], r["reason"], r["attributes"], r["name"].encode("utf-16-le")) for r in rows]) for rows in part.column("rows").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("batch_id"), pa.array(data, pa.binary())], ["batch_id", "data"])
+
+    ship(journal.sparkSession)
+    row = F.struct("usn", "object", "parent", "reason", "attributes", "name")
+    # at most `each` rows in a list, as a usn is unique in a journal
+    batches = journal.groupBy(F.floor(F.col("usn") / each).cast("long").alias("batch_id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return batches.mapInArrow(packed, "batch_id long, data binary")
+
+
+def encode_notices(notices: list[tuple[int, str]]) -> bytes:
+    """A buffer of (action, name), for tests and replays."""
+    out = []
+    for k, (action, name) in enumerate(notices):
+        raw = name.encode("utf-16-le")
+        size = -(-(12 + len(raw)) // 4) * 4
+        out.append(struct.pack("<III", size if k + 1 < len(notices) else 0, action, len(raw)) + raw.ljust(size - 12, b"\0"))
+    return b"".join(out)
+
+
+#: Actions of notices.
+ACTIONS = {1: "added", 2: "removed", 3: "modified", 4: "old", 5: "new"}
+
+
+def notices(buffers: DataFrame) -> DataFrame:
+    """(source, seq, at_ms, action, path) of buffers (source, first, at_ms, data): seq counts on from first."""
+
+    def decoded(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = [
+                (source, first + k, at, ACTIONS.get(action, "modified"), name)
+                for source, first, at, data in zip(*(part.column(c).to_pylist() for c in ("source", "first", "at_ms", "data")))
+                for k, (action, name) in enumerate(decode_notices(data or b""))
+            ]
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["source", "seq", "at_ms", "action", "path"])
+
+    ship(buffers.sparkSession)
+    return buffers.select("source", "first", "at_ms", "data").mapInArrow(decoded, "source string, seq long, at_ms long, action string, path string")

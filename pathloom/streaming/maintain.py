@@ -1,9 +1,11 @@
 """Keeping a published namespace current from a stream of journal records.
 
-Each micro-batch is checked as a whole, applied to the newest version with the listing as
-it is now, and published together with its cursor. A loss, an unknown parent or a window
-over its budget leads to one rebuild from the listing. A batch that a restart replays is
-below the cursor and does nothing.
+A store holds one source. Each micro-batch is checked as a whole, applied to the newest version
+with the listing as it is now, and published together with its cursor. Only the shards of
+parents that a batch touches are written, only these parents and the chains above them are
+checked, and a batch that changes nothing moves the cursor alone. A cursor that the journal no
+longer retains, a loss, an unknown parent or a window over its budget leads to one rebuild from
+the listing. A batch that a restart replays is below the cursor and does nothing.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions.names import ROOT
+from pathloom.functions.names import ROOT, retained
 from pathloom.operators import journal, namespace
 from pathloom.operators.inventory import differences
-from pathloom.streaming.store import NotReady, Store
+from pathloom.streaming.store import NotReady, Store, shard
 
 JOURNAL = "source string, usn long, ts timestamp, object long, parent long, reason long, attributes int, name string"
 
 
+KEY = ["source", "parent"]
+
+
 def check(rows: DataFrame) -> None:
     broken = [r["check"] for r in namespace.violations(rows).where("n > 0").collect()]
     if broken:
@@ -28,22 +33,41 @@ def check(rows: DataFrame) -> None:
 
 
 def bootstrap(store: Store, listing: DataFrame, source: str, journal_id: str, cursor: int, root: int = ROOT) -> None:
-    """Version 1 from a listing; the cursor was taken before the listing, so nothing falls between."""
-    store.publish(namespace.reachable(namespace.ordinary(listing, root), root), store.ticket(), source, journal_id, cursor, check)
+    """Version 1 of a store without one, from a listing; the cursor was taken before the listing, so nothing falls between."""
+    store.publish(namespace.reachable(namespace.ordinary(listing, root), root), store.ticket(), source, journal_id, cursor, check, KEY, first=True)
 
 
 class Maintainer:
-    """The function for foreachBatch, with counts of what it did."""
+    """The function for foreachBatch, with counts of what it did.
+
+    holds: what the journal holds now, (journal id, first, lowest, next); None: it is not asked.
+    """
 
-    def __init__(self, store: Store, listing: Callable[[], DataFrame], root: int = ROOT, budget: int = 64 << 20, attempts: int = 4):
-        self.store, self.listing, self.root, self.budget, self.attempts = store, listing, root, budget, attempts
+    def __init__(
+        self, store: Store, listing: Callable[[], DataFrame], root: int = ROOT, budget: int = 64 << 20, attempts: int = 4,
+        holds: Callable[[], tuple[str, int, int, int]] | None = None,
+    ):
+        self.store, self.listing, self.root, self.budget, self.attempts, self.holds = store, listing, root, budget, attempts, holds
         self.applied = self.rebuilt = self.unchanged = 0
 
+    def _retained(self, m) -> tuple[bool, str, int]:
+        """(whether the cursor can go on, the journal's id, where the journal ends)."""
+        if self.holds is None:
+            return True, m.journal, m.cursor
+        journal_id, first, lowest, following = self.holds()
+        row = self.store.spark.range(1).select(F.lit(journal_id).alias("j"), F.lit(m.journal).alias("c"))
+        kept = row.select(retained("j", F.lit(first), F.lit(lowest), F.lit(following), "c", F.lit(m.cursor))).first()[0]
+        return kept, journal_id, following
+
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         m = self.store.manifest()
         if m is None:
             raise NotReady("no version to start from")
-        records = batch.where(F.col("usn") >= m.cursor)
+        kept, journal_id, following = self._retained(m)
+        if not kept:
+            self.rebuild(m.source, journal_id, following)
+            return
+        records = batch.where((F.col("source") == m.source) & (F.col("usn").isNull() | (F.col("usn") >= m.cursor)))
         facts = records.agg(F.max("usn").alias("last"), F.count_if(F.col("usn").isNull() | F.col("object").isNull() | F.col("parent").isNull()).alias("bad")).first()
         if facts.last is None and not facts.bad:
             return
@@ -53,18 +77,25 @@ class Maintainer:
             if facts.bad:
                 raise journal.ReconcileError("malformed records")
             wanted = journal.replay(records, m.cursor, cursor, self.budget)
-            rows = journal.applied(old, wanted, self.listing(), self.root)
-            if rows is old:
-                self.unchanged += 1
-            self.store.publish(rows, ticket, m.source, m.journal, cursor, check)
-            self.applied += 1
+            rows, touched = journal.changed(old, wanted, self.listing().where(F.col("source") == m.source), self.root)
         except (journal.ReconcileError, journal.ReplayBudgetError):
             self.rebuild(m.source, m.journal, cursor)
+            return
+        if touched is None:
+            self.unchanged += 1
+            self.store.advance(ticket, cursor)
+        else:
+            parts = [r[0] for r in touched.select(shard(KEY, m.shards)).distinct().collect()]  # a row a shard
+            self.store.publish(rows, ticket, m.source, m.journal, cursor, None, KEY, m.shards, parts)
+        self.applied += 1
+
+    def _listed(self, source: str) -> DataFrame:
+        return namespace.reachable(namespace.ordinary(self.listing().where(F.col("source") == source), self.root), self.root)
 
     def audit(self) -> bool:
         """Compares the newest version with the listing; rebuilds and returns True if they differ."""
         m, columns = self.store.manifest(), ["object", "parent", "name", "attributes"]
-        now = namespace.reachable(namespace.ordinary(self.listing(), self.root), self.root)
+        now = self._listed(m.source)
         if not differences(self.store.read().select(columns), now.select(columns)).head(1):
             return False
         self.rebuild(m.source, m.journal, m.cursor)
@@ -74,8 +105,8 @@ class Maintainer:
         """Publishes the listing; tries again while it is overtaken."""
         for attempt in range(self.attempts):
             try:
-                rows = namespace.reachable(namespace.ordinary(self.listing(), self.root), self.root)
-                self.store.publish(rows, self.store.ticket(), source, journal_id, cursor, check)
+                rows = self._listed(source)
+                self.store.publish(rows, self.store.ticket(), source, journal_id, cursor, check, KEY)
                 self.rebuilt += 1
                 return
             except NotReady as e:
@@ -83,7 +114,17 @@ class Maintainer:
                     raise
 
 
-def follow(spark: SparkSession, path: str, maintainer: Maintainer, checkpoint: str, files: int = 16, every: str | None = None):
+def each(maintainers: list[Maintainer]) -> Callable[[DataFrame, int], None]:
+    """One function for foreachBatch that keeps the stores of several sources current from one stream."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        for m in maintainers:
+            m(batch, epoch)
+
+    return run
+
+
+def follow(spark: SparkSession, path: str, maintainer: Callable[[DataFrame, int], None], checkpoint: str, files: int = 16, every: str | None = None):
     """Starts the stream of a folder of journal files: what is there now, or for ever with a trigger time."""
     rows = spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files).parquet(path)
     out = rows.writeStream.foreachBatch(maintainer).option("checkpointLocation", checkpoint)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.session import ship
 
@@ -68,6 +68,12 @@ def rename_stream(notices: DataFrame, most_ms: int = MOST_MS, wait_ms: int | Non
     return notices.groupBy("source").applyInPandasWithState(advance, CHANGES, STATE, "append", "NoTimeout" if wait_ms is None else "ProcessingTimeTimeout")
 
 
+def still_waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The losses (as rows of CHANGES) that a stream's state still holds when its input has ended: names that wait."""
+    held = spark.read.format("statestore").load(checkpoint).select("key.source", "value.groupState.*")
+    return held.where("seq is not null").selectExpr("source", "seq", "'loss' AS kind", "path", "CAST(NULL AS STRING) AS source_path", "TRUE AS loss")
+
+
 def batch_verdict(changes: DataFrame, most: int = 256) -> dict:
     """Whether a batch of changes may be applied: not if it holds a loss or more changes than the queue takes."""
     rows = changes.selectExpr("count(*) as n", "count_if(loss) as losses").first()

@@ -1,23 +1,30 @@
-"""Versions of a namespace or inventory: Parquet folders, each with a manifest written last.
-
-A version exists once its manifest does; a crash before that leaves the former version in
-force. The manifest holds the journal cursor with the version, so neither moves alone.
-Readers pin a version by a lease; only versions without leases are removed. Files are
-reached through Spark's file systems, so a store may lie anywhere Spark can write.
+"""Versions of a namespace or inventory: parts in Parquet folders, and a manifest for each version.
+
+A version exists once its manifest does. Every attempt writes to a folder of its own, and the
+manifest, which names the folder of each part, comes into being by a rename that refuses to
+replace: of two writers one wins, and the other's folder is unused. Parts are hash shards of a
+key, so a small change writes the shards it touches, and the manifest carries the others over.
+The manifest also holds the journal cursor, so neither moves alone. Readers pin a version by a
+lease; only what no manifest names is removed. Files are reached through Spark's file systems,
+so a store may lie anywhere Spark can write.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pathloom.functions.names import shard_of
 
 EMPTY, PENDING, VALIDATED, FAILED, PINNED, STOPPED = "empty", "pending", "validated", "failed", "readers_pinned", "stopped"
 #: Schema version of manifests; another one means: rebuild.
-FORMAT = 1
+FORMAT = 2
+SHARDS = 64
 
 
 class NotReady(RuntimeError):
@@ -31,31 +38,48 @@ class Manifest:
     journal: str
     cursor: int
     records: int
-    checksum: int = 0
+    checksum: int
+    #: For each shard: the folder below the store, the number of rows, the sum of their hashes.
+    parts: dict[str, tuple[str, int, int]] = field(default_factory=dict)
+    schema: str = ""
+    key: tuple[str, ...] = ()
+    shards: int = 1
     state: str = VALIDATED
     format: int = FORMAT
 
 
-def checksum(rows: DataFrame) -> int:
-    """A sum over the rows that their order doesn't change."""
-    return rows.agg(F.coalesce(F.bit_xor(F.xxhash64(*rows.columns)), F.lit(0))).first()[0]
+def total(rows: DataFrame) -> Column:
+    """A sum over rows that their order doesn't change and repeated rows don't cancel."""
+    return F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+
+
+def checksum(rows: DataFrame) -> tuple[int, int]:
+    """(number, sum of hashes) of the rows."""
+    n, h = rows.agg(F.count("*"), total(rows)).first()
+    return n, int(h)
 
 
-def changed_shards(old: DataFrame, new: DataFrame, key: str = "path", shards: int = 64) -> DataFrame:
+def shard(key: list[str], shards: int) -> Column:
+    """The shard of a row by the columns of its key."""
+    return shard_of(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in key]), shards) if key else F.lit(0)
+
+
+def changed_shards(old: DataFrame, new: DataFrame, key: str = "path", shards: int = SHARDS) -> DataFrame:
     """(shard): hash shards in which two tables differ; repeated rows count as often as they are there."""
     def sums(rows: DataFrame, name: str) -> DataFrame:
-        shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
-        h = F.xxhash64(*sorted(rows.columns))
-        return rows.groupBy(shard).agg(F.struct(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).alias(name))
+        return rows.groupBy(shard([key], shards).alias("shard")).agg(F.struct(F.count("*"), total(rows)).alias(name))
 
     return sums(old, "a").join(sums(new, "b"), "shard", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("shard")
 
 
-def overwrite_shards(new: DataFrame, changed: DataFrame, path: str, key: str = "path", shards: int = 64) -> None:
-    """Writes just the changed shards of a table partitioned by shard; the others' files stay."""
-    sharded = new.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
-    some = sharded.join(changed, "shard", "left_semi")
+def overwrite_shards(new: DataFrame, changed: DataFrame, path: str, key: str = "path", shards: int = SHARDS) -> None:
+    """Writes just the changed shards of a table partitioned by shard, and removes those left without rows."""
+    spark = new.sparkSession
+    some = new.withColumn("shard", shard([key], shards)).join(changed, "shard", "left_semi")
     some.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for r in changed.join(some.select("shard").distinct(), "shard", "left_anti").collect():  # at most `shards` rows
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={r.shard}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Store:
@@ -82,13 +106,24 @@ class Store:
         out = self._fs.create(hidden, False)
         out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(self._at(name)) or not self._fs.rename(hidden, self._at(name)):
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        refuse = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        refuse[0] = kinds.NONE
+        try:
+            context.rename(hidden, self._at(name), refuse)
+        except Exception:
             self._fs.delete(hidden, False)
-            raise NotReady(f"{name} was published by another writer")
+            if self._fs.exists(self._at(name)):
+                raise NotReady(f"overtaken: {name} was published by another writer") from None
+            raise
 
     def _text(self, name: str) -> str:
-        lines = self.spark.sparkContext.wholeTextFiles(f"{self.path}/{name}", 1).values().take(1)
-        return lines[0] if lines else ""
+        found = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(found, "UTF-8")
+        finally:
+            found.close()
 
     # versions
 
@@ -101,18 +136,29 @@ class Store:
         if not known or (version is not None and version not in known):
             return None
         found = json.loads(self._text(f"manifests/{version or known[-1]:012d}.json"))
-        return Manifest(**found) if found.get("format") == FORMAT else None
+        if found.get("format") != FORMAT:
+            return None
+        return Manifest(**found | {"key": tuple(found["key"]), "parts": {k: tuple(p) for k, p in found["parts"].items()}})
+
+    def folders(self, version: int | None = None) -> list[str]:
+        """The folders that hold a version's rows."""
+        m = self.manifest(version)
+        if m is None:
+            raise NotReady("no version")
+        return [f"{self.path}/{folder}" for folder, _, _ in m.parts.values()]
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
         if m is None:
             raise NotReady("no version")
-        return self.spark.read.parquet(f"{self.path}/v={m.version}")
+        schema = T.StructType.fromJson(json.loads(m.schema))
+        paths = [f"{self.path}/{folder}" for folder, _, _ in m.parts.values()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def verify(self, version: int | None = None) -> bool:
         """Whether a version's rows are those that were published."""
-        m, rows = self.manifest(version), self.read(version)
-        return rows.count() == m.records and checksum(rows) == m.checksum
+        m = self.manifest(version)
+        return checksum(self.read(version)) == (m.records, m.checksum)
 
     def ticket(self) -> tuple[int, int]:
         """What a candidate must present: the signals and the version it was made from."""
@@ -123,41 +169,73 @@ class Store:
         """Something changed: candidates made before are out of date."""
         self._signals += 1
 
-    def publish(self, rows: DataFrame, ticket: tuple[int, int], source: str, journal: str, cursor: int, check=None, partition_by: list[str] | None = None) -> Manifest:
+    def publish(
+        self, rows: DataFrame, ticket: tuple[int, int], source: str, journal: str, cursor: int, check=None,
+        key: list[str] | None = None, shards: int = SHARDS, touched: list[int] | None = None, first: bool = False,
+    ) -> Manifest:
         """Writes rows as the next version and commits it, unless the ticket is out of date.
 
-        check(rows) raises to refuse. With more live versions than allowed, and readers on
-        the old ones, nothing is published until leases end.
+        key: the columns whose hash deals rows to shards; without it there is one. touched: the only
+        shards that are written, of a version with the same key; the others are carried over.
+        check(rows) raises to refuse what is written. first: refuses if there is a version already.
+        With more live versions than allowed, and readers on the old ones, nothing is published
+        until leases end.
         """
-        if self._stopped or cursor < 0:
-            raise NotReady("stopped" if self._stopped else "cursor")
-        self.vacuum()
-        if len(self.versions()) >= self.most_versions:
-            raise NotReady(PINNED)
+        before = self._ready(cursor)
+        if first and before is not None:
+            raise NotReady("there is a version already")
+        key, shards = list(key or []), shards if key else 1
+        if touched is not None:
+            if before is None or before.key != tuple(key) or before.shards != shards:
+                raise NotReady("shards of another key")
+            rows = rows.where(shard(key, shards).isin(touched))
         version = ticket[1] + 1
-        folder = f"{self.path}/v={version}"
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
-        written = self.spark.read.schema(rows.schema).parquet(folder)
+        folder = f"v={version}-{uuid.uuid4().hex}"
         try:
+            cut = rows.withColumn("shard", shard(key, shards))
+            (cut.repartition("shard") if key else cut).write.partitionBy("shard").parquet(f"{self.path}/{folder}")
+            schema = T.StructType(rows.schema.fields)
+            names = [n.removeprefix("shard=") for n in self._names(folder) if n.startswith("shard=")]
+            every = [f"{self.path}/{folder}/shard={n}" for n in names]
+            written = self.spark.read.schema(schema).parquet(*every) if every else self.spark.createDataFrame([], schema)
             if check is not None:
                 check(written)
-            if ticket != self.ticket():
-                raise NotReady("overtaken")
-            m = Manifest(version, source, journal, cursor, written.count(), checksum(written))
-            self._put(f"manifests/{version:012d}.json", json.dumps(asdict(m)))
+            sums = written.groupBy(shard(key, shards).alias("shard")).agg(F.count("*").alias("n"), total(written).alias("h")).collect()  # a row a shard
+            parts = {k: p for k, p in before.parts.items() if int(k) not in touched} if touched is not None else {}
+            parts |= {str(r.shard): (f"{folder}/shard={r.shard}", r.n, int(r.h)) for r in sums}
+            return self._commit(ticket, Manifest(version, source, journal, cursor, 0, 0, parts, schema.json(), tuple(key), shards))
         except Exception as e:
             self._error = str(e)
-            if ticket[1] == self.ticket()[1]:
-                self._fs.delete(self._at(f"v={version}"), True)
+            self._fs.delete(self._at(folder), True)
             raise
+
+    def advance(self, ticket: tuple[int, int], cursor: int) -> Manifest:
+        """The newest version again with a later cursor: a manifest, and no rows."""
+        before = self._ready(cursor)
+        if before is None:
+            raise NotReady("no version")
+        return self._commit(ticket, replace(before, version=ticket[1] + 1, cursor=cursor))
+
+    def _ready(self, cursor: int) -> Manifest | None:
+        if self._stopped or cursor < 0:
+            raise NotReady("stopped" if self._stopped else "cursor")
+        self.vacuum()
+        if len(self.versions()) >= self.most_versions:
+            raise NotReady(PINNED)
+        return self.manifest()
+
+    def _commit(self, ticket: tuple[int, int], m: Manifest) -> Manifest:
+        if ticket != self.ticket():
+            raise NotReady("overtaken")
+        m = replace(m, records=sum(n for _, n, _ in m.parts.values()), checksum=sum(h for _, _, h in m.parts.values()))
+        self._put(f"manifests/{m.version:012d}.json", json.dumps(asdict(m)))
         self._error = None
         return m
 
     def compact(self, files: int) -> Manifest:
         """The newest version again in so many files, with the same cursor."""
         m = self.manifest()
-        return self.publish(self.read().repartition(files), self.ticket(), m.source, m.journal, m.cursor)
+        return self.publish(self.read().repartition(files), self.ticket(), m.source, m.journal, m.cursor, key=list(m.key), shards=m.shards)
 
     def sparse(self, row_bytes: int = 64, file_bytes: int = 32 << 20) -> bool:
         """Whether the newest version has more than twice the files that its rows need."""
@@ -186,20 +264,24 @@ class Store:
         self._fs.delete(self._at(f"leases/{key}"), False)
 
     def vacuum(self) -> list[int]:
-        """Removes versions that are neither the newest nor leased, and folders without a manifest."""
+        """Removes versions that are neither the newest nor leased, and their folders unless a later version carries them over."""
         known = self.versions()
         held = {int(self._text(f"leases/{k}") or 0) for k in self._names("leases") if not k.endswith((".tmp", ".crc"))}
         gone = [v for v in known[:-1] if v not in held]
+        folders = {v: {f for f, _, _ in m.parts.values()} if (m := self.manifest(v)) else set() for v in known} if gone else {}
+        live = set().union(*(folders[v] for v in known if v not in gone)) if gone else set()
         for v in gone:
             self._fs.delete(self._at(f"manifests/{v:012d}.json"), False)
-            self._fs.delete(self._at(f"v={v}"), True)
+            for folder in folders[v] - live:
+                self._fs.delete(self._at(folder), True)
         return gone
 
     def status(self) -> dict:
         """version, cursor, records, state and error, for monitors."""
         m = self.manifest()
         state = STOPPED if self._stopped else FAILED if self._error else EMPTY if m is None else VALIDATED
-        return {"state": state, "error": self._error} | (asdict(m) | {"state": state} if m else {"version": 0, "cursor": 0, "records": 0})
+        facts = {k: v for k, v in asdict(m).items() if k not in ("parts", "schema")} if m else {"version": 0, "cursor": 0, "records": 0}
+        return facts | {"state": state, "error": self._error}
 
     def stop(self) -> None:
         """No more versions; readers keep what they have."""

@@ -39,8 +39,23 @@ def test_pages_by_key_make_up_the_whole(spark, tables):
 
     rows = view(spark, tables, DOC_PATHS)
     seen, after = [], None
-    while part := [tuple(r) for r in search.next_page(rows, "doc", after, 64).collect()]:
-        assert after is None or (part[0][0], part[0][1]) > after
+    while part := (page := search.next_page(rows, "doc", after, 64)).collect():
+        part = [tuple(r) for r in part]
+        assert not seen or part[0] > seen[-1]
         seen += part
-        after = part[-1][:2]
+        after = search.cursor_of(page, "doc")
     assert sorted(r[2] for r in seen) == sorted(r.id for r in search.path_matches(rows, "doc").collect())
+
+
+def test_pages_lose_no_equal_paths_and_keep_to_one_version(spark):
+    from pathloom.plans import search
+
+    rows = spark.createDataFrame([(k, "same/path") for k in range(5)], "id long, path string")
+    seen, after = [], None
+    while part := (page := search.next_page(rows, "same", after, 2, version=3)).collect():
+        seen += [r.id for r in part]
+        after = search.cursor_of(page, "same", version=3)
+    assert seen == [0, 1, 2, 3, 4]
+    for raw, version in (("same", 4), ("path", 3)):
+        with pytest.raises(ValueError, match="another"):
+            search.next_page(rows, raw, search.Cursor(3, "same", "A", 0, "x", 1), 2, version=version)

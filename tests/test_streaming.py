@@ -1,6 +1,7 @@
 """Stores, streams and their recovery; binary records; the service's messages."""
 
 import json
+import re
 import struct
 
 import pytest
@@ -21,7 +22,7 @@ def test_store_versions_leases_and_crashes(spark, tmp_path):
     assert store.status()["state"] == "empty"
     assert store.publish(rows, store.ticket(), "d:", "j", 10).version == 1
     lease = store.lease()
-    rows.write.parquet(str(tmp_path / "s/v=2"))  # a crash before the manifest
+    rows.write.parquet(str(tmp_path / "s/v=2-crash"))  # a crash before the manifest
     assert store.read().count() == 3 and store.manifest().version == 1
     assert store.publish(spark.range(5), store.ticket(), "d:", "j", 20).cursor == 20
     assert store.read().count() == 5 and store.leased(lease).count() == 3
@@ -128,13 +129,47 @@ def record(major=2, **change):
     return bytes(data)
 
 
-@pytest.mark.parametrize(
-    "change",
-    [{"_0": ("<I", 61)}, {"_0": ("<I", 4096)}, {"_4": ("<H", 3)}, {"_4": ("<H", 9)}, {"_6": ("<H", 1)}, {"_56": ("<H", 0)}, {"_56": ("<H", 7)}, {"_58": ("<H", 8)}, {"_58": ("<H", 61)}, {"_60": ("<H", 0)}, {"_60": ("<H", 47)}],
-)
-def test_one_bad_field_refuses_the_batch(change):
-    with pytest.raises(usn.RecordError):
-        usn.decode(record() + record(**change))
+def fields(major):
+    """(name, offset, struct code) of every field, from the declared layout."""
+    at, out = 0, []
+    for name, code in zip(usn.FIELDS.split(), re.findall(r"\d*[a-zA-Z]", usn.FORMS[major].format)):
+        out.append((name, at, f"<{code}"))
+        at += struct.calcsize(f"<{code}")
+    return out
+
+
+BAD = {
+    "length": [0, 59, 61, 4096, 1 << 31], "major": [0, 1, 4, 9], "minor": [1, 7], "name_bytes": [0, 1, 9, 512, 4096],
+    "name_at": [0, 2, 59, 61, 63, 200],
+}
+
+
+@pytest.mark.parametrize("name,value", [(k, v) for k, values in BAD.items() for v in values])
+def test_one_bad_field_refuses_the_batch(name, value):
+    offset, code = next((at, c) for n, at, c in fields(2) if n == name)
+    for first in (b"", record()):
+        with pytest.raises(usn.RecordError):
+            usn.decode(first + record(**{f"_{offset}": (code, value)}))
+
+
+@pytest.mark.parametrize("bad", ["a/b", "a\\b", "\0", "x\0"])
+def test_a_forbidden_unit_refuses_the_batch(bad):
+    with pytest.raises(usn.RecordError, match="name"):
+        usn.decode(usn.encode([(70, 5, 12, 0, 32, bad.encode("utf-16-le"))]))
+
+
+def test_lengths_of_batches():
+    one = record()
+    for cut in range(1, len(one)):
+        with pytest.raises(usn.RecordError):
+            usn.decode(one[:cut])
+        with pytest.raises(usn.RecordError):
+            usn.decode(one + one[:cut])
+    assert usn.decode(b"") == [] and len(usn.decode(one * 3)) == 3
+    wide = usn.encode([((1 << 100) + 9, 5, 12, 1, 32, b"x\0")], 3)
+    assert usn.decode(wide, (3,))[0][0] == (1 << 100) + 9
+    with pytest.raises(usn.RecordError, match="major"):
+        usn.decode(wide)
 
 
 def test_records_decode(spark):
@@ -161,7 +196,7 @@ def test_responses_fit_their_frame(spark):
     item = lambda n: {"path": "p" * n, "name": "n", "is_directory": False}
     r = {"ready": True, "pending": False, "error": "é" * 4000, "version": 1, "total": 3, "total_exact": True, "skipped": 0, "files": [item(10), item(70_000), item(20)]}
     out = service.bounded(r)
-    assert [len(f["path"]) for f in out["files"]] == [10, 20] and not out["total_exact"] and "1 results left out" in out["error"]
+    assert [len(f["path"]) for f in out["files"]] == [10, 20] and not out["total_exact"] and "1 of 3 results do not fit" in out["error"]
     assert len(json.dumps(out, ensure_ascii=False).encode()) <= service.FRAME and len(out["error"].encode()) <= 4096
     page = search.page(table(spark, [(100, 5, "a", D), (200, 100, "f.txt", F_)]), "f", 5)
     got = service.respond(page, 7)
@@ -259,7 +294,7 @@ def test_checksums_shards_and_audits(spark, tmp_path):
     assert store.verify()
     assert not maintain.Maintainer(store, lambda: old).audit() and store.manifest().version == 1
     assert maintain.Maintainer(store, lambda: new).audit() and store.manifest().version == 2 and store.verify()
-    store.read().limit(1).write.mode("append").parquet(str(tmp_path / "s/v=2"))
+    store.read().limit(1).write.mode("append").parquet(store.folders()[0])
     assert not store.verify()
     a = spark.createDataFrame([(f"p{k}", "file") for k in range(300)], "path string, kind string")
     b = a.where("path <> 'p7'").unionByName(spark.createDataFrame([("q", "file")], a.schema))
@@ -287,3 +322,99 @@ def test_raw_literals_order_and_export(spark, tmp_path):
     search.export(rows, "", str(tmp_path / "nul"), nul=True)
     assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["a/b\\nc"]
     assert sum(p.read_bytes().count(b"\0") for p in (tmp_path / "nul").glob("part-*")) == 2
+
+
+def test_racing_writers_leave_one_version(spark, tmp_path):
+    """Both hold the same ticket and both write; the manifest of the first stays, with its rows."""
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    a.publish(spark.range(2), a.ticket(), "d:", "j", 1)
+    ticket = b.ticket()
+
+    def meanwhile(rows):
+        a.publish(spark.range(3), a.ticket(), "d:", "j", 2)
+
+    with pytest.raises(NotReady, match="overtaken"):
+        b.publish(spark.range(7), ticket, "d:", "j", 2, meanwhile)
+    assert a.read().count() == 3 and a.verify() and b.manifest() == a.manifest()
+    with pytest.raises(NotReady, match="overtaken"):
+        a._put("manifests/000000000002.json", "{}")
+    assert a.verify()
+
+
+def test_shards_that_became_empty_and_repeated_rows(spark, tmp_path):
+    from pathloom.streaming.store import changed_shards, checksum, overwrite_shards
+
+    form, path = "path string, kind string", str(tmp_path / "t")
+    two = spark.createDataFrame([("a", "file"), ("b", "file")], form)
+    overwrite_shards(two, spark.range(64).select(F.col("id").cast("int").alias("shard")), path)
+    one = two.where("path = 'a'")
+    overwrite_shards(one, changed_shards(two, one), path)
+    assert [r.path for r in spark.read.parquet(path).collect()] == ["a"]
+    x, y = (spark.createDataFrame([("a", k), ("a", k)], form) for k in ("file", "directory"))
+    assert changed_shards(x, y).count() == 1 and checksum(x) != checksum(y)
+
+
+def small_tree(spark, source, extra=()):
+    rows = [(100, 5, "a", D), (102, 5, "b", D), *[(200 + k, 100 + 2 * (k % 2), f"f{k}", F_) for k in range(40)], *extra]
+    return table(spark, rows).withColumn("source", F.lit(source))
+
+
+def journal_rows(spark, rows):
+    return spark.createDataFrame(rows, "source string, usn long, object long, parent long, reason long, attributes int, name string")
+
+
+def test_a_batch_writes_only_its_shards_and_its_source(spark, tmp_path):
+    now = {s: small_tree(spark, s, [(300, 102, "new", F_)]) for s in ("d:", "e:")}
+    both = now["d:"].unionByName(now["e:"])
+    stores = {s: Store(spark, str(tmp_path / s[0])) for s in now}
+    for s, store in stores.items():
+        maintain.bootstrap(store, small_tree(spark, s), s, "j", 7)
+        with pytest.raises(NotReady, match="already"):
+            maintain.bootstrap(store, small_tree(spark, s), s, "k", 0)
+        assert store.manifest().cursor == 7
+    ms = {s: maintain.Maintainer(store, lambda: both) for s, store in stores.items()}
+    run = maintain.each(list(ms.values()))
+    before = stores["d:"].manifest()
+    run(journal_rows(spark, [("e:", 50, 300, 102, 0x100, F_, "new")]), 0)
+    assert stores["d:"].manifest() == before and stores["e:"].manifest().cursor == 51
+    run(journal_rows(spark, [("d:", 9, 300, 102, 0x100, F_, "new")]), 1)
+    after = stores["d:"].manifest()
+    changed = {k for k in before.parts.keys() | after.parts.keys() if before.parts.get(k) != after.parts.get(k)}
+    assert after.cursor == 10 and len(changed) == 1 and stores["d:"].verify() and ms["d:"].applied == 1
+    run(journal_rows(spark, [("d:", 12, 300, 102, 0x100, F_, "new")]), 2)
+    assert stores["d:"].manifest().parts == after.parts and stores["d:"].manifest().cursor == 13 and ms["d:"].unchanged == 1
+    columns = ["object", "parent", "name", "attributes"]
+    assert not stores["d:"].read().select(columns).exceptAll(now["d:"].select(columns)).head(1)
+
+
+@pytest.mark.parametrize("holds,rebuilt", [(("j", 0, 0, 99), 0), (("other", 0, 0, 99), 1), (("j", 50, 0, 99), 1), (("j", 0, 50, 99), 1), (("j", 0, 0, 5), 1)])
+def test_a_cursor_that_is_not_retained_leads_to_a_rebuild(spark, tmp_path, holds, rebuilt):
+    store = Store(spark, str(tmp_path / "s"))
+    maintain.bootstrap(store, small_tree(spark, "d:"), "d:", "j", 7)
+    now = small_tree(spark, "d:", [(300, 102, "new", F_)])
+    m = maintain.Maintainer(store, lambda: now, holds=lambda: holds)
+    m(journal_rows(spark, [("d:", 9, 300, 102, 0x100, F_, "new")]), 0)
+    assert m.rebuilt == rebuilt and store.read().count() == now.count()
+    assert (store.manifest().journal, store.manifest().cursor) == ((holds[0], holds[3]) if rebuilt else ("j", 10))
+
+
+def test_touched_parents_are_checked_with_their_chains(spark):
+    from pathloom.operators import namespace
+
+    rows = [(100, 5, "a", D), (101, 100, "b", D), (200, 101, "f", F_), (900, 901, "x", D), (901, 900, "y", D), (201, 901, "g", F_), (202, 777, "h", F_)]
+    t = table(spark, rows)
+    for parent, bad in ((101, 0), (901, 1), (777, 1), (5, 0)):
+        touched = spark.createDataFrame([("d:", parent)], "source string, parent long")
+        got = {r["check"]: r.n for r in namespace.violations_at(t, touched).collect()}
+        assert (got["unreachable"] > 0) == bool(bad) and got["bad_row"] == got["repeated_name"] == got["directory_names"] == 0
+
+
+def test_directories_are_refreshed_below_changes_only(spark):
+    from pathloom.operators import namespace
+
+    old = table(spark, [(100, 5, "a", D), (101, 100, "b", D), (102, 101, "c", D), (103, 5, "d", D), (104, 103, "e", D), (105, 104, "f", D), (106, 5, "gone", D), (107, 106, "h", D)])
+    new = table(spark, [(100, 103, "moved", D), (101, 100, "b", D), (102, 101, "c2", D), (103, 5, "d", D), (104, 103, "e", D), (105, 104, "f", D), (108, 102, "fresh", D), (107, 106, "h", D), (109, 110, "r", D), (110, 109, "s", D)])
+    known = namespace.directories(old)
+    got = {tuple(r) for r in namespace.refreshed_directories(known, old, new).collect()}
+    assert got == {tuple(r) for r in namespace.directories(new).collect()} and len(got) == 8
+    assert namespace.refreshed_directories(known, old, old) is known
