@@ -142,7 +142,10 @@ def tiles(v: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     v (vec_id, row, dim, length, v); queries (query_id, q_row, dim, v, threshold, need).
     """
     # classes of like need in each dimension, and their blocks
-    cuts = queries.groupBy("dim").agg(F.array_distinct(F.percentile_approx("need", [j / STEPS for j in range(1, STEPS)], 1000)).alias("cuts"))
+    most = F.least(F.lit(STEPS), F.ceil(F.col("n") / BLOCK)).cast("int")  # no more classes than blocks are needed
+    cuts = queries.groupBy("dim").agg(F.percentile_approx("need", [j / STEPS for j in range(1, STEPS)], 1000).alias("cuts"), F.count("*").alias("n"))
+    chosen = F.transform(F.slice(F.sequence(F.lit(0), most), F.lit(2), most - 1), lambda j: F.get("cuts", F.floor(j * STEPS / most).cast("int") - 1))
+    cuts = cuts.select("dim", F.array_distinct(chosen).alias("cuts"))
     classed = queries.join(cuts, "dim").withColumn("class", F.size(F.filter("cuts", lambda c: c < F.col("need")))).drop("cuts", "length")
     classes = classed.groupBy("dim", "class").agg(F.min("need").alias("need"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     reach = classes.groupBy("dim").agg(F.collect_list(F.struct("need", "class", "blocks")).alias("classes"))  # STEPS at most
@@ -177,6 +180,9 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE)
         .select("vec_id", whole.alias("v"), F.monotonically_increasing_id().alias("row")),
         "vectors",
     )
+    ends = v.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    kind = "array<int>" if ends[0] is not None and ends[0] >= -(1 << 31) and ends[1] < 1 << 31 else "array<long>"
+    v = v.withColumn("v", F.col("v").cast(kind))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     v = v.withColumn("dim", F.size("v")).withColumn("length", F.sqrt(square))
     seeds = v.orderBy(F.desc("length"), "row").limit(SEEDS).toArrow()  # SEEDS rows at most
@@ -207,7 +213,7 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE)
     need = F.when((F.col("threshold") <= 0) | (F.col("length") == 0), 0.0).otherwise(F.col("threshold") / F.col("length") * (1 - SLACK))
     queries = written(
         v.where(F.col("vec_id") % every == 0)
-        .mapInArrow(first_thresholds, "query_id long, q_row long, dim int, length double, v array<long>, threshold long")
+        .mapInArrow(first_thresholds, f"query_id long, q_row long, dim int, length double, v {kind}, threshold long")
         .withColumn("need", need),
         "queries",
     )
