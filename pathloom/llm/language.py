@@ -44,6 +44,8 @@ TRAIN, ORDER, FOLDS, HELD, LANGS = 10_000, 5, 5, 0, 4
 ADDED = (0.1, 0.5)
 #: So many words are scored together; their number bounds what a worker holds beside the model.
 WORDS_AT_ONCE = 200_000
+#: So many languages at most have their numbers broadcast; with more, texts are shuffled by language.
+MOST_BROADCAST = 100_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -180,8 +182,10 @@ def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[tuple]]:
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD)
     ).select("doc_id", "lang", "text")
     there = may.groupBy("lang").agg(F.count("*").alias("there"))
-    share = LANGS / max(LANGS, there.count())
+    langs = there.count()
+    share = LANGS / max(LANGS, langs)
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53)) < F.lit(TRAIN * share) / F.col("there")
+    there = F.broadcast(there) if langs <= MOST_BROADCAST else there
     sample = spread(may).join(there, "lang").where(drawn).select("lang", "text")
     counted = written(sample.mapInArrow(_words, "lang string, word string, times long").groupBy("lang", "word").agg(F.sum("times").alias("times")), "words")
     keyed = spread(counted).mapInArrow(_keys, "lang string, n int, key long, times long").groupBy("n", "key", "lang").agg(F.sum("times").alias("times"))
