@@ -634,3 +634,122 @@ def stored_refresh(spark, d):
     state.save(entries(spark, d), 1)
     state.refresh(fixtures.view(spark, d, RENAMED), 2)
     return state.matches("").select("source", "object", "path")
+
+
+# binary sources, raw names, scopes
+
+TWO_MAJORS = "count(*) FILTER (reason & 256 <> 0) AS creations, count(*) FILTER (reason & 512 <> 0) AS deletions, bit_or(reason) AS reasons"
+
+
+@query("decoded_statistics", f"WITH {J} SELECT count(*) AS records, count(DISTINCT (usn % 2, usn // 256)) AS batches, {TWO_MAJORS}, [2, 3] AS majors FROM j")
+def decoded_statistics(spark, d):
+    """Batches of both versions of records, decoded and summed up."""
+    from pathloom.sources import usn
+
+    all_ = notes(spark, d)
+    batches = usn.encoded(all_.where("usn % 2 = 0")).unionByName(usn.encoded(all_.where("usn % 2 = 1"), major=3))
+    return usn.batch_statistics(usn.records(batches, (2, 3)))
+
+
+@query("listing_decode", f"SELECT source, object, parent, CAST(attributes AS BIGINT) AS attributes, name FROM ({NS_ENTRIES}) AS e")
+def listing_decode(spark, d):
+    """Directories packed into listing buffers, dot entries with them, and decoded again."""
+    from pathloom.sources import usn
+
+    return usn.listings(usn.packed_listings(entries(spark, d))).select("source", "object", "parent", "attributes", "name")
+
+
+BUFFERED = f"""{NOTICES.replace("n AS (", "raw AS (", 1)}, n AS (SELECT source, seq // 16 * 16 + row_number() OVER (PARTITION BY source, seq // 16 ORDER BY seq) - 1 AS seq,
+  min(at_ms) OVER (PARTITION BY source, seq // 16) AS at_ms, action, path FROM raw)"""
+
+
+def buffered(spark, d) -> DataFrame:
+    """Notices that went through binary buffers of up to 16."""
+    from pathloom.sources import usn
+
+    return usn.notices(usn.packed_notices(fixtures.view(spark, d, f"WITH {NOTICES} SELECT * FROM n")))
+
+
+@query("notice_decode", f"WITH {BUFFERED} SELECT source, seq, at_ms, action, path FROM n")
+def notice_decode(spark, d):
+    return buffered(spark, d)
+
+
+PAIRS_BUFFERED = PAIRS.replace(NOTICES, BUFFERED, 1)
+
+
+@query("notice_changes", PAIRS_BUFFERED)
+def notice_changes(spark, d):
+    """From buffers of notices to changes: renames paired, losses told."""
+    return journal.rename_pairs(buffered(spark, d), 1500)
+
+
+@query("batch_verdicts", f"SELECT source, seq // 100 AS batch, count(*) AS changes, count(*) FILTER (loss) AS losses, count(*) FILTER (loss) = 0 AND count(*) <= 3 AS applies FROM ({PAIRS}) AS c GROUP BY source, batch")
+def batch_verdicts(spark, d):
+    from pathloom.streaming.pairing import batch_verdicts as verdicts
+
+    changes = rename_pairs(spark, d).withColumn("batch", F.floor(F.col("seq") / 100).cast("long"))
+    return verdicts(changes, ["source", "batch"], 3)
+
+
+CUT = f"SELECT object, CASE WHEN object % 7 = 3 THEN [lower(substr(name, 1, 3)), lower(substr(name, 4))] ELSE [lower(name)] END AS runs, name FROM ({NS_ENTRIES}) AS e"
+
+
+@query("raw_search", f"SELECT object, CASE WHEN object % 7 <> 3 THEN name END AS name FROM ({CUT}) AS c WHERE len(list_filter(runs, lambda r: contains(r, 'er_1'))) > 0 AND len(list_filter(runs, lambda r: contains(r, 'ord'))) > 0 AND runs[-1] LIKE '%.pdf' OR len(list_filter(runs, lambda r: contains(r, 'rder_2'))) > 0 AND runs[-1] LIKE '%.png'")
+def raw_search(spark, d):
+    """Names of which every seventh has half of a surrogate pair after its third letter: no word lies across it."""
+    whole, k = F.encode("name", "UTF-16LE"), F.lit(6)
+    cut = F.concat(F.substring(whole, F.lit(1), k), F.lit(b"\x00\xd8"), F.substring(whole, F.lit(7), F.octet_length(whole)))
+    rows = entries(spark, d).select("object", F.when(F.col("object") % 7 == 3, cut).otherwise(whole).alias("name_raw"))
+    found = search.raw_matches(rows, "er_1 ord ext:pdf").unionByName(search.raw_matches(rows, "rder_2 ext:png"))
+    return found.select("object", "name")
+
+
+WIDE = "SELECT id, CASE id % 3 WHEN 0 THEN '𝄞' WHEN 1 THEN 'ﬀ' ELSE 'z' END || path AS path FROM f"
+
+
+@query("literal_unit_order", DOCS + f", w AS ({WIDE}), m AS (SELECT id, path FROM w WHERE contains(path, 'src1/doc')) SELECT id, path, (SELECT count(*) FROM m) AS total FROM m ORDER BY CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END, path LIMIT 150")
+def literal_unit_order(spark, d):
+    """The first 150 by UTF-16 units, where characters of the higher planes come before U+FB00."""
+    first = F.when(F.col("id") % 3 == 0, "𝄞").when(F.col("id") % 3 == 1, "ﬀ").otherwise("z")
+    rows = fixtures.view(spark, d, DOC_PATHS).withColumn("path", F.concat(first, F.col("path")))
+    return search.literal_first(rows, "src1/doc", 150)
+
+
+@query("signed_search", FLAT + "SELECT id, path FROM f WHERE contains(low, 'example') AND contains(low, 'page') AND contains(low, '7')")
+def signed_search(spark, d):
+    return index.signed_search(index.record_signatures(flat(spark, d)), "example page 7")
+
+
+MOVED = f"m AS (SELECT source, usn, object, CASE WHEN usn % 4 = 0 THEN object - object % 5 + (object + 2) % 5 ELSE parent END AS parent, reason, attributes, name FROM ({JOURNAL}) AS j)"
+
+
+@query("scope_records", f"""WITH RECURSIVE e AS ({NS_ENTRIES}), {MOVED}, b(object) AS (SELECT CAST(2003 AS BIGINT) UNION SELECT e.object FROM e JOIN b ON e.parent = b.object WHERE e.attributes & 1040 = 16),
+i(dir, since) AS (SELECT object, CAST(-1 AS BIGINT) FROM b UNION SELECT m.object, m.usn FROM i JOIN m ON m.parent = i.dir AND m.usn > i.since WHERE m.attributes & 1040 = 16)
+SELECT source, usn, object, parent FROM m WHERE object <> 2003 AND NOT EXISTS (SELECT 1 FROM (SELECT dir, min(since) AS since FROM i GROUP BY dir) AS x WHERE x.dir = m.parent AND x.since < m.usn)""")
+def scope_records(spark, d):
+    """Records outside a subtree that directories join at their first record below it."""
+    records = fixtures.view(spark, d, f"WITH {MOVED} SELECT * FROM m")
+    return journal.in_scope(records, entries(spark, d), 2003).select("source", "usn", "object", "parent")
+
+
+@query("export_lines", DOCS + "SELECT CASE id % 3 WHEN 0 THEN replace(path, '/', '\\\\') ELSE path END AS line FROM f WHERE contains(path, 'src2')")
+def export_lines(spark, d):
+    """All matches written as escaped lines of text, and read again."""
+    from pathloom.session import shared_dir
+    import uuid
+
+    rows = fixtures.view(spark, d, DOC_PATHS)
+    rows = rows.withColumn("path", F.when(F.col("id") % 3 == 0, F.translate("path", "/", "\\")).otherwise(F.col("path")))
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    search.export(rows, "src2", path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("background_count", DOCS + "SELECT 'complete' AS state, count(*) AS n FROM f WHERE contains(path, 'src3')")
+def background_count(spark, d):
+    from pathloom.plans.jobs import CountJob
+
+    job = CountJob(search.path_matches(fixtures.view(spark, d, DOC_PATHS), "src3"))
+    n = job.wait()
+    return spark.createDataFrame([(job.state, n)], "state string, n long")

@@ -99,3 +99,27 @@ def folded_bytes(raw: bytes) -> bytes:
     text = raw.decode("utf-16-le", "surrogatepass")
     runs = re.split("[\ud800-\udfff]", text)
     return b"\xff".join(r.replace("\\", "/").lower().encode() for r in runs)
+
+
+#: Hex of a UTF-16LE unit that is half of a pair without the other half, after what is text.
+_BROKEN_UNIT = r"\G((?:..[^D].|..D[0-7]|..D[89AB]..D[C-F])*+)..D[89A-F]"
+
+
+def raw_runs(raw: Column) -> Column:
+    """The folded runs of text in a raw UTF-16LE name, parted by units that are no text; a whole name is one run."""
+    runs = F.split(F.regexp_replace(F.hex(raw), _BROKEN_UNIT, "$1-"), "-")
+    return F.transform(runs, lambda r: F.lower(F.translate(F.decode(F.unhex(r), "UTF-16LE"), "\\", "/")))
+
+
+def whole_text(raw: Column) -> Column:
+    """A raw name as text; null if it has a unit that is no text."""
+    return F.when(~F.hex(raw).rlike(_BROKEN_UNIT), F.decode(raw, "UTF-16LE"))
+
+
+def raw_predicate(query: Query, runs: Column) -> Column:
+    """Dialect B over raw_runs() of a name: no word lies across a broken unit, and the extension must be text after the last dot."""
+
+    def word(t: str) -> Column:
+        return F.exists(runs, lambda run: F.contains(run, F.lit(t)))
+
+    return all_of([extension_is(query, F.element_at(runs, -1)), *map(word, query.tokens)])

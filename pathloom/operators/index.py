@@ -63,6 +63,35 @@ def candidate_blocks(index: DataFrame, query: Query) -> DataFrame | None:
     return found.where(F.col("n") == len(grams)).select("block")
 
 
+def record_bits(grams: Column) -> Column:
+    """One of 128 bits for each gram, as (low, high): what contains the grams has their bits."""
+
+    def add(bits: Column, g: Column) -> Column:
+        place = F.xxhash64(g).bitwiseAND(F.lit(127)).cast("int")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)))
+        none = F.lit(0).cast("long")
+        low, high = F.when(place < 64, one).otherwise(none), F.when(place >= 64, one).otherwise(none)
+        return F.struct(bits["low"].bitwiseOR(low).alias("low"), bits["high"].bitwiseOR(high).alias("high"))
+
+    return F.aggregate(grams, F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")), add)
+
+
+def record_signatures(rows: DataFrame) -> DataFrame:
+    """rows (id, path) with sig: the 128 bits of each row's own trigrams."""
+    return rows.withColumn("sig", record_bits(trigrams(_searched(F.col("path")))))
+
+
+def signed_search(rows: DataFrame, raw: str) -> DataFrame:
+    """The rows (id, path, sig) that a dialect A query matches; a row without the bits of the words is never searched."""
+    query = parse(raw, "A")
+    grams = sorted({t[i : i + 3] for t in query.tokens for i in range(len(t) - 2)})
+    if grams:
+        need = record_bits(F.array(*map(F.lit, grams)))
+        has = [F.col("sig")[part].bitwiseAND(need[part]) == need[part] for part in ("low", "high")]
+        rows = rows.where(has[0] & has[1])
+    return rows.where(path_predicate(query, F.col("path"))).select("id", "path")
+
+
 def indexed_search(rows: DataFrame, index: DataFrame, sigs: DataFrame, raw: str) -> DataFrame:
     """The rows (id, path) that a dialect A query matches, by way of the index."""
     query = parse(raw, "A")

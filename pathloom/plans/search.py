@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.names import of_category, path_key, shard_of
-from pathloom.functions.query import Query, entry_predicate, extension_is, parse, path_predicate
+from pathloom.functions.query import Query, entry_predicate, extension_is, parse, path_predicate, raw_literal, raw_predicate, raw_runs, unit_order, whole_text
 from pathloom.operators.namespace import directories, full_path, is_directory, with_parent
 from pathloom.session import written
 
@@ -109,6 +109,24 @@ def summary(rows: DataFrame, raw: str, limit: int | None = None, dialect: str =
     return found.agg(F.count("*").alias("matches"), F.coalesce(F.sum(F.col("id") + 1), F.lit(0)).alias("checksum"), complete.alias("complete"))
 
 
+def raw_matches(entries: DataFrame, raw: str) -> DataFrame:
+    """entries (.., name_raw) whose raw names match a dialect B query; name is null if the raw name is no text.
+
+    Such rows count as matches and as skipped, but can't be shown.
+    """
+    found = entries.where(raw_predicate(parse(raw, "B"), raw_runs(F.col("name_raw"))))
+    return found.withColumn("name", whole_text(F.col("name_raw")))
+
+
+def literal_first(rows: DataFrame, raw: str, limit: int = 50) -> DataFrame:
+    """(id, path, total): the first matches of a dialect C query over raw UTF-16 names, by code units, and how many there are."""
+    parse(raw, "C")
+    found = rows.where(raw_literal(F.encode("path", "UTF-16LE"), raw.encode("utf-16-le"))).select("id", "path")
+    total = found.agg(F.count("*").alias("total"))
+    first = found.orderBy(unit_order(F.col("path")), "id").limit(limit)
+    return first.join(F.broadcast(total), F.lit(True)).select("id", "path", "total")  # the total is one row
+
+
 @dataclass(frozen=True)
 class Cursor:
     """Where a page ended: the version and the query that it belongs to, and the key of its last row."""

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions.names import CREATED, DELETED, any_bit
 from pathloom.session import ship
 
 MOST_BYTES, MOST_RECORDS, MOST_UNITS = 64 * 1024, 2048, 255
@@ -163,19 +164,33 @@ def decode_listing(data: bytes, parent: int) -> list[tuple]:
     return out
 
 
-def encoded(journal: DataFrame, each: int = 256) -> DataFrame:
-    """(batch_id, data): journal rows (usn, object, parent, reason, attributes, name) as batches of version 2 records."""
+def _in_batches(rows: DataFrame, batch: dict, pack, columns: list[str], order: str, schema: str) -> DataFrame:
+    """rows packed by pack(list of rows in order, batch) into `data`, one buffer for each value of the batch columns.
+
+    The caller's batch columns bound the rows of a buffer, so no list grows with a group.
+    """
 
     def packed(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            data = [encode([(r["object"], r["parent"], r["usn"], r["reason"], r["attributes"], r["name"].encode("utf-16-le")) for r in rows]) for rows in part.column("rows").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("batch_id"), pa.array(data, pa.binary())], ["batch_id", "data"])
+            data = [pack(r.pop("rows"), r) for r in part.to_pylist()]
+            kept = [n for n in part.schema.names if n != "rows"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(data, pa.binary())], [*kept, "data"])
+
+    ship(rows.sparkSession)
+    row = F.struct(order, *[c for c in columns if c != order])
+    lists = rows.groupBy(*[c.alias(n) for n, c in batch.items()]).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return lists.mapInArrow(packed, schema)
+
+
+def encoded(journal: DataFrame, each: int = 256, major: int = 2) -> DataFrame:
+    """(batch_id, data): journal rows (usn, object, parent, reason, attributes, name) as batches of records."""
 
-    ship(journal.sparkSession)
-    row = F.struct("usn", "object", "parent", "reason", "attributes", "name")
-    # at most `each` rows in a list, as a usn is unique in a journal
-    batches = journal.groupBy(F.floor(F.col("usn") / each).cast("long").alias("batch_id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return batches.mapInArrow(packed, "batch_id long, data binary")
+    def pack(rows: list[dict], _: dict) -> bytes:
+        return encode([(r["object"], r["parent"], r["usn"], r["reason"], r["attributes"], r["name"].encode("utf-16-le")) for r in rows], major)
+
+    # at most `each` rows in a batch, as a usn is unique in a journal
+    batch = {"batch_id": F.floor(F.col("usn") / each).cast("long")}
+    return _in_batches(journal, batch, pack, ["usn", "object", "parent", "reason", "attributes", "name"], "usn", "batch_id long, data binary")
 
 
 def encode_notices(notices: list[tuple[int, str]]) -> bytes:
@@ -208,3 +223,70 @@ def notices(buffers: DataFrame) -> DataFrame:
 
     ship(buffers.sparkSession)
     return buffers.select("source", "first", "at_ms", "data").mapInArrow(decoded, "source string, seq long, at_ms long, action string, path string")
+
+
+def packed_notices(rows: DataFrame, each: int = 16) -> DataFrame:
+    """(source, first, at_ms, data): notices (source, seq, at_ms, action, path) as buffers of stretches of seq, told at the earliest time."""
+    codes = {name: code for code, name in ACTIONS.items()}
+
+    def pack(rows: list[dict], _: dict) -> bytes:
+        return encode_notices([(codes[r["action"]], r["path"]) for r in rows])
+
+    timed = rows.withColumn("first", (F.floor(F.col("seq") / each) * each).cast("long"))
+    times = timed.groupBy("source", "first").agg(F.min("at_ms").alias("at_ms"))
+    batch = {"source": F.col("source"), "first": F.col("first")}
+    return _in_batches(timed, batch, pack, ["seq", "action", "path"], "seq", "source string, first long, data binary").join(times, ["source", "first"])
+
+
+def encode_listing(entries: list[tuple[int, int, bytes]]) -> bytes:
+    """A listing buffer of (object, attributes, raw name), for tests and replays; the inverse of decode_listing."""
+    out = []
+    for k, (identity, attributes, raw) in enumerate(entries):
+        size = -(-(104 + len(raw)) // 8) * 8
+        entry = bytearray(size)
+        struct.pack_into("<I", entry, 0, size if k + 1 < len(entries) else 0)
+        struct.pack_into("<II", entry, 56, attributes, len(raw))
+        struct.pack_into("<Q", entry, 96, identity)
+        entry[104 : 104 + len(raw)] = raw
+        out.append(bytes(entry))
+    return b"".join(out)
+
+
+def packed_listings(entries: DataFrame, each: int = 256) -> DataFrame:
+    """(source, parent, part, data): children of each directory as listing buffers, by stretches of object, dot entries in the lead."""
+
+    def pack(rows: list[dict], batch: dict) -> bytes:
+        dots = [(batch["parent"], 16, n.encode("utf-16-le")) for n in (".", "..")]
+        return encode_listing(dots + [(r["object"], r["attributes"], r["name"].encode("utf-16-le")) for r in rows])
+
+    batch = {"source": F.col("source"), "parent": F.col("parent"), "part": F.floor(F.col("object") / each).cast("long")}
+    return _in_batches(entries, batch, pack, ["object", "attributes", "name"], "object", "source string, parent long, part long, data binary")
+
+
+def listings(buffers: DataFrame) -> DataFrame:
+    """(source, object, parent, attributes, name_raw, name) of listing buffers (source, parent, data); name null if it is no text."""
+
+    def decoded(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = [
+                (source, *entry, text(entry[-1]))
+                for source, parent, data in zip(*(part.column(c).to_pylist() for c in ("source", "parent", "data")))
+                for entry in decode_listing(data or b"", parent)
+            ]
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            names = ["source", "object", "parent", "attributes", "name_raw", "name"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    ship(buffers.sparkSession)
+    schema = "source string, object long, parent long, attributes long, name_raw binary, name string"
+    return buffers.select("source", "parent", "data").mapInArrow(decoded, schema)
+
+
+def batch_statistics(decoded: DataFrame) -> DataFrame:
+    """One row of what records() told: records, batches, creations, deletions, reasons (the union of all bits), majors (those met)."""
+    return decoded.agg(
+        F.count("*").alias("records"), F.countDistinct("major", "batch_id").alias("batches"),
+        F.count_if(any_bit(F.col("reason"), CREATED)).alias("creations"), F.count_if(any_bit(F.col("reason"), DELETED)).alias("deletions"),
+        F.bit_or("reason").alias("reasons"), F.sort_array(F.collect_set("major")).alias("majors"),
+    )

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pathloom.session import ship
 
@@ -78,3 +79,9 @@ def batch_verdict(changes: DataFrame, most: int = 256) -> dict:
     """Whether a batch of changes may be applied: not if it holds a loss or more changes than the queue takes."""
     rows = changes.selectExpr("count(*) as n", "count_if(loss) as losses").first()
     return {"apply": not rows.losses and rows.n <= most, "losses": rows.losses, "overflow": rows.n > most}
+
+
+def batch_verdicts(changes: DataFrame, batch: list[str], most: int = 256) -> DataFrame:
+    """batch_verdict() of every batch at once: (batch columns, changes, losses, applies)."""
+    told = changes.groupBy(*batch).agg(F.count("*").alias("changes"), F.count_if("loss").alias("losses"))
+    return told.withColumn("applies", (F.col("losses") == 0) & (F.col("changes") <= most))
