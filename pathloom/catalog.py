@@ -708,17 +708,17 @@ def raw_search(spark, d):
 WIDE = "SELECT id, CASE id % 3 WHEN 0 THEN '𝄞' WHEN 1 THEN 'ﬀ' ELSE 'z' END || path AS path FROM f"
 
 
-@query("literal_unit_order", DOCS + f", w AS ({WIDE}), m AS (SELECT id, path FROM w WHERE contains(path, 'src1/doc')) SELECT id, path, (SELECT count(*) FROM m) AS total FROM m ORDER BY CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END, path LIMIT 150")
+@query("literal_unit_order", DOCS + f", w AS ({WIDE}), m AS (SELECT id, path FROM w WHERE contains(path, 'src1/doc')) SELECT id, path, (SELECT count(*) FROM m) AS total FROM m ORDER BY CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END, path LIMIT 40")
 def literal_unit_order(spark, d):
-    """The first 150 by UTF-16 units, where characters of the higher planes come before U+FB00."""
+    """The first 40 by UTF-16 units, where characters of the higher planes come before U+FB00."""
     first = F.when(F.col("id") % 3 == 0, "𝄞").when(F.col("id") % 3 == 1, "ﬀ").otherwise("z")
     rows = fixtures.view(spark, d, DOC_PATHS).withColumn("path", F.concat(first, F.col("path")))
-    return search.literal_first(rows, "src1/doc", 150)
+    return search.literal_first(rows, "src1/doc", 40)
 
 
-@query("signed_search", FLAT + "SELECT id, path FROM f WHERE contains(low, 'example') AND contains(low, 'page') AND contains(low, '7')")
+@query("signed_search", FLAT + "SELECT id, path FROM f WHERE contains(low, 'example.net') AND contains(low, '/en/') AND contains(low, '7')")
 def signed_search(spark, d):
-    return index.signed_search(index.record_signatures(flat(spark, d)), "example page 7")
+    return index.signed_search(index.record_signatures(flat(spark, d)), "example.net /en/ 7")
 
 
 MOVED = f"m AS (SELECT source, usn, object, CASE WHEN usn % 4 = 0 THEN object - object % 5 + (object + 2) % 5 ELSE parent END AS parent, reason, attributes, name FROM ({JOURNAL}) AS j)"
@@ -753,3 +753,75 @@ def background_count(spark, d):
     job = CountJob(search.path_matches(fixtures.view(spark, d, DOC_PATHS), "src3"))
     n = job.wait()
     return spark.createDataFrame([(job.state, n)], "state string, n long")
+
+
+# versions and maintenance
+
+
+def new_store(spark, name: str, **limits):
+    """A store in a folder of its own, and the folder."""
+    from pathloom.session import shared_dir
+    from pathloom.streaming.store import Store
+    import uuid
+
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return Store(spark, f"{base}/store", **limits), base
+
+
+@query("leased_version", INV + "SELECT 'leased' AS version, path, kind FROM a UNION ALL SELECT 'newest', path, kind FROM b")
+def leased_version(spark, d):
+    """A version that a reader pins outlives two later ones and a vacuum; the newest one is compacted."""
+    store, _ = new_store(spark, "leased", most_versions=4)
+    store.publish(old_inventory(spark, d), store.ticket(), "", "", 1)
+    key = store.lease()
+    store.publish(fixtures.view(spark, d, INV_NEW), store.ticket(), "", "", 2)
+    store.compact(2)
+    store.vacuum()
+    return store.leased(key).select(F.lit("leased").alias("version"), "path", "kind").unionByName(store.read().select(F.lit("newest").alias("version"), "path", "kind"))
+
+
+@query("refresh_below", INV + """, t AS (SELECT unnest(['en/src1', 'fr/src2', 'de']) AS top)
+SELECT path, kind FROM a WHERE NOT EXISTS (SELECT 1 FROM t WHERE a.path = top OR starts_with(a.path, top || '/')) UNION ALL SELECT path, kind FROM b WHERE EXISTS (SELECT 1 FROM t WHERE b.path = top OR starts_with(b.path, top || '/'))""")
+def refresh_below(spark, d):
+    """An inventory with some subtrees as a listing has them now."""
+    tops = spark.createDataFrame([("en/src1",), ("fr/src2",), ("de",)], "path string")
+    return inventory.refreshed(old_inventory(spark, d), fixtures.view(spark, d, INV_NEW), tops).select("path", "kind")
+
+
+@query("expired_cursor", f"WITH l AS ({NS_NOW}) SELECT source, object, parent, name, attributes, CAST((SELECT max(usn) + 1 FROM ({JOURNAL}) AS j) AS BIGINT) AS cursor FROM l")
+def expired_cursor(spark, d):
+    """The journal has dropped what a store's cursor stands at: one rebuild from the listing, at the journal's end."""
+    from pathloom.streaming import maintain
+
+    store, _ = new_store(spark, "expired")
+    old, now, told = entries(spark, d), fixtures.view(spark, d, NS_NOW), notes(spark, d)
+    maintain.bootstrap(store, old, "d:", "j", 0)
+    last = told.agg(F.max("usn")).first()[0]
+    maintain.Maintainer(store, lambda: now, holds=lambda: ("j", 50, 50, last + 1))(told, 0)
+    return store.read().select("source", "object", "parent", "name", "attributes", F.lit(store.manifest().cursor).cast("long").alias("cursor"))
+
+
+def of_source(source: str, told: str) -> str:
+    """SQL of a source's rows after the records `told` of it."""
+    dirty = f"(SELECT parent FROM j WHERE {told} UNION SELECT e.parent FROM e JOIN j ON e.object = j.object WHERE {told})"
+    return f"""SELECT '{source}' AS source, object, parent, name, attributes FROM e WHERE parent NOT IN {dirty} UNION ALL SELECT '{source}', object, parent, name, attributes FROM l WHERE parent IN {dirty}"""
+
+
+@query("stream_two_sources", f"WITH e AS ({NS_ENTRIES}), l AS ({NS_NOW}), {J} {of_source('d:', 'usn % 2 = 1')} UNION ALL {of_source('e:', 'j.object % 4 = 1')}")
+def stream_two_sources(spark, d):
+    """One stream keeps the stores of two sources current; the records of one never move the other."""
+    from pathloom.streaming import maintain
+
+    old, now, told = entries(spark, d), fixtures.view(spark, d, NS_NOW), notes(spark, d)
+    other = F.lit("e:").alias("source")
+    kept = []
+    for source in ("d:", "e:"):
+        store, base = new_store(spark, "two")
+        maintain.bootstrap(store, old.withColumn("source", F.lit(source)), source, "j", 0)
+        listed = now.withColumn("source", F.lit(source))
+        kept.append(maintain.Maintainer(store, lambda listed=listed: listed))
+    both = told.where("usn % 2 = 1").unionByName(told.where("object % 4 = 1").withColumn("source", other))
+    both.write.parquet(f"{base}/journal")
+    maintain.follow(spark, f"{base}/journal", maintain.each(kept), f"{base}/log", files=1000).awaitTermination()
+    a, b = (m.store.read().select("source", "object", "parent", "name", "attributes") for m in kept)
+    return a.unionByName(b)
