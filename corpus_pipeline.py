@@ -7,6 +7,18 @@ All but the last return the columns of documents:
  secrets   replaces each secret by a mark;
  mix       keeps each document as often as the mix of sources takes it;
  coding    encodes and decodes each text: tokens, hash of the ids, hash of the decoded text.
+
+Defined results, stage by stage:
+ language  a null or empty text, or one without a letter, goes; so do all rows if no row has a
+           language to learn from; a null doc_id is never learned from, but stays if its text has a language;
+ dedup     a text without words has fingerprint zero and forms groups like any other; of a group without any
+           doc_id one row stays; of rows that repeat the kept doc_id and its fingerprint one stays;
+ secrets   null texts, and rows without findings, stay as they are, n_chars too;
+ mix       a row without words is taken as often as its source is taken whole; null is a source of its own;
+ coding    a null text is encoded as the empty one: no tokens, the hash of nothing.
+In all stages texts are read whole however long, repeated rows count as rows (but in dedup), ties go as
+the operators' docstrings say, an empty table gives an empty table, and further columns pass
+through under their names, whatever these are, up to the last stage.
 """
 
 from __future__ import annotations
