@@ -260,6 +260,9 @@ def test_frames_rpc_and_dispatch():
     answer = lambda q, o: {"files": [{"name": q, "path": f"d:/{q}"}]}
     assert service.rpc({"id": 1, "method": "plugin/query", "params": {"query": "x"}}, answer)["result"]["items"][0]["title"] == "x"
     assert "error" in service.rpc({"id": 1, "method": "plugin/nothing"}, answer) and service.rpc({"method": "plugin/dispose"}, answer) is None
+    ask = lambda action, payload: service.rpc({"id": 2, "method": "plugin/execute", "params": {"action_id": action, "payload": payload}}, answer, lambda: service.unavailable("off"))
+    assert ask("show_status", {})["result"]["text"] == "unavailable: off" and ask("show_status", None) == ask("show_status", {})
+    assert "error" in ask("show_status", {"path": "x"}) and "error" in ask("install_service", {})
     assert [service.backoff_ms(n) for n in (0, 1, 3, 9)] == [250, 500, 2000, 2000]
 
 
