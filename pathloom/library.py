@@ -46,10 +46,10 @@ class Library:
         self._follow(source)
 
     def _follow(self, source: str) -> None:
-        """Brings the search state to the newest version: whole the first time, later below changed directories."""
+        """Brings the search state to the newest version: whole the first time and after a crash, else below changed directories."""
         store, state = self.maintainers[source].store, self.states[source]
         version, known = store.manifest().version, state.version()
-        if known == 0:
+        if known == 0 or not state.whole():
             state.save(store.read(), version)
         elif known != version:
             state.refresh(store.read(), version)

@@ -27,13 +27,17 @@ class _State:
         m = self.stores[self.TABLES[-1]].manifest()
         return m.cursor if m else 0
 
+    def whole(self) -> bool:
+        """Whether all tables are of one version; a save that crashed in between leaves them apart, and the next save mends that."""
+        return len({(m.cursor if (m := s.manifest()) else 0) for s in self.stores.values()}) == 1
+
     def _save(self, tables: dict[str, DataFrame], version: int) -> None:
         for t in self.TABLES:
             store = self.stores[t]
             store.publish(tables[t], store.ticket(), "", "", version)
 
     def read(self, table: str) -> DataFrame:
-        if len({(m.cursor if (m := s.manifest()) else 0) for s in self.stores.values()}) > 1 or not self.version():
+        if not self.whole() or not self.version():
             raise NotReady("the stored tables are not of one version")
         return self.stores[table].read()
 
@@ -47,7 +51,10 @@ class SearchState(_State):
         self._save({"entries": entries, "dirs": dirs, "located": namespace.with_parent(entries, dirs, "left")}, version)
 
     def refresh(self, entries: DataFrame, version: int) -> None:
-        """Stores a later version: only directories that changed, and what lies below them, climb again."""
+        """Stores a later version: only directories that changed, and what lies below them, climb again; all do if the state is not whole."""
+        if not self.whole():
+            self.save(entries, version)
+            return
         dirs = namespace.refreshed_directories(self.read("dirs"), self.read("entries"), entries)
         dirs = namespace.written(dirs, "dirs")
         self._save({"entries": entries, "dirs": dirs, "located": namespace.with_parent(entries, dirs, "left")}, version)
