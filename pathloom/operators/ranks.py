@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.session import written
+
 ROWS = 1 << 16
 CUTS = 64
 
@@ -32,6 +34,21 @@ def neighbours(rows: DataFrame, group: str, order: str, columns: list[str], size
     )
 
 
+def numbered(rows: DataFrame, order: list[Column], to: str = "number") -> DataFrame:
+    """rows with their place, from 0, in an order over all rows: a distributed sort, then the offsets of its parts.
+
+    rows are a table in files: rows that tie are told apart by their place in it, so they too are dealt to all parts.
+    """
+    keys = [*order, F.col("_place")]
+    sorted_ = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = written(sorted_.withColumn("_place", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftrightunsigned("_place", 33))
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    offsets = parts.select("_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(offsets, "_part").select(*rows.columns, place.alias(to))
+
+
 def nearest_ranks(rows: DataFrame, group: str, value: str, shares: dict[str, float], cuts: int = CUTS) -> DataFrame:
     """(group, a column for each share): the value at place ceil((n - 1) * share) of the sorted values; no interpolation.
 
