@@ -172,7 +172,7 @@ def trees(leaves: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame
 def paths(leaves: DataFrame, nodes: DataFrame, rounds: int, top: DataFrame | None = None, fanout: int = FANOUT) -> DataFrame:
     """(tree, place, path) of leaves: the siblings before and after on each level, array<struct<before, after>>.
 
-    top (tree, path) is what follows above each tree.
+    top (tree, n, path) is what follows above each tree.
     """
     span = _span(fanout)
     step = "array<struct<before: string, after: string>>"
@@ -183,8 +183,8 @@ def paths(leaves: DataFrame, nodes: DataFrame, rounds: int, top: DataFrame | Non
             level_of = {(r["level"], r["place"]): r["hash"] for r in rows}
             out = []
             for r in rows:
-                if r["level"] == low:
-                    size, place, path = -(-r["n"] // fanout**low), r["place"], []
+                size, place, path = -(-r["n"] // fanout**low), r["place"], []
+                if r["level"] == low and size > 1:  # a root ends its tree's path in the round before
                     for level in range(low, low + span):
                         if size == 1:
                             break
@@ -198,7 +198,7 @@ def paths(leaves: DataFrame, nodes: DataFrame, rounds: int, top: DataFrame | Non
 
         return run
 
-    above = top
+    above = None
     for r in range(rounds, 0, -1):
         low = span * (r - 1)
         every = nodes.where((F.col("level") >= low) & (F.col("level") < span * r))
@@ -208,9 +208,11 @@ def paths(leaves: DataFrame, nodes: DataFrame, rounds: int, top: DataFrame | Non
         found = every.where("n > 1").groupBy(*keys).applyInArrow(climb(low), f"tree string, place long, path {step}")
         if r == 1:
             found = found.unionByName(leaves.where("n = 1").select("tree", "place", F.array().cast(step).alias("path")))
+        if top is not None:  # a tree that has its root in this round goes on above it
+            ends = top.where((F.col("n") > (fanout**low if low else 0)) & (F.col("n") <= fanout ** (span * r))).select("tree", F.lit(0).cast("long").alias("span"), "path")
+            above = ends if above is None else above.unionByName(ends)
         if above is not None:
-            at = ["tree"] if r == rounds else ["tree", "span"]
-            found = found.withColumn("span", F.floor(F.col("place") / fanout**span)).join(above.withColumnRenamed("path", "rest"), at, "left")
+            found = found.withColumn("span", F.floor(F.col("place") / fanout**span)).join(above.withColumnRenamed("path", "rest"), ["tree", "span"], "left")
             found = found.select("tree", "place", F.concat("path", F.coalesce("rest", F.array().cast(step))).alias("path"))
         found = written(found, "paths")
         above = found.withColumnRenamed("place", "span")
@@ -230,9 +232,10 @@ def manifest(docs: DataFrame, row: Column, fields: list[Column], group: str = "l
     nodes, roots, rounds = trees(leaves, fanout)
     roots = numbered(written(roots, "roots"), [F.col("tree")], "place")
     groups = roots.count()
-    upper = written(roots.select(F.lit("").alias("tree"), F.lit(groups).cast("long").alias("n"), "place", F.col("root").alias("hash"), F.col("tree").alias("of")), "roots")
+    upper = roots.join(sizes, "tree").select(F.lit("").alias("tree"), F.lit(groups).cast("long").alias("n"), "place", F.col("root").alias("hash"), F.col("tree").alias("of"), F.col("n").alias("size"))
+    upper = written(upper, "roots")
     top_nodes, top_roots, top_rounds = trees(upper, fanout)
-    over = paths(upper, top_nodes, top_rounds, fanout=fanout).join(upper.select("place", "of"), "place").select(F.col("of").alias("tree"), "path")
+    over = paths(upper, top_nodes, top_rounds, fanout=fanout).join(upper.select("place", "of", "size"), "place").select(F.col("of").alias("tree"), F.col("size").alias("n"), "path")
     found = paths(leaves, nodes, rounds, written(over, "over"), fanout)
     root = top_roots.select(F.col("root").alias("whole"))  # one row, none for an empty table
     told = leaves.join(found, ["tree", "place"]).join(upper.select(F.col("of").alias("tree"), F.col("hash").alias("subroot")), "tree").join(F.broadcast(root), F.lit(True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that hold a QUERIES and an ORACLES dictionary.
-MODULES = ["mixing", "bpe", "secrets", "simhash", "quality", "language", "sharding", "metricjoin", "tokens", "topk", "importance", "manifest"]
+MODULES = ["mixing", "bpe", "secrets", "simhash", "quality", "language", "sharding", "metricjoin", "tokens", "topk", "importance", "manifest", "article"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
