@@ -343,9 +343,11 @@ def extract(pages: list[str | None], trees: Trees) -> list[str]:
 
 
 def learn(pages: DataFrame) -> Trees:
-    """Trees for a table with a column html, from a bounded sample of its pages."""
-    fine = pages.select("html").where(F.octet_length("html") <= SAMPLE_BYTES)
-    return trained([r.html for r in fine.orderBy(F.xxhash64("html"), "html").limit(SAMPLE).collect()])
+    """Trees for a table with a column html, from a bounded sample of its pages: of each remainder of their hashes the least hash."""
+    fine = pages.select("html", F.xxhash64("html").alias("hash")).where(F.octet_length("html") <= SAMPLE_BYTES)
+    least = [r.hash for r in fine.groupBy(F.pmod("hash", F.lit(SAMPLE)).alias("of")).agg(F.min("hash").alias("hash")).collect()]  # SAMPLE numbers
+    found = fine.where(F.col("hash").isin(least)).groupBy("hash").agg(F.min("html").alias("html"))
+    return trained([r.html for r in found.orderBy("hash").collect()])
 
 
 def articles(pages: DataFrame, row: Column, trees: Trees | None = None) -> DataFrame:
