@@ -7,8 +7,8 @@ mean of their log frequencies. A text's score is the sum over its words; the pos
 the best language, with equal priors, is the reported score.
 
 The model is learned from about TRAIN documents of each language, a seeded share of all
-that may be learned from; beyond LANGS languages, they share LANGS times as much. That bound on
-the sample is the only one: every word and every n-gram of the sampled documents is in the
+that may be learned from, and at most about TRAIN_BYTES of its text; beyond LANGS languages, they
+share LANGS times as much. These bounds on the sample are the only ones: every word and every n-gram of the sampled documents is in the
 model, however rare or long. Words are counted once, n-grams from distinct words, both
 distributed; keys are held by their 64-bit hashes and counts sparsely (only for languages that
 have the key), about 14 bytes each, on the driver and in each worker.
@@ -40,6 +40,8 @@ from pathloom.llm.rows import small
 from pathloom.session import ship, spread, written
 
 TRAIN, ORDER, FOLDS, HELD, LANGS = 10_000, 5, 5, 0, 4
+#: So many bytes of a language are learned from, about, however long its documents are.
+TRAIN_BYTES = TRAIN << 14
 #: What is added to every count: of words, and of n-grams.
 ADDED = (0.1, 0.5)
 #: So many words are scored together; their number bounds what a worker holds beside the model.
@@ -181,10 +183,10 @@ def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], list[tuple]]:
     may = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD)
     ).select("doc_id", "lang", "text")
-    there = may.groupBy("lang").agg(F.count("*").alias("there"))
+    there = may.groupBy("lang").agg(F.count("*").alias("there"), F.sum(F.octet_length("text")).alias("bytes"))
     langs = there.count()
     share = LANGS / max(LANGS, langs)
-    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53)) < F.lit(TRAIN * share) / F.col("there")
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53)) < F.least(F.lit(TRAIN * share) / F.col("there"), F.lit(TRAIN_BYTES * share) / F.greatest(F.col("bytes"), F.lit(1)))
     there = F.broadcast(there) if langs <= MOST_BROADCAST else there
     sample = spread(may).join(there, "lang").where(drawn).select("lang", "text")
     counted = written(sample.mapInArrow(_words, "lang string, word string, times long").groupBy("lang", "word").agg(F.sum("times").alias("times")), "words")

@@ -15,8 +15,8 @@ are ordered. A source that holds a third of all rows is spread over all its buck
 
 Defined results: null or blank text has size 0 and takes 0; very long texts count like others,
 and may miss a target by half their size; null is a source of its own, the last one; a null
-doc_id takes part like any other; equal keys are in the order of size and doc_id; repeated rows
-count as rows; an empty table gives no rows; a source of size 0 has target 0; further columns
+doc_id takes part like any other; equal keys are in the order of size, doc_id and a
+hash of the columns that are kept, so reruns agree whatever the layout; repeated rows count as rows; an empty table gives no rows; a source of size 0 has target 0; further columns
 are ignored (or kept, by mixed(), whatever their names).
 """
 
@@ -83,7 +83,8 @@ def _mix(
     # rows without a doc_id are told apart by their other columns, so that they don't meet in one bucket
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row:"), F.xxhash64("source", size, *keep).cast("string")))
     key = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
-    base = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.struct(*keep).alias("row"))
+    # rows that share doc_id and size are put in order by what else is kept of them
+    base = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.xxhash64(*keep).alias("tie"), F.struct(*keep).alias("row"))
     total, rows = base.agg(F.sum("size"), F.count("*")).first()
     digits = min(MOST_DIGITS, max(1, math.ceil(math.log(max(1, rows / ROWS), 16))))
     base = base.withColumn("bucket", F.substring("key", 1, digits))
@@ -107,7 +108,7 @@ def _mix(
         .join(planned, F.col("source").eqNullSafe(F.col("of")))
         .select(F.col("source").alias("of"), F.col("bucket").alias("b"), "before", "source_size", "target", "whole", "rest")
     )
-    running = Window.partitionBy("source", "bucket").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("source", "bucket").orderBy("key", "size", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(running) - F.col("size") / 2
     return (
         base.join(bounds, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
