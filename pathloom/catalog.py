@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from pathloom.functions.names import path_key
 from pathloom.functions.query import entry_predicate, parse
 from pathloom.operators import index, inventory, journal, namespace, ranks
 from pathloom.plans import search
-from pathloom.session import written
+from pathloom.plans.stored import SearchState
+from pathloom.session import shared_dir, written
 from pathloom.sources import fixtures, listing
 from pathloom.sources.fixtures import DOC_PATHS, FLAT_PATHS, INV_NEW, INV_OLD, JOURNAL, NS_BROKEN, NS_ENTRIES, NS_LINKS, NS_NOW
 
@@ -60,21 +63,27 @@ def notes(spark, d) -> DataFrame:
     return fixtures.view(spark, d, JOURNAL)
 
 
-_LOCATED: dict = {}
-
+_STATES: dict = {}
 
-def located(spark, d) -> DataFrame:
-    """The entries with their parents' paths, from a search state that is stored once in a session."""
-    from pathloom.plans.stored import SearchState
-    from pathloom.session import shared_dir
-    import uuid
 
-    key = spark.sparkContext.applicationId, d
-    if key not in _LOCATED:
-        state = SearchState(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+def stored(spark, d) -> SearchState:
+    """A search state of the entries, stored once in a session for tables that stay the same: it is known by their files, sizes and times."""
+    files = []
+    for t in ("region", "nation", "customer", "orders"):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{t}.parquet")
+        s = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+        files.append((at.toString(), s.getLen(), s.getModificationTime()))
+    key = spark.sparkContext.applicationId, tuple(files)
+    if key not in _STATES:
+        state = new_state(spark)
         state.save(entries(spark, d), 1)
-        _LOCATED[key] = state
-    return _LOCATED[key].read("located")
+        _STATES[key] = state
+    return _STATES[key]
+
+
+def new_state(spark, **limits) -> SearchState:
+    """A search state in a folder of its own."""
+    return SearchState(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}", **limits)
 
 
 # paths
@@ -106,7 +115,7 @@ def directory_depths(spark, d):
 def found(name: str, raw: str, where: str, kind: str = "all"):
     @query(name, NS + PAGE + where)
     def run(spark, d):
-        return search.matches(located(spark, d), raw, kind)
+        return stored(spark, d).matches(raw, kind)
 
 
 def has(word: str) -> str:
@@ -131,13 +140,13 @@ found("root_single_slash", "d:/asia", has("d:/asia"))
 
 @query("slot_page_lower_bound", NS + f", m AS (SELECT * FROM p WHERE {has('asia')} ORDER BY slot LIMIT 26) SELECT slot, path, count(*) OVER () AS total, FALSE AS total_exact FROM (SELECT *, row_number() OVER (ORDER BY slot) AS i FROM m) QUALIFY i <= 25")
 def slot_page_lower_bound(spark, d):
-    found_page = search.page(located(spark, d), "asia", 25)
+    found_page = stored(spark, d).page("asia", 25)
     return found_page.rows.select("slot", "path", F.lit(found_page.total).cast("long").alias("total"), F.lit(found_page.exact).alias("total_exact"))
 
 
 @query("limit_zero", NS + f"SELECT CAST(least(count(*), 1) AS BIGINT) AS total, count(*) = 0 AS total_exact FROM p WHERE {has('asia')}")
 def limit_zero(spark, d):
-    p = search.page(located(spark, d), "asia", 0)
+    p = stored(spark, d).page("asia", 0)
     return spark.createDataFrame([(p.total, p.exact)], "total long, total_exact boolean")
 
 
@@ -145,7 +154,7 @@ def limit_zero(spark, d):
 r AS (SELECT 'e:' AS source, slot, 'e:' || substr(path, 3) AS path FROM p WHERE {has('00001')} ORDER BY slot LIMIT 40)
 SELECT * FROM (SELECT * FROM q UNION ALL SELECT * FROM r) ORDER BY lower(path), source, slot LIMIT 50""")
 def multi_source_merge(spark, d):
-    one = located(spark, d)
+    one = stored(spark, d).view().located()
     two = one.withColumn("source", F.lit("e:")).withColumn("parent_path", F.concat(F.lit("e:"), F.expr("substr(parent_path, 3)")))
     return search.merged([search.page(x, "00001", 40) for x in (one, two)], 50).rows.select("source", "slot", "path")
 
@@ -546,6 +555,7 @@ def replay_masked(spark, d):
 UNION ALL SELECT 'repeated_name', count(*) FROM (SELECT 1 FROM e GROUP BY parent, name HAVING count(*) > 1)
 UNION ALL SELECT 'directory_names', count(*) FROM (SELECT 1 FROM e WHERE attributes & 1040 = 16 GROUP BY object HAVING count(*) > 1)
 UNION ALL SELECT 'unreachable', count(*) FROM e WHERE parent NOT IN (SELECT object FROM d)
+UNION ALL SELECT 'long_path', count(*) FROM p WHERE length(path) > 32760
 UNION ALL SELECT 'attributes', count(*) FROM (SELECT 1 FROM e GROUP BY object HAVING count(DISTINCT attributes) > 1)""")
 def namespace_violations(spark, d):
     return namespace.violations(broken(spark, d), strict=True)
@@ -554,9 +564,7 @@ def namespace_violations(spark, d):
 @query("stream_rename_state", PAIRS)
 def stream_rename_state(spark, d):
     """The pairs of a stream of notices, and what still waits in its state when the input has ended."""
-    from pathloom.session import shared_dir
     from pathloom.streaming import pairing
-    import uuid
 
     base = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
     text = NOTICES.split(" AS (", 1)[1].rsplit(")", 1)[0]
@@ -572,10 +580,8 @@ def stream_rename_state(spark, d):
 @query("stream_apply", ORACLES_APPLY)
 def stream_apply(spark, d):
     """A namespace kept current from a stream of journal records; tests hold it against applied()."""
-    from pathloom.session import shared_dir
     from pathloom.streaming import maintain
     from pathloom.streaming.store import Store
-    import uuid
 
     base = f"{shared_dir(spark)}/apply-{uuid.uuid4().hex}"
     old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
@@ -626,16 +632,48 @@ def journal_decode(spark, d):
 @query("stored_refresh", tree(RENAMED) + "SELECT source, object, path FROM p")
 def stored_refresh(spark, d):
     """A stored search state brought from one version to the next, then searched for everything."""
-    from pathloom.plans.stored import SearchState
-    from pathloom.session import shared_dir
-    import uuid
-
-    state = SearchState(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    state = new_state(spark)
     state.save(entries(spark, d), 1)
     state.refresh(fixtures.view(spark, d, RENAMED), 2)
     return state.matches("").select("source", "object", "path")
 
 
+#: The third version of a namespace: directories moved below others and one below a moved one, one gone with all it had, names added.
+TWICE = f"""SELECT source, object, CASE WHEN object IN (2001, 2006) THEN CAST(1003 AS BIGINT) WHEN object = 2012 THEN CAST(2001 AS BIGINT) WHEN object = 1000012 THEN CAST(2012 AS BIGINT) ELSE parent END AS parent,
+  CASE WHEN object IN (2003, 2008) THEN name || '_renamed' WHEN object % 1000 = 7 THEN name || '.v3' ELSE name END AS name, attributes, slot FROM ({NS_ENTRIES}) AS t
+  WHERE object <> 2010 AND parent <> 2010 AND parent NOT IN (SELECT 1000000 + c_custkey FROM {{customer}} WHERE c_nationkey = 10)
+UNION ALL SELECT source, object + 300000000, parent, 'third_' || name, attributes, slot + 300000000 FROM ({NS_ENTRIES}) AS u WHERE object % 500 = 3 AND object >= 10000000
+  AND parent NOT IN (SELECT 1000000 + c_custkey FROM {{customer}} WHERE c_nationkey = 10)"""
+
+
+def refreshed_twice(spark, d) -> SearchState:
+    """A state after two refreshes by way of a store, whose segments were merged: a shard's files change only if its rows do."""
+    store, _ = new_store(spark, "twice", most_versions=3)
+    state = new_state(spark)
+    for k, text in enumerate((NS_ENTRIES, RENAMED, TWICE)):
+        store.publish(fixtures.view(spark, d, text), store.ticket(), "d:", "j", k, key=["source", "parent"], shards=16)
+        state.follow(store)
+    return state
+
+
+@query("state_after_two_refreshes", tree(TWICE) + "SELECT source, object, slot, path, is_directory FROM p")
+def state_after_two_refreshes(spark, d):
+    return refreshed_twice(spark, d).matches("").select("source", "object", "slot", "path", "is_directory")
+
+
+@query("state_indexed_search", tree(TWICE) + f"SELECT source, object, path FROM p WHERE {has('third_')} AND {has('nation_1')} AND {has('/order_')}")
+def state_indexed_search(spark, d):
+    """Zones and blocks by postings, rows by stored signatures, of a state whose rows lie in several segments."""
+    return refreshed_twice(spark, d).matches("third_ nation_1 /order_", indexed=True).select("source", "object", "path")
+
+
+@query("state_page_stops_early", tree(TWICE) + f", m AS (SELECT * FROM p WHERE {has('europe')} ORDER BY slot, path LIMIT 41) SELECT slot, path, 41 AS total, FALSE AS total_exact FROM m ORDER BY slot, path LIMIT 40")
+def state_page_stops_early(spark, d):
+    """A page of a common word, from the first zones in the order of slots."""
+    page = refreshed_twice(spark, d).page("europe", 40)
+    return page.rows.select("slot", "path", F.lit(page.total).cast("int").alias("total"), F.lit(page.exact).alias("total_exact"))
+
+
 # binary sources, raw names, scopes
 
 TWO_MAJORS = "count(*) FILTER (reason & 256 <> 0) AS creations, count(*) FILTER (reason & 512 <> 0) AS deletions, bit_or(reason) AS reasons"
@@ -736,8 +774,6 @@ def scope_records(spark, d):
 @query("export_lines", DOCS + "SELECT CASE id % 3 WHEN 0 THEN replace(path, '/', '\\\\') ELSE path END AS line FROM f WHERE contains(path, 'src2')")
 def export_lines(spark, d):
     """All matches written as escaped lines of text, and read again."""
-    from pathloom.session import shared_dir
-    import uuid
 
     rows = fixtures.view(spark, d, DOC_PATHS)
     rows = rows.withColumn("path", F.when(F.col("id") % 3 == 0, F.translate("path", "/", "\\")).otherwise(F.col("path")))
@@ -760,9 +796,7 @@ def background_count(spark, d):
 
 def new_store(spark, name: str, **limits):
     """A store in a folder of its own, and the folder."""
-    from pathloom.session import shared_dir
     from pathloom.streaming.store import Store
-    import uuid
 
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     return Store(spark, f"{base}/store", **limits), base

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIRECTORY, REPARSE, ROOT, DEPTH = 0x10, 0x400, 5, 1024
+DIRECTORY, REPARSE, ROOT, DEPTH, PATH_UNITS = 0x10, 0x400, 5, 1024, 32760
 CREATED, DELETED, RENAMED_FROM, RENAMED_TO, LINKED = 0x100, 0x200, 0x1000, 0x2000, 0x10000
 
 #: Extensions of each category.

@@ -41,25 +41,16 @@ class Library:
         if store.manifest() is None:
             journal_id, _, _, following = holds()
             maintain.bootstrap(store, listing().where(F.col("source") == source), source, journal_id, following, self.root)
-        self.maintainers[source] = maintain.Maintainer(store, listing, self.root, holds=holds)
-        self.states[source] = SearchState(self.spark, f"{at}/search")
-        self._follow(source)
-
-    def _follow(self, source: str) -> None:
-        """Brings the search state to the newest version: whole the first time and after a crash, else below changed directories."""
-        store, state = self.maintainers[source].store, self.states[source]
-        version, known = store.manifest().version, state.version()
-        if known == 0 or not state.whole():
-            state.save(store.read(), version)
-        elif known != version:
-            state.refresh(store.read(), version)
+        state = self.states[source] = SearchState(self.spark, f"{at}/search")
+        self.maintainers[source] = maintain.Maintainer(store, listing, self.root, holds=holds, known=state.directories_of)
+        self.states[source].follow(store)
 
     def refresh(self, records: DataFrame) -> bool:
         """Applies journal records, each source its own; False if one failed, which keeps what it had."""
         for source, maintainer in self.maintainers.items():
             try:
                 maintainer(records, 0)
-                self._follow(source)
+                self.states[source].follow(maintainer.store)
                 self.errors.pop(source, None)
             except Exception as e:  # told with every answer until a refresh succeeds
                 self.errors[source] = f"{source} {type(e).__name__}: {e}".split("\n")[0]

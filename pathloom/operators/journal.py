@@ -153,35 +153,40 @@ def in_scope(records: DataFrame, entries: DataFrame, excluded: int) -> DataFrame
     tops = tops.unionByName(records.where(F.col("object") == excluded).select("source", "object")).distinct()
     inside = namespace.descendants(entries, tops).select("source", F.col("object").alias("dir"), F.lit(-1).cast("long").alias("since"))
     inside = written(inside.groupBy("source", "dir").agg(F.min("since").alias("since")), "inside")
-    moves = records.where(ordinary_directory(F.col("attributes"))).select("source", "object", "parent", "usn")
-    while True:
+    moves = written(records.where(ordinary_directory(F.col("attributes"))).select("source", "object", "parent", "usn"), "moves")
+    frontier = inside
+    while True:  # a round for each directory of a chain that joins within these records; only what joined last moves on
         joined = (
-            moves.join(inside.withColumnRenamed("dir", "parent"), ["source", "parent"]).where(F.col("usn") > F.col("since"))
+            moves.join(frontier.withColumnRenamed("dir", "parent"), ["source", "parent"]).where(F.col("usn") > F.col("since"))
             .groupBy("source", F.col("object").alias("dir")).agg(F.min("usn").alias("since"))
         )
-        grown = written(inside.unionByName(joined).groupBy("source", "dir").agg(F.min("since").alias("since")), "inside")
-        if not grown.exceptAll(inside).head(1):
+        sooner = joined.join(inside.withColumnRenamed("since", "known"), ["source", "dir"], "left").where("known is null or since < known")
+        frontier = written(sooner.select("source", "dir", "since"), "joined")
+        if not frontier.head(1):
             break
-        inside = grown
+        inside = written(inside.unionByName(frontier).groupBy("source", "dir").agg(F.min("since").alias("since")), "inside")
     hit = records.join(inside.withColumnRenamed("dir", "parent"), ["source", "parent"], "left").where(
         (F.col("object") != excluded) & (F.col("since").isNull() | (F.col("usn") <= F.col("since")))
     )
     return hit.select(*records.columns)
 
 
-def applied(entries: DataFrame, records: DataFrame, listing: DataFrame, root: int = ROOT, excluded: int = 0) -> DataFrame:
+def applied(entries: DataFrame, records: DataFrame, listing: DataFrame, root: int = ROOT, excluded: int = 0, known: DataFrame | None = None) -> DataFrame:
     """The namespace after the records, from the listing; ReconcileError if they don't suffice."""
-    return changed(entries, records, listing, root, excluded)[0]
+    return changed(entries, records, listing, root, excluded, known)[0]
 
 
-def changed(entries: DataFrame, records: DataFrame, listing: DataFrame, root: int = ROOT, excluded: int = 0) -> tuple[DataFrame, DataFrame | None]:
+def changed(
+    entries: DataFrame, records: DataFrame, listing: DataFrame, root: int = ROOT, excluded: int = 0, known: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
     """(rows, touched): the namespace after the records, and the parents (source, parent) whose children may differ.
 
     touched is None, and rows is entries, if nothing changed. Directories named by records move
     first, so their new place can be listed; dirty parents get their children from the listing;
     directories new to the namespace are listed to any depth; what was below directories that
-    went is pruned, other names stay. Only touched parents and the chains above them are
-    checked. ReconcileError if the records don't suffice.
+    went is pruned, other names stay. Only touched parents are checked, and the places of
+    directories: those that moved and what lies below them if known (directories() of entries)
+    is given, else all. ReconcileError if the records don't suffice.
     """
     directory = ordinary_directory(F.col("attributes"))
     records = namespace.ordinary(records, root)
@@ -189,9 +194,9 @@ def changed(entries: DataFrame, records: DataFrame, listing: DataFrame, root: in
     dirty = written(dirty_parents(entries, records, root), "dirty")
     moves = latest_directories(records).select("source", "object", "parent", "name", "attributes", F.lit(None).cast("long").alias("slot"))
     placed = entries.join(moves.select("source", "object"), ["source", "object"], "left_anti").unionByName(moves.select(*entries.columns))
-    known = placed.where(directory).select("source", F.col("object").alias("parent"))
+    held = placed.where(directory).select("source", F.col("object").alias("parent"))
     gone = records.where(any_bit(F.col("reason"), DELETED)).select("source", F.col("object").alias("parent")).distinct()
-    unknown = written(dirty.where(F.col("parent") != root).join(known, ["source", "parent"], "left_anti"), "unknown")
+    unknown = written(dirty.where(F.col("parent") != root).join(held, ["source", "parent"], "left_anti"), "unknown")
     if unknown.join(gone, ["source", "parent"], "left_anti").head(1):
         raise ReconcileError("a parent is not in the namespace")
     listable = dirty.join(unknown, ["source", "parent"], "left_anti")
@@ -210,7 +215,7 @@ def changed(entries: DataFrame, records: DataFrame, listing: DataFrame, root: in
         current = written(current.join(inside, ["source", "parent"], "left_anti").join(lost, ["source", "object"], "left_anti"), "applied")
         touched = touched.unionByName(inside).distinct()
     touched = written(touched, "touched-parents")
-    broken = [r["check"] for r in namespace.violations_at(current, touched, root).where("n > 0").collect()]
+    broken = [r["check"] for r in namespace.violations_at(current, touched, root, entries, known).where("n > 0").collect()]
     if broken:
         raise ReconcileError(f"not a namespace: {', '.join(broken)}")
     return current, touched

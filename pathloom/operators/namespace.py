@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.names import DEPTH, ROOT, is_directory, ordinary_directory, ordinary_object, valid_name
+from pathloom.functions.names import DEPTH, PATH_UNITS, ROOT, is_directory, ordinary_directory, ordinary_object, valid_name
 from pathloom.session import dropped, written
 
 KEY = ["source", "object"]
@@ -109,46 +109,51 @@ def descendants(entries: DataFrame, tops: DataFrame, most: int = DEPTH) -> DataF
     return known.select("source", "object", F.col("object").alias("top"), F.lit(0).alias("distance")).unionByName(found.select("source", "object", "at.*"))
 
 
-def chains(entries: DataFrame, starts: DataFrame, root: int = ROOT, most: int = DEPTH) -> DataFrame:
-    """The entries of all ordinary directories at or above starts (source, object), level by level.
+def violations_at(entries: DataFrame, touched: DataFrame, root: int = ROOT, old: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """violations() where only the children of touched parents (source, parent) have changed since `old`, which had none.
 
-    For few starts: each level scans the directories once, with what was reached so far beside it.
+    known: directories() of old. With it only directories that moved, and what lies below them, get their
+    places anew; without it all do. Either way what a move pushes beyond a limit is found, however far below.
     """
-    own = entries.where(ordinary_directory(F.col("attributes")))
-    reached = written(starts.select(*KEY).where(F.col("object") != root).distinct(), "chain")
-    parts, frontier = [reached], reached
-    for _ in range(most):
-        seen = parts[0]
-        for part in parts[1:]:
-            seen = seen.unionByName(part)
-        above = own.join(frontier, KEY, "left_semi").select("source", F.col("parent").alias("object")).where(F.col("object") != root).distinct()
-        frontier = written(above.join(seen, KEY, "left_anti"), "chain")
-        if not frontier.head(1):
-            break
-        parts.append(frontier)
-    reached = parts[0]
-    for part in parts[1:]:
-        reached = reached.unionByName(part)
-    return own.join(reached, KEY, "left_semi")
-
-
-def violations_at(entries: DataFrame, touched: DataFrame, root: int = ROOT) -> DataFrame:
-    """violations() where only the children of touched parents (source, parent) have changed."""
-    some = written(entries.join(touched.select("source", "parent").distinct(), ["source", "parent"], "left_semi"), "touched")
+    keys = ["source", "parent"]
+    touched = touched.select(*keys).distinct()
+    some = written(entries.join(touched, keys, "left_semi"), "touched")
     objects = some.where(ordinary_directory(F.col("attributes"))).select(*KEY).distinct()
-    parents = some.select("source", F.col("parent").alias("object")).distinct()
-    above = written(chains(entries, parents.unionByName(objects).distinct(), root), "above")
-    lost = parents.where(F.col("object") != root).join(directories(above, root).select(*KEY), KEY, "left_anti")
+    if known is None or old is None:
+        dirs = written(directories(entries, root), "dirs")
+        outside, placed = entries.join(_parents(dirs), keys, "left_anti"), with_parent(entries, dirs)
+    else:
+        form = ["source", "object", "parent", "name"]
+        was = old.join(touched, keys, "left_semi").where(ordinary_directory(F.col("attributes"))).select(*form, F.lit(-1).alias("n"))
+        now = some.where(ordinary_directory(F.col("attributes"))).select(*form, F.lit(1).alias("n"))
+        turned = written(was.unionByName(now).groupBy(*form).agg(F.sum("n").alias("n")).where("n <> 0"), "turned")
+        fresh, void = moved_directories(known, turned.where("n < 0"), turned.where("n > 0"))
+        fresh, void = written(fresh, "fresh"), written(void, "void")
+        lost = void.join(fresh, KEY, "left_anti")
+        dirs = known.join(void, KEY, "left_anti").unionByName(fresh)
+        outside = some.join(_parents(dirs), keys, "left_anti").unionByName(entries.join(_parents(lost), keys, "left_semi")).distinct()
+        placed = with_parent(some.unionByName(entries.join(_parents(fresh), keys, "left_semi")).distinct(), dirs)
     return _counted(
         {
             "bad_row": bad_rows(some, root),
             "repeated_name": repeated_names(some),
             "directory_names": directories_with_names(entries.join(objects, KEY, "left_semi")),
-            "unreachable": some.join(lost.select("source", F.col("object").alias("parent")), ["source", "parent"], "left_semi"),
+            "unreachable": outside,
+            "long_path": long_paths(placed),
         }
     )
 
 
+def _parents(dirs: DataFrame) -> DataFrame:
+    return dirs.select("source", F.col("object").alias("parent"))
+
+
+def long_paths(placed: DataFrame, most: int = PATH_UNITS) -> DataFrame:
+    """The entries, with their parents' paths, whose path has more than `most` UTF-16 units."""
+    path = full_path()  # no text has more units than bytes
+    return placed.where((F.octet_length(path) > most) & (F.octet_length(F.encode(path, "UTF-16LE")) > 2 * most))
+
+
 def _counted(checks: dict[str, DataFrame]) -> DataFrame:
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("check"), "n") for k, df in checks.items()]
     out = parts[0]
@@ -181,42 +186,54 @@ def unreachable(entries: DataFrame, root: int = ROOT, most: int = DEPTH) -> Data
     return entries.join(directories(entries, root, most).select("source", F.col("object").alias("parent")), ["source", "parent"], "left_anti")
 
 
-def refreshed_directories(known: DataFrame, old: DataFrame, new: DataFrame, root: int = ROOT, most: int = DEPTH) -> DataFrame:
-    """The directories() of `new` from those of `old` (known): only what changed, and what lies below it, climbs again.
+def moved_directories(known: DataFrame, removed: DataFrame, added: DataFrame, most: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(fresh, stale): new places (source, object, path, depth) at and below changed directories, and the (source, object) whose old place is void.
 
-    A directory changed if its (parent, name) did. What lies below is found by the ancestors of
-    stored paths, and each affected directory climbs until it meets one that is not affected.
+    known are directories() before; removed and added the rows (source, object, parent, name) of ordinary
+    directories that went and came. What lies below is found by the ancestors of stored paths and keeps its
+    path from the nearest changed directory on; only changed directories climb, by doubling, each from the
+    changed directory above its new place to the next.
     """
+    changed = written(removed.select(*KEY).unionByName(added.select(*KEY)).distinct(), "changed")
+    tops = known.join(changed, KEY, "left_semi").select("source", F.col("path").alias("at"), F.col("object").alias("top"), F.col("depth").alias("top_depth"))
+    lines = known.where("depth > 0").select(*KEY, "path", "depth", F.explode(above("path")).alias("at")).join(tops, ["source", "at"])
+    nearest = lines.groupBy(*KEY, "path", "depth").agg(F.max_by(F.struct("top", "at", "top_depth"), "top_depth").alias("t"))
+    rest = F.substring("path", F.length("t.at") + 1, F.length("path"))
+    under = written(nearest.select(*KEY, "t.top", rest.alias("rest"), (F.col("depth") - F.col("t.top_depth")).alias("more")), "under")
+
+    void = under.select(*KEY).unionByName(changed).distinct()
+    named = F.concat(F.lit("/"), "name")
+    at_parent = under.select("source", F.col("object").alias("parent"), F.col("top").alias("up"), "rest", "more")
+    new_parent = changed.join(under, KEY, "left_anti").select("source", F.col("object").alias("parent"), F.col("object").alias("up"), F.lit("").alias("rest"), F.lit(0).alias("more"))
+    climbing = added.join(at_parent.unionByName(new_parent), ["source", "parent"]).select(*KEY, "up", F.concat("rest", named).alias("path"), (F.col("more") + 1).alias("depth"))
+    base = known.join(void, KEY, "left_anti").select("source", F.col("object").alias("parent"), F.col("path").alias("head"), F.col("depth").alias("deep"))
+    whole = F.when(F.col("deep") == 0, F.concat("head", "name")).otherwise(F.concat("head", named))
+    placed = added.join(base, ["source", "parent"]).select(*KEY, F.lit(None).cast("long").alias("up"), whole.alias("path"), (F.col("deep") + 1).alias("depth"))
+    state = written(climbing.unionByName(placed), "climb")
+    for _ in range(math.ceil(math.log2(max(2, most))) + 1):
+        going = state.where("up is not null")
+        if not going.head(1):
+            break
+        upper = state.select("source", F.col("object").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("depth").alias("deep"))
+        climbed = going.join(upper, ["source", "up"]).select(*KEY, F.col("next").alias("up"), F.concat("head", "path").alias("path"), (F.col("depth") + F.col("deep")).alias("depth"))
+        following = written(state.where("up is null").unionByName(climbed.where(F.col("depth") <= most)), "climb")
+        dropped(state)
+        state = following
+    moved = state.where(F.col("up").isNull() & (F.col("depth") <= most)).select(*KEY, "path", "depth")
+    heads = moved.select("source", F.col("object").alias("top"), F.col("path").alias("head"), F.col("depth").alias("deep"))
+    carried = under.join(changed, KEY, "left_anti").join(heads, ["source", "top"]).select(*KEY, F.concat("head", "rest").alias("path"), (F.col("deep") + F.col("more")).alias("depth"))
+    return moved.unionByName(carried.where(F.col("depth") <= most)), void
+
+
+def refreshed_directories(known: DataFrame, old: DataFrame, new: DataFrame, most: int = DEPTH) -> DataFrame:
+    """The directories() of `new` from those of `old` (known): only what changed, and what lies below it, gets a new place."""
     form = ["source", "object", "parent", "name"]
-    a, b = (x.where(ordinary_directory(F.col("attributes"))).select(*form) for x in (old, new))
-    changed = written(a.select(*form, F.lit(1).alias("n")).unionByName(b.select(*form, F.lit(-1).alias("n"))).groupBy(*form).agg(F.sum("n").alias("n")).where("n <> 0").select(*KEY).distinct(), "changed")
+    a, b = (x.where(ordinary_directory(F.col("attributes"))).select(*form, F.lit(n).alias("n")) for x, n in ((old, -1), (new, 1)))
+    changed = written(a.unionByName(b).groupBy(*form).agg(F.sum("n").alias("n")).where("n <> 0"), "changed")
     if not changed.head(1):
         return known
-    tops = known.join(changed, KEY, "left_semi").select("source", F.col("path").alias("at"))
-    ancestors = known.where("depth > 0").select("source", "object", F.explode(above("path")).alias("at"))
-    affected = ancestors.join(tops, ["source", "at"], "left_semi").select(*KEY).unionByName(changed).distinct()
-    affected = written(affected, "affected")
-    kept = written(known.join(affected, KEY, "left_anti"), "kept-directories")
-    moving = b.join(affected, KEY, "left_semi")
-    state = written(moving.select("source", "object", F.col("parent").alias("up"), F.col("name").alias("path"), F.lit(1).alias("depth")), "climb")
-    whole = F.when(F.col("more") == 0, F.concat("head", "path")).otherwise(F.concat("head", F.lit("/"), "path"))
-    placed = kept  # directories whose paths are known, those found on the way included
-    for _ in range(math.ceil(math.log2(max(2, most))) + 1):
-        base = placed.select("source", F.col("object").alias("up"), F.col("path").alias("head"), F.col("depth").alias("more"))
-        done = state.join(base, ["source", "up"]).select("source", "object", whole.alias("path"), (F.col("depth") + F.col("more")).alias("depth"))
-        done = written(done.where(F.col("depth") <= most), "placed")
-        going = state.join(done, KEY, "left_anti")
-        placed = placed.unionByName(done.select(*kept.columns))
-        upper = state.select("source", F.col("object").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("depth").alias("more"))
-        state = written(
-            going.join(done.select("source", F.col("object").alias("up")), ["source", "up"], "left_anti").join(upper, ["source", "up"]).select("source", "object", F.col("next").alias("up"), F.concat("head", F.lit("/"), "path").alias("path"), (F.col("depth") + F.col("more")).alias("depth"))
-            .where(F.col("depth") <= most)
-            .unionByName(going.join(done.select("source", F.col("object").alias("up")), ["source", "up"], "left_semi").select("source", "object", "up", "path", "depth")),
-            "climb",
-        )
-        if not state.head(1):
-            break
-    return placed
+    fresh, stale = moved_directories(known, changed.where("n < 0"), changed.where("n > 0"), most)
+    return known.join(stale, KEY, "left_anti").unionByName(fresh)
 
 
 def above(path: str):
@@ -233,7 +250,7 @@ def refreshed_paths(old_paths: DataFrame, old: DataFrame, new: DataFrame, change
     """
     below = descendants(old, changed).unionByName(descendants(new, changed)).select("source", F.col("object").alias("parent")).distinct()
     kept = old_paths.join(below, ["source", "parent"], "left_anti")
-    dirs = directories(new, root) if dirs is None else refreshed_directories(dirs, old, new, root)
+    dirs = directories(new, root) if dirs is None else refreshed_directories(dirs, old, new)
     fresh = paths(new.join(below, ["source", "parent"], "left_semi"), dirs)
     return kept.unionByName(fresh.select(*old_paths.columns))
 
@@ -263,11 +280,13 @@ def bad_rows(entries: DataFrame, root: int = ROOT, strict: bool = False) -> Data
 
 def violations(entries: DataFrame, root: int = ROOT, strict: bool = False) -> DataFrame:
     """(check, n): how many rows or groups break each rule; a namespace may be published if none does."""
+    dirs = written(directories(entries, root), "dirs")
     checks = {
         "bad_row": bad_rows(entries, root, strict),
         "repeated_name": repeated_names(entries),
         "directory_names": directories_with_names(entries),
-        "unreachable": unreachable(entries, root),
+        "unreachable": entries.join(_parents(dirs), ["source", "parent"], "left_anti"),
+        "long_path": long_paths(with_parent(entries, dirs)),
     }
     if strict:
         checks["attributes"] = differing_attributes(entries)

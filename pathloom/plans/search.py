@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pathloom.functions.names import of_category, path_key, shard_of
 from pathloom.functions.query import Query, entry_predicate, extension_is, parse, path_predicate, raw_literal, raw_predicate, raw_runs, unit_order, whole_text
 from pathloom.operators.namespace import directories, full_path, is_directory, with_parent
-from pathloom.session import written
 
 PAGE = ["source", "slot", "object", "path", "name", "is_directory"]
+PAGE_SCHEMA = "source string, slot long, object long, path string, name string, is_directory boolean"
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,8 @@ class Page:
     total: int
     exact: bool
     skipped: int
+    #: (zones read, all zones) of a stored search state.
+    zones: tuple[int, int] = (0, 0)
 
 
 def matches(entries: DataFrame, raw: str, kind: str = "all", dirs: DataFrame | None = None) -> DataFrame:
@@ -59,17 +61,15 @@ def page(entries: DataFrame, raw: str, limit: int = 20, kind: str = "all", dirs:
     if not 0 <= limit <= 1024:
         raise ValueError("limit")
     found = matches(entries, raw, kind, dirs)
+    usable = found if valid is None else found.where(valid)
+    first = usable.orderBy("slot").limit(limit + 1).collect()  # at most 1025 rows; a page leaves no table
+    rows = entries.sparkSession.createDataFrame(first[:limit], PAGE_SCHEMA)
     if valid is None:
-        first = written(found.orderBy("slot").limit(limit + 1), "page")
-        n = first.count()
-        return Page(first.orderBy("slot").limit(limit), n, n <= limit, 0)
-    first = written(found.where(valid).orderBy("slot").limit(limit + 1), "page")
-    rows = first.orderBy("slot").limit(limit)
-    upto = rows.agg(F.max("slot")).first()[0]
-    if first.count() <= limit:  # all usable matches are here; the rest are skipped
+        return Page(rows, len(first), len(first) <= limit, 0)
+    if len(first) <= limit:  # all usable matches are here; the rest are skipped
         skipped = found.where(~valid).count()
-        return Page(rows, first.count() + skipped, True, skipped)
-    skipped = found.where(~valid & (F.lit(False) if upto is None else F.col("slot") <= upto)).count()
+        return Page(rows, len(first) + skipped, True, skipped)
+    skipped = found.where(~valid & (F.col("slot") <= first[limit - 1].slot)).count() if limit else 0
     return Page(rows, limit + skipped + 1, False, skipped)
 
 

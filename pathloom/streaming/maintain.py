@@ -2,7 +2,7 @@
 
 A store holds one source. Each micro-batch is checked as a whole, applied to the newest version
 with the listing as it is now, and published together with its cursor. Only the shards of
-parents that a batch touches are written, only these parents and the chains above them are
+parents that a batch touches are written, only these parents and directories that moved are
 checked, and a batch that changes nothing moves the cursor alone. A cursor that the journal no
 longer retains, a loss, an unknown parent or a window over its budget leads to one rebuild from
 the listing. A batch that a restart replays is below the cursor and does nothing.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.names import ROOT, retained
 from pathloom.operators import journal, namespace
 from pathloom.operators.inventory import differences
-from pathloom.streaming.store import NotReady, Store, shard
+from pathloom.streaming.store import Manifest, NotReady, Store, shard
 
 JOURNAL = "source string, usn long, ts timestamp, object long, parent long, reason long, attributes int, name string"
 
@@ -41,13 +41,14 @@ class Maintainer:
     """The function for foreachBatch, with counts of what it did.
 
     holds: what the journal holds now, (journal id, first, lowest, next); None: it is not asked.
+    known: the stored directories of a manifest's rows, or None if there are none for it.
     """
 
     def __init__(
         self, store: Store, listing: Callable[[], DataFrame], root: int = ROOT, budget: int = 64 << 20, attempts: int = 4,
-        holds: Callable[[], tuple[str, int, int, int]] | None = None,
+        holds: Callable[[], tuple[str, int, int, int]] | None = None, known: Callable[[Manifest], DataFrame | None] = lambda m: None,
     ):
-        self.store, self.listing, self.root, self.budget, self.attempts, self.holds = store, listing, root, budget, attempts, holds
+        self.store, self.listing, self.root, self.budget, self.attempts, self.holds, self.known = store, listing, root, budget, attempts, holds, known
         self.applied = self.rebuilt = self.unchanged = 0
 
     def _retained(self, m) -> tuple[bool, str, int]:
@@ -72,12 +73,12 @@ class Maintainer:
         if facts.last is None and not facts.bad:
             return
         cursor = (facts.last or m.cursor - 1) + 1
-        old, ticket = self.store.read(), self.store.ticket()
+        old, ticket = self.store.rows(m), self.store.ticket(m)  # of one manifest, with the cursor
         try:
             if facts.bad:
                 raise journal.ReconcileError("malformed records")
             wanted = journal.replay(records, m.cursor, cursor, self.budget)
-            rows, touched = journal.changed(old, wanted, self.listing().where(F.col("source") == m.source), self.root)
+            rows, touched = journal.changed(old, wanted, self.listing().where(F.col("source") == m.source), self.root, known=self.known(m))
         except (journal.ReconcileError, journal.ReplayBudgetError):
             self.rebuild(m.source, m.journal, cursor)
             return
@@ -96,17 +97,24 @@ class Maintainer:
         """Compares the newest version with the listing; rebuilds and returns True if they differ."""
         m, columns = self.store.manifest(), ["object", "parent", "name", "attributes"]
         now = self._listed(m.source)
-        if not differences(self.store.read().select(columns), now.select(columns)).head(1):
+        if not differences(self.store.rows(m).select(columns), now.select(columns)).head(1):
             return False
         self.rebuild(m.source, m.journal, m.cursor)
         return True
 
     def rebuild(self, source: str, journal_id: str, cursor: int) -> None:
-        """Publishes the listing; tries again while it is overtaken."""
+        """Publishes the listing; tries again while it is overtaken.
+
+        The listing is taken after the cursor. A writer that went on meanwhile leaves a later cursor of the
+        same journal, and this rebuild keeps that one: what lies between is in the listing, too.
+        """
         for attempt in range(self.attempts):
             try:
+                m = self.store.manifest()
+                if m is not None and m.journal == journal_id:
+                    cursor = max(cursor, m.cursor)
                 rows = self._listed(source)
-                self.store.publish(rows, self.store.ticket(), source, journal_id, cursor, check, KEY)
+                self.store.publish(rows, self.store.ticket(m), source, journal_id, cursor, check, KEY)
                 self.rebuilt += 1
                 return
             except NotReady as e:

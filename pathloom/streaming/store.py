@@ -82,16 +82,13 @@ def overwrite_shards(new: DataFrame, changed: DataFrame, path: str, key: str = "
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-class Store:
-    """Published versions below a folder."""
+class Files:
+    """Small files and folders below a path, through Spark's file systems."""
 
-    def __init__(self, spark: SparkSession, path: str, most_versions: int = 2, most_leases: int = 8):
+    def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.most_versions, self.most_leases = most_versions, most_leases
         self._jvm = spark.sparkContext._jvm
         self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._signals, self._stopped, self._error = 0, False, None
-        self._leases: dict[str, int] = {}
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -125,10 +122,39 @@ class Store:
         finally:
             found.close()
 
+    def _numbers(self, folder: str) -> list[int]:
+        """The numbers of the files N.json in a folder, ascending."""
+        return sorted(int(n[:-5]) for n in self._names(folder) if n.endswith(".json"))
+
+    def _sweep(self, prefix: str, live: set[str], age: float) -> list[str]:
+        """Removes folders that start with a prefix, are not live and were not touched for `age` seconds; a writer may still fill younger ones."""
+        at = self._at("")
+        if not self._fs.exists(at):
+            return []
+        before = self._jvm.java.lang.System.currentTimeMillis() - age * 1000
+        gone = [s for s in self._fs.listStatus(at) if s.getPath().getName().startswith(prefix) and s.getPath().getName() not in live and s.getModificationTime() <= before]
+        for s in gone:
+            self._fs.delete(s.getPath(), True)
+        return [s.getPath().getName() for s in gone]
+
+
+#: Seconds after which a folder that no manifest names is a crashed writer's.
+ORPHAN_AGE = 24 * 3600.0
+
+
+class Store(Files):
+    """Published versions below a folder."""
+
+    def __init__(self, spark: SparkSession, path: str, most_versions: int = 2, most_leases: int = 8, orphan_age: float = ORPHAN_AGE):
+        super().__init__(spark, path)
+        self.most_versions, self.most_leases, self.orphan_age = most_versions, most_leases, orphan_age
+        self._signals, self._stopped, self._error = 0, False, None
+        self._leases: dict[str, int] = {}
+
     # versions
 
     def versions(self) -> list[int]:
-        return sorted(int(n[:-5]) for n in self._names("manifests") if n.endswith(".json"))
+        return self._numbers("manifests")
 
     def manifest(self, version: int | None = None) -> Manifest | None:
         """The manifest of a version, the newest by default; None if there is none or its format is unknown."""
@@ -151,18 +177,29 @@ class Store:
         m = self.manifest(version)
         if m is None:
             raise NotReady("no version")
+        return self.rows(m)
+
+    def rows(self, m: Manifest) -> DataFrame:
+        """The rows of a manifest."""
+        return self.parts(m, [folder for folder, _, _ in m.parts.values()])
+
+    def parts(self, m: Manifest, folders: list[str]) -> DataFrame:
+        """The rows of some folders of parts, with a manifest's schema."""
         schema = T.StructType.fromJson(json.loads(m.schema))
-        paths = [f"{self.path}/{folder}" for folder, _, _ in m.parts.values()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def there(self, folders: list[str]) -> bool:
+        """Whether folders of parts were not removed yet."""
+        return all(self._fs.exists(self._at(f)) for f in folders)
 
     def verify(self, version: int | None = None) -> bool:
         """Whether a version's rows are those that were published."""
         m = self.manifest(version)
         return checksum(self.read(version)) == (m.records, m.checksum)
 
-    def ticket(self) -> tuple[int, int]:
-        """What a candidate must present: the signals and the version it was made from."""
-        m = self.manifest()
+    def ticket(self, m: Manifest | None = None) -> tuple[int, int]:
+        """What a candidate must present: the signals and the version it was made from, that of a manifest or the newest."""
+        m = m or self.manifest()
         return self._signals, m.version if m else 0
 
     def signal(self) -> None:
@@ -225,8 +262,11 @@ class Store:
         return self.manifest()
 
     def _commit(self, ticket: tuple[int, int], m: Manifest) -> Manifest:
-        if ticket != self.ticket():
+        newest = self.manifest()
+        if ticket != (self._signals, newest.version if newest else 0):
             raise NotReady("overtaken")
+        if newest and newest.source == m.source and newest.journal == m.journal and m.cursor < newest.cursor:
+            raise NotReady(f"the cursor would go back from {newest.cursor} to {m.cursor}")
         m = replace(m, records=sum(n for _, n, _ in m.parts.values()), checksum=sum(h for _, _, h in m.parts.values()))
         self._put(f"manifests/{m.version:012d}.json", json.dumps(asdict(m)))
         self._error = None
@@ -235,7 +275,7 @@ class Store:
     def compact(self, files: int) -> Manifest:
         """The newest version again in so many files, with the same cursor."""
         m = self.manifest()
-        return self.publish(self.read().repartition(files), self.ticket(), m.source, m.journal, m.cursor, key=list(m.key), shards=m.shards)
+        return self.publish(self.rows(m).repartition(files), self.ticket(m), m.source, m.journal, m.cursor, key=list(m.key), shards=m.shards)
 
     def sparse(self, row_bytes: int = 64, file_bytes: int = 32 << 20) -> bool:
         """Whether the newest version has more than twice the files that its rows need."""
@@ -264,16 +304,20 @@ class Store:
         self._fs.delete(self._at(f"leases/{key}"), False)
 
     def vacuum(self) -> list[int]:
-        """Removes versions that are neither the newest nor leased, and their folders unless a later version carries them over."""
+        """Removes versions that are neither the newest nor leased, and their folders unless a later version carries them over.
+
+        Folders of crashed writers, which no manifest names, go once they are older than orphan_age.
+        """
         known = self.versions()
         held = {int(self._text(f"leases/{k}") or 0) for k in self._names("leases") if not k.endswith((".tmp", ".crc"))}
         gone = [v for v in known[:-1] if v not in held]
-        folders = {v: {f for f, _, _ in m.parts.values()} if (m := self.manifest(v)) else set() for v in known} if gone else {}
-        live = set().union(*(folders[v] for v in known if v not in gone)) if gone else set()
+        folders = {v: {f for f, _, _ in m.parts.values()} if (m := self.manifest(v)) else set() for v in known}
+        live = set().union(*(folders[v] for v in known if v not in gone))
         for v in gone:
             self._fs.delete(self._at(f"manifests/{v:012d}.json"), False)
             for folder in folders[v] - live:
                 self._fs.delete(self._at(folder), True)
+        self._sweep("v=", {f.split("/")[0] for f in live}, self.orphan_age)
         return gone
 
     def status(self) -> dict:

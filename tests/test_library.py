@@ -6,6 +6,7 @@ import pytest
 
 from pathloom import cli, service
 from pathloom.library import Library
+from pathloom.plans.stored import SearchState
 from pathloom.streaming.maintain import JOURNAL
 from pathloom.streaming.store import NotReady
 from test_namespace import D, F_, table
@@ -47,14 +48,25 @@ def test_library_follows_its_sources(spark, tmp_path):
     library.maintainers["d:"].holds = holds
     assert library.refresh(records) and library.status()["error"] is None
 
-    part = library.states["d:"].stores["entries"]  # a save that crashed after its first table
-    part.publish(part.read(), part.ticket(), "", "", 99)
     again = Library(spark, str(tmp_path / "l"))
     again.open("d:", lambda: pytest.fail("what is published needs no listing"), holds)
-    assert again.states["d:"].whole() and again.search("ext:txt").total == 2
+    assert again.states["d:"].version() == again.maintainers["d:"].store.manifest().version and again.search("ext:txt").total == 2
+
+    def full(*_):
+        raise OSError("the disk is full")
+
+    whole, SearchState._table = SearchState._table, full  # the namespace goes on, its search state can't be written
+    now, held["next"] = both(spark, [(201, 100, "g.txt", F_), (202, 100, "h.txt", F_)]), 35
+    try:
+        assert not library.refresh(spark.createDataFrame([("d:", 25, None, 202, 100, NEW, F_, "h.txt")], JOURNAL))
+    finally:
+        SearchState._table = whole
+    found = library.answer(service.request('{"op":"query","query":"txt"}'))
+    assert found["ready"] and len(found["files"]) == 2 and "the disk is full" in found["error"]
+    assert library.refresh(spark.createDataFrame([], JOURNAL)) and library.search("txt").total == 3
     library.stop()
     held["next"] = 40
-    assert not library.refresh(spark.createDataFrame([("d:", 30, None, 200, 100, NEW, F_, "f.txt")], JOURNAL)) and library.search("txt").total == 2
+    assert not library.refresh(spark.createDataFrame([("d:", 30, None, 200, 100, NEW, F_, "f.txt")], JOURNAL)) and library.search("txt").total == 3
 
 
 def test_command_line_indexes(spark, tmp_path, capsys):

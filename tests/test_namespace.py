@@ -56,7 +56,7 @@ def test_search_fails_on_an_unresolvable_match_only(spark):
 
 def test_violations(spark):
     t = table(spark, [(100, 5, "a", D), (100, 5, "b", D), (200, 5, "c", F_), (201, 5, "c", F_), (202, 777, "d", F_), (203, 5, "..", F_)])
-    assert {r["check"]: r.n for r in namespace.violations(t).collect()} == {"bad_row": 1, "repeated_name": 1, "directory_names": 1, "unreachable": 1}
+    assert {r["check"]: r.n for r in namespace.violations(t).collect()} == {"bad_row": 1, "repeated_name": 1, "directory_names": 1, "unreachable": 1, "long_path": 0}
 
 
 def test_prune_keeps_outside_links(spark):
@@ -142,3 +142,37 @@ def test_components_of_long_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1200)} | {7000: 7000, 7001: 7000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def deep(spark, depth, below, at):
+    """A chain of directories, and a subtree of `below` more that hangs at directory number `at` of the chain (0: the root)."""
+    chain = [(100 + k, 99 + k if k else 5, f"c{k}", D) for k in range(depth)]
+    tree = [(5000 + k, 4999 + k if k else (99 + at if at else 5), f"t{k}", D) for k in range(below)] + [(9000, 4999 + below, "leaf.txt", F_)]
+    return table(spark, chain + tree)
+
+
+@pytest.mark.parametrize("at,fine", [(1004, True), (1005, False)])
+def test_a_move_that_pushes_what_is_below_it_too_deep_is_refused(spark, at, fine):
+    import time
+
+    old, new = deep(spark, 1024, 20, 0), deep(spark, 1024, 20, at)
+    touched = spark.createDataFrame([("d:", 5), ("d:", 99 + at)], "source string, parent long")
+    known = namespace.written(namespace.directories(old), "known")
+    began = time.perf_counter()
+    quick = {r["check"]: r.n for r in namespace.violations_at(new, touched, old=old, known=known).collect()}
+    assert time.perf_counter() - began < 60
+    whole = {r["check"]: r.n for r in namespace.violations_at(new, touched).collect()}
+    assert (quick["unreachable"] == 0) == (whole["unreachable"] == 0) == fine
+    assert quick["long_path"] == whole["long_path"] == quick["bad_row"] == 0
+
+
+def test_a_move_that_makes_a_path_too_long_is_refused(spark):
+    rows = [(100 + k, 99 + k if k else 5, f"{k:03d}" + "x" * 247, D) for k in range(130)]
+    tail = lambda p: [(7000, p, "y" * 200, D), (7001, 7000, "z" * 200 + "é", F_)]
+    old, near, far = (table(spark, rows + tail(p)) for p in (5, 100 + 100, 100 + 129))
+    known = namespace.written(namespace.directories(old), "known")
+    for new, n in ((near, 0), (far, 2)):
+        touched = spark.createDataFrame([("d:", 5), ("d:", 200), ("d:", 229)], "source string, parent long")
+        got = {r["check"]: r.n for r in namespace.violations_at(new, touched, old=old, known=known).collect()}
+        whole = {r["check"]: r.n for r in namespace.violations(new).collect()}
+        assert got["long_path"] == whole["long_path"] == n and got["unreachable"] == 0
