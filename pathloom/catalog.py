@@ -15,7 +15,7 @@ from pathloom.plans import search
 from pathloom.plans.stored import SearchState
 from pathloom.session import shared_dir, written
 from pathloom.sources import fixtures, listing
-from pathloom.sources.fixtures import DOC_PATHS, FLAT_PATHS, INV_NEW, INV_OLD, JOURNAL, NS_BROKEN, NS_ENTRIES, NS_LINKS, NS_NOW
+from pathloom.sources.fixtures import DOC_PATHS, FLAT_PATHS, INV_NEW, INV_OLD, JOURNAL, JOURNAL_AFTER, NS_AFTER, NS_BROKEN, NS_ENTRIES, NS_LINKS, NS_NOW
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -66,17 +66,18 @@ def notes(spark, d) -> DataFrame:
 _STATES: dict = {}
 
 
-def stored(spark, d) -> SearchState:
-    """A search state of the entries, stored once in a session for tables that stay the same: it is known by their files, sizes and times."""
+def stored(spark, d, name: str = "saved", make=None) -> SearchState:
+    """A search state, made once in a session for tables that stay the same (known by their files, sizes and times): of the entries, or as make() does."""
     files = []
     for t in ("region", "nation", "customer", "orders"):
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{t}.parquet")
         s = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
         files.append((at.toString(), s.getLen(), s.getModificationTime()))
-    key = spark.sparkContext.applicationId, tuple(files)
+    key = name, spark.sparkContext.applicationId, tuple(files)
     if key not in _STATES:
-        state = new_state(spark)
-        state.save(entries(spark, d), 1)
+        state = new_state(spark) if make is None else make(spark, d)
+        if make is None:
+            state.save(entries(spark, d), 1)
         _STATES[key] = state
     return _STATES[key]
 
@@ -352,12 +353,29 @@ def discover_closure(spark, d):
     return journal.discovered(all_, all_.limit(0).select("source", "object"), starts).select("object", "parent", "name")
 
 
-@query("apply_journal", DIRTY + """, w AS (SELECT * FROM e WHERE object NOT IN (SELECT object FROM t WHERE attributes & 1040 = 16 AND reason & 8448 <> 0))
-SELECT source, object, parent, name, attributes FROM e WHERE parent NOT IN (SELECT parent FROM dirty)
-UNION ALL SELECT source, object, parent, name, attributes FROM l WHERE parent IN (SELECT parent FROM dirty)""")
+#: A namespace after a journal, from the listing: children of dirty parents and of directories new to it as listed, the rest as it was, and of that what the root reaches.
+AFTER = f"""WITH RECURSIVE e AS ({NS_ENTRIES}), l AS ({NS_AFTER}), t AS ({JOURNAL_AFTER}),
+dirty AS (SELECT DISTINCT parent FROM t UNION SELECT DISTINCT e.parent FROM e JOIN t ON e.object = t.object),
+fresh(object) AS (SELECT object FROM l WHERE attributes & 1040 = 16 AND parent IN (SELECT parent FROM dirty) AND object NOT IN (SELECT object FROM e WHERE attributes & 1040 = 16)
+  UNION SELECT l.object FROM l JOIN fresh ON l.parent = fresh.object WHERE l.attributes & 1040 = 16),
+listed AS (SELECT parent FROM dirty UNION SELECT object FROM fresh),
+c AS (SELECT * FROM e WHERE parent NOT IN (SELECT parent FROM listed) UNION ALL SELECT * FROM l WHERE parent IN (SELECT parent FROM listed)),
+r(object) AS (SELECT CAST(5 AS BIGINT) UNION SELECT c.object FROM c JOIN r ON c.parent = r.object WHERE c.attributes & 1040 = 16)
+SELECT source, object, parent, name, attributes FROM c WHERE parent IN (SELECT object FROM r)"""
+
+
+@query("apply_journal", AFTER)
 def apply_journal(spark, d):
-    old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
-    return journal.applied(old, notes(spark, d), now).select("source", "object", "parent", "name", "attributes")
+    """Directories made, moved, moved into a made one, and deleted with all below; files told and untold."""
+    old, now, told = (fixtures.view(spark, d, x) for x in (NS_ENTRIES, NS_AFTER, JOURNAL_AFTER))
+    return journal.applied(old, told, now).select("source", "object", "parent", "name", "attributes")
+
+
+@query("apply_journal_small", AFTER.replace(JOURNAL_AFTER, f"SELECT * FROM ({JOURNAL_AFTER}) AS few WHERE usn < 8"))
+def apply_journal_small(spark, d):
+    """The seven records of directories alone, beside apply_journal: time against the number of records at one inventory."""
+    old, now, told = (fixtures.view(spark, d, x) for x in (NS_ENTRIES, NS_AFTER, JOURNAL_AFTER))
+    return journal.applied(old, told.where("usn < 8"), now).select("source", "object", "parent", "name", "attributes")
 
 
 @query("expected_actions", f"WITH {J}, x AS (SELECT object, parent, name, CASE WHEN usn % 3 = 0 THEN reason ELSE reason | 1 END AS mask FROM j) SELECT x.*, EXISTS (SELECT 1 FROM j WHERE j.object = x.object AND j.parent = x.parent AND j.name = x.name AND j.reason & x.mask = x.mask) AS seen FROM x")
@@ -403,11 +421,6 @@ def adjacent_duplicates(spark, d):
     return ranks.adjacent_repeats(broken(spark, d), ["source", "parent"], "name", ["object"]).select("source", "parent", "name", "object")
 
 
-ORACLES_APPLY = DIRTY + """
-SELECT source, object, parent, name, attributes FROM e WHERE parent NOT IN (SELECT parent FROM dirty)
-UNION ALL SELECT source, object, parent, name, attributes FROM l WHERE parent IN (SELECT parent FROM dirty)"""
-
-
 # inventories
 
 
@@ -577,18 +590,20 @@ def stream_rename_state(spark, d):
     return told.unionByName(pairing.still_waiting(spark, f"{base}/log"))
 
 
-@query("stream_apply", ORACLES_APPLY)
+@query("stream_apply", AFTER)
 def stream_apply(spark, d):
-    """A namespace kept current from a stream of journal records; tests hold it against applied()."""
+    """A namespace kept current from a stream of journal records in several micro-batches."""
     from pathloom.streaming import maintain
     from pathloom.streaming.store import Store
 
     base = f"{shared_dir(spark)}/apply-{uuid.uuid4().hex}"
-    old, now = entries(spark, d), fixtures.view(spark, d, NS_NOW)
-    notes(spark, d).write.parquet(f"{base}/journal")
+    old, now, told = (fixtures.view(spark, d, x) for x in (NS_ENTRIES, NS_AFTER, JOURNAL_AFTER))
     store = Store(spark, f"{base}/store")
     maintain.bootstrap(store, old, "d:", "j", 0)
-    maintain.follow(spark, f"{base}/journal", maintain.Maintainer(store, lambda: now), f"{base}/log", files=1000).awaitTermination()
+    last = told.agg(F.max("usn")).first()[0]
+    for low, high in ((0, 50), (50, last // 2), (last // 2, last + 1)):  # one file each, so each is a micro-batch
+        told.where((F.col("usn") >= low) & (F.col("usn") < high)).coalesce(1).write.mode("append").parquet(f"{base}/journal")
+    maintain.follow(spark, f"{base}/journal", maintain.Maintainer(store, lambda: now), f"{base}/log", files=1).awaitTermination()
     return store.read().select("source", "object", "parent", "name", "attributes")
 
 
@@ -661,16 +676,16 @@ def state_after_two_refreshes(spark, d):
     return refreshed_twice(spark, d).matches("").select("source", "object", "slot", "path", "is_directory")
 
 
-@query("state_indexed_search", tree(TWICE) + f"SELECT source, object, path FROM p WHERE {has('third_')} AND {has('nation_1')} AND {has('/order_')}")
+@query("state_indexed_search", tree(TWICE) + f"SELECT source, object, path FROM p WHERE {has('third_')} AND {has('nation_1')} AND {has('/third_o')}")
 def state_indexed_search(spark, d):
     """Zones and blocks by postings, rows by stored signatures, of a state whose rows lie in several segments."""
-    return refreshed_twice(spark, d).matches("third_ nation_1 /order_", indexed=True).select("source", "object", "path")
+    return stored(spark, d, "twice", refreshed_twice).matches("third_ nation_1 /third_o", indexed=True).select("source", "object", "path")
 
 
 @query("state_page_stops_early", tree(TWICE) + f", m AS (SELECT * FROM p WHERE {has('europe')} ORDER BY slot, path LIMIT 41) SELECT slot, path, 41 AS total, FALSE AS total_exact FROM m ORDER BY slot, path LIMIT 40")
 def state_page_stops_early(spark, d):
     """A page of a common word, from the first zones in the order of slots."""
-    page = refreshed_twice(spark, d).page("europe", 40)
+    page = stored(spark, d, "twice", refreshed_twice).page("europe", 40)
     return page.rows.select("slot", "path", F.lit(page.total).cast("int").alias("total"), F.lit(page.exact).alias("total_exact"))
 
 

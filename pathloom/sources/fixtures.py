@@ -53,6 +53,27 @@ SELECT source, object, parent, CASE WHEN object % 11 = 3 THEN name || '.new' ELS
 UNION ALL SELECT source, object + 200000000, parent, 'added_' || name, attributes, slot + 200000000 FROM ({NS_ENTRIES}) AS b WHERE object >= 10000000 AND object % 13 = 1
 """
 
+#: The namespace after changes of directories: nation 2001 moved below region 1003, customer 1000012 into a new directory, nation 2010 gone
+#: with all below, new directories 2100 and 2200, each with another one below and files in that, orders renamed; and names that no record tells of.
+NS_AFTER = f"""
+SELECT source, object, CASE WHEN object = 2001 THEN CAST(1003 AS BIGINT) WHEN object = 1000012 THEN CAST(2100 AS BIGINT) ELSE parent END AS parent,
+  CASE WHEN object >= 10000000 AND object % 11 = 3 THEN name || '.new' WHEN object > 1000000 AND object % 17 = 5 THEN name || '_untold' ELSE name END AS name, attributes, slot
+  FROM ({NS_ENTRIES}) AS a WHERE object <> 2010 AND parent <> 2010 AND parent NOT IN (SELECT 1000000 + c_custkey FROM {{customer}} WHERE c_nationkey = 10)
+UNION ALL SELECT 'd:', CAST(d AS BIGINT), CAST(p AS BIGINT), 'new_' || CAST(d AS STRING), 16, CAST(d AS BIGINT) FROM (SELECT 2100 AS d, 1002 AS p UNION ALL SELECT 2101, 2100 UNION ALL SELECT 2200, 1001 UNION ALL SELECT 2201, 2200) AS n
+UNION ALL SELECT source, object + 400000000, CAST(CASE WHEN object % 2 = 0 THEN 2101 ELSE 2201 END AS BIGINT), 'deep_' || name, attributes, slot + 400000000 FROM ({NS_ENTRIES}) AS b WHERE object >= 10000000 AND object % 50 = 7
+"""
+
+#: What a journal tells of these changes: first of the directories, then of every second order.
+JOURNAL_AFTER = f"""
+SELECT 'd:' AS source, CAST(usn AS BIGINT) AS usn, CAST(object AS BIGINT) AS object, CAST(parent AS BIGINT) AS parent, CAST(reason AS BIGINT) AS reason, 16 AS attributes, name FROM (
+  SELECT 1 AS usn, 2100 AS object, 1002 AS parent, 256 AS reason, 'new_2100' AS name UNION ALL SELECT 2, 2200, 1001, 256, 'new_2200'
+  UNION ALL SELECT 3, object, parent, 4096, name FROM ({NS_ENTRIES}) AS x WHERE object = 2001 UNION ALL SELECT 4, object, 1003, 8192, name FROM ({NS_ENTRIES}) AS y WHERE object = 2001
+  UNION ALL SELECT 5, object, parent, 4096, name FROM ({NS_ENTRIES}) AS z WHERE object = 1000012 UNION ALL SELECT 6, object, 2100, 8192, name FROM ({NS_ENTRIES}) AS v WHERE object = 1000012
+  UNION ALL SELECT 7, object, parent, 512, name FROM ({NS_ENTRIES}) AS w WHERE object = 2010) AS s
+UNION ALL SELECT 'd:', o_orderkey + 100, CAST(10000000 + o_orderkey AS BIGINT), CAST(1000000 + o_custkey AS BIGINT), CAST(32768 AS BIGINT), 32, 'order' FROM {{orders}}
+  WHERE o_orderkey % 2 = 1 AND o_custkey NOT IN (SELECT c_custkey FROM {{customer}} WHERE c_nationkey = 10)
+"""
+
 INV_OLD = f"SELECT path, CASE WHEN id % 17 = 0 THEN 'directory' ELSE 'file' END AS kind FROM ({DOC_PATHS}) AS p"
 INV_NEW = f"""
 SELECT CASE WHEN id % 7 = 1 THEN path || '.moved' ELSE path END AS path, CASE WHEN id % 5 = 0 THEN 'directory' ELSE 'file' END AS kind FROM ({DOC_PATHS}) AS p WHERE id % 11 <> 4
