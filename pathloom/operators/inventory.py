@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.names import under, valid_change_path
@@ -135,39 +135,81 @@ def refreshed(inventory: DataFrame, listing: DataFrame, tops: DataFrame) -> Data
 QUEUE = 256
 
 
-def applied(inventory: DataFrame, changes: DataFrame, listing: DataFrame) -> DataFrame:
-    """inventory after an ordered batch of changes (seq, kind, path, source, target), at most QUEUE.
+def _tops(path: str) -> Column:
+    """A path and all paths above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
-    Refreshes and rename targets look at the listing, the state at the end of the batch.
-    CorrectionNeeded for unusable paths, dependent renames, or a rename that changes a kind.
+
+def _effects(inventory: DataFrame, changes: DataFrame, listing: DataFrame) -> DataFrame:
+    """(seq, top, fill, origin): what each change does to a path and all below it.
+
+    All that was there goes; fill tells what comes: nothing, what the listing has, or what the
+    inventory had below origin. A file that was renamed is there if the listing has it.
+    """
+    targets, sources = (x.select(F.col("path").alias(c), F.col("kind").alias(f"{c}_kind")) for x, c in ((listing, "target"), (inventory, "source")))
+    plain = changes.where("kind <> 'rename'").select(
+        "seq", F.col("path").alias("top"), F.when(F.col("kind") == "refresh", "listing").otherwise("nothing").alias("fill"), F.lit(None).cast("string").alias("origin")
+    )
+    renames = changes.where("kind = 'rename' and source <> target").select("seq", "source", "target").join(targets, "target", "left").join(sources, "source", "left")
+    left = renames.select("seq", F.col("source").alias("top"), F.lit("nothing").alias("fill"), F.lit(None).cast("string").alias("origin"))
+    # nothing before a rename to a directory touches its source, so the inventory has it as it is then
+    moves = (F.col("target_kind") == "directory") & F.col("source_kind").isNotNull()
+    came = renames.where(F.col("target_kind").isNotNull()).select(
+        "seq", F.col("target").alias("top"), F.when(moves, "move").otherwise("listing").alias("fill"), F.when(moves, F.col("source")).alias("origin")
+    )
+    return plain.unionByName(left).unionByName(came)
+
+
+def _kinds_at(asked: DataFrame, effects: DataFrame, inventory: DataFrame, listing: DataFrame) -> DataFrame:
+    """asked (seq, path) with kind: what was there before the change seq, null for nothing."""
+    every = asked.select("seq", "path", F.explode(_tops("path")).alias("top"))
+    told = effects.select("seq", F.lit(None).cast("string").alias("path"), "top", F.struct("seq", "top", "fill", "origin").alias("effect"))
+    marked = told.unionByName(every.withColumn("effect", F.lit(None).cast(told.schema["effect"].dataType)))
+    before = Window.partitionBy("top").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    last = marked.withColumn("effect", F.last("effect", ignorenulls=True).over(before)).where(F.col("path").isNotNull() & F.col("effect").isNotNull())
+    last = last.groupBy("seq", "path").agg(F.max_by("effect", "effect.seq").alias("effect"))
+    place = F.when(F.col("effect.fill") == "move", F.concat("effect.origin", F.substring("path", F.length("effect.top") + 1, F.length("path")))).otherwise(F.col("path"))
+    found = asked.select("seq", "path").distinct().join(last, ["seq", "path"], "left").withColumn("at", place)
+    old, now = (x.select(F.col("path").alias("at"), F.col("kind").alias(n)) for x, n in ((inventory, "old_kind"), (listing, "new_kind")))
+    fill = F.col("effect.fill")
+    kind = F.when(fill.isNull() | (fill == "move"), F.col("old_kind")).when(fill == "listing", F.col("new_kind"))
+    return found.join(old, "at", "left").join(now, "at", "left").select("seq", "path", kind.alias("kind"))
+
+
+def applied(inventory: DataFrame, changes: DataFrame, listing: DataFrame, most: int | None = QUEUE) -> DataFrame:
+    """inventory after an ordered batch of changes (seq, kind, path, source, target), at most so many.
+
+    Refreshes and rename targets look at the listing, the state at the end of the batch. Inventories hold
+    all directories above what they hold. Of all changes
+    at or above a path the last one decides what is there, so a batch is a few joins, however long it is.
+    CorrectionNeeded for unusable paths, dependent renames, or a rename that changes a kind or into itself.
     """
-    rows = changes.orderBy("seq").limit(QUEUE + 1).collect()
-    if len(rows) > QUEUE or bad_changes(changes).head(1) or dependent_renames(changes, listing).head(1):
-        raise CorrectionNeeded("too many, unusable or dependent changes")
-
-    def kind_of(table: DataFrame, path: str) -> str | None:
-        found = table.where(F.col("path") == path).head(1)
-        return found[0].kind if found else None
-
-    def refresh(now: DataFrame, path: str) -> DataFrame:
-        return removed(now, path).unionByName(listing.where(under(F.col("path"), F.lit(path))).select(*now.columns))
-
-    now = inventory
-    for k, c in enumerate(rows):
-        if c.kind == "remove":
-            now = removed(now, c.path)
-        elif c.kind == "refresh":
-            now = refresh(now, c.path)
-        elif c.source != c.target:
-            target, old = kind_of(listing, c.target), kind_of(now, c.source)
-            if target is None:
-                now = removed(now, c.source)
-            elif old is None:
-                now = refresh(now, c.target)
-            elif old != target:
-                raise CorrectionNeeded("a rename changes a kind")
-            else:
-                now = renamed(now, c.source, c.target)
-        if k % 16 == 15:
-            now = written(now, "inventory")
-    return now
+    changes = written(changes.select("seq", "kind", "path", "source", "target"), "changes")
+    if most is not None and changes.count() > most:
+        raise CorrectionNeeded("more changes than the queue holds")
+    inside = F.col("source") != F.col("target")
+    inside &= under(F.col("source"), F.col("target")) | under(F.col("target"), F.col("source"))
+    if bad_changes(changes).head(1) or changes.where((F.col("kind") == "rename") & inside).head(1) or dependent_renames(changes, listing).head(1):
+        raise CorrectionNeeded("unusable or dependent changes")
+    effects = written(_effects(inventory, changes, listing), "effects")
+    renames = changes.where("kind = 'rename' and source <> target").join(listing.select(F.col("path").alias("target"), F.col("kind").alias("target_kind")), "target")
+    was = _kinds_at(renames.select("seq", F.col("source").alias("path")), effects, inventory, listing)
+    if renames.select("seq", "target_kind").join(was, "seq").where("kind <> target_kind").head(1):
+        raise CorrectionNeeded("a rename changes a kind")
+
+    last = effects.groupBy("top").agg(F.max_by(F.struct("seq", "fill", "origin"), F.struct("seq", F.col("fill") != "nothing")).alias("e")).select("top", "e.*")
+
+    def decided(rows: DataFrame) -> DataFrame:
+        """rows (path, ...) with the last effect at or above each, null without one."""
+        hit = rows.select("path").distinct().select("path", F.explode(_tops("path")).alias("top")).join(last, "top")
+        return rows.join(hit.groupBy("path").agg(F.max_by(F.struct("seq", "top", "fill", "origin"), "seq").alias("e")), "path", "left")
+
+    columns = inventory.columns
+    kept = decided(inventory).where("e is null").select(*columns)
+    fresh = decided(listing).where("e.fill = 'listing'").select(*columns)
+    moves = last.where("fill = 'move'").select("seq", F.col("top").alias("to"), "origin")
+    carried = inventory.select(*columns, F.explode(_tops("path")).alias("origin")).join(moves, "origin")
+    moved = carried.withColumn("path", F.concat("to", F.substring("path", F.length("origin") + 1, F.length("path"))))
+    moved = decided(moved).where("e.fill = 'move' and e.seq = seq").select(*columns)
+    return kept.unionByName(fresh).unionByName(moved)

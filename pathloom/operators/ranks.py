@@ -14,15 +14,11 @@ CUTS = 64
 def neighbours(rows: DataFrame, group: str, order: str, columns: list[str], size: int = ROWS) -> DataFrame:
     """rows with before and after: the columns of the row before and after in its group, null at the ends.
 
-    Groups are cut into stretches of order (a whole number, no ties) with about `size` rows; only
-    the first and last rows of stretches meet across a whole group.
+    Rows are range-partitioned by (group, order), which has no ties, into stretches of about `size` rows
+    whatever the values of order are; only the first and last rows of stretches meet across a whole group.
     """
-    facts = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
-    if not facts.n:
-        nothing = F.struct(*columns)
-        return rows.withColumns({"before": nothing, "after": nothing})
-    step = max(1, (facts.high - facts.low + 1) * size // facts.n)
-    cut = rows.withColumn("stretch", F.floor((F.col(order) - facts.low) / step))
+    parts = max(1, -(-rows.count() // size))
+    cut = written(rows.repartitionByRange(parts, group, order).withColumn("stretch", F.spark_partition_id()), "stretches")
     keys, told = [group, "stretch"], F.struct(*columns)
     ends = cut.groupBy(*keys).agg(F.min_by(told, order).alias("first"), F.max_by(told, order).alias("last"))
     along = Window.partitionBy(group).orderBy("stretch")

@@ -246,6 +246,72 @@ def test_batches_of_changes(spark):
             inventory.applied(inv, spark.createDataFrame(bad, form), now)
 
 
+def in_order(inv, changes, now):
+    """A batch of changes one after the other over plain dictionaries {path: kind}; None if it must be corrected."""
+    below = lambda x, top: x == top or x.startswith(f"{top}/")
+    meet = lambda a, b: below(a, b) or below(b, a)
+    for k, (_, kind, path, source, target) in enumerate(changes):
+        earlier = [p for c in changes[:k] for p in c[2:] if p]
+        if kind == "rename" and (source != target and meet(source, target) or now.get(target) == "directory" and any(meet(source, p) for p in earlier)):
+            return None
+    for _, kind, path, source, target in changes:
+        def without(top):
+            return {p: x for p, x in inv.items() if not below(p, top)}
+
+        def listed(top):
+            return without(top) | {p: x for p, x in now.items() if below(p, top)}
+
+        if kind == "remove":
+            inv = without(path)
+        elif kind == "refresh":
+            inv = listed(path)
+        elif source != target and now.get(target) is None:
+            inv = without(source)
+        elif source != target and inv.get(source) is None:
+            inv = listed(target)
+        elif source != target and inv[source] != now[target]:
+            return None
+        elif source != target:
+            gone = without(target)
+            inv = {(target + p[len(source) :] if below(p, source) else p): x for p, x in gone.items()}
+    return inv
+
+
+def test_batches_as_sets_equal_one_change_after_the_other(spark):
+    import random
+
+    from pathloom.operators import inventory
+
+    rng, form, fine, refused = random.Random(8), "seq int, kind string, path string, source string, target string", 0, 0
+
+    def tree():
+        dirs = ["a", "b", "c"] + [d for p in "abc" for d in (f"{p}/d", f"{p}/e") if rng.random() < 0.6]
+        return {d: "directory" for d in dirs} | {f"{d}/f{k}": "file" for d in dirs for k in range(3) if rng.random() < 0.6} | {f"r{k}": "file" for k in range(4) if rng.random() < 0.7}
+
+    for _ in range(14):
+        old, now = tree(), tree()
+        some = sorted({*old, *now, "new", "a/new"})
+        pick = lambda: rng.choice(some)
+        changes = []
+        for k in range(rng.randint(1, 7)):
+            kind = rng.choice(["remove", "refresh", "rename", "rename"])
+            changes.append((k, kind, None, pick(), pick()) if kind == "rename" else (k, kind, pick(), None, None))
+        want = in_order(old, changes, now)
+        a, b = (spark.createDataFrame(list(x.items()), "path string, kind string") for x in (old, now))
+        try:
+            got = dict(map(tuple, inventory.applied(a, spark.createDataFrame(changes, form), b).collect()))
+        except inventory.CorrectionNeeded:
+            got = None
+        assert got == want, changes
+        fine, refused = fine + (want is not None), refused + (want is None)
+    assert fine > 3 and refused > 1
+    many = spark.range(100_000).selectExpr("cast(id as int) as seq", "case when id % 2 = 0 then 'remove' else 'refresh' end as kind", "concat('a/f', id) as path", "cast(null as string) as source", "cast(null as string) as target")
+    with pytest.raises(inventory.CorrectionNeeded):
+        inventory.applied(a, many, b)
+    old = many.select("path", F.lit("file").alias("kind"))
+    assert inventory.applied(old, many, old, most=None).count() == 50_000
+
+
 def test_frames_rpc_and_dispatch():
     import io
 
