@@ -737,7 +737,10 @@ def notice_changes(spark, d):
     return journal.rename_pairs(buffered(spark, d), 1500)
 
 
-@query("batch_verdicts", f"SELECT source, seq // 100 AS batch, count(*) AS changes, count(*) FILTER (loss) AS losses, count(*) FILTER (loss) = 0 AND count(*) <= 3 AS applies FROM ({PAIRS}) AS c GROUP BY source, batch")
+VERDICT = "SELECT source, seq // 100 AS batch, count(*) AS changes, count(*) FILTER (loss) AS losses, coalesce(list_sort(list(DISTINCT {kind}) FILTER (loss)), []) AS kinds, count(*) FILTER (loss) = 0 AND count(*) <= 3 AS applies FROM ({pairs}) AS c GROUP BY source, batch"
+
+
+@query("batch_verdicts", VERDICT.format(kind="'unpaired_rename'", pairs=PAIRS))
 def batch_verdicts(spark, d):
     from pathloom.streaming.pairing import batch_verdicts as verdicts
 
@@ -745,6 +748,57 @@ def batch_verdicts(spark, d):
     return verdicts(changes, ["source", "batch"], 3)
 
 
+#: Buffers of which every seventh has lost its last three bytes: what tells of their last notice is lost.
+TORN = f"""{BUFFERED.replace("n AS (SELECT source, seq //", "whole AS (SELECT source, seq //", 1)}, n AS (SELECT source, seq, at_ms, CASE WHEN torn THEN 'lost' ELSE action END AS action, CASE WHEN torn THEN 'invalid_event' ELSE path END AS path
+  FROM (SELECT *, seq // 16 % 7 = 3 AND seq = max(seq) OVER (PARTITION BY source, seq // 16) AS torn FROM whole) AS x)"""
+PAIRS_TORN = PAIRS.replace(NOTICES, TORN, 1).replace("action IN ('old', 'new')", "action IN ('old', 'new', 'lost')").replace("AS kind, path,", "AS kind, CASE WHEN action <> 'lost' THEN path END AS path,")
+PAIRS_TORN = PAIRS_TORN.replace("THEN pp END AS source_path", "THEN pp WHEN action = 'lost' THEN path END AS source_path")
+
+
+def torn(spark, d) -> DataFrame:
+    from pathloom.sources import usn
+
+    buffers = usn.packed_notices(fixtures.view(spark, d, f"WITH {NOTICES} SELECT * FROM n"))
+    cut = F.when(F.floor(F.col("first") / 16) % 7 == 3, F.expr("substring(data, 1, length(data) - 3)")).otherwise(F.col("data"))
+    return usn.notices(buffers.withColumn("data", cut))
+
+
+@query("torn_notice_changes", PAIRS_TORN)
+def torn_notice_changes(spark, d):
+    """Changes from buffers some of which break off: what came before the break counts, and the break is a loss."""
+    return journal.rename_pairs(torn(spark, d), 1500)
+
+
+@query("losses_by_kind", VERDICT.format(kind="CASE WHEN path IS NULL THEN source_path ELSE 'unpaired_rename' END", pairs=PAIRS_TORN))
+def losses_by_kind(spark, d):
+    """Of each batch the kinds of losses, and whether its changes may be applied."""
+    from pathloom.streaming.pairing import batch_verdicts as verdicts
+
+    changes = journal.rename_pairs(torn(spark, d), 1500).withColumn("batch", F.floor(F.col("seq") / 100).cast("long"))
+    return verdicts(changes, ["source", "batch"], 3)
+
+
+@query("stream_pairs_in_batches", PAIRS)
+def stream_pairs_in_batches(spark, d):
+    """Renames paired over several micro-batches and a restart; names that wait at the end are losses."""
+    from pathloom.streaming import pairing
+
+    base = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    told = fixtures.view(spark, d, f"WITH {NOTICES} SELECT * FROM n")
+    pairs = pairing.Pairs(spark, base, lambda changes, epoch: changes.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}"), 1500, None)
+    last, epoch = told.agg(F.max("seq")).first()[0], -1
+    for k in range(4):
+        told.where(F.floor(F.col("seq") * 4 / (last + 1)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if k % 2:  # the stream runs twice, over two files each time, one a batch
+            stream = spark.readStream.schema(pairing.NOTICES).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+            out = stream.writeStream.foreachBatch(pairs).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+            out.awaitTermination()
+            epoch = max(epoch, out.lastProgress["batchId"])
+    columns = [c.split()[0] for c in pairing.CHANGES.split(", ")]
+    done = spark.read.schema(pairing.CHANGES).parquet(*[f"{base}/out/epoch={k}" for k in range(epoch + 1)]).select(columns)
+    return done.unionByName(pairs.waiting(epoch).selectExpr("source", "seq", "'loss' AS kind", "path", "CAST(NULL AS STRING) AS source_path", "TRUE AS loss"))
+
+
 CUT = f"SELECT object, CASE WHEN object % 7 = 3 THEN [lower(substr(name, 1, 3)), lower(substr(name, 4))] ELSE [lower(name)] END AS runs, name FROM ({NS_ENTRIES}) AS e"
 
 

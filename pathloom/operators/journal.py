@@ -123,17 +123,25 @@ def rename_pairs(notices: DataFrame, most_ms: int = 100) -> DataFrame:
     """notices (source, seq, at_ms, action, path) -> (source, seq, kind, path, source_path, loss).
 
     An old name pairs with the very next notice of its source if that is a new name less
-    than most_ms later; any other old or new name is a loss. Other notices are refreshes,
-    or removes.
+    than most_ms later; any other old or new name is a loss, and so is a notice that tells
+    of one (action `lost`, its kind as path, which then is source_path). Other notices are
+    refreshes, or removes.
     """
     rows = neighbours(notices, "source", "seq", ["at_ms", "action", "path"])
     action, before, after = F.col("action"), F.col("before"), F.col("after")
     opens = F.coalesce((action == "old") & (after["action"] == "new") & (after["at_ms"] - F.col("at_ms") < most_ms), F.lit(False))
     closes = F.coalesce((action == "new") & (before["action"] == "old") & (F.col("at_ms") - before["at_ms"] < most_ms), F.lit(False))
-    kind = F.when(closes, "rename").when(action == "removed", "remove").when(action.isin("old", "new"), "loss").otherwise("refresh")
+    told, loss = action == "lost", action.isin("old", "new", "lost") & ~closes
+    kind = F.when(closes, "rename").when(action == "removed", "remove").when(loss, "loss").otherwise("refresh")
     return rows.where(~opens).select(
-        "source", "seq", kind.alias("kind"), "path", F.when(closes, before["path"]).alias("source_path"), (action.isin("old", "new") & ~closes).alias("loss")
-    )
+        "source", "seq", kind.alias("kind"), F.when(~told, F.col("path")).alias("path"),
+        F.when(closes, before["path"]).when(told, F.col("path")).alias("source_path"), loss.alias("loss"),
+    )
+
+
+def loss_kind() -> Column:
+    """The kind of loss of a change that is one: what its notice told, else an old or new name without the other."""
+    return F.when(F.col("loss"), F.coalesce(F.when(F.col("path").isNull(), F.col("source_path")), F.lit("unpaired_rename")))
 
 
 def first_values(undo: DataFrame) -> DataFrame:

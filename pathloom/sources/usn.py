@@ -6,6 +6,7 @@ one place that needs Python on rows; it runs on Arrow batches.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections import namedtuple
 from collections.abc import Iterable, Iterator
@@ -124,43 +125,70 @@ def journal_rows(decoded: DataFrame, source: str) -> DataFrame:
     )
 
 
-def decode_notices(data: bytes) -> list[tuple[int, str | None]]:
-    """(action, name) of a buffer of change notices: next offset, action, size of the name, name."""
-    out, at = [], 0
-    while data:
-        if len(data) - at < 12:
-            raise RecordError("truncated notice")
-        following, action, size = struct.unpack_from("<III", data, at)
-        if not size or size % 2 or at + 12 + size > len(data) or (following and (following % 4 or following < 12 + size)):
-            raise RecordError("notice length or alignment")
-        out.append((action, text(data[at + 12 : at + 12 + size])))
+#: What is read of a buffer's entries (format, place), the bytes before the name, and how entries are aligned.
+Layout = namedtuple("Layout", "fields head align")
+NOTICE = Layout({"following": ("<I", 0), "action": ("<I", 4), "size": ("<I", 8)}, 12, 4)
+ENTRY = Layout({"following": ("<I", 0), "attributes": ("<I", 56), "size": ("<I", 60), "object": ("<Q", 96)}, 104, 8)
+NOTICE_NAME_BYTES = 4096
+DOTS = (".".encode("utf-16-le"), "..".encode("utf-16-le"))
+
+
+def _chained(data: bytes, layout: Layout, most: int, last_ends: bool) -> Iterator[tuple[dict, bytes]]:
+    """(fields, raw name) of entries that each tell where the next one is; RecordError names what is wrong with one.
+
+    last_ends: nothing but padding may follow the last entry.
+    """
+    at = 0
+    while True:
+        room = len(data) - at
+        if room < layout.head:
+            raise RecordError(f"byte {at}: truncated")
+        f = {k: struct.unpack_from(form, data, at + place)[0] for k, (form, place) in layout.fields.items()}
+        end, following = layout.head + f["size"], f["following"]
+        wrong = {
+            "size": not 0 < f["size"] <= most or f["size"] % 2 != 0 or end > room,
+            "following": following != 0 and (following % layout.align != 0 or not end <= following < room),
+            "rest": last_ends and following == 0 and room - end >= layout.align,
+        }
+        if bad := [field for field, is_wrong in wrong.items() if is_wrong]:
+            raise RecordError(f"byte {at}: {', '.join(bad)}")
+        yield f, data[at + layout.head : at + end]
         if not following:
-            return out
+            return
         at += following
-        if at >= len(data):
-            raise RecordError("notice offset")
-    return out
+
+
+def decode_notices(data: bytes, most: int = MOST_RECORDS) -> tuple[list[tuple[int, str | None]], str | None]:
+    """((action, name) of each notice of a buffer, the kind of loss it ends with or None).
+
+    A malformed notice, or one more than `most`, is a loss: what came before it counts, what follows can't be trusted.
+    A name is a relative path with neither empty nor dot parts, colons or NUL; it is None if it is no text.
+    """
+    out = []
+    try:
+        for f, raw in _chained(data, NOTICE, NOTICE_NAME_BYTES, True) if data else ():
+            if len(out) == most:
+                return out, "user_overflow"
+            units = raw.decode("utf-16-le", "surrogatepass")
+            if re.search(r"[\0:]", units) or any(part in ("", ".", "..") for part in re.split(r"[\\/]", units)):
+                return out, "invalid_event"
+            out.append((f["action"], text(raw)))
+    except RecordError:
+        return out, "invalid_event"
+    return out, None
 
 
 def decode_listing(data: bytes, parent: int) -> list[tuple]:
-    """(object, parent, attributes, raw name) of a listing buffer (entries with ids); dot entries left out."""
-    out, at = [], 0
-    while data:
-        if len(data) - at < 104:
-            raise RecordError("truncated entry")
-        following = struct.unpack_from("<I", data, at)[0]
-        attributes, size = struct.unpack_from("<II", data, at + 56)
-        identity = struct.unpack_from("<Q", data, at + 96)[0]
-        if not size or size % 2 or size // 2 > MOST_UNITS or at + 104 + size > len(data) or (following and (following % 8 or following < 104 + size)):
-            raise RecordError("entry length or alignment")
-        raw = data[at + 104 : at + 104 + size]
-        if raw not in (b".\0", b".\0.\0"):
-            out.append((identity, parent, attributes, raw))
-        if not following:
-            return out
-        at += following
-        if at >= len(data):
-            raise RecordError("entry offset")
+    """(object, parent, attributes, raw name) of a listing buffer (entries with ids); dot entries left out, any wrong entry refuses the buffer."""
+    out = []
+    for f, raw in _chained(data, ENTRY, 2 * MOST_UNITS, False) if data else ():
+        if not FORBIDDEN.isdisjoint(struct.unpack(f"<{len(raw) // 2}H", raw)):
+            raise RecordError("name")
+        if raw in DOTS:
+            continue
+        if f["object"] == 0:
+            raise RecordError("object")
+        out.append((f["object"], parent, f["attributes"], raw))
     return out
 
 
@@ -207,16 +235,19 @@ def encode_notices(notices: list[tuple[int, str]]) -> bytes:
 ACTIONS = {1: "added", 2: "removed", 3: "modified", 4: "old", 5: "new"}
 
 
-def notices(buffers: DataFrame) -> DataFrame:
-    """(source, seq, at_ms, action, path) of buffers (source, first, at_ms, data): seq counts on from first."""
+def notices(buffers: DataFrame, most: int = MOST_RECORDS) -> DataFrame:
+    """(source, seq, at_ms, action, path) of buffers (source, first, at_ms, data): seq counts on from first.
+
+    Where a buffer can't be read further, or a notice has an unknown action, the action is `lost` and path the kind of loss.
+    """
 
     def decoded(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [
-                (source, first + k, at, ACTIONS.get(action, "modified"), name)
-                for source, first, at, data in zip(*(part.column(c).to_pylist() for c in ("source", "first", "at_ms", "data")))
-                for k, (action, name) in enumerate(decode_notices(data or b""))
-            ]
+            rows = []
+            for source, first, at, data in zip(*(part.column(c).to_pylist() for c in ("source", "first", "at_ms", "data"))):
+                told, loss = decode_notices(data or b"", most)
+                found = [(ACTIONS[action], name) if action in ACTIONS else ("lost", "invalid_event") for action, name in told]
+                rows += [(source, first + k, at, *x) for k, x in enumerate(found + ([("lost", loss)] if loss else []))]
             columns = list(zip(*rows)) or [[]] * 5
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["source", "seq", "at_ms", "action", "path"])

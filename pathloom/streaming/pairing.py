@@ -7,13 +7,15 @@ a loss. An old name that waits when its time is over is a loss as well.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.session import ship
+from pathloom.operators import journal
+from pathloom.operators.journal import loss_kind
+from pathloom.session import ship, written
 
 MOST_MS = 100
 NOTICES = "source string, seq long, at_ms long, action string, path string"
@@ -32,7 +34,9 @@ def paired(rows: list[tuple], waiting: tuple | None, most_ms: int = MOST_MS) ->
                 continue
             out.append((waiting[0], "loss", waiting[2], None, True))
             waiting = None
-        if action == "old":
+        if action == "lost":
+            out.append((seq, "loss", None, path, True))
+        elif action == "old":
             waiting = (seq, at, path)
         elif action == "new":
             out.append((seq, "loss", path, None, True))
@@ -77,11 +81,45 @@ def still_waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 def batch_verdict(changes: DataFrame, most: int = 256) -> dict:
     """Whether a batch of changes may be applied: not if it holds a loss or more changes than the queue takes."""
-    rows = changes.selectExpr("count(*) as n", "count_if(loss) as losses").first()
-    return {"apply": not rows.losses and rows.n <= most, "losses": rows.losses, "overflow": rows.n > most}
+    rows = batch_verdicts(changes.withColumn("_", F.lit(0)), ["_"], most).first()
+    if rows is None:
+        return {"apply": True, "losses": 0, "kinds": [], "overflow": False}
+    return {"apply": rows.applies, "losses": rows.losses, "kinds": rows.kinds, "overflow": rows.changes > most}
 
 
 def batch_verdicts(changes: DataFrame, batch: list[str], most: int = 256) -> DataFrame:
-    """batch_verdict() of every batch at once: (batch columns, changes, losses, applies)."""
-    told = changes.groupBy(*batch).agg(F.count("*").alias("changes"), F.count_if("loss").alias("losses"))
+    """batch_verdict() of every batch at once: (batch columns, changes, losses, kinds, applies); kinds are those of its losses."""
+    kinds = F.sort_array(F.collect_set(loss_kind()))  # a handful of kinds there are
+    told = changes.groupBy(*batch).agg(F.count("*").alias("changes"), F.count_if("loss").alias("losses"), kinds.alias("kinds"))
     return told.withColumn("applies", (F.col("losses") == 0) & (F.col("changes") <= most))
+
+
+class Pairs:
+    """Pairing by micro-batch, without state in Python: the function for foreachBatch.
+
+    An old name that is its source's last notice waits for the next batch, in a table of the epoch; all
+    others are paired by rename_pairs(), whose stretches spread a source over tasks. A name that has waited
+    for wait_ms before the latest notice of any source is a loss. An epoch that a restart repeats reads what
+    the one before left and writes its own tables anew, so changes come once. sink(changes, epoch) gets them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], most_ms: int = MOST_MS, wait_ms: int | None = 2000):
+        self.spark, self.path, self.sink, self.most_ms, self.wait_ms = spark, path.rstrip("/"), sink, most_ms, wait_ms
+
+    def waiting(self, epoch: int) -> DataFrame:
+        """(NOTICES) the old names that wait after an epoch."""
+        if epoch < 0:
+            return self.spark.createDataFrame([], NOTICES)
+        return self.spark.read.schema(NOTICES).parquet(f"{self.path}/waiting/epoch={epoch}")
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        batch = written(batch.selectExpr(*[c.split()[0] for c in NOTICES.split(", ")]), "notices")
+        carried = self.waiting(epoch - 1)
+        every = batch.unionByName(carried)
+        last = every.groupBy("source").agg(F.max_by(F.struct("seq", "at_ms", "action", "path"), "seq").alias("last")).select("source", "last.*").where("action = 'old'")
+        if self.wait_ms is not None:
+            now = batch.agg(F.max("at_ms")).first()[0]
+            last = last.where(F.lit(now).isNull() | (F.lit(now) - F.col("at_ms") < self.wait_ms))
+        last.write.mode("overwrite").parquet(f"{self.path}/waiting/epoch={epoch}")
+        kept = self.waiting(epoch)
+        self.sink(journal.rename_pairs(every.join(kept, ["source", "seq"], "left_anti"), self.most_ms), epoch)

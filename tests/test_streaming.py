@@ -220,9 +220,8 @@ def test_journal_files_to_rows(spark, tmp_path):
 def test_notices_and_listings_decode():
     name = "a".encode("utf-16-le")
     one = struct.pack("<III", 16, 4, 2) + name + b"\0\0" + struct.pack("<III", 0, 5, 2) + name
-    assert usn.decode_notices(one) == [(4, "a"), (5, "a")]
-    with pytest.raises(usn.RecordError):
-        usn.decode_notices(one[:-1])
+    assert usn.decode_notices(one) == ([(4, "a"), (5, "a")], None)
+    assert usn.decode_notices(one[:-1]) == ([(4, "a")], "invalid_event")
     entry = bytearray(112)
     struct.pack_into("<II", entry, 56, 16, 2)
     struct.pack_into("<Q", entry, 96, 77)
