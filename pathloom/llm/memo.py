@@ -34,7 +34,8 @@ _LOADED: dict = {}
 
 
 def once(kind: str, key, load: Callable):
-    """load(), once in each Python worker for a key; a worker serves many tasks, and keeps one key of a kind."""
+    """load(), once in each Python worker for a key; a worker serves tasks of many stages, and keeps what the last kind of them loaded."""
     if _LOADED.get(kind, (None,))[0] != key:
+        _LOADED.clear()  # before the new one is loaded, so that the two are never held together
         _LOADED[kind] = (key, load())
     return _LOADED[kind][1]
