@@ -364,17 +364,22 @@ r(object) AS (SELECT CAST(5 AS BIGINT) UNION SELECT c.object FROM c JOIN r ON c.
 SELECT source, object, parent, name, attributes FROM c WHERE parent IN (SELECT object FROM r)"""
 
 
+def after_tables(spark, d) -> list[DataFrame]:
+    """A namespace, its listing and its journal, as tables in files, which they are where they come from."""
+    return [written(fixtures.view(spark, d, text), name) for name, text in (("old", NS_ENTRIES), ("listing", NS_AFTER), ("journal", JOURNAL_AFTER))]
+
+
 @query("apply_journal", AFTER)
 def apply_journal(spark, d):
     """Directories made, moved, moved into a made one, and deleted with all below; files told and untold."""
-    old, now, told = (fixtures.view(spark, d, x) for x in (NS_ENTRIES, NS_AFTER, JOURNAL_AFTER))
+    old, now, told = after_tables(spark, d)
     return journal.applied(old, told, now).select("source", "object", "parent", "name", "attributes")
 
 
 @query("apply_journal_small", AFTER.replace(JOURNAL_AFTER, f"SELECT * FROM ({JOURNAL_AFTER}) AS few WHERE usn < 8"))
 def apply_journal_small(spark, d):
     """The seven records of directories alone, beside apply_journal: time against the number of records at one inventory."""
-    old, now, told = (fixtures.view(spark, d, x) for x in (NS_ENTRIES, NS_AFTER, JOURNAL_AFTER))
+    old, now, told = after_tables(spark, d)
     return journal.applied(old, told.where("usn < 8"), now).select("source", "object", "parent", "name", "attributes")
 
 
@@ -597,7 +602,7 @@ def stream_apply(spark, d):
     from pathloom.streaming.store import Store
 
     base = f"{shared_dir(spark)}/apply-{uuid.uuid4().hex}"
-    old, now, told = (fixtures.view(spark, d, x) for x in (NS_ENTRIES, NS_AFTER, JOURNAL_AFTER))
+    old, now, told = after_tables(spark, d)
     store = Store(spark, f"{base}/store")
     maintain.bootstrap(store, old, "d:", "j", 0)
     last = told.agg(F.max("usn")).first()[0]
@@ -607,6 +612,34 @@ def stream_apply(spark, d):
     return store.read().select("source", "object", "parent", "name", "attributes")
 
 
+@query("stream_journal_source", AFTER.replace("SELECT source, object, parent, name, attributes FROM c WHERE", "SELECT 'followed' AS state, source, object, parent, name, attributes FROM c WHERE") + " UNION ALL SELECT 'expired', source, object, parent, name, attributes FROM l")
+def stream_journal_source(spark, d):
+    """A store that follows a journal by its own source: two runs from one checkpoint; then the journal has dropped what comes next, and the listing is taken."""
+    from pathloom.sources import feed
+    from pathloom.streaming import maintain
+
+    store, base = new_store(spark, "feed", most_versions=8)
+    old, now, told = after_tables(spark, d)
+    maintain.bootstrap(store, old, "d:", "j", 0)
+    last, folder = told.agg(F.max("usn")).first()[0], feed.Folder(spark, f"{base}/journal")
+    maintainer = maintain.Maintainer(store, lambda: now, holds=folder.holds)
+
+    def run() -> None:
+        maintain.started(feed.stream(spark, folder.path, "d:"), maintainer, f"{base}/log").awaitTermination()
+
+    for low, high in ((0, last // 2), (last // 2, last + 1)):
+        folder.append(told, low, high)
+        folder.tell("j", 0, high)
+        run()
+    followed = store.lease()
+    folder.append(told.withColumn("usn", F.col("usn") + last + 1000), last + 1000, 2 * last + 1001)
+    folder.tell("j", last + 1000, 2 * last + 1001)
+    folder.drop(last + 1000)
+    run()
+    columns = ["source", "object", "parent", "name", "attributes"]
+    return store.leased(followed).select(F.lit("followed").alias("state"), *columns).unionByName(store.read().select(F.lit("expired").alias("state"), *columns))
+
+
 @query("nearest_known", f"WITH RECURSIVE e AS ({NS_ENTRIES}), k AS (SELECT object FROM e WHERE object IN (1001, 1003, 2002, 2007)), w(parent, at_) AS (SELECT object, object FROM e WHERE object >= 1000000 AND attributes & 16 <> 0 UNION ALL SELECT w.parent, e.parent FROM w JOIN e ON e.object = w.at_ WHERE w.at_ NOT IN (SELECT object FROM k)) SELECT 'd:' AS source, parent, at_ AS known FROM w WHERE at_ IN (SELECT object FROM k)")
 def nearest_known(spark, d):
     all_ = entries(spark, d)

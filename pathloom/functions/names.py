@@ -99,12 +99,13 @@ def path_key(path: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """The distinct stretches of three characters."""
-    return F.array_distinct(
-        F.when(F.length(text) < 3, F.array().cast("array<string>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))
-        )
-    )
+    """The distinct stretches of three characters; the text is computed once, though each stretch is cut from it."""
+
+    def cut(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
+        return F.array_distinct(F.when(F.length(t) < 3, F.array().cast("array<string>")).otherwise(every))
+
+    return F.get(F.transform(F.array(text), cut), F.lit(0))
 
 
 def shard_of(key: Column, shards: int) -> Column:

@@ -65,15 +65,16 @@ def candidate_blocks(index: DataFrame, query: Query) -> DataFrame | None:
 
 def record_bits(grams: Column) -> Column:
     """One of 128 bits for each gram, as (low, high): what contains the grams has their bits."""
+    places = F.transform(grams, lambda g: F.xxhash64(g).bitwiseAND(F.lit(127)).cast("int"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
 
-    def add(bits: Column, g: Column) -> Column:
-        place = F.xxhash64(g).bitwiseAND(F.lit(127)).cast("int")
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)))
-        none = F.lit(0).cast("long")
-        low, high = F.when(place < 64, one).otherwise(none), F.when(place >= 64, one).otherwise(none)
-        return F.struct(bits["low"].bitwiseOR(low).alias("low"), bits["high"].bitwiseOR(high).alias("high"))
+    def half(p: Column, low: bool) -> Column:
+        def add(bits: Column, place: Column) -> Column:
+            return F.when((place < 64) == F.lit(low), bits.bitwiseOR(F.call_function("shiftleft", one, place.bitwiseAND(F.lit(63))))).otherwise(bits)
 
-    return F.aggregate(grams, F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")), add)
+        return F.aggregate(p, none, add)
+
+    return F.get(F.transform(F.array(places), lambda p: F.struct(half(p, True).alias("low"), half(p, False).alias("high"))), F.lit(0))
 
 
 def record_signatures(rows: DataFrame) -> DataFrame:

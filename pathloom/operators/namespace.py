@@ -121,7 +121,7 @@ def violations_at(entries: DataFrame, touched: DataFrame, root: int = ROOT, old:
     objects = some.where(ordinary_directory(F.col("attributes"))).select(*KEY).distinct()
     if known is None or old is None:
         dirs = written(directories(entries, root), "dirs")
-        outside, placed = entries.join(_parents(dirs), keys, "left_anti"), with_parent(entries, dirs)
+        outside, long = entries.join(_parents(dirs), keys, "left_anti"), long_paths(entries, dirs)
     else:
         form = ["source", "object", "parent", "name"]
         was = old.join(touched, keys, "left_semi").where(ordinary_directory(F.col("attributes"))).select(*form, F.lit(-1).alias("n"))
@@ -132,14 +132,14 @@ def violations_at(entries: DataFrame, touched: DataFrame, root: int = ROOT, old:
         lost = void.join(fresh, KEY, "left_anti")
         dirs = known.join(void, KEY, "left_anti").unionByName(fresh)
         outside = some.join(_parents(dirs), keys, "left_anti").unionByName(entries.join(_parents(lost), keys, "left_semi")).distinct()
-        placed = with_parent(some.unionByName(entries.join(_parents(fresh), keys, "left_semi")).distinct(), dirs)
+        long = long_paths(some, dirs).unionByName(long_paths(entries, fresh)).distinct()
     return _counted(
         {
             "bad_row": bad_rows(some, root),
             "repeated_name": repeated_names(some),
             "directory_names": directories_with_names(entries.join(objects, KEY, "left_semi")),
             "unreachable": outside,
-            "long_path": long_paths(placed),
+            "long_path": long,
         }
     )
 
@@ -148,10 +148,14 @@ def _parents(dirs: DataFrame) -> DataFrame:
     return dirs.select("source", F.col("object").alias("parent"))
 
 
-def long_paths(placed: DataFrame, most: int = PATH_UNITS) -> DataFrame:
-    """The entries, with their parents' paths, whose path has more than `most` UTF-16 units."""
+def long_paths(entries: DataFrame, dirs: DataFrame, most: int = PATH_UNITS) -> DataFrame:
+    """The entries below dirs whose path has more than `most` UTF-16 units.
+
+    Names have at most 255 units, so only directories near the limit are joined, and there are hardly any.
+    """
+    near = dirs.where(F.octet_length("path") > most - 3 * 256)  # a unit has at most three bytes
     path = full_path()  # no text has more units than bytes
-    return placed.where((F.octet_length(path) > most) & (F.octet_length(F.encode(path, "UTF-16LE")) > 2 * most))
+    return with_parent(entries, near).where((F.octet_length(path) > most) & (F.octet_length(F.encode(path, "UTF-16LE")) > 2 * most))
 
 
 def _counted(checks: dict[str, DataFrame]) -> DataFrame:
@@ -286,7 +290,7 @@ def violations(entries: DataFrame, root: int = ROOT, strict: bool = False) -> Da
         "repeated_name": repeated_names(entries),
         "directory_names": directories_with_names(entries),
         "unreachable": entries.join(_parents(dirs), ["source", "parent"], "left_anti"),
-        "long_path": long_paths(with_parent(entries, dirs)),
+        "long_path": long_paths(entries, dirs),
     }
     if strict:
         checks["attributes"] = differing_attributes(entries)

@@ -134,6 +134,10 @@ def each(maintainers: list[Maintainer]) -> Callable[[DataFrame, int], None]:
 
 def follow(spark: SparkSession, path: str, maintainer: Callable[[DataFrame, int], None], checkpoint: str, files: int = 16, every: str | None = None):
     """Starts the stream of a folder of journal files: what is there now, or for ever with a trigger time."""
-    rows = spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files).parquet(path)
+    return started(spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files).parquet(path), maintainer, checkpoint, every)
+
+
+def started(rows: DataFrame, maintainer: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Starts a stream of journal rows: what is there now, or for ever with a trigger time."""
     out = rows.writeStream.foreachBatch(maintainer).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
