@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.names import of_category, path_key, shard_of
-from pathloom.functions.query import Query, entry_predicate, extension_is, parse, path_predicate, raw_literal, raw_predicate, raw_runs, unit_order, whole_text
+from pathloom.functions.query import Query, entry_predicate, extension_is, name_tests, parse, path_predicate, raw_literal, raw_predicate, raw_runs, unit_order, whole_text
 from pathloom.operators.namespace import directories, full_path, is_directory, with_parent
 
 PAGE = ["source", "slot", "object", "path", "name", "is_directory"]
@@ -40,10 +40,7 @@ def matches(entries: DataFrame, raw: str, kind: str = "all", dirs: DataFrame | N
     joined = some if "parent_path" in entries.columns else with_parent(some, directories(entries) if dirs is None else dirs, "left")
     words = Query("B", query.tokens)
     lost = F.coalesce("parent_path", F.raise_error(F.lit("an entry's parent can't be resolved")).cast("string"))
-    by_name = F.lit(True)
-    for t in query.tokens:
-        by_name &= F.contains(folded, F.lit(t))
-    found = joined.where(by_name | entry_predicate(words, folded, F.lower(lost)))
+    found = joined.where(name_tests(words, folded) | entry_predicate(words, folded, F.lower(lost)))
     return (
         found.withColumn("path", F.coalesce(full_path(), F.raise_error(F.lit("an entry's parent can't be resolved")).cast("string")))
         .withColumn("is_directory", is_directory(F.col("attributes")))

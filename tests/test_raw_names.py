@@ -29,13 +29,13 @@ def test_null_raw_name_has_no_runs(spark):
 
 
 def test_listing_buffers_give_their_entries_back(spark):
-    entries = [(k, 32 - k % 2 * 16, f"name {k}".encode("utf-16-le")) for k in range(7)]
+    entries = [(k, 32 - k % 2 * 16, f"name {k}".encode("utf-16-le")) for k in range(1, 8)]  # no object is 0
     data = usn.encode_listing([(1, 16, ".".encode("utf-16-le")), *entries])
     assert usn.decode_listing(data, 9) == [(i, 9, a, raw) for i, a, raw in entries]
     with pytest.raises(usn.RecordError):
         usn.decode_listing(data[:-8], 9)
     rows = spark.createDataFrame([("d:", 9, bytearray(data)), ("d:", 8, None)], "source string, parent long, data binary")
-    assert sorted(r.object for r in usn.listings(rows).collect()) == list(range(7))
+    assert sorted(r.object for r in usn.listings(rows).collect()) == list(range(1, 8))
 
 
 def test_notices_of_no_rows(spark):
