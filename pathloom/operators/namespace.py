@@ -121,7 +121,9 @@ def violations_at(entries: DataFrame, touched: DataFrame, root: int = ROOT, old:
     objects = some.where(ordinary_directory(F.col("attributes"))).select(*KEY).distinct()
     if known is None or old is None:
         dirs = written(directories(entries, root), "dirs")
-        outside, long = entries.join(_parents(dirs), keys, "left_anti"), long_paths(entries, dirs)
+        outside, long = written(entries.join(_parents(dirs), keys, "left_anti"), "outside"), long_paths(entries, dirs)
+        if outside.head(1):  # of these, what a touched parent has or what is below one of its directories
+            outside = outside.join(touched.unionByName(_parents(descendants(entries, objects))).distinct(), keys, "left_semi")
     else:
         form = ["source", "object", "parent", "name"]
         was = old.join(touched, keys, "left_semi").where(ordinary_directory(F.col("attributes"))).select(*form, F.lit(-1).alias("n"))

@@ -66,7 +66,7 @@ class Maintainer:
             raise NotReady("no version to start from")
         kept, journal_id, following = self._retained(m)
         if not kept:
-            self.rebuild(m.source, journal_id, following)
+            self.rebuild(m.source, journal_id, following, reset=True)
             return
         records = batch.where((F.col("source") == m.source) & (F.col("usn").isNull() | (F.col("usn") >= m.cursor)))
         facts = records.agg(F.max("usn").alias("last"), F.count_if(F.col("usn").isNull() | F.col("object").isNull() | F.col("parent").isNull()).alias("bad")).first()
@@ -102,19 +102,22 @@ class Maintainer:
         self.rebuild(m.source, m.journal, m.cursor)
         return True
 
-    def rebuild(self, source: str, journal_id: str, cursor: int) -> None:
+    def rebuild(self, source: str, journal_id: str, cursor: int, reset: bool = False) -> None:
         """Publishes the listing; tries again while it is overtaken.
 
         The listing is taken after the cursor. A writer that went on meanwhile leaves a later cursor of the
-        same journal, and this rebuild keeps that one: what lies between is in the listing, too.
+        same journal, and this rebuild keeps that one: what lies between is in the listing, too. reset: the
+        journal does not hold the store's cursor, and its end, asked again, is the new one.
         """
         for attempt in range(self.attempts):
             try:
                 m = self.store.manifest()
-                if m is not None and m.journal == journal_id:
+                if reset:
+                    journal_id, _, _, cursor = self.holds()
+                elif m is not None and m.journal == journal_id:
                     cursor = max(cursor, m.cursor)
                 rows = self._listed(source)
-                self.store.publish(rows, self.store.ticket(m), source, journal_id, cursor, check, KEY)
+                self.store.publish(rows, self.store.ticket(m), source, journal_id, cursor, check, KEY, reset=reset)
                 self.rebuilt += 1
                 return
             except NotReady as e:

@@ -208,13 +208,14 @@ class Store(Files):
 
     def publish(
         self, rows: DataFrame, ticket: tuple[int, int], source: str, journal: str, cursor: int, check=None,
-        key: list[str] | None = None, shards: int = SHARDS, touched: list[int] | None = None, first: bool = False,
+        key: list[str] | None = None, shards: int = SHARDS, touched: list[int] | None = None, first: bool = False, reset: bool = False,
     ) -> Manifest:
         """Writes rows as the next version and commits it, unless the ticket is out of date.
 
         key: the columns whose hash deals rows to shards; without it there is one. touched: the only
         shards that are written, of a version with the same key; the others are carried over.
         check(rows) raises to refuse what is written. first: refuses if there is a version already.
+        reset: the cursor may go back, as the journal itself has.
         With more live versions than allowed, and readers on the old ones, nothing is published
         until leases end.
         """
@@ -240,7 +241,7 @@ class Store(Files):
             sums = written.groupBy(shard(key, shards).alias("shard")).agg(F.count("*").alias("n"), total(written).alias("h")).collect()  # a row a shard
             parts = {k: p for k, p in before.parts.items() if int(k) not in touched} if touched is not None else {}
             parts |= {str(r.shard): (f"{folder}/shard={r.shard}", r.n, int(r.h)) for r in sums}
-            return self._commit(ticket, Manifest(version, source, journal, cursor, 0, 0, parts, schema.json(), tuple(key), shards))
+            return self._commit(ticket, Manifest(version, source, journal, cursor, 0, 0, parts, schema.json(), tuple(key), shards), reset)
         except Exception as e:
             self._error = str(e)
             self._fs.delete(self._at(folder), True)
@@ -261,11 +262,11 @@ class Store(Files):
             raise NotReady(PINNED)
         return self.manifest()
 
-    def _commit(self, ticket: tuple[int, int], m: Manifest) -> Manifest:
+    def _commit(self, ticket: tuple[int, int], m: Manifest, reset: bool = False) -> Manifest:
         newest = self.manifest()
         if ticket != (self._signals, newest.version if newest else 0):
             raise NotReady("overtaken")
-        if newest and newest.source == m.source and newest.journal == m.journal and m.cursor < newest.cursor:
+        if not reset and newest and newest.source == m.source and newest.journal == m.journal and m.cursor < newest.cursor:
             raise NotReady(f"the cursor would go back from {newest.cursor} to {m.cursor}")
         m = replace(m, records=sum(n for _, n, _ in m.parts.values()), checksum=sum(h for _, _, h in m.parts.values()))
         self._put(f"manifests/{m.version:012d}.json", json.dumps(asdict(m)))
