@@ -864,11 +864,19 @@ def signed_search(spark, d):
 MOVED = f"m AS (SELECT source, usn, object, CASE WHEN usn % 4 = 0 THEN object - object % 5 + (object + 2) % 5 ELSE parent END AS parent, reason, attributes, name FROM ({JOURNAL}) AS j)"
 
 
-@query("scope_records", f"""WITH RECURSIVE e AS ({NS_ENTRIES}), {MOVED}, b(object) AS (SELECT CAST(2003 AS BIGINT) UNION SELECT e.object FROM e JOIN b ON e.parent = b.object WHERE e.attributes & 1040 = 16),
-i(dir, since) AS (SELECT object, CAST(-1 AS BIGINT) FROM b UNION SELECT m.object, m.usn FROM i JOIN m ON m.parent = i.dir AND m.usn > i.since WHERE m.attributes & 1040 = 16)
-SELECT source, usn, object, parent FROM m WHERE object <> 2003 AND NOT EXISTS (SELECT 1 FROM (SELECT dir, min(since) AS since FROM i GROUP BY dir) AS x WHERE x.dir = m.parent AND x.since < m.usn)""")
+#: The records in order, with the parents that directories have got by them: each is held against the chain of its parent as it is before it.
+SCOPED = f"""WITH RECURSIVE e AS ({NS_ENTRIES}), {MOVED}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY usn) AS i FROM m),
+k AS MATERIALIZED (SELECT map(list(object), list(parent)) AS up FROM e WHERE attributes & 1040 = 16),
+s(i, usn, told, gone, out) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), MAP {{{{}}}}::MAP(BIGINT, BIGINT), FALSE, FALSE
+  UNION ALL SELECT x.i, x.usn, CASE WHEN x.attributes & 1040 = 16 AND (x.above OR x.own) THEN map_concat(x.told, MAP([x.object], [x.parent])) ELSE x.told END, x.above, x.object = 2003
+  FROM (SELECT o.*, s.told, {{above}} AS above, {{own}} AS own FROM s JOIN o ON o.i = s.i + 1 CROSS JOIN k) AS x)
+SELECT m.source, m.usn, m.object, m.parent FROM s JOIN m ON m.usn = s.usn WHERE NOT s.gone AND NOT s.out"""
+CHAIN = "coalesce(list_reduce([CAST(o.{at} AS BIGINT)] || range(8), lambda a, n: CASE WHEN a IS NULL OR a IN (5, 2003) THEN a ELSE coalesce(s.told[a], k.up[a]) END) = 2003, FALSE)"
+
+
+@query("scope_records", SCOPED.replace("{above}", CHAIN.format(at="parent")).replace("{own}", CHAIN.format(at="object")).replace("MAP {{}}", "MAP {}"))
 def scope_records(spark, d):
-    """Records outside a subtree that directories join at their first record below it."""
+    """Records outside a subtree that directories join and leave by the records before."""
     records = fixtures.view(spark, d, f"WITH {MOVED} SELECT * FROM m")
     return journal.in_scope(records, entries(spark, d), 2003).select("source", "usn", "object", "parent")
 

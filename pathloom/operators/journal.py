@@ -6,14 +6,16 @@ now). Only moves of directories are taken from records, to find where to list.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.names import CREATED, DELETED, LINKED, RENAMED_TO, ROOT, any_bit, ordinary_directory, ordinary_object
+from pathloom.functions.names import CREATED, DELETED, DEPTH, LINKED, RENAMED_TO, ROOT, any_bit, ordinary_directory, ordinary_object
 from pathloom.operators import namespace
 from pathloom.operators.inventory import net
 from pathloom.operators.ranks import neighbours
-from pathloom.session import written
+from pathloom.session import dropped, written
 
 
 class ReplayBudgetError(RuntimeError):
@@ -149,34 +151,76 @@ def first_values(undo: DataFrame) -> DataFrame:
     return undo.groupBy("key").agg(F.min_by("old", "seq").alias("old"))
 
 
-def in_scope(records: DataFrame, entries: DataFrame, excluded: int) -> DataFrame:
-    """records outside an excluded subtree, which grows by directories that records put into it.
+#: The place in a journal before its first record, and one after all.
+BEFORE, AFTER_ALL = -1, (1 << 63) - 1
+
+
+def in_scope(records: DataFrame, entries: DataFrame, excluded: int, root: int = ROOT, most: int = DEPTH) -> DataFrame:
+    """records outside an excluded subtree, which gains and loses directories by the records themselves.
 
-    Order counts: a directory joins the subtree at its first record below it, and affects
-    later records. The first place at which each directory is inside is found to a fixpoint.
+    A directory's parent is that of the entries until a record tells another one; such a record
+    counts only if the directory was inside before it, or if the parent told is. So order counts: a
+    directory may join the subtree, and leave it again, and each record is held against the subtree
+    as it is just before. The records that count are a fixpoint: those found from a guess are right
+    up to the first place where the guess is wrong, so each round is right for a longer stretch, and
+    there is only one fixpoint. Usns are unique within a source.
     """
     if not excluded:
         return records
-    tops = entries.where(F.col("object") == excluded).select("source", "object").distinct()
-    tops = tops.unionByName(records.where(F.col("object") == excluded).select("source", "object")).distinct()
-    inside = namespace.descendants(entries, tops).select("source", F.col("object").alias("dir"), F.lit(-1).cast("long").alias("since"))
-    inside = written(inside.groupBy("source", "dir").agg(F.min("since").alias("since")), "inside")
-    moves = written(records.where(ordinary_directory(F.col("attributes"))).select("source", "object", "parent", "usn"), "moves")
-    frontier = inside
-    while True:  # a round for each directory of a chain that joins within these records; only what joined last moves on
-        joined = (
-            moves.join(frontier.withColumnRenamed("dir", "parent"), ["source", "parent"]).where(F.col("usn") > F.col("since"))
-            .groupBy("source", F.col("object").alias("dir")).agg(F.min("usn").alias("since"))
-        )
-        sooner = joined.join(inside.withColumnRenamed("since", "known"), ["source", "dir"], "left").where("known is null or since < known")
-        frontier = written(sooner.select("source", "dir", "since"), "joined")
-        if not frontier.head(1):
+    fixed = F.col("object").isin(excluded, root)  # of these no parent is ever asked for
+    told = records.where(ordinary_directory(F.col("attributes")) & ~fixed).select("source", "object", "usn", "parent").distinct()
+    moving = written(told.select("source", "object").distinct(), "moving")
+    top = F.lit(excluded).cast("long")
+    tops = entries.select("source").unionByName(records.select("source")).distinct().select("source", top.alias("object"))
+    near = written(namespace.descendants(entries, tops.unionByName(moving), most).select("source", F.col("object").alias("parent"), F.col("top").alias("up")), "near")
+    first = entries.join(moving, ["source", "object"], "left_semi").where(ordinary_directory(F.col("attributes")))
+    first = first.select("source", "object", F.lit(BEFORE).cast("long").alias("usn"), "parent").distinct()
+    steps = written(first.unionByName(told).join(near, ["source", "parent"], "left").select("source", "object", "usn", "up"), "steps")
+    key, counting = ["source", "object", "usn"], steps
+    while True:
+        inside = written(_inside(counting, excluded, most).unionByName(tops.withColumns({"since": F.lit(BEFORE).cast("long"), "until": F.lit(AFTER_ALL)})), "inside")
+        own = _within(steps, inside, "object").unionByName(_within(steps, inside, "up"))
+        following = written(steps.where(F.col("usn") == BEFORE).unionByName(own).distinct(), "counting")
+        if following.count() == counting.count() and not following.join(counting, key, "left_anti").head(1):
             break
-        inside = written(inside.unionByName(frontier).groupBy("source", "dir").agg(F.min("since").alias("since")), "inside")
-    hit = records.join(inside.withColumnRenamed("dir", "parent"), ["source", "parent"], "left").where(
-        (F.col("object") != excluded) & (F.col("since").isNull() | (F.col("usn") <= F.col("since")))
-    )
-    return hit.select(*records.columns)
+        counting = following
+    hidden = near.where(F.col("up").isNotNull())
+    below = records.where(F.col("object") != excluded).join(hidden, ["source", "parent"], "left")
+    return _within(below, inside, "up", "left_anti").select(*records.columns)
+
+
+def _within(rows: DataFrame, spans: DataFrame, at: str, how: str = "left_semi") -> DataFrame:
+    """rows whose directory in column `at` is inside just before their usn (or, by an anti join, is not)."""
+    s = spans.select(F.col("source").alias("_source"), F.col("object").alias("_object"), "since", "until")
+    met = (F.col("source") == F.col("_source")) & (F.col(at) == F.col("_object")) & (F.col("usn") > F.col("since")) & (F.col("usn") <= F.col("until"))
+    return rows.join(s, met, how)
+
+
+def _inside(steps: DataFrame, top: int, most: int) -> DataFrame:
+    """(source, object, since, until): when each moving directory is below top, by steps (source, object, usn, up).
+
+    A step holds from its usn to the next step of its object. Chains climb by doubling: a round
+    joins each open row with the rows of the directory it has reached, for the time they share.
+    """
+    keyed = steps.select(F.struct("source", "object").alias("key"), "usn", "up")
+    turns = neighbours(keyed, "key", "usn", ["up"]).where(F.col("before").isNull() | ~F.col("before.up").eqNullSafe(F.col("up")))
+    held = neighbours(turns.select("key", "usn", "up"), "key", "usn", ["usn"]).where("up is not null")
+    state = written(held.select("key.*", "up", F.col("usn").alias("since"), F.coalesce("after.usn", F.lit(AFTER_ALL)).alias("until")), "climb")
+    for _ in range(math.ceil(math.log2(max(2, most))) + 1):
+        going = state.where(F.col("up") != top)
+        if not going.head(1):
+            break
+        above = state.select("source", F.col("object").alias("up"), F.col("up").alias("next"), F.col("since").alias("s"), F.col("until").alias("u"))
+        climbed = going.join(above, ["source", "up"]).select(
+            "source", "object", F.col("next").alias("up"), F.greatest("since", "s").alias("since"), F.least("until", "u").alias("until")
+        ).where("since < until")
+        following = written(state.where(F.col("up") == top).unionByName(climbed), "climb")
+        dropped(state)
+        state = following
+    ends = F.explode(F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("turn")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("turn"))))
+    edges = state.where(F.col("up") == top).select(F.struct("source", "object").alias("key"), ends.alias("e"))
+    edges = edges.groupBy("key", F.col("e.at").alias("at")).agg(F.sum("e.turn").alias("turn")).where("turn <> 0")  # where one span ends and the next starts, none does
+    return neighbours(edges, "key", "at", ["at"]).where("turn > 0").select("key.*", F.col("at").alias("since"), F.col("after.at").alias("until"))
 
 
 def applied(entries: DataFrame, records: DataFrame, listing: DataFrame, root: int = ROOT, excluded: int = 0, known: DataFrame | None = None) -> DataFrame:

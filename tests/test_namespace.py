@@ -66,7 +66,7 @@ def test_prune_keeps_outside_links(spark):
 
 
 def plain_scope(records, entries, top):
-    """The sequential rule: a directory seen below the excluded one joins it from then on."""
+    """The sequential rule: a directory that is, or is told to be, below the excluded one gets the parent told."""
     up = {o: p for o, p, _, a in entries if a == D}
     moved, out = {}, []
 
@@ -74,6 +74,8 @@ def plain_scope(records, entries, top):
         for _ in range(64):
             if o == top:
                 return True
+            if o == 5:
+                return False
             o = moved.get(o, up.get(o))
             if o is None:
                 return False
@@ -81,7 +83,7 @@ def plain_scope(records, entries, top):
 
     for usn, o, p, a in records:
         below = inside(p)
-        if a == D and below:
+        if a == D and (below or inside(o)):
             moved[o] = p
         if o == top or below:
             continue
@@ -89,15 +91,34 @@ def plain_scope(records, entries, top):
     return out
 
 
-def test_excluded_scope_grows_in_order(spark):
-    rng = random.Random(5)
-    entries = [(100, 5, "store", D), (101, 100, "s1", D), (102, 5, "free", D)]
-    records = [(u, rng.choice([110, 111, 112, 113, 200, 100]), rng.choice([5, 100, 101, 102, 110, 111, 112, 113]), rng.choice([D, F_])) for u in range(60)]
-    records = [(u, o, p, D if o in (100, 110, 111, 112, 113) else F_) for u, o, p, _ in records if o != p]
+@pytest.mark.parametrize("seed", (1, 3))
+def test_excluded_scope_follows_the_records_in_order(spark, seed):
+    rng = random.Random(seed)
+    entries = [(100, 5, "store", D), (101, 100, "s1", D), (102, 5, "free", D), (110, 102, "a", D), (111, 101, "b", D), (120, 110, "still", D)]
+    objects, parents = [110, 111, 112, 113, 101, 200, 100], [5, 100, 101, 102, 110, 111, 112, 113, 120]
+    records = [(u, rng.choice(objects), rng.choice(parents)) for u in range(50)]
+    records = [(u, o, p, F_ if o == 200 else D) for u, o, p in records if o != p]
     df = spark.createDataFrame([("d:", u, o, p, 256, a, "n") for u, o, p, a in records], RECORD)
     got = [r.usn for r in journal.in_scope(df, table(spark, entries), 100).orderBy("usn").collect()]
-    want = plain_scope(records, entries, 100)
-    assert got == want
+    assert got == plain_scope(records, entries, 100)
+
+
+def test_a_directory_leaves_the_excluded_scope(spark):
+    entries = table(spark, [(100, 5, "store", D), (101, 100, "in", D), (102, 5, "out", D)])
+    records = [(1, 200, 101, F_), (2, 101, 102, D), (3, 201, 101, F_), (4, 101, 100, D), (5, 202, 101, F_)]
+    df = spark.createDataFrame([("d:", u, o, p, 256, a, "n") for u, o, p, a in records], RECORD)
+    assert sorted(r.usn for r in journal.in_scope(df, entries, 100).collect()) == [2, 3]
+
+
+def test_scope_of_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 directories, each told to be below the one before it."""
+    entries = table(spark, [(100, 5, "store", D), (102, 5, "free", D)])
+    records = [(k, 1000 + k, 999 + k if k else 100, D) for k in range(1000)] + [(2000, 7000, 1999, F_), (2001, 7001, 102, F_)]
+    df = spark.createDataFrame([("d:", u, o, p, 256, a, "n") for u, o, p, a in records], RECORD)
+    rounds, written = [], journal.written
+    monkeypatch.setattr(journal, "written", lambda rows, name: rounds.append(name) or written(rows, name))
+    assert [r.usn for r in journal.in_scope(df, entries, 100).collect()] == [2001]
+    assert len(rounds) < 40
 
 
 def test_apply_follows_renames_moves_and_deletes(spark):
