@@ -640,6 +640,24 @@ def stream_journal_source(spark, d):
     return store.leased(followed).select(F.lit("followed").alias("state"), *columns).unionByName(store.read().select(F.lit("expired").alias("state"), *columns))
 
 
+@query("replay_until_quiet", AFTER.replace("SELECT source, object, parent, name, attributes FROM c WHERE", "SELECT 'replayed' AS state, (SELECT max(usn) + 1 FROM t) AS cursor, source, object, parent, name, attributes FROM c WHERE") + " UNION ALL SELECT 'undone', 0, source, object, parent, name, attributes FROM e")
+def replay_until_quiet(spark, d):
+    """A store brought to the end of a journal that goes on during the replay, published once; and the same rows taken back by the undo segment."""
+    from pathloom.streaming import maintain, replay
+
+    store, _ = new_store(spark, "quiet", most_versions=4)
+    old, now, told = after_tables(spark, d)
+    maintain.bootstrap(store, old, "d:", "j", 0)
+    last = told.agg(F.max("usn")).first()[0]
+    ends = [last + 1, last + 1, last // 2, 50]
+    done = replay.Replay(store, lambda: now, lambda first, following: told, lambda: ("j", 0, 0, ends.pop())).sync()
+    columns = ["source", "object", "parent", "name", "attributes"]
+    after = store.rows(store.manifest(2))
+    cursor = F.lit(store.manifest(2).cursor).cast("long").alias("cursor")
+    before = replay.undone(store, done.undo, after)
+    return after.select(F.lit("replayed").alias("state"), cursor, *columns).unionByName(before.select(F.lit("undone").alias("state"), F.lit(0).cast("long").alias("cursor"), *columns))
+
+
 @query("nearest_known", f"WITH RECURSIVE e AS ({NS_ENTRIES}), k AS (SELECT object FROM e WHERE object IN (1001, 1003, 2002, 2007)), w(parent, at_) AS (SELECT object, object FROM e WHERE object >= 1000000 AND attributes & 16 <> 0 UNION ALL SELECT w.parent, e.parent FROM w JOIN e ON e.object = w.at_ WHERE w.at_ NOT IN (SELECT object FROM k)) SELECT 'd:' AS source, parent, at_ AS known FROM w WHERE at_ IN (SELECT object FROM k)")
 def nearest_known(spark, d):
     all_ = entries(spark, d)

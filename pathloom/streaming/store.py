@@ -126,6 +126,10 @@ class Files:
         """The numbers of the files N.json in a folder, ascending."""
         return sorted(int(n[:-5]) for n in self._names(folder) if n.endswith(".json"))
 
+    def remove(self, folder: str) -> None:
+        """Removes a folder, if it is there."""
+        self._fs.delete(self._at(folder), True)
+
     def _sweep(self, prefix: str, live: set[str], age: float) -> list[str]:
         """Removes folders that start with a prefix, are not live and were not touched for `age` seconds; a writer may still fill younger ones."""
         at = self._at("")
