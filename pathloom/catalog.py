@@ -552,6 +552,43 @@ def path_inventory(spark, d):
     return listing.inventory(fixtures.view(spark, d, DOC_PATHS))
 
 
+#: A namespace of which every fiftieth customer is a reparse directory.
+REPARSED = f"SELECT source, object, parent, name, CASE WHEN object BETWEEN 1000000 AND 9999999 AND object % 50 = 9 THEN 1040 ELSE attributes END AS attributes FROM ({NS_ENTRIES}) AS r"
+LEFT_OUT = ["CHINA", "Customer#000000007", "BRAZIL"]
+WALKED = f"""WITH RECURSIVE e AS ({REPARSED}), d(object, path, level) AS (SELECT CAST(5 AS BIGINT), '', 0
+  UNION ALL SELECT e.object, CASE WHEN d.path = '' THEN e.name ELSE d.path || '/' || e.name END, d.level + 1 FROM e JOIN d ON e.parent = d.object WHERE e.attributes & 1040 = 16 AND e.name NOT IN {tuple(LEFT_OUT)}),
+y AS (SELECT e.*, p.path, p.level, row_number() OVER (ORDER BY p.level, p.path) AS i FROM (SELECT e.object, e.parent, CASE WHEN d.path = '' THEN e.name ELSE d.path || '/' || e.name END AS path, d.level FROM e JOIN d ON e.parent = d.object) AS p JOIN e ON e.object = p.object AND e.parent = p.parent)
+SELECT source, object, parent, name, path, level, 'entries' AS reason FROM y WHERE i <= (SELECT 30 + count(*) FROM {{customer}}) + (SELECT count(*) // 2 FROM {{orders}}) AND attributes & 1024 = 0 AND NOT (attributes & 16 <> 0 AND name IN {tuple(LEFT_OUT)})"""
+
+
+@query("bounded_scan", WALKED)
+def bounded_scan(spark, d):
+    """A tree discovered level by level until the budget of entries is used up."""
+    from pathloom.sources import scan
+
+    budget = 30 + spark.read.parquet(f"{d}/customer.parquet").count() + spark.read.parquet(f"{d}/orders.parquet").count() // 2
+    tree_ = written(fixtures.view(spark, d, REPARSED), "tree")
+    found = scan.scanned(scan.listed_from(tree_), spark.createDataFrame([("d:", 5)], "source string, object long"), scan.Limits(entries=budget), LEFT_OUT)
+    return found.rows.select("source", "object", "parent", "name", "path", "level", F.lit(found.reason).alias("reason"))
+
+
+@query("verified_listings", f"""WITH e AS ({NS_ENTRIES}), l AS ({NS_BROKEN}), a AS ({NS_AFTER}), dirs AS (SELECT object, parent, name FROM e WHERE attributes & 1040 = 16),
+s AS (SELECT parent, sum(144 + 2 * length(name)) AS size, count(*) AS n, count(*) - count(DISTINCT name) AS again FROM l GROUP BY parent)
+SELECT 'd:' AS source, dirs.object AS parent, r.reason, CASE WHEN r.reason IS NULL THEN coalesce(s.n, 0) END AS entries FROM dirs LEFT JOIN s ON s.parent = dirs.object, LATERAL (SELECT CASE
+  WHEN NOT EXISTS (SELECT 1 FROM a WHERE a.object = dirs.object AND a.parent = dirs.parent AND a.name = dirs.name AND a.attributes & 1040 = 16) THEN 'identity' WHEN s.size > 4500 THEN 'budget' WHEN s.again > 0 THEN 'repeated_name' END AS reason) AS r""")
+def verified_listings(spark, d):
+    """Listings of all directories, some of which changed while they were listed, are too large or tell a name twice."""
+    from pathloom.sources import scan
+
+    old, now = written(entries(spark, d), "old"), fixtures.view(spark, d, NS_AFTER)
+    asked = [scan.directory_tags(now), scan.directory_tags(old)]
+    dirs = old.where(names.ordinary_directory(F.col("attributes"))).select("source", "object")
+    rows, refused = scan.verified(scan.listed_from(broken(spark, d)), dirs, lambda some: asked.pop()(some), 4500)
+    counts = rows.groupBy("source", "parent").agg(F.count("*").alias("n"))
+    told = dirs.withColumnRenamed("object", "parent").join(refused, ["source", "parent"], "left").join(counts, ["source", "parent"], "left")
+    return told.select("source", "parent", "reason", F.when(F.col("reason").isNull(), F.coalesce("n", F.lit(0))).alias("entries"))
+
+
 @query("scope_repeats", f"SELECT source, object, parent, name, count(*) AS n FROM (SELECT source, object, parent, name FROM ({NS_ENTRIES}) AS a UNION ALL SELECT source, object, parent, name FROM ({NS_ENTRIES}) AS b WHERE object % 5 = 2) AS c GROUP BY ALL HAVING count(*) > 1")
 def scope_repeats(spark, d):
     all_ = entries(spark, d)
