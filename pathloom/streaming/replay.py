@@ -42,13 +42,13 @@ class Replayed:
 class Replay:
     """A store, the listing as it is now, the records of [first, next) and what the journal holds: (journal id, first, lowest, next).
 
-    budget: bytes of the records of one attempt. most_windows: a journal that is never quiet for so
+    budget: bytes of the records of one attempt; None: any number. most_windows: a journal that is never quiet for so
     long ends the attempt with ReconcileError. attempts: how often a failed attempt is begun anew.
     """
 
     def __init__(
         self, store: Store, listing: Callable[[], DataFrame], records: Callable[[int, int], DataFrame], holds: Callable[[], tuple[str, int, int, int]],
-        root: int = ROOT, budget: int = 64 << 20, most_windows: int = 64, attempts: int = 3,
+        root: int = ROOT, budget: int | None = None, most_windows: int = 64, attempts: int = 3,
         known: Callable[[Manifest], DataFrame | None] = lambda m: None,
     ):
         self.store, self.listing, self.records, self.holds, self.root, self.known = store, listing, records, holds, root, known
@@ -93,7 +93,7 @@ class Replay:
             facts = window.agg(F.count("*").alias("n"), F.coalesce(F.sum(journal.record_bytes(F.col("name"))), F.lit(0)).alias("size"), bad.alias("bad")).first()
             if facts.bad:
                 raise journal.ReconcileError("malformed records")
-            if facts.size > left:
+            if left is not None and facts.size > left:
                 raise journal.ReplayBudgetError(f"{facts.size} bytes of records, {left} allowed")
             try:
                 after, hit = journal.changed(rows, window, self.listing().where(F.col("source") == m.source), self.root, known=known)
@@ -104,7 +104,7 @@ class Replay:
                 following = end
                 done.widened += 1
                 continue
-            left -= facts.size
+            left = None if left is None else left - facts.size
             done.windows, done.records = done.windows + 1, done.records + facts.n
             if hit is not None:
                 hit = hit.select(*KEY).distinct()

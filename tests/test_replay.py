@@ -94,3 +94,18 @@ def test_a_replay_that_changes_nothing_moves_the_cursor_alone(spark, store):
     assert done.undo is None and done.undo_entries == 0 and store.manifest().cursor == 11
     quiet = replay.Replay(store, lambda: table(spark, OLD), lambda a, b: same, lambda: ("j", 0, 0, 11)).sync()
     assert quiet.windows == 0 and store.manifest().version == 2
+
+
+def many(spark):
+    """More than 64 MB of records of a file, in long names."""
+    rows = spark.range(1700).selectExpr("'d:' AS source", "id + 10 AS usn", "201L AS object", "100L AS parent", "256L AS reason", f"{F_} AS attributes", "repeat('x', 20000) AS name")
+    assert rows.selectExpr("sum(60 + 2 * length(name))").first()[0] > 64 << 20
+    return rows
+
+
+NOW, UNTOLD = [*OLD, (201, 100, "y", F_)], (202, 101, "untold", F_)
+
+
+def test_a_replay_reads_windows_of_any_size(spark, store):
+    done = replay.Replay(store, lambda: table(spark, [*NOW, UNTOLD]), lambda a, b: many(spark), lambda: ("j", 0, 0, 1710)).sync()
+    assert (done.cursor, done.records) == (1710, 1700) and keys(store.read()) == keys(table(spark, NOW))
