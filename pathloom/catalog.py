@@ -568,7 +568,7 @@ def bounded_scan(spark, d):
 
     budget = 30 + spark.read.parquet(f"{d}/customer.parquet").count() + spark.read.parquet(f"{d}/orders.parquet").count() // 2
     tree_ = written(fixtures.view(spark, d, REPARSED), "tree")
-    found = scan.scanned(scan.listed_from(tree_), spark.createDataFrame([("d:", 5)], "source string, object long"), scan.Limits(entries=budget), LEFT_OUT)
+    found = scan.scanned(scan.listed_from(tree_), spark.createDataFrame([("d:", 5)], "source string, object long"), scan.Limits(entries=budget, directories=None), LEFT_OUT)
     return found.rows.select("source", "object", "parent", "name", "path", "level", F.lit(found.reason).alias("reason"))
 
 

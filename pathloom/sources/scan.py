@@ -24,10 +24,10 @@ Children = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Limits:
-    """Entries that are looked at, directories that are listed, and the depth below the roots at which the last ones are."""
+    """Entries that are looked at, directories that are listed (None: any number), and the depth below the roots at which the last ones are."""
 
-    entries: int = 1_000_000
-    directories: int = 100_000
+    entries: int | None = 1_000_000
+    directories: int | None = 100_000
     depth: int = 128
 
 
@@ -58,7 +58,7 @@ def scanned(children: Children, roots: DataFrame, limits: Limits = Limits(), lef
         if level > limits.depth:
             reason = "depth"
             break
-        if n > limits.directories - listed:
+        if limits.directories is not None and n > limits.directories - listed:
             reason, n = "directories", limits.directories - listed
             frontier = numbered(frontier, [F.col("source"), F.col("path")]).where(F.col("number") < n).drop("number")
         listed += n
@@ -67,7 +67,7 @@ def scanned(children: Children, roots: DataFrame, limits: Limits = Limits(), lef
         found = children(frontier.select("source", "object")).select("source", "parent", "object", "name", "attributes").join(top, ["source", "parent"])
         found = written(found.select("source", "object", "parent", "name", "attributes", path.alias("path")), "listed")
         seen = found.count()
-        if seen > limits.entries - examined:
+        if limits.entries is not None and seen > limits.entries - examined:
             reason, seen = "entries", limits.entries - examined
             found = numbered(found, [F.col("source"), F.col("path")]).where(F.col("number") < seen).drop("number")
         examined += seen

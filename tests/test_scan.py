@@ -52,3 +52,15 @@ def test_listings_are_refused_for_the_first_fault(spark):
     rows, refused = scan.verified(scan.listed_from(now), dirs, lambda some: asked.pop()(some), 400)
     assert [r.object for r in rows.collect()] == [200]
     assert {r.parent: r.reason for r in refused.collect()} == {101: "identity", 999: "identity", 102: "repeated_name", 103: "budget"}
+
+
+def test_scans_without_a_budget_of_directories_list_any_number(spark, roots):
+    """More directories than the default budget has: only entries bound this scan."""
+    n = scan.Limits().directories + 10
+    wide = spark.range(n).selectExpr("'d:' AS source", "id + 1000 AS object", "5L AS parent", "concat('d', id) AS name", f"{D} AS attributes")
+    files = spark.range(20).selectExpr("'d:' AS source", "id + 9000000 AS object", f"{n} + 999 AS parent", "concat('f', id) AS name", f"{F_} AS attributes")
+    tree = wide.unionByName(files)
+    cut = scan.scanned(scan.listed_from(tree), roots, scan.Limits(entries=n + 15, directories=None))
+    assert (cut.reason, cut.examined, cut.directories) == ("entries", n + 15, n + 1)
+    whole = scan.scanned(scan.listed_from(tree), roots, scan.Limits(entries=None, directories=None))
+    assert whole.complete and whole.rows.count() == n + 20
