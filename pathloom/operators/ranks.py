@@ -42,7 +42,7 @@ def numbered(rows: DataFrame, order: list[Column], to: str = "number") -> DataFr
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     offsets = parts.select("_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.join(offsets, "_part").select(*rows.columns, place.alias(to))
+    return dealt.join(F.broadcast(offsets), "_part").select(*rows.columns, place.alias(to))
 
 
 def nearest_ranks(rows: DataFrame, group: str, value: str, shares: dict[str, float], cuts: int = CUTS) -> DataFrame:

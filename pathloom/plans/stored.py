@@ -30,15 +30,17 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions.names import ordinary_directory, trigrams
+from pathloom.functions.names import ordinary_directory
 from pathloom.functions.query import parse
 from pathloom.operators import index, namespace, ranks
+from pathloom.operators.grams import bits as row_bits
+from pathloom.operators.grams import bits_of, postings
 from pathloom.operators.inventory import net
 from pathloom.plans import search
-from pathloom.session import written
+from pathloom.session import ship, written
 from pathloom.streaming.store import ORPHAN_AGE, Files, Manifest, NotReady, Store
 
-FORMAT = 1
+FORMAT = 2
 ENTRY = ["source", "object", "parent", "name", "attributes", "slot"]
 CHILD = ["source", "parent", "name"]
 SCHEMAS = {
@@ -46,7 +48,7 @@ SCHEMAS = {
     "dirs": "source string, object long, path string, depth int",
     "gone": "source string, parent long, name string",
     "lost": "source string, object long",
-    "postings": "gram string, zone int, block long",
+    "postings": "gram string, zone int, blocks array<bigint>",
 }
 #: A zone has at least so many rows, and a segment at most so many zones.
 ZONE, ZONES = 1 << 14, 4096
@@ -132,15 +134,15 @@ class View:
         grams = grams_of(raw)
         if not grams:
             return rows
-        need = index.record_bits(F.array(*map(F.lit, grams)))
-        return rows.where((F.col("low").bitwiseAND(need["low"]) == need["low"]) & (F.col("high").bitwiseAND(need["high"]) == need["high"]))
+        low, high = (F.lit(b).cast("long") for b in bits_of(grams))
+        return rows.where((F.col("low").bitwiseAND(low) == low) & (F.col("high").bitwiseAND(high) == high))
 
     def matches(self, raw: str, kind: str = "all", indexed: bool = False) -> DataFrame:
         """Every entry that a dialect B query matches; indexed reads only zones with blocks that have all trigrams of the words."""
         wanted, rows = None, None
         if indexed and (grams := grams_of(raw)):
-            postings = self._rows("postings").where(F.col("gram").isin(grams))
-            blocks = postings.groupBy("segment", "zone", "block").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+            postings = self._rows("postings").where(F.col("gram").isin(grams)).select("segment", "zone", "gram", F.explode("blocks").alias("block"))
+            blocks = postings.groupBy("segment", "zone", "block").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
             blocks = written(blocks.select("segment", "zone", "block"), "blocks")
             zones: dict[int, list[int]] = {}
             for r in blocks.select("segment", "zone").distinct().collect():  # at most ZONES of a segment
@@ -247,15 +249,17 @@ class SearchState(Files):
         placed = ranks.numbered(written(located, "located"), [F.coalesce("slot", F.lit(NO_SLOT)), F.col("object"), F.col("name")], "row")
         rows = placed.count()
         zone_rows = -(-max(self.zone, math.ceil(rows / ZONES)) // index.BLOCK) * index.BLOCK
-        bits = index.record_bits(trigrams(searched(F.col("parent_path"), F.col("name"))))
+        ship(self.spark)
+        text = searched(F.col("parent_path"), F.col("name"))
+        bits = F.arrow_udf(row_bits, "low long, high long")(text)
         named, zones = [], []
         if rows:
             whole = placed.withColumns({"zone": F.floor(F.col("row") / zone_rows).cast("int"), "row": F.col("row") + first_row, "bits": bits})
             whole = whole.withColumns({"low": F.col("bits.low"), "high": F.col("bits.high")}).drop("bits")
             self._table(folder, "located", whole.repartition("zone").sortWithinPartitions("zone", "row"), "zone")
             read = self.spark.read.schema(SCHEMAS["located"]).parquet(f"{self.path}/{folder}/located")
-            grams = read.select("zone", index.block_of(F.col("row")).alias("block"), F.explode(trigrams(searched(F.col("parent_path"), F.col("name")))).alias("gram")).distinct()
-            self._table(folder, "postings", grams.repartitionByRange("gram").sortWithinPartitions("gram"))
+            grams = read.select("zone", index.block_of(F.col("row")).alias("block"), text.alias("text")).mapInArrow(postings, SCHEMAS["postings"])
+            self._table(folder, "postings", grams.repartition("gram").sortWithinPartitions("gram"))
             zones = read.groupBy("zone").agg(F.min(F.coalesce("slot", F.lit(NO_SLOT))).alias("slot")).collect()  # at most ZONES
             named = ["located", "postings"]
         self._put(f"{folder}/zones.json", json.dumps(sorted((r.zone, r.slot) for r in zones)))
