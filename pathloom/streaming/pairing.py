@@ -7,9 +7,11 @@ a loss. An old name that waits when its time is over is a loss as well.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ MOST_MS = 100
 NOTICES = "source string, seq long, at_ms long, action string, path string"
 CHANGES = "source string, seq long, kind string, path string, source_path string, loss boolean"
 STATE = "seq long, at_ms long, path string"
+#: A source's notices of a micro-batch, as they are held, and how many are rows of Python at a time.
+HELD, STEP = pa.schema([("seq", pa.int64()), ("at_ms", pa.int64()), ("action", pa.string()), ("path", pa.large_string())]), 1 << 14
 
 
 def paired(rows: list[tuple], waiting: tuple | None, most_ms: int = MOST_MS) -> tuple[list[tuple], tuple | None]:
@@ -45,6 +49,18 @@ def paired(rows: list[tuple], waiting: tuple | None, most_ms: int = MOST_MS) ->
     return out, waiting
 
 
+def in_order(parts: Iterable[pd.DataFrame], step: int = STEP) -> Iterator[list[tuple]]:
+    """Lists of (seq, at_ms, action, path) by seq: all notices are held as Arrow columns, and only `step` of them as rows."""
+    pieces = [[pa.array(p[f.name], f.type, from_pandas=True) for f in HELD] for p in parts]
+    columns = [list(c) for c in zip(*pieces)]
+    del pieces
+    held = pa.table([pa.concat_arrays(columns.pop(0)) for _ in HELD], HELD)  # a column's pieces go before the next one is joined
+    order = pc.sort_indices(held["seq"])
+    for at in range(0, len(order), step):
+        some = held.take(order.slice(at, step))
+        yield list(zip(*(c.to_pylist() for c in some.columns)))
+
+
 def rename_stream(notices: DataFrame, most_ms: int = MOST_MS, wait_ms: int | None = 2000) -> DataFrame:
     """The changes in a stream of notices; a source's state is one waiting name.
 
@@ -55,20 +71,21 @@ def rename_stream(notices: DataFrame, most_ms: int = MOST_MS, wait_ms: int | Non
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         waiting = state.get if state.exists else None
+        names = [c.split()[0] for c in CHANGES.split(", ")]
         if state.hasTimedOut:
             state.remove()
-            out = [(waiting[0], "loss", waiting[2], None, True)]
-        else:
-            rows = sorted((r for p in parts for r in p[["seq", "at_ms", "action", "path"]].itertuples(index=False, name=None)), key=lambda r: r[0])
+            yield pd.DataFrame([(key[0], waiting[0], "loss", waiting[2], None, True)], columns=names)
+            return
+        for rows in in_order(parts):
             out, waiting = paired(rows, waiting, most_ms)
-            if waiting is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((int(waiting[0]), int(waiting[1]), waiting[2]))
-                if wait_ms is not None:
-                    state.setTimeoutDuration(wait_ms)
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=[c.split()[0] for c in CHANGES.split(", ")])
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=names)
+        if waiting is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((int(waiting[0]), int(waiting[1]), waiting[2]))
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
 
     return notices.groupBy("source").applyInPandasWithState(advance, CHANGES, STATE, "append", "NoTimeout" if wait_ms is None else "ProcessingTimeTimeout")
 
