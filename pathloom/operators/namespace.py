@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.names import DEPTH, PATH_UNITS, ROOT, is_directory, ordinary_directory, ordinary_object, valid_name
-from pathloom.session import dropped, written
+from pathloom.session import dropped, held, written
 
 KEY = ["source", "object"]
 
@@ -31,7 +31,7 @@ def _doubled(steps: DataFrame, root: int, most: int) -> DataFrame:
             break
         above = state.select("source", F.col("object").alias("up"), F.col("up").alias("top"), F.col("path").alias("head"), F.col("depth").alias("more"))
         climbed = (
-            state.where(climbing).join(above, ["source", "up"])
+            state.where(climbing).join(held(above), ["source", "up"])
             .select("source", "object", F.col("top").alias("up"), F.concat("head", F.lit("/"), "path").alias("path"), (F.col("depth") + F.col("more")).alias("depth"))
             .where(F.col("depth") <= most)
         )
@@ -70,7 +70,7 @@ def full_path(parent: str = "parent_path", name: str = "name", depth: str = "par
 def paths(entries: DataFrame, dirs: DataFrame | None = None, root: int = ROOT) -> DataFrame:
     """entries with path and is_directory; entries that the root doesn't reach fall out."""
     dirs = directories(entries, root) if dirs is None else dirs
-    return with_parent(entries, dirs).withColumn("path", full_path()).withColumn("is_directory", is_directory(F.col("attributes")))
+    return with_parent(entries, held(dirs)).withColumn("path", full_path()).withColumn("is_directory", is_directory(F.col("attributes")))
 
 
 def alias_parents(entries: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def descendants(entries: DataFrame, tops: DataFrame, most: int = DEPTH) -> DataF
             break
         above = state.select("source", F.col("object").alias("up"), F.col("up").alias("next"), F.col("top").alias("its"), F.col("distance").alias("more"))
         climbed = (
-            going.join(above, ["source", "up"]).select("source", "object", F.col("next").alias("up"), F.col("its").alias("top"), (F.col("distance") + F.col("more")).alias("distance"))
+            going.join(held(above), ["source", "up"]).select("source", "object", F.col("next").alias("up"), F.col("its").alias("top"), (F.col("distance") + F.col("more")).alias("distance"))
             .where(F.col("distance") <= most).distinct()
         )
         following = written(state.where("top is not null").unionByName(climbed), "below")
@@ -255,6 +255,7 @@ def refreshed_paths(old_paths: DataFrame, old: DataFrame, new: DataFrame, change
     is kept as it is.
     """
     below = descendants(old, changed).unionByName(descendants(new, changed)).select("source", F.col("object").alias("parent")).distinct()
+    below = held(written(below, "below"))
     kept = old_paths.join(below, ["source", "parent"], "left_anti")
     dirs = directories(new, root) if dirs is None else refreshed_directories(dirs, old, new)
     fresh = paths(new.join(below, ["source", "parent"], "left_semi"), dirs)

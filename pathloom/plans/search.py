@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.names import of_category, path_key, shard_of
 from pathloom.functions.query import Query, entry_predicate, extension_is, name_tests, parse, path_predicate, raw_literal, raw_predicate, raw_runs, unit_order, whole_text
 from pathloom.operators.namespace import directories, full_path, is_directory, with_parent
+from pathloom.session import held
 
 PAGE = ["source", "slot", "object", "path", "name", "is_directory"]
 PAGE_SCHEMA = "source string, slot long, object long, path string, name string, is_directory boolean"
@@ -37,7 +38,7 @@ def matches(entries: DataFrame, raw: str, kind: str = "all", dirs: DataFrame | N
     query = parse(raw, "B")
     folded = F.lower(F.translate("name", "\\", "/"))
     some = entries.where(of_category(kind, F.col("attributes"), folded) & extension_is(query, folded))
-    joined = some if "parent_path" in entries.columns else with_parent(some, directories(entries) if dirs is None else dirs, "left")
+    joined = some if "parent_path" in entries.columns else with_parent(some, held(directories(entries) if dirs is None else dirs), "left")
     words = Query("B", query.tokens)
     lost = F.coalesce("parent_path", F.raise_error(F.lit("an entry's parent can't be resolved")).cast("string"))
     found = joined.where(name_tests(words, folded) | entry_predicate(words, folded, F.lower(lost)))

@@ -37,7 +37,7 @@ from pathloom.operators.grams import bits as row_bits
 from pathloom.operators.grams import bits_of, postings
 from pathloom.operators.inventory import net
 from pathloom.plans import search
-from pathloom.session import ship, written
+from pathloom.session import held, ship, written
 from pathloom.streaming.store import ORPHAN_AGE, Files, Manifest, NotReady, Store
 
 FORMAT = 2
@@ -283,7 +283,7 @@ class SearchState(Files):
         before = self.snapshot()
         number = before.number + 1 if before else 1
         dirs = written(namespace.directories(entries), "dirs")
-        segment = self._write(number, 0, namespace.with_parent(entries.select(*ENTRY), dirs, "left"), {"dirs": dirs})
+        segment = self._write(number, 0, namespace.with_parent(entries.select(*ENTRY), held(dirs), "left"), {"dirs": dirs})
         self.apply(Snapshot(number, version, (segment,), segment.first_row + segment.rows, parts))
 
     def prepare(self, entries: DataFrame, version: int, parts: dict[str, str] | None = None, old: DataFrame | None = None) -> Snapshot | None:

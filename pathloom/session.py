@@ -61,6 +61,18 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+#: Tables of fewer bytes are left to the planner's choice of join, which may broadcast them.
+HELD_BYTES = 1 << 20
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df as the right side of a join that has a row or few a key: a task holds its share of df by hash, the left side streams by.
+
+    Merge joins sort both sides instead, so a task holds all rows of its keys, and a key with many rows whole.
+    """
+    return df.hint("shuffle_hash") if plan_bytes(df) >= HELD_BYTES else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it is small; its file may have one row group, and one task would do all the work.
 

@@ -197,3 +197,30 @@ def test_a_move_that_makes_a_path_too_long_is_refused(spark):
         got = {r["check"]: r.n for r in namespace.violations_at(new, touched, old=old, known=known).collect()}
         whole = {r["check"]: r.n for r in namespace.violations(new).collect()}
         assert got["long_path"] == whole["long_path"] == n and got["unreachable"] == 0
+
+
+def test_refreshed_paths_stream_entries_past_directories(spark, monkeypatch):
+    from pathloom import session
+
+    def chain(name):
+        tops = [(100 + k, 5, f"top{k}", D) for k in range(3)] + [(110, 100, name, D), (110, 101, "again", D), (111, 110, "in", D), (120, 999, "lost", D)]
+        return table(spark, tops + [(200 + k, 100, f"hot{k}", D) for k in range(150)] + [(500 + k, (110, 111, 102, 120, 200 + k)[k % 5], f"f{k}.txt", F_) for k in range(150)])
+
+    def merged(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+
+    old, new = (namespace.written(chain(n), "version") for n in ("old", "new"))
+    changed = spark.createDataFrame([("d:", 100)], "source string, object long")
+    columns = ["source", "object", "parent", "name", "path", "is_directory"]
+    monkeypatch.setattr(session, "HELD_BYTES", 0, raising=False)
+    monkeypatch.setattr(namespace, "written", lambda df, name: seen.append((name, merged(df))) or session.written(df, name))
+    before, seen = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = namespace.refreshed_paths(namespace.paths(old).select(*columns), old, new, changed)
+        assert merged(got) == 0 and sum(name == "below" for name, _ in seen) > 1 and not any(n for name, n in seen if name == "climb")
+        want = namespace.paths(new).select(*columns)
+        rows = sorted(map(tuple, got.select(*columns).collect()))
+        assert rows == sorted(map(tuple, want.collect())) and len(rows) == 3 + 2 + 2 + 150 + 60 + 60 + 30 + 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
