@@ -4,7 +4,8 @@ A journal is a folder: `bounds.json` tells its id and what it holds (first, lowe
 `segments` lie folders `FIRST-NEXT` of record batches in Parquet (a column `data`, usn.decode()'s format),
 each with the records from FIRST up to, but without, NEXT. A new segment comes before the bounds that tell
 of it; old ones go after the bounds that don't. Bounds and segments are read by pyarrow's file systems, on
-the driver only to plan, on executors to decode: one partition a segment.
+the driver only to plan, on executors to decode: a partition for about SPLIT_BYTES of files, however few
+segments or files there are. A file is split between its row groups, which append() keeps small.
 
 A start that the journal no longer holds, or one of another journal, is a gap: its only row has no usn,
 which maintain.Maintainer answers with a rebuild from the listing.
@@ -17,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -27,6 +29,11 @@ from pathloom.streaming.maintain import JOURNAL
 from pathloom.streaming.store import Files
 
 NAME = "pathloom_journal"
+#: Bytes of files for each partition, as they are on disk (about 70,000 records), unless there were more than MOST_PARTITIONS of them.
+SPLIT_BYTES, MOST_PARTITIONS = 1 << 20, 1 << 14
+#: Bytes of a row group before compression, about SPLIT_BYTES on disk.
+GROUP_BYTES = 4 << 20
+KINDS = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
 
 
 def _opened(path: str):
@@ -49,14 +56,36 @@ def bounds(path: str) -> dict:
 
 
 @dataclass
-class Segment(InputPartition):
-    """A folder of batches, and the records wanted of it; without a folder, a gap."""
+class Stretch(InputPartition):
+    """Pieces (file, first byte, end) of segments, and the records wanted of them; without pieces, a gap."""
 
-    path: str | None
+    pieces: list[tuple[str, int, int]]
     start: int = 0
     end: int = 0
 
 
+def stretches(files: list[tuple[str, int]], split: int, most: int) -> list[list[tuple[str, int, int]]]:
+    """Files (path, size) cut into pieces (path, first byte, end) of at most `split` bytes; small pieces share a list."""
+    split = max(split, -(-sum(size for _, size in files) // most))
+    out, room = [], 0
+    for path, size in files:
+        for low in range(0, size, split):
+            high = min(low + split, size)
+            if not out or high - low > room:
+                out.append([])
+                room = split
+            out[-1].append((path, low, high))
+            room -= high - low
+    return out
+
+
+def groups(meta, low: int, high: int) -> list[int]:
+    """The row groups of a Parquet file that start from byte low up to, but without, high."""
+    first = [meta.row_group(k).column(0) for k in range(meta.num_row_groups)]
+    starts = [c.data_page_offset if c.dictionary_page_offset is None else min(c.dictionary_page_offset, c.data_page_offset) for c in first]
+    return [k for k, at in enumerate(starts) if low <= at < high]
+
+
 class Reader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.source, self.start = options["path"].rstrip("/"), options["source"], options.get("start")
@@ -69,38 +98,45 @@ class Reader(DataSourceStreamReader):
         b = bounds(self.path)
         return {"journal": b["journal"], "usn": b["next"]}
 
-    def partitions(self, start: dict, end: dict) -> list[Segment]:
+    def partitions(self, start: dict, end: dict) -> list[Stretch]:
         from pyarrow import fs
 
         b = bounds(self.path)
         if start["journal"] != end["journal"] or not max(b["first"], b["lowest"]) <= start["usn"] <= b["next"]:
-            return [Segment(None)]
+            return [Stretch([])]
         files, at = _opened(self.path)
-        out = []
+        held = []
         for found in files.get_file_info(fs.FileSelector(f"{at}/segments")):
             first, _, following = found.base_name.partition("-")
             if found.type == fs.FileType.Directory and following.isdigit() and int(first) < end["usn"] and int(following) > start["usn"]:
-                out.append(Segment(f"{self.path}/segments/{found.base_name}", start["usn"], end["usn"]))
-        return sorted(out, key=lambda s: s.path)
+                held += [(f.path, f.size) for f in files.get_file_info(fs.FileSelector(found.path)) if f.base_name.endswith(".parquet")]
+        return [Stretch(pieces, start["usn"], end["usn"]) for pieces in stretches(sorted(held), SPLIT_BYTES, MOST_PARTITIONS)]
 
-    def read(self, partition: Segment) -> Iterator[tuple]:
-        if partition.path is None:
-            yield self.source, None, None, None, None, None, None, None
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        if not partition.pieces:
+            yield _batch([(self.source, *[None] * (len(KINDS) - 1))])
             return
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
-        files, at = _opened(partition.path)
-        for found in files.get_file_info(fs.FileSelector(at)):
-            if not found.base_name.endswith(".parquet"):
-                continue
-            with files.open_input_file(found.path) as f:
-                for batch in pq.ParquetFile(f).iter_batches(batch_size=64, columns=["data"]):
+        files, _ = _opened(self.path)
+        for path, low, high in partition.pieces:
+            with files.open_input_file(path) as f:
+                held = pq.ParquetFile(f)
+                for batch in held.iter_batches(batch_size=usn.BUFFERS, row_groups=groups(held.metadata, low, high), columns=["data"]):
+                    rows = []
                     for data in batch.column("data").to_pylist():
-                        for obj, parent, at_, reason, attributes, raw, _ in usn.decode(data or b""):
-                            if partition.start <= at_ < partition.end:
+                        for obj, parent, at, reason, attributes, raw, _ in usn.decode(data or b""):
+                            if partition.start <= at < partition.end:
                                 signed = [x - (1 << 64) if x >> 63 else x for x in (obj, parent)]
-                                yield self.source, at_, None, *signed, reason, attributes - (1 << 32) if attributes >> 31 else attributes, usn.text(raw)
+                                rows.append((self.source, at, None, *signed, reason, attributes - (1 << 32) if attributes >> 31 else attributes, usn.text(raw)))
+                    if rows:
+                        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Journal rows as an Arrow batch."""
+    columns = list(zip(*rows)) or [[]] * len(KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], [c.split()[0] for c in JOURNAL.split(", ")])
 
 
 class Journal(DataSource):
@@ -131,7 +167,7 @@ class Folder(Files):
     def append(self, records: DataFrame, first: int, following: int) -> None:
         """Adds the records from first up to following as a segment."""
         some = records.where((F.col("usn") >= first) & (F.col("usn") < following))
-        usn.encoded(some).select("data").write.parquet(f"{self.path}/segments/{first}-{following}")
+        usn.encoded(some).select("data").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{self.path}/segments/{first}-{following}")
 
     def tell(self, journal: str, first: int, following: int, lowest: int = 0) -> None:
         """Replaces the bounds."""

@@ -10,6 +10,8 @@ import re
 import struct
 from collections import namedtuple
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from pathloom.functions.names import CREATED, DELETED, any_bit
 from pathloom.session import ship
 
 MOST_BYTES, MOST_RECORDS, MOST_UNITS = 64 * 1024, 2048, 255
+#: Buffers in an Arrow batch that Python makes.
+BUFFERS = 64
 #: The fields of a record in their order; ids have 8 bytes in version 2 and 16 in version 3.
 FIELDS = "length major minor object parent usn time reason cause security attributes name_bytes name_at"
 FORMS = {2: struct.Struct("<IHH8s8sqqIIIIHH"), 3: struct.Struct("<IHH16s16sqqIIIIHH")}
@@ -195,19 +199,35 @@ def decode_listing(data: bytes, parent: int) -> list[tuple]:
 def _in_batches(rows: DataFrame, batch: dict, pack, columns: list[str], order: str, schema: str) -> DataFrame:
     """rows packed by pack(list of rows in order, batch) into `data`, one buffer for each value of the batch columns.
 
-    The caller's batch columns bound the rows of a buffer, so no list grows with a group.
+    Rows come to Python sorted, and those of one buffer are held at a time. The caller's batch columns bound
+    the rows of a buffer, so no list grows with a group.
     """
+    names, labels = [order, *[c for c in columns if c != order]], list(batch)
+    keys = [f"_{n}" for n in labels]
 
-    def packed(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
         for part in parts:
-            data = [pack(r.pop("rows"), r) for r in part.to_pylist()]
-            kept = [n for n in part.schema.names if n != "rows"]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(data, pa.binary())], [*kept, "data"])
+            key, row = (zip(*(part.column(c).to_pylist() for c in some)) for some in (keys, names))
+            yield from zip(key, row)
+
+    def made(buffers: list[tuple]) -> pa.RecordBatch:
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+        arrays = [pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*buffers), (c.split() for c in schema.split(", ")))]
+        return pa.RecordBatch.from_arrays(arrays, [*labels, "data"])
+
+    def packed(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = []
+        for key, held in groupby(told(parts), itemgetter(0)):
+            done.append((*key, pack([dict(zip(names, row)) for _, row in held], dict(zip(labels, key)))))
+            if len(done) == BUFFERS:
+                yield made(done)
+                done = []
+        if done:
+            yield made(done)
 
     ship(rows.sparkSession)
-    row = F.struct(order, *[c for c in columns if c != order])
-    lists = rows.groupBy(*[c.alias(n) for n, c in batch.items()]).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return lists.mapInArrow(packed, schema)
+    dealt = rows.select(*[c.alias(k) for k, c in zip(keys, batch.values())], *names).repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *names).mapInArrow(packed, schema)
 
 
 def encoded(journal: DataFrame, each: int = 256, major: int = 2) -> DataFrame:
